@@ -26,6 +26,7 @@ def load_all():
     """Import every module that registers queries."""
     from tessera.plans import (  # noqa: F401
         search_queries,
+        text_queries,
     )
 
     return QUERIES, ORACLES

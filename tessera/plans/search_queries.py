@@ -68,3 +68,160 @@ def q_search(spark, sf_dir):
         "tags",
         tx.preview("content").alias("preview"),
     )
+
+
+def _knn_select(hits, *extra):
+    return hits.select("query_id", "rank", "key", F.round("distance", 6).alias("distance"), *extra)
+
+
+@register("knn_topk", _knn_sql("true", 10))
+def q_knn_topk(spark, sf_dir):
+    """Exact top-10 cosine neighbours of every embedding over the whole index."""
+    from tessera.operators.knn import knn_topk
+
+    return _knn_select(knn_topk(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=10))
+
+
+_DUCK_EUC = "sqrt(list_sum(list_transform(list_zip(q.qv, cast(iv.vec as double[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+
+
+@register("knn_join", _knn_sql("true", 5, dist=_DUCK_EUC))
+def q_knn_join(spark, sf_dir):
+    """J9/K1 on a euclidean index: top-5 by L2 distance, no score."""
+    from tessera.operators.knn import knn_topk
+    from tessera.schema import IndexSpec
+
+    spec = IndexSpec(dim=FIXTURE_SPEC.dim, metric="euclidean")
+    return _knn_select(knn_topk(index_view(spark, sf_dir), query_vectors(spark, sf_dir), spec, k=5))
+
+
+def _filtered_knn(flt, where_sql):
+    from tessera.operators.knn import knn_topk
+
+    def fn(spark, sf_dir):
+        return _knn_select(knn_topk(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=3, flt=flt))
+
+    return fn, _knn_sql(where_sql, 3)
+
+
+for _name, _flt, _where in [
+    ("filter_eq", {"lang": {"$eq": "fr"}}, "iv.lang = 'fr'"),
+    ("filter_ne", {"file_type": {"$ne": "md"}}, "iv.file_type is distinct from 'md'"),
+    ("filter_gte", {"score_num": {"$gte": 3000}}, "iv.score_num >= 3000"),
+    ("filter_in", {"source": {"$in": ["src1", "src2", "src3"]}}, "iv.source in ('src1', 'src2', 'src3')"),
+    (
+        "filter_and",
+        {"$and": [{"lang": {"$in": ["en", "de"]}}, {"score_num": {"$gte": 500}}, {"tags": {"$ne": "en,src0"}}]},
+        "iv.lang in ('en', 'de') and iv.score_num >= 500 and iv.tags is distinct from 'en,src0'",
+    ),
+]:
+    _fn, _sql = _filtered_knn(_flt, _where)
+    register(_name, _sql)(_fn)
+
+
+@register(
+    "score_threshold",
+    f"""
+with iv as ({INDEX_VIEW_SQL}), {_DUCK_Q},
+p as (select q.query_id, iv.key, {_DUCK_COS} as distance from q cross join iv),
+r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p)
+select query_id, rank, key, round(1 - distance / 2, 4) as score from r where rank <= 5 and 1 - distance / 2 >= 0.7
+""",
+)
+def q_score_threshold(spark, sf_dir):
+    """score = 1 - distance/2, kept when >= 0.7, applied after top-5."""
+    hits = search(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=5, threshold=0.7, payload=())
+    return hits.select("query_id", "rank", "key", F.round("score", 4).alias("score"))
+
+
+@register(
+    "hits_with_meta",
+    f"""
+with iv as ({INDEX_VIEW_SQL}), {_DUCK_Q},
+p as (select q.query_id, iv.*, {_DUCK_COS} as distance from q cross join iv where iv.file_type = 'txt'),
+r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p)
+select query_id, rank, round(1 - distance / 2, 4) as score, doc_id, source, cast(chunk_index as varchar) as chunk_index,
+       cast(total_chunks as varchar) as total_chunks, '' as heading_path, left(content, 300) as content_preview, tags
+from r where rank <= 5 and 1 - distance / 2 >= 0.6
+""",
+)
+def q_hits_with_meta(spark, sf_dir):
+    """JSON hit fields for the survivors of top-5 over the txt part of the index."""
+    from tessera.operators.search import hit_rows
+
+    hits = search(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=5, threshold=0.6,
+                  flt={"file_type": {"$eq": "txt"}})
+    return hit_rows(hits)
+
+
+@register(
+    "report_lines",
+    f"""
+with iv as ({INDEX_VIEW_SQL}), {_DUCK_Q},
+p as (select q.query_id, iv.*, {_DUCK_COS} as distance from q cross join iv where iv.lang = 'de'),
+r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p)
+select query_id, rank,
+  concat_ws(chr(10), printf('**%d. [%.2f] %s**', rank, 1 - distance / 2, coalesce(nullif('', ''), doc_id, key)),
+            printf('source: %s (chunk %s/%s)', coalesce(source, 'unknown'), cast(chunk_index as varchar), cast(total_chunks as varchar)),
+            concat('> ', {_preview_sql('content')})) as line
+from r where rank <= 3 and 1 - distance / 2 >= 0.6
+""",
+)
+def q_report_lines(spark, sf_dir):
+    """Markdown block per hit over the German part of the index (top 3, score >= 0.6)."""
+    from tessera.operators.search import report_lines
+
+    hits = search(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=3, threshold=0.6,
+                  flt={"lang": {"$eq": "de"}})
+    return report_lines(hits)
+
+
+_PAIR_SQL = """
+select a.vec_id, round({d}, 6) as {name}
+from (select vec_id, cast(embedding as double[]) as qv from embeddings) a
+join (select vec_id, cast(embedding as double[]) as vec from embeddings) b on b.vec_id = a.vec_id + 1
+"""
+
+
+def _pair_q(metric):
+    from tessera.functions.vector import distance
+    from tessera.sources.tables import read_table
+
+    def fn(spark, sf_dir):
+        e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        a, b = e.alias("a"), e.alias("b")
+        j = a.join(b, F.col("b.vec_id") == F.col("a.vec_id") + 1)
+        return j.select(
+            F.col("a.vec_id").alias("vec_id"),
+            F.round(distance(F.col("a.embedding"), F.col("b.embedding"), metric), 6).alias(f"dist_{metric}"),
+        )
+
+    return fn
+
+
+register(
+    "dist_cosine",
+    _PAIR_SQL.format(
+        name="dist_cosine",
+        d="greatest(1 - list_dot_product(a.qv, b.vec) / (sqrt(list_dot_product(a.qv, a.qv)) * sqrt(list_dot_product(b.vec, b.vec))), 0)",
+    ),
+)(_pair_q("cosine"))
+register(
+    "dist_euclidean",
+    _PAIR_SQL.format(
+        name="dist_euclidean", d="sqrt(list_sum(list_transform(list_zip(a.qv, b.vec), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
+    ),
+)(_pair_q("euclidean"))
+
+
+@register(
+    "dim_check",
+    "select vec_id, len(embedding) as dim from embeddings where embedding is null or len(embedding) <> 64",
+)
+def q_dim_check(spark, sf_dir):
+    """vectors whose length differs from the index dimension (violations table)."""
+    from tessera.operators.index import dim_violations
+    from tessera.sources.tables import read_table
+
+    e = read_table(spark, sf_dir, "embeddings")
+    return dim_violations(e, FIXTURE_SPEC, vec_col="embedding").select("vec_id", F.col("dim"))
