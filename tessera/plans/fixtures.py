@@ -60,3 +60,30 @@ select concat(cast(d.doc_id as varchar), '.chunk-0000') as key, e.embedding as v
        cast(d.n_chars as double) as score_num, left(d.text, 200) as content
 from embeddings e join documents d on e.vec_id = d.doc_id
 """
+
+
+def markdown_corpus(spark: SparkSession, sf_dir: str, file_type: str = "md") -> DataFrame:
+    """Every document turned into Markdown with nested, repeated and
+    level-skipping headings (FIXTURES.md part 3)."""
+    d = read_table(spark, sf_dir, "documents")
+    did = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit("# T"), did, F.lit("\n## A\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n### L\n")),
+        F.lit("\n# Z\n### deep"),
+    )
+    return d.select(did.alias("doc_id"), text.alias("text"), F.lit(file_type).alias("file_type"), "lang", "source")
+
+
+MARKDOWN_SQL = """
+select cast(doc_id as varchar) as doc_id,
+       concat('# T', cast(doc_id as varchar), chr(10) || '## A' || chr(10), replace(text, chr(10), chr(10) || '### L' || chr(10)),
+              chr(10) || '# Z' || chr(10) || '### deep') as text, lang, source
+from documents
+"""
+
+
+def plain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the index view's file type rule (md / txt / html by id)."""
+    d = read_table(spark, sf_dir, "documents")
+    ft = F.when(F.col("doc_id") % 3 == 0, "md").when(F.col("doc_id") % 3 == 1, "txt").otherwise("html")
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", ft.alias("file_type"), "lang", "source")

@@ -27,6 +27,7 @@ def load_all():
     from tessera.plans import (  # noqa: F401
         search_queries,
         text_queries,
+        chunk_queries,
     )
 
     return QUERIES, ORACLES
