@@ -28,6 +28,7 @@ def load_all():
         search_queries,
         text_queries,
         chunk_queries,
+        embed_queries,
     )
 
     return QUERIES, ORACLES
