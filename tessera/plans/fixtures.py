@@ -87,3 +87,54 @@ def plain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     ft = F.when(F.col("doc_id") % 3 == 0, "md").when(F.col("doc_id") % 3 == 1, "txt").otherwise("html")
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", ft.alias("file_type"), "lang", "source")
+
+
+def line_index(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, hash_col=None) -> DataFrame:
+    """A multi-chunk index without vectors: every non-blank line of a
+    document is a chunk (dense index, total per document, document hash)."""
+    from tessera.operators.chunking import renumber
+
+    d = docs if docs is not None else read_table(spark, sf_dir, "documents")
+    h = hash_col if hash_col is not None else F.md5("text")
+    d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source", h.alias("content_hash"),
+                 F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id").cast("long") % 90).cast("int")).cast("timestamp").alias("ingested_at"))
+    ln = d.select("*", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content")).where(~tx.is_blank("content"))
+    ln = renumber(ln, order="pos")
+    return ln.select(
+        tx.vector_key("doc_id", "chunk_index").alias("key"), "doc_id", "chunk_index", "total_chunks", "content_hash",
+        F.concat_ws(",", "lang", "source").alias("tags"), "source", "ingested_at", "content",
+    )
+
+
+def line_index_sql(docs_sql: str = "documents", hash_sql: str = "md5(text)") -> str:
+    return f"""
+(select printf('%s.chunk-%04d', doc_id, chunk_index) as key, doc_id, chunk_index, total_chunks, content_hash,
+        concat(lang, ',', source) as tags, source, ingested_at, content
+ from (select doc_id, lang, source, content_hash, ingested_at, content,
+              cast(row_number() over (partition by doc_id order by pos) - 1 as integer) as chunk_index,
+              cast(count(*) over (partition by doc_id) as integer) as total_chunks
+       from (select cast(doc_id as varchar) as doc_id, lang, source, {hash_sql} as content_hash,
+                    cast(date '2024-01-01' + cast(doc_id % 90 as integer) as timestamp) as ingested_at,
+                    unnest(string_split(text, chr(10))) as content,
+                    unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as pos
+             from {docs_sql})
+       where regexp_matches(content, '\\S')))
+"""
+
+
+# Sync scenario: two versions of the corpus (FIXTURES.md part 3).
+def incoming_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    return d.where(F.col("doc_id") % 11 != 0)
+
+
+def stored_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored version: documents with doc_id % 7 <> 0; ids divisible by 5 were
+    stored with a different text (so their hash differs)."""
+    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") % 7 != 0)
+    return d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+
+
+INCOMING_SQL = "(select * from documents where doc_id % 11 <> 0)"
+STORED_SQL = ("(select doc_id, case when doc_id % 5 = 0 then concat(text, 'x') else text end as text, lang, source, n_chars "
+              "from documents where doc_id % 7 <> 0)")

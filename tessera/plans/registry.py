@@ -29,6 +29,7 @@ def load_all():
         text_queries,
         chunk_queries,
         embed_queries,
+        index_queries,
     )
 
     return QUERIES, ORACLES
