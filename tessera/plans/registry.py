@@ -30,6 +30,7 @@ def load_all():
         chunk_queries,
         embed_queries,
         index_queries,
+        stats_queries,
     )
 
     return QUERIES, ORACLES
