@@ -203,7 +203,9 @@ def current_version(spark: SparkSession, base: str) -> str | None:
 def read_index(spark: SparkSession, base: str) -> DataFrame:
     v = current_version(spark, base)
     if v is None:
-        return spark.createDataFrame([], INDEX_SCHEMA.add("bucket", "int"))
+        from pyspark.sql import types as T
+
+        return spark.createDataFrame([], T.StructType(INDEX_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())]))
     return spark.read.parquet(os.path.join(base, v))
 
 

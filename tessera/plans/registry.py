@@ -31,6 +31,8 @@ def load_all():
         embed_queries,
         index_queries,
         stats_queries,
+        stream_queries,
+        ingest_queries,
     )
 
     return QUERIES, ORACLES

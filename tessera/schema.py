@@ -55,7 +55,7 @@ class IndexSpec:
 INDEX_SCHEMA = T.StructType(
     [
         T.StructField("key", T.StringType(), False),
-        T.StructField("vec", T.ArrayType(T.FloatType(), False), True),
+        T.StructField("vec", T.ArrayType(T.FloatType(), True), True),
         T.StructField("doc_id", T.StringType(), True),
         T.StructField("chunk_index", T.IntegerType(), True),
         T.StructField("total_chunks", T.IntegerType(), True),
