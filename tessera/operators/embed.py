@@ -13,8 +13,9 @@ called on *distinct* texts that are not in the cache.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +61,46 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out: st
     return g.select(id_col, dense.alias(out))
 
 
+def hash_embed_udf(dim: int = 64):
+    """The same hashing embedder as a narrow iterator pandas UDF ``text -> array<float>``.
+
+    Used where the vector is needed on the row itself (no shuffle, no join
+    back). Bucket numbers are memoised per task, so md5 runs once per
+    distinct token of the task's vocabulary.
+    """
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import hashlib
+
+        import numpy as np
+        import regex
+
+        split = regex.compile(TOKEN_PATTERN)
+        memo: dict[str, int] = {}
+        for texts in batches:
+            out = []
+            for t in texts:
+                if t is None:
+                    out.append(None)
+                    continue
+                counts = np.zeros(dim, dtype=np.float64)
+                for tok in split.split(t.lower()):
+                    if not tok:
+                        continue
+                    b = memo.get(tok)
+                    if b is None:
+                        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+                        memo[tok] = b
+                    counts[b] += 1.0
+                n2 = float((counts * counts).sum())
+                out.append(None if n2 == 0 else (counts / np.sqrt(n2)).astype(np.float32))
+            yield pd.Series(out)
+
+    return embed
+
+
 def hash_embedder(dim: int = 64) -> Callable[[DataFrame], DataFrame]:
     """H1 default: ``DataFrame(text_md5, text) -> DataFrame(text_md5, vec)``."""
 

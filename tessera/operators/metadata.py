@@ -30,12 +30,22 @@ OPTIONAL_CAPS = (("source", CAP_SOURCE), ("tags", CAP_TAGS), ("author", CAP_AUTH
 
 
 def cut_to_bytes(text: Column, budget: Column, measure=F.octet_length) -> Column:
-    """Keep the first 3/4 of the characters until ``measure(text) <= budget``."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_CUT_STEPS)),
-        text,
-        lambda t, i: F.when(measure(t) > budget, F.substring(t, 1, F.floor(F.length(t) * 3 / 4).cast("int"))).otherwise(t),
-    )
+    """Keep the first 3/4 of the characters until ``measure(text) <= budget``.
+
+    The accumulator carries a ``done`` flag, so once the text fits the
+    remaining steps skip ``measure`` (CASE WHEN evaluates one branch).
+    """
+    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
+
+    def step(acc, i):
+        t = acc["t"]
+        cut = F.substring(t, 1, F.floor(F.length(t) * 3 / 4).cast("int"))
+        return F.when(acc["done"] | t.isNull(), acc).otherwise(
+            F.when(measure(t) > budget, F.struct(cut.alias("t"), F.lit(False).alias("done")))
+            .otherwise(F.struct(t.alias("t"), F.lit(True).alias("done")))
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_CUT_STEPS)), start, step, lambda acc: acc["t"])
 
 
 def _json_bytes(st: Column, n_fields: Column) -> Column:

@@ -51,7 +51,6 @@ def build_index_rows(
     ingested_at: _dt.datetime | None = None,
 ) -> DataFrame:
     """Corpus rows (``doc_id, text, file_type, source, tags, author``) -> index rows."""
-    embedder = embedder or em.hash_embedder(spec.dim)
     cols = corpus.columns
     keep = [c for c in ("source", "tags", "author") if c in cols]
     docs = corpus.withColumn("content_hash", tx.content_hash("text"))
@@ -70,7 +69,13 @@ def build_index_rows(
     if "context_prefix" not in chunks.columns:
         chunks = chunks.withColumn("context_prefix", F.lit(None).cast("string"))
     chunks = chunks.withColumn("embed_input", tx.embed_input("content", "context_prefix"))
-    vec = em.embed_dedup(chunks, "embed_input", embedder)
+    if embedder is None:
+        # built-in embedder: narrow, on the row itself (no de-dup shuffle needed)
+        vec = chunks.withColumn("vec", em.hash_embed_udf(spec.dim)(tx.embed_cut(F.col("embed_input"))))
+    else:
+        # external model: embed each distinct text once (J8); the chunks are
+        # used twice (distinct texts, join back), so materialise them once
+        vec = em.embed_dedup(chunks.checkpoint(), "embed_input", embedder)
     ts = F.lit(ingested_at).cast("timestamp") if ingested_at else F.date_trunc("second", F.current_timestamp())
     rows = vec.withColumn("ingested_at", ts).withColumn("content_full", F.col("content")).withColumnRenamed("_ft", "file_type")
     rows = md.fit_metadata(rows)
