@@ -78,7 +78,7 @@ def build_index_rows(
         vec = em.embed_dedup(chunks.checkpoint(), "embed_input", embedder)
     ts = F.lit(ingested_at).cast("timestamp") if ingested_at else F.date_trunc("second", F.current_timestamp())
     rows = vec.withColumn("ingested_at", ts).withColumn("content_full", F.col("content")).withColumnRenamed("_ft", "file_type")
-    rows = md.fit_metadata(rows)
+    rows = md.fit_metadata(rows, native=False)
     out = rows.select(
         tx.vector_key("doc_id", "chunk_index").alias("key"), "vec", "doc_id", "chunk_index", "total_chunks",
         "content_hash", "file_type", "ingested_at", *[c for c in ("source", "tags", "author") if c in rows.columns],

@@ -72,3 +72,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread(df):
+    """Round-robin a DataFrame over the cluster's cores when its scan yields
+    fewer partitions than cores (e.g. one small file with one row group).
+
+    On a cluster reading many files this is a no-op: the input splits
+    already outnumber the cores.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
