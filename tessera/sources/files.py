@@ -153,3 +153,9 @@ def tag_rows(cat: DataFrame) -> DataFrame:
                 F.col("t.description").alias("description"))
         .orderBy("name")
     )
+
+
+def id_collisions(corpus: DataFrame) -> DataFrame:
+    """Q10: document ids shared by different paths (the later file would overwrite the earlier)."""
+    return (corpus.groupBy("doc_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+            .where(F.size("paths") > 1))
