@@ -225,3 +225,25 @@ def q_dim_check(spark, sf_dir):
 
     e = read_table(spark, sf_dir, "embeddings")
     return dim_violations(e, FIXTURE_SPEC, vec_col="embedding").select("vec_id", F.col("dim"))
+
+
+@register("knn_ann")
+def q_knn_ann(spark, sf_dir):
+    """K3: approximate top-5 for every embedding with an IVF index (16 lists, 8 probed)."""
+    from tessera.operators.ann import build_ivf, ivf_search
+
+    iv = index_view(spark, sf_dir)
+    ivf = build_ivf(iv, FIXTURE_SPEC, n_lists=16, block_rows=200)
+    return _knn_select(ivf_search(ivf, query_vectors(spark, sf_dir), k=5, nprobe=8))
+
+
+@register("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    """K3 report: recall@5 of the IVF search against exact K1 over all queries."""
+    from tessera.operators.ann import build_ivf, ivf_search, recall_at_k
+    from tessera.operators.knn import knn_topk
+
+    iv = index_view(spark, sf_dir)
+    qv = query_vectors(spark, sf_dir)
+    ivf = build_ivf(iv, FIXTURE_SPEC, n_lists=16, block_rows=200)
+    return recall_at_k(ivf_search(ivf, qv, k=5, nprobe=8), knn_topk(iv, qv, FIXTURE_SPEC, k=5))

@@ -102,3 +102,17 @@ def test_filter_pushed_to_parquet(spark):
     iv = index_view(spark, SF001)
     plan = iv.where(compile_filter({"lang": {"$eq": "en"}}, iv.schema))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "lang" in plan
+
+
+def test_ivf_recall_floor(spark):
+    from tessera.operators.ann import build_ivf, ivf_search, recall_at_k
+
+    iv = index_view(spark, "/root/testdata/sf0.01")
+    qv = query_vectors(spark, "/root/testdata/sf0.01")
+    ivf = build_ivf(iv, FIXTURE_SPEC, n_lists=16, block_rows=100)  # small blocks: lists split into sub-blocks
+    assert max(ivf.sizes.values()) > 1
+    r = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=8), knn_topk(iv, qv, FIXTURE_SPEC, k=5)).collect()[0]
+    assert r.recall >= 0.85
+    # all probes = exact
+    r_all = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=16), knn_topk(iv, qv, FIXTURE_SPEC, k=5)).collect()[0]
+    assert r_all.recall > 0.999
