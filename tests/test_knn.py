@@ -109,7 +109,7 @@ def test_ivf_recall_floor(spark):
 
     iv = index_view(spark, "/root/testdata/sf0.01")
     qv = query_vectors(spark, "/root/testdata/sf0.01")
-    ivf = build_ivf(iv, FIXTURE_SPEC, n_lists=16, block_rows=100)  # small blocks: lists split into sub-blocks
+    ivf = build_ivf(iv, FIXTURE_SPEC, n_lists=16, block_rows=10)  # small blocks: lists split into sub-blocks
     assert max(ivf.sizes.values()) > 1
     r = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=8), knn_topk(iv, qv, FIXTURE_SPEC, k=5)).collect()[0]
     assert r.recall >= 0.85
