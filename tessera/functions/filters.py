@@ -5,8 +5,10 @@ top-level columns, so it is pushed to the Parquet scan of the index.
 Supported operators are the ones of the service's filter language shown by
 the reference: ``$eq $ne $gte $in $and``. Anything else raises.
 
-Missing keys: ``$eq``/``$gte``/``$in`` are false on a missing key, ``$ne`` is
-true (``NOT (k <=> v)``).
+Missing keys: ``$eq``/``$gte``/``$in`` are null on a missing key (a WHERE
+drops the row; no operator negates a sub-filter, so null acts as false),
+``$ne`` is true (``NOT (k <=> v)``). Plain comparisons keep the predicate
+translatable to a Parquet filter.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def compile_filter(flt, schema: T.StructType, non_filterable=()) -> Column:
         for op, val in cond.items():
             if op == "$eq":
                 l, r = _operand(c, dtype, val)
-                parts.append(F.coalesce(l == r, F.lit(False)))
+                parts.append(l == r)
             elif op == "$ne":
                 l, r = _operand(c, dtype, val)
                 parts.append(~l.eqNullSafe(r))
@@ -92,16 +94,16 @@ def compile_filter(flt, schema: T.StructType, non_filterable=()) -> Column:
                 if not _is_number(val) and not isinstance(val, str):
                     raise FilterError("$gte takes a number")
                 l, r = _operand(c, dtype, val)
-                parts.append(F.coalesce(l >= r, F.lit(False)))
+                parts.append(l >= r)
             elif op == "$in":
                 if not isinstance(val, list) or not val:
                     raise FilterError("$in takes a non-empty list")
                 if all(_is_number(v) for v in val):
                     l, _ = _operand(c, dtype, val[0])
-                    parts.append(F.coalesce(l.isin([float(v) for v in val]), F.lit(False)))
+                    parts.append(l.isin([float(v) for v in val]))
                 else:
                     l, _ = _operand(c, dtype, str(val[0]))
-                    parts.append(F.coalesce(l.isin([str(v) for v in val]), F.lit(False)))
+                    parts.append(l.isin([str(v) for v in val]))
             else:
                 raise FilterError(f"unsupported operator {op!r}; supported: {FILTER_OPERATORS}")
     return reduce(lambda a, b: a & b, parts)

@@ -154,17 +154,25 @@ def knn_topk(
     )
 
     q = queries.select(query_id, qvec).where(F.size(qvec) == spec.dim)
-    n_q = q.count()
-    if n_q == 0:
-        return idx.sparkSession.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-    q_bytes = n_q * spec.dim * 8
-    n_batches = max(1, math.ceil(q_bytes / max_broadcast_bytes))
+    max_rows = max(1, max_broadcast_bytes // (spec.dim * 8))
+    first = q.limit(max_rows + 1).collect()  # bounded by the check itself
+    if not first:
+        return idx.sparkSession.createDataFrame([], T.StructType(out_schema.fields + [T.StructField("rank", T.IntegerType())]))
+    if len(first) <= max_rows:
+        n_batches, batches = 1, [first]
+    else:  # too many queries for one broadcast: hash batches that each fit
+        n_batches = max(2, math.ceil(q.count() * 1.25 / max_rows))
+        batches = None
     sc = idx.sparkSession.sparkContext
 
     parts = []
     for b in range(n_batches):
-        qb = q if n_batches == 1 else q.where(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b)
-        rows = qb.collect()  # bounded: each batch is <= the broadcast bound (checked above)
+        if batches is not None:
+            rows = batches[b]
+        else:
+            rows = q.where(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b).collect()
+            if len(rows) > 2 * max_rows:
+                raise ValueError("query batch exceeds the broadcast bound; lower skew in query ids")
         if not rows:
             continue
         qids = [r[0] for r in rows]

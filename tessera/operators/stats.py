@@ -38,12 +38,15 @@ def doc_rollup(index: DataFrame) -> DataFrame:
     first = F.struct(F.col("chunk_index"), F.col("key"))
     day = F.date_format("ingested_at", "yyyy-MM-dd") if dict(index.dtypes).get("ingested_at") == "timestamp" \
         else F.substring("ingested_at", 1, 10)
-    return index.groupBy(F.coalesce(F.col("doc_id"), F.lit("unknown")).alias("doc_id")).agg(
+    # group on the plain column (keeps an existing doc_id partitioning); the
+    # null group is the 'unknown' document
+    g = index.groupBy("doc_id").agg(
         F.count("*").alias("chunks"),
         F.min_by(tx.first_tag("tags"), first).alias("tag"),
         F.min_by(F.coalesce(day, F.lit("")), first).alias("ingested_at"),
         F.min_by(F.coalesce(F.col("source"), F.lit("")), first).alias("source"),
     )
+    return g.select(F.coalesce(F.col("doc_id"), F.lit("unknown")).alias("doc_id"), "chunks", "tag", "ingested_at", "source")
 
 
 def recent_docs(index: DataFrame, n: int = RECENT_N) -> DataFrame:

@@ -94,14 +94,15 @@ def keyword_hits(docs: DataFrame, catalog: dict | None = None, text: str = "text
     cat = DEFAULT_CATALOG if catalog is None else catalog
     pairs = sorted({(name, kw.lower()) for name, (_, kws, _) in cat.items() for kw in kws if kw})
     if len(pairs) <= MAX_EXPR_KEYWORDS:
-        low = F.lower(F.col(text))
+        low = F.col("_low")
         tags = sorted({n for n, _ in pairs})
         per_tag = [
             F.struct(F.lit(t).alias("tag"),
                      sum(F.when(F.contains(low, F.lit(kw)), 1).otherwise(0) for n, kw in pairs if n == t).alias("hits"))
             for t in tags
         ]
-        ex = docs.select(F.col(id_col), F.explode(F.array(*per_tag)).alias("h"))
+        lowered = docs.select(F.col(id_col), F.lower(F.col(text)).alias("_low"))  # lower once per document
+        ex = lowered.select(F.col(id_col), F.explode(F.array(*per_tag)).alias("h"))
         return ex.select(id_col, "h.tag", "h.hits").where(F.col("hits") > 0)
     return _keyword_hits_automaton(docs, pairs, text, id_col)
 
