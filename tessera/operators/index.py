@@ -186,45 +186,128 @@ def index_key(doc_id, chunk_index):
 
 # --------------------------------------------------------------------------
 # Versioned storage
+#
+#   base/_current                 pointer: name of the current manifest
+#   base/_manifests/<version>     one line per bucket: "<bucket>\t<directory>"
+#                                 (first line "#buckets\t<B>")
+#   base/<version>/bucket=<b>/    Parquet files of bucket b written by <version>
+#
+# A write creates a new version directory holding only the buckets it
+# touched, then a new manifest (untouched buckets keep pointing at older
+# directories), then moves the pointer. Files are never overwritten, readers
+# of the previous manifest are unaffected, and since bucket = f(doc_id) every
+# document is always read whole from one version.
 # --------------------------------------------------------------------------
 
 def _pointer(base: str) -> str:
     return os.path.join(base, "_current")
 
 
+def _manifest(base: str, version: str) -> str:
+    return os.path.join(base, "_manifests", version)
+
+
 def current_version(spark: SparkSession, base: str) -> str | None:
     try:
         rows = spark.read.text(_pointer(base)).collect()
-    except Exception:  # noqa: BLE001 - no pointer yet
+    except Exception:  # noqa: BLE001 - no pointer yet: the index does not exist
         return None
     return rows[0][0].strip() if rows else None
 
 
-def read_index(spark: SparkSession, base: str) -> DataFrame:
+def read_manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, str]] | None:
+    """``(buckets, {bucket: directory})`` of the current version (one line per bucket)."""
     v = current_version(spark, base)
     if v is None:
-        from pyspark.sql import types as T
+        return None
+    lines = [r.value for r in spark.read.text(_manifest(base, v)).collect()]
+    buckets = DEFAULT_BUCKETS
+    m: dict[int, str] = {}
+    for ln in lines:
+        a, b = ln.split("\t", 1)
+        if a == "#buckets":
+            buckets = int(b)
+        else:
+            m[int(a)] = b
+    return buckets, m
 
-        return spark.createDataFrame([], T.StructType(INDEX_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())]))
-    return spark.read.parquet(os.path.join(base, v))
 
+def _empty_index(spark: SparkSession) -> DataFrame:
+    from pyspark.sql import types as T
 
-def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
-    """Write ``index`` as a new version of the table at ``base`` and switch the pointer.
+    return spark.createDataFrame([], T.StructType(INDEX_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())]))
 
-    Rows are spread over ``buckets * files_per_bucket`` write tasks (bucket plus
-    a hash salt of the key), so no single task writes a whole bucket when a
-    bucket is large. Readers keep using the old version until the pointer moves.
-    """
-    spark = index.sparkSession
+
+def read_index(spark: SparkSession, base: str) -> DataFrame:
+    """The current version of the index (schema given, so no inference over many files)."""
+    man = read_manifest(spark, base)
+    if man is None or not man[1]:
+        return _empty_index(spark)
+    buckets, m = man
+    df = spark.read.schema(INDEX_SCHEMA).parquet(*[m[b] for b in sorted(m)])
+    return df.withColumn("bucket", bucket_of("doc_id", buckets))
+
+
+def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
+    """``bucket=<b>`` sub-directories of a freshly written version (Hadoop FS listing)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = {}
+    if not fs.exists(p):
+        return out
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("bucket="):
+            out[int(name.split("=", 1)[1])] = st.getPath().toString()
+    return out
+
+
+def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int, keep: dict[int, str],
+                   files_per_bucket: int, n_touched: int) -> str:
     version = f"v-{uuid.uuid4().hex[:12]}"
-    out = index if "bucket" in index.columns else index.withColumn("bucket", bucket_of("doc_id", buckets))
+    out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
     salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
-    (
-        out.repartition(buckets * files_per_bucket, "bucket", salt)
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(os.path.join(base, version))
-    )
+    target = os.path.join(base, version)
+    (out.repartition(max(1, n_touched) * files_per_bucket, "bucket", salt)
+        .write.mode("errorifexists").partitionBy("bucket").parquet(target))
+    m = dict(keep)
+    m.update(_bucket_dirs(spark, target))
+    lines = [f"#buckets\t{buckets}"] + [f"{b}\t{d}" for b, d in sorted(m.items())]
+    spark.createDataFrame([(ln,) for ln in lines], "value string").coalesce(1).write.text(_manifest(base, version))
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(base))
     return version
+
+
+def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
+    """Write ``index`` as a complete new version (every bucket) and switch the pointer.
+
+    Rows are spread over ``buckets * files_per_bucket`` write tasks (bucket plus
+    a hash salt of the key), so no single task writes a whole large bucket.
+    """
+    return _write_version(index.sparkSession, index, base, buckets, {}, files_per_bucket, buckets)
+
+
+def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_doc_ids: DataFrame,
+                      buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
+    """Replace / remove whole documents, rewriting only the buckets they live in.
+
+    ``new_rows`` are complete index rows of the documents to (re)write;
+    ``drop_doc_ids`` (``doc_id``) are documents whose stored rows go away.
+    Stored rows of both sets are dropped, ``new_rows`` are added.
+    """
+    man = read_manifest(spark, base)
+    if man is None:
+        return write_index(new_rows, base, buckets, files_per_bucket)
+    buckets, m = man
+    ids = new_rows.select("doc_id").unionByName(drop_doc_ids.select("doc_id")).distinct()
+    # touched buckets: at most ``buckets`` small ints
+    touched = sorted(r.b for r in ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect())
+    if not touched:
+        return current_version(spark, base)
+    old = [m[b] for b in touched if b in m]
+    stored = spark.read.schema(INDEX_SCHEMA).parquet(*old) if old else _empty_index(spark).drop("bucket")
+    kept = stored.join(ids, "doc_id", "left_anti")
+    rows = kept.unionByName(conform(new_rows.drop("bucket")))
+    keep = {b: d for b, d in m.items() if b not in set(touched)}
+    return _write_version(spark, rows, base, buckets, keep, files_per_bucket, len(touched))

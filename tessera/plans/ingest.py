@@ -103,18 +103,20 @@ def ingest(
     Without ``sync`` every document of the corpus replaces its stored rows
     (Q11 fix: no stale higher-numbered chunks). With ``sync`` unchanged
     documents are skipped and stored documents missing from the corpus are
-    removed (within ``scope`` when given, Q12 fix).
+    removed (within ``scope`` when given, Q12 fix). Only the buckets of the
+    documents that change are rewritten.
     """
     stored = ix.read_index(spark, base)
     hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash"))
     plan = sy.sync_plan(hashes, stored)
     if not sync:
         plan = plan.withColumn("status", F.when(F.col("status") == "unchanged", "changed").otherwise(F.col("status")))
+    plan = plan.checkpoint()  # one comparison, reused by the rows, the write and the summary
     todo = sy.to_ingest(corpus, plan)
-    rows = build_index_rows(todo, spec, **kw)
-    new_index = sy.sync_apply(stored.drop("bucket"), rows, plan, remove=sync, scope=scope)
-    new_index = new_index.checkpoint()  # cut lineage to the stored version before switching it
-    summary = sy.sync_summary(plan, stored, new_index.join(todo.select("doc_id"), "doc_id", "left_semi"))
-    summary = summary.checkpoint()
-    ix.write_index(new_index, base)
+    rows = build_index_rows(todo, spec, **kw).checkpoint()  # chunk + embed once
+    drop = plan.where(F.col("status") == "changed").select("doc_id")
+    if sync:
+        drop = drop.unionByName(sy.sync_removed(plan, scope))
+    summary = sy.sync_summary(plan, stored, rows).checkpoint()  # counts from the version being replaced
+    ix.apply_doc_changes(spark, base, rows, drop)
     return summary

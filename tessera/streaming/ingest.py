@@ -46,9 +46,9 @@ def stream_ingest(spark: SparkSession, docs: DataFrame, base: str, spec: IndexSp
         hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash")).dropDuplicates(["doc_id"])
         plan = sy.sync_plan(hashes, stored).where(F.col("status") != "removed")
         todo = sy.to_ingest(corpus.dropDuplicates(["doc_id"]), plan)
-        rows = build_index_rows(todo, spec, **build_kw)
-        new_index = sy.sync_apply(stored.drop("bucket"), rows, plan, remove=False).checkpoint()
-        ix.write_index(new_index, base)
+        rows = build_index_rows(todo, spec, **build_kw).checkpoint()
+        drop = plan.where(F.col("status") == "changed").select("doc_id")
+        ix.apply_doc_changes(spark, base, rows, drop)  # rewrites only the touched buckets
 
     q = (docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -61,7 +61,7 @@ def test_cosine_ignores_scale_euclidean_does_not(spark):
     from pyspark.sql import types as T
 
     iv = index_view(spark, SF001)
-    q = query_vectors(spark, SF001).limit(3)
+    q = query_vectors(spark, SF001).orderBy("query_id").limit(3)
     q2 = q.select("query_id", F.transform("qvec", lambda x: (x * 2).cast("float")).alias("qvec"))
     a = knn_topk(iv, q, FIXTURE_SPEC, k=5).select("query_id", "key").collect()
     b = knn_topk(iv, q2, FIXTURE_SPEC, k=5).select("query_id", "key").collect()
