@@ -44,3 +44,37 @@ def q_scan_corpus(spark, sf_dir):
     c = fs.scan_corpus(spark, d, globs="*.md,*.txt,*.html")
     return c.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "file_type",
                     tx.content_hash("text").alias("content_hash"))
+
+
+@register(
+    "vector_records",
+    """select 'vec-' || cast(vec_id as varchar) as key, len(embedding) as dim, cast(vec_id as varchar) as doc_id,
+              cast(label as varchar) as label, round(list_sum(cast(embedding as double[])), 4) as vec_sum
+       from embeddings""",
+)
+def q_vector_records(spark, sf_dir):
+    """Every embedding serialised as a JSON vector record and parsed back by the record reader."""
+    e = read_table(spark, sf_dir, "embeddings")
+    rec = F.struct(
+        F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("key"),
+        F.struct(F.col("embedding").alias("float32")).alias("data"),
+        F.create_map(F.lit("label"), F.col("label").cast("string"), F.lit("doc_id"), F.col("vec_id").cast("string")).alias("metadata"),
+    )
+    js = e.select(F.to_json(F.array(rec)).alias("value"))
+    v = fs.parse_vector_records(js)
+    vsum = F.aggregate(F.transform("vec", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return v.select("key", F.size("vec").alias("dim"), "doc_id", F.col("extra")["label"].alias("label"),
+                    F.round(vsum, 4).alias("vec_sum"))
+
+
+@register(
+    "query_vectors_json",
+    """select vec_id, q.query_id, len(embedding) as dim from embeddings, (values (0), (1)) q(query_id)""",
+)
+def q_query_vectors_json(spark, sf_dir):
+    """Query vectors given as JSON text (a batch of two per row: the vector and its negation)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    neg = F.transform("embedding", lambda x: -x)
+    txt = e.select("vec_id", F.to_json(F.array("embedding", neg)).alias("value"))
+    q = fs.parse_query_vectors(txt, keep=("vec_id",))
+    return q.select("vec_id", "query_id", F.size("qvec").alias("dim"))

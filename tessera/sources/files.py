@@ -125,12 +125,15 @@ def read_query_vectors(spark: SparkSession, path: str) -> DataFrame:
     return parse_query_vectors(txt)
 
 
-def parse_query_vectors(txt: DataFrame, col: str = "value") -> DataFrame:
+def parse_query_vectors(txt: DataFrame, col: str = "value", keep=()) -> DataFrame:
+    """One JSON text per row: a batch ``[[...], ...]`` or one vector ``[...]``;
+    ``query_id`` is the position inside the text, ``keep`` columns are carried."""
     nested = F.from_json(F.col(col), T.ArrayType(T.ArrayType(T.FloatType())))
     flat = F.from_json(F.col(col), T.ArrayType(T.FloatType()))
-    arr = F.coalesce(nested, F.array(flat))
-    return txt.select(F.posexplode(arr).alias("query_id", "qvec")).select(
-        F.col("query_id").cast("long"), "qvec"
+    is_batch = F.trim(F.col(col)).startswith("[[")
+    arr = F.when(is_batch, nested).otherwise(F.array(flat))
+    return txt.select(*keep, F.posexplode(arr).alias("query_id", "qvec")).select(
+        *keep, F.col("query_id").cast("long"), "qvec"
     )
 
 
