@@ -42,7 +42,7 @@ class IVFIndex:
 
 
 def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int = 16, block_rows: int = DEFAULT_BLOCK_ROWS,
-              seed: int = 42, max_iter: int = 20, key_col: str = "key", vec_col: str = "vec") -> IVFIndex:
+              seed: int = 42, max_iter: int = 10, key_col: str = "key", vec_col: str = "vec") -> IVFIndex:
     if not (1 <= n_lists <= MAX_LISTS):
         raise ValueError(f"n_lists must be in [1, {MAX_LISTS}]")
     v = index.select(key_col, vec_col).where(F.size(vec_col) == spec.dim)

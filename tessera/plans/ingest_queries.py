@@ -78,3 +78,21 @@ def q_query_vectors_json(spark, sf_dir):
     txt = e.select("vec_id", F.to_json(F.array("embedding", neg)).alias("value"))
     q = fs.parse_query_vectors(txt, keep=("vec_id",))
     return q.select("vec_id", "query_id", F.size("qvec").alias("dim"))
+
+
+@register("search_pages")
+def q_search_pages(spark, sf_dir):
+    """E1+E2 end to end: pages -> text -> chunks -> embeddings -> index; benchmark
+    texts embedded the same way search it (top 5, score >= 0.6)."""
+    from tessera.operators import embed as em
+    from tessera.operators.search import search
+
+    p = read_table(spark, sf_dir, "pages")
+    corpus = p.select(F.col("page_id").cast("string").alias("doc_id"), tx.html_text("html").alias("text"),
+                      F.lit("html").alias("file_type"), F.col("url").alias("source"))
+    index = build_index_rows(corpus, SPEC, ingested_at=FIXED_TIME)
+    b = read_table(spark, sf_dir, "benchmark")
+    q = b.select(F.col("item_id").alias("query_id"), em.hash_embed_udf(SPEC.dim)(tx.embed_cut(F.col("text"))).alias("qvec"))
+    hits = search(index, q.where(F.col("qvec").isNotNull()), SPEC, k=5, threshold=0.6)
+    return hits.select("query_id", "rank", "key", "doc_id", F.round("score", 4).alias("score"),
+                       tx.preview("content").alias("preview"))
