@@ -78,9 +78,10 @@ def q_embed_cache(spark, sf_dir):
 
 
 def _doc_index(spark, sf_dir):
+    """Every document as one vector, embedded on the row (narrow UDF; equal to ``hash_embed``)."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
-    v = em.hash_embed(d, "doc_id", "text", DIM)
-    return d.join(v, "doc_id").select(F.concat("doc_id", F.lit(".chunk-0000")).alias("key"), "vec", "doc_id", "lang", "source")
+    v = d.withColumn("vec", em.hash_embed_udf(DIM)("text")).where(F.col("vec").isNotNull())
+    return v.select(F.concat("doc_id", F.lit(".chunk-0000")).alias("key"), "vec", "doc_id", "lang", "source")
 
 
 SEARCH_TEXT_SQL = f"""
@@ -104,7 +105,8 @@ def q_search_text(spark, sf_dir):
     """Benchmark texts embedded with the built-in embedder search the
     embedded documents: top 5, score >= 0.6."""
     b = read_table(spark, sf_dir, "benchmark")
-    qv = em.hash_embed(b, "item_id", "text", DIM).select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
+    qv = b.select(F.col("item_id").alias("query_id"), em.hash_embed_udf(DIM)("text").alias("qvec")).where(
+        F.col("qvec").isNotNull())
     hits = search(_doc_index(spark, sf_dir), qv, SPEC, k=5, threshold=0.6, payload=("doc_id",))
     return hits.select("query_id", "rank", "key", "doc_id", F.round("distance", 6).alias("distance"),
                        F.round("score", 4).alias("score"))

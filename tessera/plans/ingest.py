@@ -21,6 +21,7 @@ from tessera.operators import embed as em
 from tessera.operators import index as ix
 from tessera.operators import metadata as md
 from tessera.operators import sync as sy
+from tessera.session import checkpoint_dir
 from tessera.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_MIN_CHUNK, IndexSpec
 
 # first sentence of a document: up to the first sentence end followed by white space or the end
@@ -51,6 +52,7 @@ def build_index_rows(
     ingested_at: _dt.datetime | None = None,
 ) -> DataFrame:
     """Corpus rows (``doc_id, text, file_type, source, tags, author``) -> index rows."""
+    checkpoint_dir(corpus.sparkSession)  # the shared folder named by spark.checkpoint.dir
     cols = corpus.columns
     keep = [c for c in ("source", "tags", "author") if c in cols]
     docs = corpus.withColumn("content_hash", tx.content_hash("text"))
@@ -106,6 +108,7 @@ def ingest(
     removed (within ``scope`` when given, Q12 fix). Only the buckets of the
     documents that change are rewritten.
     """
+    checkpoint_dir(spark)
     stored = ix.read_index(spark, base)
     hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash"))
     plan = sy.sync_plan(hashes, stored)

@@ -258,26 +258,18 @@ def q_drop_blank_docs(spark, sf_dir):
     "inline_docs",
     """
 select concat('stdin-', left(md5(text), 12)) as doc_id, 'txt' as file_type, 'stdin' as source, md5(text) as content_hash,
-       length(text) as n_chars, conv_id
-from (select conv_id, string_agg(concat(role, ': ', text), chr(10) order by turn) as text from conversations group by conv_id)
-where regexp_matches(text, '\\S')
+       length(text) as n_chars, conv_id, turn
+from conversations where regexp_matches(text, '\\S')
 """,
 )
 def q_inline_docs(spark, sf_dir):
-    """S3: each conversation as one inline document (id ``stdin-`` + md5[:12])."""
+    """S3: every conversation turn given as inline text becomes a document (id ``stdin-`` + md5[:12])."""
     from tessera.sources.files import inline_docs
 
     c = read_table(spark, sf_dir, "conversations")
-    conv = c.groupBy("conv_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("l")))),
-                        lambda s: s["l"]),
-            "\n",
-        ).alias("text")
-    )
-    docs = inline_docs(conv, keep=("conv_id",))
+    docs = inline_docs(c, keep=("conv_id", "turn"))
     return docs.select("doc_id", "file_type", "source", F.md5("text").alias("content_hash"),
-                       F.length("text").alias("n_chars"), "conv_id")
+                       F.length("text").alias("n_chars"), "conv_id", "turn")
 
 
 @register(
