@@ -61,8 +61,25 @@ def hit_rows(hits: DataFrame) -> DataFrame:
     )
 
 
-def report_lines(hits: DataFrame) -> DataFrame:
-    """One markdown block per hit (rank, score 2 dp, title, source, chunk i/n, preview)."""
+# The markdown formats of search results.
+MD_HEADER = "📚 知识库搜索结果（Top %d for \"%s\"）："
+MD_NOT_FOUND = "🤖 知识库中未找到与 \"%s\" 相关的内容。"
+MD_TITLE = "**%d. [%.2f] %s**"
+MD_SOURCE = "来源：%s (chunk %s/%s)"
+MD_CONTEXT = "上下文："
+MD_QUOTE = "> "
+
+
+def report_lines(hits: DataFrame, queries: DataFrame | None = None, k: int | None = None,
+                 query_text: str | None = None) -> DataFrame:
+    """The markdown report as rows ``query_id, rank, line``.
+
+    ``rank`` 0 holds the header of a query (or the not-found line, for the
+    queries of ``queries`` without any hit); rank r holds the block of hit r
+    (title with score to 2 decimals, source with chunk i/n, optional context
+    line, 200-character preview, blank line). ``query_text`` names a column of
+    ``queries`` shown in the header; otherwise the query id is shown.
+    """
     cols = set(hits.columns)
 
     def meta(name, default):
@@ -70,16 +87,43 @@ def report_lines(hits: DataFrame) -> DataFrame:
 
     title = tx.hit_title(meta("heading_path", ""), F.col("doc_id") if "doc_id" in cols else F.lit(None), F.col("key"))
     ctx = meta("context_prefix", "")
-    return hits.select(
+    blocks = hits.select(
         "query_id",
         "rank",
         F.concat_ws(
             "\n",
-            F.format_string("**%d. [%.2f] %s**", F.col("rank"), F.col("score"), title),
-            F.format_string(
-                "source: %s (chunk %s/%s)", meta("source", "unknown"), meta("chunk_index", "?"), meta("total_chunks", "?")
-            ),
-            F.when(ctx != "", F.concat(F.lit("context: "), ctx)),
-            F.concat(F.lit("> "), tx.preview(meta("content", ""))),
+            F.format_string(MD_TITLE, F.col("rank"), F.col("score"), title),
+            F.format_string(MD_SOURCE, meta("source", "unknown"), meta("chunk_index", "?"), meta("total_chunks", "?")),
+            F.when(ctx != "", F.concat(F.lit(MD_CONTEXT), ctx)),
+            F.concat(F.lit(MD_QUOTE), tx.preview(meta("content", ""))),
+            F.lit(""),
         ).alias("line"),
     )
+    if queries is None:
+        return blocks
+    qt = F.col(query_text) if query_text else F.col("query_id").cast("string")
+    q = queries.select("query_id", qt.alias("_qt"))
+    n = hits.groupBy("query_id").agg(F.count("*").alias("_n"))  # <= k rows per query
+    kk = F.lit(k) if k is not None else F.col("_n")
+    head = q.join(n, "query_id").select(
+        "query_id", F.lit(0).alias("rank"),
+        F.concat(F.format_string(MD_HEADER, F.least(kk, F.col("_n")), F.col("_qt")), F.lit("\n")).alias("line"))
+    none = q.join(n, "query_id", "left_anti").select(
+        "query_id", F.lit(0).alias("rank"), F.format_string(MD_NOT_FOUND, F.col("_qt")).alias("line"))
+    return head.unionByName(none).unionByName(blocks)
+
+
+def search_json(rows: DataFrame, queries: DataFrame, k: int, threshold: float, query_text: str | None = None) -> DataFrame:
+    """One JSON text per query (``query_id, json``) with the hit fields of
+    ``hit_rows`` ordered by rank. Grouping is per query and holds at most k
+    rows (k <= 100), so no group is unbounded."""
+    qt = F.col(query_text) if query_text else F.col("query_id").cast("string")
+    res = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in rows.columns if c != "query_id"]))).alias("results"))
+    j = queries.select("query_id", qt.alias("query")).join(res, "query_id", "left")
+    results = F.coalesce(F.col("results"), F.array().cast(res.schema["results"].dataType))
+    doc = F.struct(
+        F.lit(True).alias("success"), F.lit("search").alias("action"), F.col("query"),
+        F.lit(k).alias("top_k"), F.lit(float(threshold)).alias("threshold"),
+        F.size(results).alias("results_count"), results.alias("results"),
+    )
+    return j.select("query_id", F.to_json(doc).alias("json"))

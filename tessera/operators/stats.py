@@ -56,8 +56,42 @@ def recent_docs(index: DataFrame, n: int = RECENT_N) -> DataFrame:
         "doc_id", "tag", "chunks", "ingested_at", F.substring("source", 1, tx.STATS_SOURCE_CHARS).alias("source"))
 
 
-def stats_lines(index: DataFrame, untagged_label: str = "untagged") -> DataFrame:
-    """S13 for statistics: one text line per tag."""
+# The markdown formats of the statistics report.
+MD_STATS_TITLE = "📊 知识库状态："
+MD_DOCS = "文档数：%d"
+MD_CHUNKS = "Chunk 总数：%d"
+MD_BY_TAG = "按分类："
+MD_TAG_LINE = "  %s: %d 篇 (%d chunks)"
+MD_RECENT = "最近入库："
+MD_RECENT_LINE = "  %s %s — %d chunks (%s)"
+MD_UNTAGGED = "未分类"
+
+
+def stats_lines(index: DataFrame) -> DataFrame:
+    """One text line per tag (untagged shown with its label)."""
     d = tag_distribution(index)
-    label = F.when(F.col("tag") == tx.UNTAGGED, F.lit(untagged_label)).otherwise(F.col("tag"))
-    return d.select("tag", F.format_string("  %s: %d docs (%d chunks)", label, F.col("docs"), F.col("chunks")).alias("line"))
+    label = F.when(F.col("tag") == tx.UNTAGGED, F.lit(MD_UNTAGGED)).otherwise(F.col("tag"))
+    return d.select("tag", F.format_string(MD_TAG_LINE, label, F.col("docs"), F.col("chunks")).alias("line"))
+
+
+def stats_report(index: DataFrame, n_recent: int = RECENT_N) -> DataFrame:
+    """The whole statistics report as rows ``part, sort_key, line``; ordered
+    by (part, sort_key) it reads: totals (0), one line per tag in tag order
+    (1), the recent documents (2). No global window over the tags: the tag
+    itself is the sort key."""
+    from pyspark.sql import Window
+
+    tot = kb_totals(index).select(
+        F.lit(0).alias("part"), F.lit("").alias("sort_key"),
+        F.concat_ws("\n", F.lit(MD_STATS_TITLE), F.lit(""), F.format_string(MD_DOCS, "total_docs"),
+                    F.format_string(MD_CHUNKS, "total_chunks"), F.lit(""), F.lit(MD_BY_TAG)).alias("line"))
+    tags = stats_lines(index).select(F.lit(1).alias("part"), F.col("tag").alias("sort_key"), "line")
+    rec = recent_docs(index, n_recent)  # at most n_recent rows: a window over them is bounded
+    tag_str = F.when(F.col("tag") == tx.UNTAGGED, F.lit(f"[{MD_UNTAGGED}]")).otherwise(F.concat(F.lit("["), "tag", F.lit("]")))
+    seq = F.row_number().over(Window.orderBy(F.col("ingested_at").desc(), F.col("doc_id").asc()))
+    rec_lines = rec.select(
+        F.lit(2).alias("part"), F.lpad(seq.cast("string"), 6, "0").alias("sort_key"),
+        F.format_string(MD_RECENT_LINE, tag_str, "doc_id", "chunks", "ingested_at").alias("line"))
+    rec_head = rec.limit(1).select(F.lit(2).alias("part"), F.lit("000000").alias("sort_key"),
+                                   F.concat(F.lit("\n"), F.lit(MD_RECENT)).alias("line"))
+    return tot.unionByName(tags).unionByName(rec_head).unionByName(rec_lines)

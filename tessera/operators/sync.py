@@ -87,3 +87,16 @@ def sync_summary(plan: DataFrame, index: DataFrame, new_rows: DataFrame) -> Data
         F.coalesce(F.sum("stored_chunks"), F.lit(0)).alias("stored_chunks"),
         F.coalesce(F.sum(F.when(F.col("status").isin("new", "changed"), F.col("new_chunks"))), F.lit(0)).alias("chunks_written"),
     )
+
+
+def sync_counters(summary: DataFrame) -> DataFrame:
+    """A4: the reference's one-line counters from ``sync_summary`` (at most four rows):
+    ingested / skipped documents, deleted chunks (Q20: chunks, not documents),
+    chunks written."""
+    st = F.col("status")
+    return summary.agg(
+        F.coalesce(F.sum(F.when(st.isin("new", "changed"), F.col("docs"))), F.lit(0)).alias("ingested"),
+        F.coalesce(F.sum(F.when(st == "unchanged", F.col("docs"))), F.lit(0)).alias("skipped"),
+        F.coalesce(F.sum(F.when(st == "removed", F.col("stored_chunks"))), F.lit(0)).alias("deleted"),
+        F.coalesce(F.sum(F.col("chunks_written")), F.lit(0)).alias("chunks_written"),
+    )

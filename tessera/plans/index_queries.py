@@ -240,3 +240,27 @@ def q_sync_summary(spark, sf_dir):
     plan = sy.sync_plan(inc, stored_index)
     new_rows = line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan))
     return sy.sync_summary(plan, stored_index, new_rows)
+
+
+@register(
+    "sync_counters",
+    f"""
+with {_PLAN_SQL},
+old as (select doc_id, count(*) as n from {line_index_sql(STORED_SQL)} group by doc_id),
+new as (select doc_id, count(*) as n from {line_index_sql(INCOMING_SQL)} group by doc_id),
+s as (select p.status, count(*) as docs, coalesce(sum(o.n), 0) as stored_chunks,
+             coalesce(sum(case when p.status in ('new', 'changed') then n.n end), 0) as chunks_written
+      from plan p left join old o on o.doc_id = p.doc_id left join new n on n.doc_id = p.doc_id group by p.status)
+select coalesce(sum(case when status in ('new', 'changed') then docs end), 0) as ingested,
+       coalesce(sum(case when status = 'unchanged' then docs end), 0) as skipped,
+       coalesce(sum(case when status = 'removed' then stored_chunks end), 0) as deleted,
+       coalesce(sum(chunks_written), 0) as chunks_written
+from s
+""",
+)
+def q_sync_counters(spark, sf_dir):
+    """A4/Q20: ingested, skipped, deleted (chunks) and chunks written, as one row."""
+    inc, stored_index = _sync_inputs(spark, sf_dir)
+    plan = sy.sync_plan(inc, stored_index)
+    new_rows = line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan))
+    return sy.sync_counters(sy.sync_summary(plan, stored_index, new_rows))

@@ -159,21 +159,39 @@ def q_hits_with_meta(spark, sf_dir):
     f"""
 with iv as ({INDEX_VIEW_SQL}), {_DUCK_Q},
 p as (select q.query_id, iv.*, {_DUCK_COS} as distance from q cross join iv where iv.lang = 'de'),
-r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p)
+r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p),
+h as (select * from r where rank <= 3 and 1 - distance / 2 >= 0.6),
+n as (select query_id, count(*) as n from h group by query_id)
 select query_id, rank,
   concat_ws(chr(10), printf('**%d. [%.2f] %s**', rank, 1 - distance / 2, coalesce(nullif('', ''), doc_id, key)),
-            printf('source: %s (chunk %s/%s)', coalesce(source, 'unknown'), cast(chunk_index as varchar), cast(total_chunks as varchar)),
-            concat('> ', {_preview_sql('content')})) as line
-from r where rank <= 3 and 1 - distance / 2 >= 0.6
+            printf('来源：%s (chunk %s/%s)', coalesce(source, 'unknown'), cast(chunk_index as varchar), cast(total_chunks as varchar)),
+            concat('> ', {_preview_sql('content')}), '') as line
+from h
+union all
+select query_id, 0, printf('📚 知识库搜索结果（Top %d for "%s"）：', least(3, n), cast(query_id as varchar)) || chr(10) from n
+union all
+select vec_id, 0, printf('🤖 知识库中未找到与 "%s" 相关的内容。', cast(vec_id as varchar)) from embeddings
+where vec_id not in (select query_id from n)
 """,
 )
 def q_report_lines(spark, sf_dir):
-    """Markdown block per hit over the German part of the index (top 3, score >= 0.6)."""
+    """Markdown report per query over the German part of the index (top 3, score >= 0.6),
+    with the header line, or the not-found line for queries without hits."""
     from tessera.operators.search import report_lines
 
-    hits = search(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=3, threshold=0.6,
-                  flt={"lang": {"$eq": "de"}})
-    return report_lines(hits)
+    qv = query_vectors(spark, sf_dir)
+    hits = search(index_view(spark, sf_dir), qv, FIXTURE_SPEC, k=3, threshold=0.6, flt={"lang": {"$eq": "de"}})
+    return report_lines(hits, queries=qv, k=3)
+
+
+@register("search_json")
+def q_search_json(spark, sf_dir):
+    """One JSON document per query: query, top_k, threshold, results_count and the ranked results."""
+    from tessera.operators.search import hit_rows, search_json
+
+    qv = query_vectors(spark, sf_dir)
+    hits = search(index_view(spark, sf_dir), qv, FIXTURE_SPEC, k=5, threshold=0.6, flt={"lang": {"$eq": "en"}})
+    return search_json(hit_rows(hits), qv, k=5, threshold=0.6)
 
 
 _PAIR_SQL = """

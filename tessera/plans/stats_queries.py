@@ -62,7 +62,7 @@ def q_recent_docs(spark, sf_dir):
 
 @register(
     "stats_lines",
-    f"""select tag, printf('  %s: %d docs (%d chunks)', tag, docs, chunks) as line
+    f"""select tag, printf('  %s: %d 篇 (%d chunks)', case when tag = 'untagged' then '未分类' else tag end, docs, chunks) as line
         from (select {_FIRST_TAG} as tag, count(distinct doc_id) as docs, count(*) as chunks from {LI} group by 1)""",
 )
 def q_stats_lines(spark, sf_dir):
@@ -70,6 +70,32 @@ def q_stats_lines(spark, sf_dir):
     return st.stats_lines(line_index(spark, sf_dir))
 
 
+@register(
+    "stats_report",
+    f"""
+with li as {LI},
+r as ({_ROLLUP_SQL}),
+rec as (select * from r order by ingested_at desc, doc_id limit 10)
+select 0 as part, '' as sort_key,
+       '📊 知识库状态：' || chr(10) || chr(10) || printf('文档数：%d', count(distinct coalesce(doc_id, 'unknown'))) || chr(10)
+       || printf('Chunk 总数：%d', count(*)) || chr(10) || chr(10) || '按分类：' as line from li
+union all
+select 1, tag, printf('  %s: %d 篇 (%d chunks)', case when tag = 'untagged' then '未分类' else tag end, docs, chunks)
+from (select {_FIRST_TAG} as tag, count(distinct doc_id) as docs, count(*) as chunks from li group by 1)
+union all
+select 2, '000000', chr(10) || '最近入库：' from (select 1) where exists (select 1 from rec)
+union all
+select 2, lpad(cast(row_number() over (order by ingested_at desc, doc_id) as varchar), 6, '0'),
+       printf('  %s %s — %d chunks (%s)', case when tag = 'untagged' then '[未分类]' else '[' || tag || ']' end,
+              doc_id, chunks, ingested_at)
+from rec
+""",
+)
+def q_stats_report(spark, sf_dir):
+    """The full statistics report (totals, tags, ten most recent documents)."""
+    return st.stats_report(line_index(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # tags
 # --------------------------------------------------------------------------
