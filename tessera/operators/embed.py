@@ -98,7 +98,9 @@ def hash_embed_udf(dim: int = 64):
                 out.append(None if n2 == 0 else (counts / np.sqrt(n2)).astype(np.float32))
             yield pd.Series(out)
 
-    return embed
+    # keep Catalyst from inlining the UDF into every reference of its result
+    # (a later filter on the vector would otherwise evaluate it twice)
+    return embed.asNondeterministic()
 
 
 def hash_embedder(dim: int = 64) -> Callable[[DataFrame], DataFrame]:

@@ -76,7 +76,7 @@ def cut_content_udf():
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return cut
+    return cut.asNondeterministic()  # evaluated once, not inlined into later references
 
 
 def _json_bytes(st: Column, n_fields: Column) -> Column:

@@ -21,7 +21,7 @@ from tessera.operators import embed as em
 from tessera.operators import index as ix
 from tessera.operators import metadata as md
 from tessera.operators import sync as sy
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, materialize
 from tessera.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_MIN_CHUNK, IndexSpec
 
 # first sentence of a document: up to the first sentence end followed by white space or the end
@@ -77,7 +77,7 @@ def build_index_rows(
     else:
         # external model: embed each distinct text once (J8); the chunks are
         # used twice (distinct texts, join back), so materialise them once
-        vec = em.embed_dedup(chunks.checkpoint(), "embed_input", embedder)
+        vec = em.embed_dedup(materialize(chunks, "chunks"), "embed_input", embedder)
     ts = F.lit(ingested_at).cast("timestamp") if ingested_at else F.date_trunc("second", F.current_timestamp())
     rows = vec.withColumn("ingested_at", ts).withColumn("content_full", F.col("content")).withColumnRenamed("_ft", "file_type")
     rows = md.fit_metadata(rows, native=False)
@@ -114,12 +114,12 @@ def ingest(
     plan = sy.sync_plan(hashes, stored)
     if not sync:
         plan = plan.withColumn("status", F.when(F.col("status") == "unchanged", "changed").otherwise(F.col("status")))
-    plan = plan.checkpoint()  # one comparison, reused by the rows, the write and the summary
+    plan = materialize(plan, "sync-plan")  # one comparison, reused by the rows, the write and the summary
     todo = sy.to_ingest(corpus, plan)
-    rows = build_index_rows(todo, spec, **kw).checkpoint()  # chunk + embed once
+    rows = materialize(build_index_rows(todo, spec, **kw), "ingest-rows")  # chunk + embed once
     drop = plan.where(F.col("status") == "changed").select("doc_id")
     if sync:
         drop = drop.unionByName(sy.sync_removed(plan, scope))
-    summary = sy.sync_summary(plan, stored, rows).checkpoint()  # counts from the version being replaced
+    summary = materialize(sy.sync_summary(plan, stored, rows), "sync-summary")  # counts from the version being replaced
     ix.apply_doc_changes(spark, base, rows, drop)
     return summary

@@ -19,7 +19,7 @@ from tessera.operators import index as ix
 from tessera.operators import sync as sy
 from tessera.plans.ingest import build_index_rows
 from tessera.schema import IndexSpec
-from tessera.session import checkpoint_dir, scratch_path
+from tessera.session import checkpoint_dir, materialize, scratch_path
 
 
 def document_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
@@ -46,7 +46,7 @@ def stream_ingest(spark: SparkSession, docs: DataFrame, base: str, spec: IndexSp
         hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash")).dropDuplicates(["doc_id"])
         plan = sy.sync_plan(hashes, stored).where(F.col("status") != "removed")
         todo = sy.to_ingest(corpus.dropDuplicates(["doc_id"]), plan)
-        rows = build_index_rows(todo, spec, **build_kw).checkpoint()
+        rows = materialize(build_index_rows(todo, spec, **build_kw), "stream-rows")
         drop = plan.where(F.col("status") == "changed").select("doc_id")
         ix.apply_doc_changes(spark, base, rows, drop)  # rewrites only the touched buckets
 
