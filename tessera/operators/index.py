@@ -263,9 +263,27 @@ def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     return out
 
 
+TARGET_FILE_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for scans, propagated)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: assume small
+        return 0
+
+
+def files_per_bucket_for(df: DataFrame, n_buckets: int, target_bytes: int = TARGET_FILE_BYTES) -> int:
+    """Write tasks per bucket so each writes about ``target_bytes``."""
+    return max(1, min(1024, -(-estimated_bytes(df) // max(1, n_buckets * target_bytes))))
+
+
 def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int, keep: dict[int, str],
-                   files_per_bucket: int, n_touched: int) -> str:
+                   files_per_bucket: int | None, n_touched: int) -> str:
     version = f"v-{uuid.uuid4().hex[:12]}"
+    if files_per_bucket is None:
+        files_per_bucket = files_per_bucket_for(rows, max(1, n_touched))
     out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
     salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
     target = os.path.join(base, version)
@@ -279,17 +297,19 @@ def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int
     return version
 
 
-def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
+def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int | None = None) -> str:
     """Write ``index`` as a complete new version (every bucket) and switch the pointer.
 
     Rows are spread over ``buckets * files_per_bucket`` write tasks (bucket plus
-    a hash salt of the key), so no single task writes a whole large bucket.
+    a hash salt of the key), so no single task writes a whole large bucket;
+    by default ``files_per_bucket`` comes from the plan's size estimate
+    (about 256 MiB per file).
     """
     return _write_version(index.sparkSession, index, base, buckets, {}, files_per_bucket, buckets)
 
 
 def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_doc_ids: DataFrame,
-                      buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
+                      buckets: int = DEFAULT_BUCKETS, files_per_bucket: int | None = None) -> str:
     """Replace / remove whole documents, rewriting only the buckets they live in.
 
     ``new_rows`` are complete index rows of the documents to (re)write;
