@@ -2,10 +2,10 @@
 page, segment, validation, and the versioned Parquet layout.
 
 Layout: Parquet partitioned by ``bucket = pmod(xxhash64(doc_id), B)``. A
-write touches only the buckets that change (dynamic partition overwrite of
-a *new version directory*; a small pointer names the current version), so a
-replace or delete never rewrites the whole index and never overwrites a
-path that is being read.
+write creates a new version directory with only the buckets that change; a
+manifest maps every bucket to its directory and a pointer names the
+manifest (see "Versioned storage" below), so a replace or delete never
+rewrites the whole index and never overwrites a path that is being read.
 """
 
 from __future__ import annotations
@@ -173,7 +173,8 @@ def segment_scan(index: DataFrame, n: int, i: int, key_col: str = "key") -> Data
 def page_vectors(index: DataFrame, max_results: int, next_token: str | None = None, key_col: str = "key"):
     """Keyset page -- keys after the token, in key order, at most ``max_results``.
 
-    Returns ``(page, next_token)`` where the token is the last key of a full page.
+    The continuation token of a full page is its last key. Planned as
+    ``TakeOrderedAndProject`` (a per-partition top-n, no full sort).
     """
     df = index if not next_token else index.where(F.col(key_col) > F.lit(next_token))
     page = df.orderBy(key_col).limit(max_results)
