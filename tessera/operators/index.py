@@ -188,32 +188,66 @@ def index_key(doc_id, chunk_index):
 # --------------------------------------------------------------------------
 # Versioned storage
 #
-#   base/_current                 pointer: name of the current manifest
 #   base/_manifests/<version>     one line per bucket: "<bucket>\t<directory>"
-#                                 (first line "#buckets\t<B>")
+#                                 (first line "#buckets\t<B>"); the newest
+#                                 version name (time-ordered) is current
 #   base/<version>/bucket=<b>/    Parquet files of bucket b written by <version>
 #
 # A write creates a new version directory holding only the buckets it
-# touched, then a new manifest (untouched buckets keep pointing at older
-# directories), then moves the pointer. Files are never overwritten, readers
-# of the previous manifest are unaffected, and since bucket = f(doc_id) every
-# document is always read whole from one version.
+# touched, then commits a new manifest (untouched buckets keep pointing at
+# older directories) by writing it under a temporary name and renaming it.
+# Files are never overwritten, readers of an older manifest are unaffected,
+# and since bucket = f(doc_id) every document is always read whole from one
+# version. The small metadata files go through the Hadoop FileSystem API
+# directly (no Spark job), so they work on any cluster file system.
 # --------------------------------------------------------------------------
 
-def _pointer(base: str) -> str:
-    return os.path.join(base, "_current")
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest_dir(base: str) -> str:
+    return os.path.join(base, "_manifests")
 
 
-def _manifest(base: str, version: str) -> str:
-    return os.path.join(base, "_manifests", version)
+def _new_version() -> str:
+    import time
+
+    return f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
 
 
 def current_version(spark: SparkSession, base: str) -> str | None:
-    try:
-        rows = spark.read.text(_pointer(base)).collect()
-    except Exception:  # noqa: BLE001 - no pointer yet: the index does not exist
+    """Name of the newest committed manifest, or None when the index does not exist."""
+    p, fs = _fs(spark, _manifest_dir(base))
+    if not fs.exists(p):
         return None
-    return rows[0][0].strip() if rows else None
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isFile()]
+    names = [n for n in names if n.startswith("v-")]
+    return max(names) if names else None
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _fs(spark, path)
+    ins = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(ins, "UTF-8")
+    finally:
+        ins.close()
+
+
+def _commit_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under a temporary name, then rename it into place."""
+    tmp, fs = _fs(spark, path + f".tmp-{uuid.uuid4().hex[:8]}")
+    out = fs.create(tmp, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    dst, _ = _fs(spark, path)
+    if not fs.rename(tmp, dst):
+        raise RuntimeError(f"could not commit {path}")
 
 
 def read_manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, str]] | None:
@@ -221,10 +255,11 @@ def read_manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, str]]
     v = current_version(spark, base)
     if v is None:
         return None
-    lines = [r.value for r in spark.read.text(_manifest(base, v)).collect()]
     buckets = DEFAULT_BUCKETS
     m: dict[int, str] = {}
-    for ln in lines:
+    for ln in _read_text(spark, os.path.join(_manifest_dir(base), v)).splitlines():
+        if not ln:
+            continue
         a, b = ln.split("\t", 1)
         if a == "#buckets":
             buckets = int(b)
@@ -282,7 +317,7 @@ def files_per_bucket_for(df: DataFrame, n_buckets: int, target_bytes: int = TARG
 
 def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int, keep: dict[int, str],
                    files_per_bucket: int | None, n_touched: int) -> str:
-    version = f"v-{uuid.uuid4().hex[:12]}"
+    version = _new_version()
     if files_per_bucket is None:
         files_per_bucket = files_per_bucket_for(rows, max(1, n_touched))
     out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
@@ -293,8 +328,7 @@ def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int
     m = dict(keep)
     m.update(_bucket_dirs(spark, target))
     lines = [f"#buckets\t{buckets}"] + [f"{b}\t{d}" for b, d in sorted(m.items())]
-    spark.createDataFrame([(ln,) for ln in lines], "value string").coalesce(1).write.text(_manifest(base, version))
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(_pointer(base))
+    _commit_text(spark, os.path.join(_manifest_dir(base), version), "\n".join(lines) + "\n")
     return version
 
 

@@ -264,3 +264,27 @@ def q_sync_counters(spark, sf_dir):
     plan = sy.sync_plan(inc, stored_index)
     new_rows = line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan))
     return sy.sync_counters(sy.sync_summary(plan, stored_index, new_rows))
+
+
+@register("ingest_sync", f"with {_PLAN_SQL} select status, count(*) as docs from plan group by status")
+def q_ingest_sync(spark, sf_dir):
+    """E1 end to end: ingest the stored version of the corpus into a versioned
+    index, then sync the incoming version into it (only touched buckets are
+    rewritten); documents per status."""
+    import datetime as dt
+
+    from tessera.plans.ingest import ingest
+    from tessera.schema import IndexSpec
+    from tessera.session import scratch_path
+
+    base = scratch_path(spark, "kb")
+    spec = IndexSpec(dim=64)
+    t = dt.datetime(2024, 1, 1)
+
+    def corpus(d):
+        return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit("txt").alias("file_type"),
+                        "source", F.col("lang").alias("tags"))
+
+    ingest(spark, corpus(stored_docs(spark, sf_dir)), base, spec, sync=True, ingested_at=t)
+    summary = ingest(spark, corpus(incoming_docs(spark, sf_dir)), base, spec, sync=True, ingested_at=t)
+    return summary.select("status", "docs")
