@@ -52,7 +52,9 @@ def _partial_topk(qids, qmat_bc, k: int, metric: str, dim: int, key_col: str, ve
         qn = np.linalg.norm(Q, axis=1)
         qn[qn == 0] = np.nan
         q2 = (Q * Q).sum(axis=1)
-        best = None  # pa.Table of candidates: qi, distance, key, payload
+        pending: list[pa.Table] = []  # candidate tables: qi, distance, key, payload
+        n_pending = 0
+        prune_at = max(4 * nq * k, 1 << 16)  # amortised pruning: sort only when candidates pile up
         for rb in batches:
             n = rb.num_rows
             if n == 0:
@@ -98,9 +100,15 @@ def _partial_topk(qids, qmat_bc, k: int, metric: str, dim: int, key_col: str, ve
             for p in payload:
                 cols[p] = rb.column(p).take(take)
             tbl = pa.table(cols)
-            best = tbl if best is None else pa.concat_tables([best, tbl])
-            best = _keep_k(best, k, key_col)
-        if best is None or best.num_rows == 0:
+            pending.append(tbl)
+            n_pending += tbl.num_rows
+            if n_pending > prune_at:
+                kept = _keep_k(pa.concat_tables(pending), k, key_col)
+                pending, n_pending = [kept], kept.num_rows
+        if not pending:
+            return
+        best = _keep_k(pa.concat_tables(pending), k, key_col)
+        if best.num_rows == 0:
             return
         ids = pa.array(qids).take(best.column("qi"))
         out = [ids, best.column(key_col), best.column("distance")] + [best.column(p) for p in payload]
