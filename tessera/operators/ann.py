@@ -2,128 +2,190 @@
 
 Build: distributed k-means (``pyspark.ml.clustering.KMeans``) over the
 (L2-normalised, for cosine) vectors; every vector gets its list id (narrow).
-
-Search: each query probes its ``nprobe`` nearest centroids (the centroid
-matrix is small and bounded by ``n_lists * dim``). Lists are cut into
-sub-blocks of at most ``block_rows`` vectors by a hash salt, so a hot list
-(one cluster holding a third of the data) is spread over many tasks; a query
-probing a list is routed to each of its sub-blocks. Each (list, sub-block)
-group is scored with one numpy product inside ``cogroup().applyInPandas``
-and emits at most k rows per query -- candidate pairs are never
-materialised. A final window keeps the k best per query.
+``save_ivf`` stores the vectors partitioned by ``list_id`` plus the small
+centroid table; ``load_ivf`` reads them back.
+
+Search: the query batch (bounded and broadcast exactly as in exact kNN) picks
+its ``nprobe`` nearest centroids on the driver (queries x lists, both
+bounded). Only the probed lists are read -- a partition filter on
+``list_id`` -- and each task scores its vectors against just the queries that
+probe the vector's list, keeping a running top-k per query. The index is
+never shuffled and no candidate pairs are materialised; a list that holds a
+third of the data is simply split over many scan tasks. A final window keeps
+the k best per query (``WindowGroupLimit``).
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.vector import l2_normalize
-from tessera.operators.knn import check_top_k
+from tessera.operators.knn import DEFAULT_MAX_BROADCAST_BYTES, _keep_k, check_top_k
 from tessera.schema import IndexSpec
 
 MAX_LISTS = 65536
-DEFAULT_BLOCK_ROWS = 20000
+_BLOCK_BYTES = 64 * 1024 * 1024
 
 
 class IVFIndex:
-    def __init__(self, assigned: DataFrame, centroids: np.ndarray, spec: IndexSpec, sizes: dict):
-        self.assigned = assigned  # key, vec, list_id, salt
-        self.centroids = centroids
+    def __init__(self, assigned: DataFrame, centroids: np.ndarray, spec: IndexSpec):
+        self.assigned = assigned  # key, vec, list_id
+        self.centroids = centroids  # (n_lists, dim), unit rows for cosine
         self.spec = spec
-        self.sizes = sizes  # list_id -> number of sub-blocks
 
 
-def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int = 16, block_rows: int = DEFAULT_BLOCK_ROWS,
-              seed: int = 42, max_iter: int = 10, key_col: str = "key", vec_col: str = "vec") -> IVFIndex:
+def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int = 16, seed: int = 42, max_iter: int = 10,
+              key_col: str = "key", vec_col: str = "vec") -> IVFIndex:
+    """Train the coarse quantiser on every vector and assign each vector to its list."""
     if not (1 <= n_lists <= MAX_LISTS):
         raise ValueError(f"n_lists must be in [1, {MAX_LISTS}]")
     v = index.select(key_col, vec_col).where(F.size(vec_col) == spec.dim)
-    if spec.metric == "cosine":
-        v = v.withColumn(vec_col, l2_normalize(vec_col))
-    feats = v.withColumn("features", array_to_vector(vec_col))
+    unit = l2_normalize(vec_col) if spec.metric == "cosine" else F.col(vec_col)
+    feats = v.withColumn("features", array_to_vector(unit))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(feats)
     centroids = np.array([c for c in model.clusterCenters()], dtype=np.float64)
     assigned = model.transform(feats).select(key_col, vec_col, F.col("list_id").cast("int"))
-    # sub-blocks per list: counts are one row per list (bounded by n_lists)
-    counts = {r.list_id: r["count"] for r in assigned.groupBy("list_id").count().collect()}
-    sizes = {int(l): max(1, math.ceil(c / block_rows)) for l, c in counts.items()}
-    spark = index.sparkSession
-    nsub = spark.createDataFrame([(l, s) for l, s in sizes.items()], "list_id int, n_sub int")
-    assigned = assigned.join(F.broadcast(nsub), "list_id").withColumn(
-        "salt", F.pmod(F.xxhash64(key_col), F.col("n_sub")).cast("int")).drop("n_sub")
-    return IVFIndex(assigned, centroids, spec, sizes)
+    return IVFIndex(assigned, centroids, spec)
+
+
+def save_ivf(ivf: IVFIndex, path: str, target_file_bytes: int = 256 * 1024 * 1024) -> None:
+    """Vectors partitioned by ``list_id`` (several files per large list) + centroids."""
+    from tessera.operators.index import estimated_bytes
+
+    spark = ivf.assigned.sparkSession
+    n_lists = ivf.centroids.shape[0]
+    per_list = max(1, min(1024, math.ceil(estimated_bytes(ivf.assigned) / max(1, n_lists * target_file_bytes))))
+    salt = F.pmod(F.xxhash64("key"), F.lit(per_list))
+    ivf.assigned.repartition(n_lists * per_list, "list_id", salt).write.partitionBy("list_id").parquet(
+        os.path.join(path, "vectors"))
+    rows = [(int(i), [float(x) for x in c]) for i, c in enumerate(ivf.centroids)]
+    spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.parquet(
+        os.path.join(path, "centroids"))
+    spark.createDataFrame([(ivf.spec.dim, ivf.spec.metric)], "dim int, metric string").coalesce(1).write.parquet(
+        os.path.join(path, "spec"))
+
+
+def load_ivf(spark: SparkSession, path: str) -> IVFIndex:
+    spec_row = spark.read.parquet(os.path.join(path, "spec")).first()
+    rows = sorted(spark.read.parquet(os.path.join(path, "centroids")).collect())  # n_lists rows (bounded)
+    centroids = np.array([r.centroid for r in rows], dtype=np.float64)
+    assigned = spark.read.parquet(os.path.join(path, "vectors"))
+    return IVFIndex(assigned, centroids, IndexSpec(dim=spec_row.dim, metric=spec_row.metric))
+
+
+def _probes(X: np.ndarray, C: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
+    # same rule as the k-means assignment: euclidean distance to the centroid
+    # (of the unit vector, for cosine indexes)
+    if metric == "cosine":
+        X = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
+    d = (X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (X @ C.T)
+    return np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
 
 
 def ivf_search(ivf: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, query_id: str = "query_id",
-               qvec: str = "qvec", key_col: str = "key", vec_col: str = "vec") -> DataFrame:
-    """Approximate top-k: ``query_id, key, distance, rank``."""
+               qvec: str = "qvec", key_col: str = "key", vec_col: str = "vec",
+               max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Approximate top-k: ``query_id, key, distance, rank`` (distances as in exact kNN)."""
     check_top_k(k)
     spec = ivf.spec
-    spark = queries.sparkSession
+    dim, metric = spec.dim, spec.metric
     C = ivf.centroids
     nprobe = max(1, min(nprobe, C.shape[0]))
-    bc = spark.sparkContext.broadcast(C)
+    q = queries.select(query_id, qvec).where(F.size(qvec) == dim)
+    max_rows = max(1, max_broadcast_bytes // (dim * 8))
+    rows = q.limit(max_rows + 1).collect()  # bounded by the check itself
+    if len(rows) > max_rows:
+        raise ValueError("query batch above the broadcast bound; split the queries into batches")
     qid_type = queries.schema[query_id].dataType
-    q = queries.select(query_id, qvec).where(F.size(qvec) == spec.dim)
-    if spec.metric == "cosine":
-        q = q.withColumn(qvec, l2_normalize(qvec))
-
-    probe_schema = T.StructType([T.StructField(query_id, qid_type), T.StructField(qvec, T.ArrayType(T.FloatType())),
-                                 T.StructField("list_id", T.IntegerType())])
-
-    def probe(batches):
-        cent = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf[qvec].to_numpy()).astype(np.float64)
-            d = (X * X).sum(1)[:, None] + (cent * cent).sum(1)[None, :] - 2.0 * (X @ cent.T)
-            near = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-            yield pd.DataFrame({query_id: np.repeat(pdf[query_id].to_numpy(), nprobe),
-                                qvec: np.repeat(pdf[qvec].to_numpy(), nprobe),
-                                "list_id": near.reshape(-1).astype(np.int32)})
-
-    probes = q.mapInPandas(probe, probe_schema)
-    nsub = spark.createDataFrame([(l, s) for l, s in ivf.sizes.items()], "list_id int, n_sub int")
-    routed = probes.join(F.broadcast(nsub), "list_id").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1))).drop("n_sub")
-
-    metric = spec.metric
     out_schema = T.StructType([T.StructField(query_id, qid_type), T.StructField(key_col, T.StringType()),
                                T.StructField("distance", T.DoubleType())])
-
-    def score(vecs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if vecs.empty or qs.empty:
-            return pd.DataFrame({query_id: [], key_col: [], "distance": []})
-        V = np.stack(vecs[vec_col].to_numpy()).astype(np.float64)
-        Qall = np.stack(qs[qvec].to_numpy()).astype(np.float64)
-        qids, keys = qs[query_id].to_numpy(), vecs[key_col].to_numpy()
-        kk = min(k, V.shape[0])
-        step = max(1, (64 << 20) // (8 * V.shape[0]))  # bounded distance block per step
-        parts = []
-        for s0 in range(0, Qall.shape[0], step):
-            Q = Qall[s0 : s0 + step]
-            G = Q @ V.T
-            if metric == "cosine":  # both sides are unit length
-                D = np.maximum(1.0 - G, 0.0)
-            else:
-                D = np.sqrt(np.maximum((Q * Q).sum(1)[:, None] + (V * V).sum(1)[None, :] - 2 * G, 0.0))
-            idx = np.argpartition(D, kk - 1, axis=1)[:, :kk]
-            rows = np.repeat(np.arange(D.shape[0]), kk)
-            cols = idx.reshape(-1)
-            parts.append(pd.DataFrame({query_id: qids[s0 + rows], key_col: keys[cols], "distance": D[rows, cols]}))
-        return pd.concat(parts, ignore_index=True)
-
-    cand = ivf.assigned.groupBy("list_id", "salt").cogroup(routed.groupBy("list_id", "salt")).applyInPandas(
-        score, out_schema)
+    spark = queries.sparkSession
+    if not rows:
+        return spark.createDataFrame([], T.StructType(out_schema.fields + [T.StructField("rank", T.IntegerType())]))
+    qids = [r[0] for r in rows]
+    X = np.asarray([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+    P = _probes(X, C, nprobe, metric)
+    lists = sorted({int(x) for x in P.ravel()})
+    bc = spark.sparkContext.broadcast((X, P))
+    n_lists = C.shape[0]
+
+    def run(batches):
+        Q, probes = bc.value
+        qn = np.linalg.norm(Q, axis=1)
+        qn[qn == 0] = np.nan
+        by_list: list[list[int]] = [[] for _ in range(n_lists)]
+        for qi, row in enumerate(probes):
+            for lid in row:
+                by_list[int(lid)].append(qi)
+        by_list_arr = [np.asarray(v, dtype=np.int64) for v in by_list]
+        pending, n_pending = [], 0
+        prune_at = max(4 * len(Q) * k, 1 << 16)
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            V = np.asarray(rb.column(vec_col).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, dim)
+            lids = rb.column("list_id").to_numpy(zero_copy_only=False)
+            cq, cv, cd = [], [], []
+            for lid in np.unique(lids):
+                qsel = by_list_arr[int(lid)]
+                if len(qsel) == 0:
+                    continue
+                vsel = np.nonzero(lids == lid)[0]
+                Vl = V[vsel]
+                if metric == "cosine":
+                    vn = np.linalg.norm(Vl, axis=1)
+                    vn[vn == 0] = np.nan
+                step = max(1, _BLOCK_BYTES // (8 * len(vsel)))
+                for s0 in range(0, len(qsel), step):
+                    qs = qsel[s0 : s0 + step]
+                    G = Q[qs] @ Vl.T
+                    if metric == "cosine":
+                        D = np.nan_to_num(1.0 - G / (qn[qs, None] * vn[None, :]), nan=1.0)
+                        np.maximum(D, 0.0, out=D)
+                    else:
+                        D = (Q[qs] ** 2).sum(1)[:, None] + (Vl ** 2).sum(1)[None, :] - 2 * G
+                    if D.shape[1] > k:
+                        kth = np.partition(D, k - 1, axis=1)[:, k - 1 : k]
+                        a, b = np.nonzero(D <= kth)
+                    else:
+                        a, b = np.nonzero(np.ones_like(D, dtype=bool))
+                    if metric == "cosine":
+                        d = D[a, b]
+                    else:  # exact distance for the survivors
+                        diff = Q[qs[a]] - Vl[b]
+                        d = np.sqrt((diff * diff).sum(axis=1))
+                    cq.append(qs[a])
+                    cv.append(vsel[b])
+                    cd.append(d)
+            if not cq:
+                continue
+            vi = np.concatenate(cv)
+            tbl = pa.table({"qi": pa.array(np.concatenate(cq), pa.int64()), "distance": pa.array(np.concatenate(cd)),
+                            key_col: rb.column(key_col).take(pa.array(vi, pa.int64()))})
+            pending.append(tbl)
+            n_pending += tbl.num_rows
+            if n_pending > prune_at:
+                kept = _keep_k(pa.concat_tables(pending), k, key_col)
+                pending, n_pending = [kept], kept.num_rows
+        if not pending:
+            return
+        best = _keep_k(pa.concat_tables(pending), k, key_col)
+        ids = pa.array(qids).take(best.column("qi"))
+        yield from pa.Table.from_arrays([ids, best.column(key_col), best.column("distance")],
+                                        names=[f.name for f in out_schema.fields]).to_batches()
+
+    idx = ivf.assigned.where(F.col("list_id").isin(lists)).select(key_col, vec_col, "list_id")  # list pruning
+    cand = idx.mapInArrow(run, out_schema)
     w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -104,15 +104,21 @@ def test_filter_pushed_to_parquet(spark):
     assert "PushedFilters" in plan and "lang" in plan
 
 
-def test_ivf_recall_floor(spark):
-    from tessera.operators.ann import build_ivf, ivf_search, recall_at_k
+def test_ivf_recall_floor(spark, tmpdir_path):
+    from tessera.operators.ann import build_ivf, ivf_search, load_ivf, recall_at_k, save_ivf
 
     iv = index_view(spark, "/root/testdata/sf0.01")
     qv = query_vectors(spark, "/root/testdata/sf0.01")
-    ivf = build_ivf(iv, FIXTURE_SPEC, n_lists=16, block_rows=10)  # small blocks: lists split into sub-blocks
-    assert max(ivf.sizes.values()) > 1
-    r = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=8), knn_topk(iv, qv, FIXTURE_SPEC, k=5)).collect()[0]
+    save_ivf(build_ivf(iv, FIXTURE_SPEC, n_lists=16), tmpdir_path + "/ivf")
+    ivf = load_ivf(spark, tmpdir_path + "/ivf")
+    exact = knn_topk(iv, qv, FIXTURE_SPEC, k=5)
+    search = ivf_search(ivf, qv, k=5, nprobe=8)
+    plan = search._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert re.search(r"PartitionFilters: \[[^\]]*list_id", plan)  # only probed lists are read
+    r = recall_at_k(search, exact).collect()[0]
     assert r.recall >= 0.85
-    # all probes = exact
-    r_all = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=16), knn_topk(iv, qv, FIXTURE_SPEC, k=5)).collect()[0]
-    assert r_all.recall > 0.999
+    # probing every list is exact search (same distances)
+    r_all = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=16), exact).collect()[0]
+    assert r_all.recall == 1.0
