@@ -108,3 +108,18 @@ def test_small_change_rewrites_only_its_bucket(spark, tmpdir_path):
     idx = ix.read_index(spark, base)
     assert [r.content for r in idx.where("doc_id = '7'").collect()] == ["a new text for seven"]
     assert idx.count() == ix.read_index(spark, base).count()
+
+
+def test_removing_every_doc_of_a_bucket_drops_it(spark, tmpdir_path):
+    base = f"{tmpdir_path}/index"
+    rows = spark.createDataFrame([("a.chunk-0000", "a", 0, 1), ("b.chunk-0000", "b", 0, 1)],
+                                 "key string, doc_id string, chunk_index int, total_chunks int")
+    ix.write_index(rows, base, buckets=8)
+    _, m1 = ix.read_manifest(spark, base)
+    ix.apply_doc_changes(spark, base, rows.where("false"), spark.createDataFrame([("a",)], "doc_id string"))
+    _, m2 = ix.read_manifest(spark, base)
+    assert [r.doc_id for r in ix.read_index(spark, base).collect()] == ["b"]
+    assert len(m2) == len(m1) - (1 if len(m1) == 2 else 0)
+    v_before = ix.current_version(spark, base)
+    ix.apply_doc_changes(spark, base, rows.where("false"), spark.createDataFrame([], "doc_id string"))
+    assert ix.current_version(spark, base) == v_before  # nothing to change: no new version
