@@ -17,7 +17,6 @@ the k best per query (``WindowGroupLimit``).
 
 from __future__ import annotations
 
-import math
 import os
 
 import numpy as np
@@ -57,13 +56,13 @@ def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int = 16, seed: int =
     return IVFIndex(assigned, centroids, spec)
 
 
-def save_ivf(ivf: IVFIndex, path: str, target_file_bytes: int = 256 * 1024 * 1024) -> None:
+def save_ivf(ivf: IVFIndex, path: str) -> None:
     """Vectors partitioned by ``list_id`` (several files per large list) + centroids."""
-    from tessera.operators.index import estimated_bytes
+    from tessera.operators.index import files_per_bucket_for
 
     spark = ivf.assigned.sparkSession
     n_lists = ivf.centroids.shape[0]
-    per_list = max(1, min(1024, math.ceil(estimated_bytes(ivf.assigned) / max(1, n_lists * target_file_bytes))))
+    per_list = files_per_bucket_for(ivf.assigned, n_lists)
     salt = F.pmod(F.xxhash64("key"), F.lit(per_list))
     ivf.assigned.repartition(n_lists * per_list, "list_id", salt).write.partitionBy("list_id").parquet(
         os.path.join(path, "vectors"))

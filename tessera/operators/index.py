@@ -299,9 +299,6 @@ def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     return out
 
 
-TARGET_FILE_BYTES = 256 * 1024 * 1024
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes for scans, propagated)."""
     try:
@@ -310,9 +307,15 @@ def estimated_bytes(df: DataFrame) -> int:
         return 0
 
 
-def files_per_bucket_for(df: DataFrame, n_buckets: int, target_bytes: int = TARGET_FILE_BYTES) -> int:
-    """Write tasks per bucket so each writes about ``target_bytes``."""
-    return max(1, min(1024, -(-estimated_bytes(df) // max(1, n_buckets * target_bytes))))
+def files_per_bucket_for(df: DataFrame, n_buckets: int) -> int:
+    """Write tasks per bucket: about one output file per input partition.
+
+    Input splits are already sized by ``spark.sql.files.maxPartitionBytes``,
+    so this keeps output files near the input split size. (Catalyst's size
+    estimate is not used: after joins, ML transforms and Python stages it is
+    often off by orders of magnitude.)
+    """
+    return max(1, min(1024, -(-df.rdd.getNumPartitions() // max(1, n_buckets))))
 
 
 def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int, keep: dict[int, str],
@@ -337,8 +340,8 @@ def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, fil
 
     Rows are spread over ``buckets * files_per_bucket`` write tasks (bucket plus
     a hash salt of the key), so no single task writes a whole large bucket;
-    by default ``files_per_bucket`` comes from the plan's size estimate
-    (about 256 MiB per file).
+    by default ``files_per_bucket`` gives about one output file per input
+    partition.
     """
     return _write_version(index.sparkSession, index, base, buckets, {}, files_per_bucket, buckets)
 
