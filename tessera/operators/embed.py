@@ -61,42 +61,48 @@ def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out: st
     return g.select(id_col, dense.alias(out))
 
 
-def hash_embed_udf(dim: int = 64):
-    """The same hashing embedder as a narrow iterator pandas UDF ``text -> array<float>``.
+class HashVectorizer:
+    """Per-task helper of the hashing embedder: token buckets are memoised, so
+    md5 runs once per distinct token of the task's vocabulary."""
 
-    Used where the vector is needed on the row itself (no shuffle, no join
-    back). Bucket numbers are memoised per task, so md5 runs once per
-    distinct token of the task's vocabulary.
-    """
-    from pyspark.sql import types as T
+    def __init__(self, dim: int):
+        import regex
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        self.dim = dim
+        self.split = regex.compile(TOKEN_PATTERN)
+        self.memo: dict[str, int] = {}
+
+    def __call__(self, text: str | None):
         import hashlib
 
         import numpy as np
-        import regex
 
-        split = regex.compile(TOKEN_PATTERN)
-        memo: dict[str, int] = {}
+        if text is None:
+            return None
+        counts = np.zeros(self.dim, dtype=np.float64)
+        memo = self.memo
+        for tok in self.split.split(text.lower()):
+            if not tok:
+                continue
+            b = memo.get(tok)
+            if b is None:
+                b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
+                memo[tok] = b
+            counts[b] += 1.0
+        n2 = float((counts * counts).sum())
+        return None if n2 == 0 else (counts / np.sqrt(n2)).astype(np.float32)
+
+
+def hash_embed_udf(dim: int = 64):
+    """The same hashing embedder as a narrow iterator pandas UDF ``text -> array<float>``
+    (equal to ``hash_embed``; tested)."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vec = HashVectorizer(dim)
         for texts in batches:
-            out = []
-            for t in texts:
-                if t is None:
-                    out.append(None)
-                    continue
-                counts = np.zeros(dim, dtype=np.float64)
-                for tok in split.split(t.lower()):
-                    if not tok:
-                        continue
-                    b = memo.get(tok)
-                    if b is None:
-                        b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
-                        memo[tok] = b
-                    counts[b] += 1.0
-                n2 = float((counts * counts).sum())
-                out.append(None if n2 == 0 else (counts / np.sqrt(n2)).astype(np.float32))
-            yield pd.Series(out)
+            yield pd.Series([vec(t) for t in texts])
 
     # keep Catalyst from inlining the UDF into every reference of its result
     # (a later filter on the vector would otherwise evaluate it twice)

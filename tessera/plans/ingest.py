@@ -22,7 +22,7 @@ from tessera.operators import index as ix
 from tessera.operators import metadata as md
 from tessera.operators import sync as sy
 from tessera.session import checkpoint_dir, materialize
-from tessera.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_MIN_CHUNK, IndexSpec
+from tessera.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_MIN_CHUNK, EMBED_INPUT_MAX_CHARS, IndexSpec
 
 # first sentence of a document: up to the first sentence end followed by white space or the end
 _FIRST_SENTENCE = r"(?s)^\s*(.+?[.!?。])(\s|$)"
@@ -60,8 +60,11 @@ def build_index_rows(
     need_doc = contextual and context_fn is None
     if need_doc:
         docs = docs.withColumn("_doc_text", F.col("text"))
+    # built-in embedder on the plain chunk text: computed inside the chunking task
+    fused = embedder is None and not contextual
     chunks = ch.chunk_docs(docs, strategy=strategy, size=size, overlap=overlap, min_chunk=min_chunk,
-                           keep=keep + ["content_hash", "_ft"] + (["_doc_text"] if need_doc else []))
+                           keep=keep + ["content_hash", "_ft"] + (["_doc_text"] if need_doc else []),
+                           hash_dim=spec.dim if fused else None, embed_chars=EMBED_INPUT_MAX_CHARS)
     if contextual:
         if context_fn is not None:
             chunks = context_fn(chunks)
@@ -71,7 +74,9 @@ def build_index_rows(
     if "context_prefix" not in chunks.columns:
         chunks = chunks.withColumn("context_prefix", F.lit(None).cast("string"))
     chunks = chunks.withColumn("embed_input", tx.embed_input("content", "context_prefix"))
-    if embedder is None:
+    if fused:
+        vec = chunks
+    elif embedder is None:
         # built-in embedder: narrow, on the row itself (no de-dup shuffle needed)
         vec = chunks.withColumn("vec", em.hash_embed_udf(spec.dim)(tx.embed_cut(F.col("embed_input"))))
     else:
@@ -120,6 +125,7 @@ def ingest(
     drop = plan.where(F.col("status") == "changed").select("doc_id")
     if sync:
         drop = drop.unionByName(sy.sync_removed(plan, scope))
-    summary = materialize(sy.sync_summary(plan, stored, rows), "sync-summary")  # counts from the version being replaced
     ix.apply_doc_changes(spark, base, rows, drop)
-    return summary
+    # lazy: reads only the materialised plan and rows and the replaced
+    # version's files, which are immutable, so it is valid after the write
+    return sy.sync_summary(plan, stored, rows)

@@ -69,3 +69,14 @@ def test_embed_dedup_and_cache(spark):
     assert new.count() == d.select(F.md5("text")).distinct().count()
     rows2, new2 = em.embed_with_cache(d, "text", new, embedder, "m", 64)
     assert new2.count() == 0 and rows2.where("vec is null").count() == 0
+
+
+def test_fused_chunk_vectors_equal_udf(spark):
+    from tessera.operators import chunking as ch
+
+    d = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    fused = {(r.doc_id, r.chunk_index): list(r.vec) for r in ch.chunk_docs(d, hash_dim=64, embed_chars=8000).collect()}
+    c = ch.chunk_docs(d)
+    udf = {(r.doc_id, r.chunk_index): list(r.vec)
+           for r in c.select("doc_id", "chunk_index", em.hash_embed_udf(64)(F.substring("content", 1, 8000)).alias("vec")).collect()}
+    assert fused == udf
