@@ -79,18 +79,21 @@ class HashVectorizer:
 
         if text is None:
             return None
-        counts = np.zeros(self.dim, dtype=np.float64)
+        from collections import Counter
+
+        counts = [0] * self.dim  # plain ints: cheaper than numpy item updates
         memo = self.memo
-        for tok in self.split.split(text.lower()):
+        for tok, n in Counter(self.split.split(text.lower())).items():  # C-speed counting
             if not tok:
                 continue
             b = memo.get(tok)
             if b is None:
                 b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % self.dim
                 memo[tok] = b
-            counts[b] += 1.0
-        n2 = float((counts * counts).sum())
-        return None if n2 == 0 else (counts / np.sqrt(n2)).astype(np.float32)
+            counts[b] += n
+        arr = np.asarray(counts, dtype=np.float64)
+        n2 = float((arr * arr).sum())
+        return None if n2 == 0 else (arr / np.sqrt(n2)).astype(np.float32)
 
 
 def hash_embed_udf(dim: int = 64):
