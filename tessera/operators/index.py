@@ -369,3 +369,37 @@ def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_
     rows = kept.unionByName(conform(new_rows.drop("bucket")))
     keep = {b: d for b, d in m.items() if b not in set(touched)}
     return _write_version(spark, rows, base, buckets, keep, files_per_bucket, len(touched))
+
+
+def vacuum_index(spark: SparkSession, base: str, keep_versions: int = 1) -> list[str]:
+    """Delete version directories and manifests that none of the newest
+    ``keep_versions`` manifests references; returns the deleted paths.
+
+    Readers that still hold an older manifest lose its files, so run it when
+    no reader needs a version older than the ones kept.
+    """
+    if keep_versions < 1:
+        raise ValueError("keep_versions must be >= 1")
+    mdir, fs = _fs(spark, _manifest_dir(base))
+    if not fs.exists(mdir):
+        return []
+    names = sorted(st.getPath().getName() for st in fs.listStatus(mdir) if st.isFile()
+                   and st.getPath().getName().startswith("v-"))
+    kept, dropped = names[-keep_versions:], names[:-keep_versions]
+    live: set[str] = set()
+    for v in kept:
+        for ln in _read_text(spark, os.path.join(_manifest_dir(base), v)).splitlines():
+            if ln and not ln.startswith("#"):
+                live.add(ln.split("\t", 1)[1].rstrip("/").rsplit("/", 2)[-2])  # .../<version>/bucket=b
+    deleted = []
+    root, _ = _fs(spark, base)
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v-") and name not in live:
+            fs.delete(st.getPath(), True)
+            deleted.append(st.getPath().toString())
+    for v in dropped:
+        p, _ = _fs(spark, os.path.join(_manifest_dir(base), v))
+        fs.delete(p, False)
+        deleted.append(p.toString())
+    return deleted

@@ -123,3 +123,17 @@ def test_removing_every_doc_of_a_bucket_drops_it(spark, tmpdir_path):
     v_before = ix.current_version(spark, base)
     ix.apply_doc_changes(spark, base, rows.where("false"), spark.createDataFrame([], "doc_id string"))
     assert ix.current_version(spark, base) == v_before  # nothing to change: no new version
+
+
+def test_vacuum_keeps_what_the_current_manifest_reads(spark, tmpdir_path):
+    base = f"{tmpdir_path}/index"
+    rows = spark.createDataFrame([(f"{d}.chunk-0000", d, 0, 1) for d in "abcdefgh"],
+                                 "key string, doc_id string, chunk_index int, total_chunks int")
+    ix.write_index(rows, base, buckets=4)
+    new = spark.createDataFrame([("a.chunk-0000", "a", 0, 1, "x")], "key string, doc_id string, chunk_index int, total_chunks int, tags string")
+    ix.apply_doc_changes(spark, base, new, spark.createDataFrame([], "doc_id string"))
+    before = sorted((r.doc_id, r.tags) for r in ix.read_index(spark, base).collect())
+    deleted = ix.vacuum_index(spark, base, keep_versions=1)
+    assert deleted  # the old manifest at least
+    after = sorted((r.doc_id, r.tags) for r in ix.read_index(spark, base).collect())
+    assert before == after and ("a", "x") in after and len(after) == 8
