@@ -127,3 +127,26 @@ def search_json(rows: DataFrame, queries: DataFrame, k: int, threshold: float, q
         F.size(results).alias("results_count"), results.alias("results"),
     )
     return j.select("query_id", F.to_json(doc).alias("json"))
+
+
+def search_texts(index: DataFrame, texts: DataFrame, spec: IndexSpec, k: int = DEFAULT_TOP_K,
+                 threshold: float | None = DEFAULT_THRESHOLD, flt=None, embedder=None, text_col: str = "text",
+                 payload=HIT_PAYLOAD, **knn_kw) -> DataFrame:
+    """A batch of query texts (``query_id, text``) -> embedded -> ``search``.
+
+    ``embedder`` is the same hook as on the ingest path
+    (``DataFrame(text_md5, text) -> DataFrame(text_md5, vec)``); by default
+    the built-in hashing embedder runs on the row. The embedding sees the
+    first 8000 characters, as in ingest.
+    """
+    from tessera.operators import embed as em
+
+    cut = tx.embed_cut(F.col(text_col))
+    if embedder is None:
+        q = texts.select("query_id", em.hash_embed_udf(spec.dim)(cut).alias("qvec"))
+    else:
+        keyed = texts.select("query_id", F.md5(cut).alias("text_md5"), cut.alias("text"))
+        vecs = embedder(keyed.select("text_md5", "text").dropDuplicates(["text_md5"]))
+        q = keyed.join(vecs.select("text_md5", F.col("vec").alias("qvec")), "text_md5").select("query_id", "qvec")
+    return search(index, q.where(F.col("qvec").isNotNull()), spec, k=k, threshold=threshold, flt=flt,
+                  payload=payload, **knn_kw)

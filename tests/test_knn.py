@@ -122,3 +122,18 @@ def test_ivf_recall_floor(spark, tmpdir_path):
     # probing every list is exact search (same distances)
     r_all = recall_at_k(ivf_search(ivf, qv, k=5, nprobe=16), exact).collect()[0]
     assert r_all.recall == 1.0
+
+
+def test_search_texts_builtin_and_hook_agree(spark):
+    from tessera.operators import embed as em
+    from tessera.operators.search import search_texts
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    index = docs.select(F.concat("doc_id", F.lit(".chunk-0000")).alias("key"), "doc_id",
+                        em.hash_embed_udf(64)("text").alias("vec")).where("vec is not null")
+    qs = spark.read.parquet(f"{SF001}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    spec = IndexSpec(dim=64)
+    a = search_texts(index, qs, spec, k=3, threshold=None).select("query_id", "key", "rank").collect()
+    b = search_texts(index, qs, spec, k=3, threshold=None, embedder=em.hash_embedder(64)).select(
+        "query_id", "key", "rank").collect()
+    assert sorted(a) == sorted(b) and len(a) == 3 * qs.count()
