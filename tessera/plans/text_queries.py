@@ -284,3 +284,28 @@ def q_keyword_lists(spark, sf_dir):
     d = _docs(spark, sf_dir)
     kw = F.concat("source", F.lit(", ,"), "lang", F.lit(" , "), F.replace(F.col("text"), F.lit(". "), F.lit(",")))
     return d.select("doc_id", tx.keyword_list(kw).alias("keywords"))
+
+
+_COLLIDE_PATH_SQL = ("concat(source, case when doc_id % 2 = 0 then '/' else '-' end, lang, "
+                     "case when doc_id % 2 = 0 then '.md' else '.txt' end)")
+
+
+@register(
+    "id_collisions",
+    f"""
+select id as doc_id, list_sort(list(distinct p)) as paths
+from (select p, {_doc_id_sql("regexp_extract(p, '([^/]*)$', 1)", 'p')} as id
+      from (select {_COLLIDE_PATH_SQL} as p from documents))
+group by id having count(distinct p) > 1
+""",
+)
+def q_id_collisions(spark, sf_dir):
+    """Different paths that map to one document id (``src/en.md`` and ``src-en.txt``)."""
+    from tessera.sources.files import id_collisions
+
+    d = _docs(spark, sf_dir)
+    even = F.col("doc_id") % 2 == 0
+    p = F.concat("source", F.when(even, F.lit("/")).otherwise(F.lit("-")), "lang",
+                 F.when(even, F.lit(".md")).otherwise(F.lit(".txt")))
+    corpus = d.select(p.alias("path")).select(tx.doc_id_from_path("path").alias("doc_id"), "path")
+    return id_collisions(corpus)
