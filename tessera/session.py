@@ -105,23 +105,35 @@ def ship_package(spark: SparkSession) -> None:
 
     The functions that run inside tasks (Arrow / pandas UDF bodies) are
     pickled by reference to this package, so the executors need it. Unless
-    it is installed on the cluster's nodes, it is zipped once per driver
-    process and distributed with ``SparkContext.addPyFile``.
+    it is installed on the cluster's nodes, it is zipped in memory once per
+    driver process, written to the shared folder named by
+    ``spark.checkpoint.dir`` (Hadoop FileSystem API), and distributed with
+    ``SparkContext.addPyFile``.
     """
     sc = spark.sparkContext
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    import io
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), "tessera.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(pkg_dir):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(d, f)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
-    _SHIPPED[key] = out
+    target = os.path.join(scratch_path(spark, "pkg"), "tessera.zip")
+    jvm = sc._jvm
+    p = jvm.org.apache.hadoop.fs.Path(target)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(p.toString())
+    _SHIPPED[key] = target
