@@ -217,7 +217,7 @@ def sum_keys(sent: DataFrame, dtype=np.uint32, wide=np.uint64, tell: Callable |
         new = np.ones(len(sk), bool)
         new[1:] = sk[1:] != sk[:-1]
         at = np.flatnonzero(new)
-        total = np.add.reduceat(vals[order].astype(np.dtype(out_code)), at)
+        total = np.add.reduceat(vals[order], at, dtype=np.dtype(out_code))
         back = np.empty(len(sk), np.int64)
         back[order] = np.cumsum(new) - 1
         del allk, order, sk, new

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.jaccard import jaccard_components
 from tessera.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,9 @@ def vocabulary(name: str) -> str:
 def op10_token_counts(spark, sf_dir):
     """Byte-level BPE tokens of every document."""
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    """Near-duplicate components of all documents (five-word shingles, 0.8)."""
+    return jaccard_components(documents(spark, sf_dir))
