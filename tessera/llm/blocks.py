@@ -91,9 +91,10 @@ def table(items: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([rows(items)], _OUT)
 
 
-def document_rows(docs: DataFrame) -> DataFrame:
-    """doc_id (long) and text (string) of ``docs``; other columns stay behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def document_rows(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id (long), text (string) and the carried columns as c0, c1, ...; others stay behind."""
+    more = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry or [])]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -137,14 +138,16 @@ def bucketed(df: DataFrame, name: str, total: int, block_bytes: int) -> DataFram
     return spark.table(tab)
 
 
-def document_blocks(docs: DataFrame, name: str, make: Callable | None = None, schema: str = "", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def document_blocks(docs: DataFrame, name: str, make: Callable | None = None, schema: str = "", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """Blocks of ``docs`` as (block, payload) plus what ``make`` adds; and the bytes of text.
 
+    ``carry`` names columns that the payload holds besides doc_id and text, as c0, c1, ...
+
     ``make(block, table) -> dict`` gives the further columns of a block
     (``schema``: their DDL); a ``payload`` of its own replaces the texts.
     """
     ship_package(docs.sparkSession)
-    src = document_rows(docs)
+    src = document_rows(docs, carry)
     total = text_bytes(src)
     full = "block long, payload binary" + (f", {schema}" if schema else "")
 
@@ -153,7 +156,7 @@ def document_blocks(docs: DataFrame, name: str, make: Callable | None = None, sc
             more = make(block, t) if make else {}
             payload = more.pop("payload", None)
             if payload is None:
-                payload = pack(doc_id=t.column("doc_id"), text=t.column("text").cast(pa.large_binary()))
+                payload = pack(text=t.column("text").cast(pa.large_binary()), **{c: t.column(c) for c in t.column_names if c != "text"})
             return pa.RecordBatch.from_pydict({"block": [block], "payload": [payload]} | {k: [v] for k, v in more.items()})
 
         yield from _cut(batches, one, block_bytes)
