@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.jaccard import jaccard_components
+from tessera.llm.packing import pack_sequences
+from tessera.llm.sharding import shard_documents
+from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +42,21 @@ def op10_token_counts(spark, sf_dir):
 def op7_jaccard_join(spark, sf_dir):
     """Near-duplicate components of all documents (five-word shingles, 0.8)."""
     return jaccard_components(documents(spark, sf_dir))
+
+
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    """Bytes of every document that a 100-byte string seen earlier covers."""
+    return suffix_dedup(documents(spark, sf_dir))
+
+
+@query
+def op5_pack_sequences(spark, sf_dir):
+    """All documents as pieces of at most 2048 tokens, packed into few sequences."""
+    return pack_sequences(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op4_shard_documents(spark, sf_dir):
+    """All documents in 16 shards of near-equal bytes, equal texts together."""
+    return shard_documents(documents(spark, sf_dir))
