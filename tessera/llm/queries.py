@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontaminate import leaked_items
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack_sequences
 from tessera.llm.sharding import shard_documents
@@ -60,3 +61,9 @@ def op5_pack_sequences(spark, sf_dir):
 def op4_shard_documents(spark, sf_dir):
     """All documents in 16 shards of near-equal bytes, equal texts together."""
     return shard_documents(documents(spark, sf_dir))
+
+
+@query
+def op9_benchmark_leaks(spark, sf_dir):
+    """Benchmark items that any document holds to 0.8 of their words."""
+    return leaked_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
