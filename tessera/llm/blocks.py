@@ -20,13 +20,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import materialize, scratch_path, ship_package
 from tessera.llm.kernels import U64
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 """Text bytes after which a block is closed (a longer document has a block of its own)."""
 BLOCK_DOCS = 1 << 16
 ROW = U64(16)  # a document's row number is block << 16 | place in its block
@@ -245,10 +245,66 @@ def with_blocks(blocks: DataFrame, told: DataFrame, fn: Callable, schema: str) -
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(fn, schema)
 
 
-def gather(told: DataFrame) -> DataFrame:
-    """Write what blocks were told under the shared folder, cutting the lineage."""
-    return materialize(told, "told")
+def others(docs: DataFrame) -> list[str]:
+    """The columns of documents besides doc_id and text."""
+    return [c for c in docs.columns if c not in ("doc_id", "text")]
 
 
-def empty_like(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], PAYLOAD)
+def row_blocks(docs: DataFrame, name: str, make: Callable | None = None, schema: str = "", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """Blocks that hold whole rows of ``docs``; ``keep_rows`` gives rows back."""
+    return document_blocks(docs, name, make, schema, block_bytes, others(docs))
+
+
+def as_text(col) -> pa.Array:
+    """A payload's text column as strings."""
+    return col.cast(pa.large_string()).cast(pa.string())
+
+
+def block_rows(blocks: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(uid, columns...) of each row in the blocks; ``columns``: text or carried ones."""
+    kinds, at = dict(docs.dtypes), others(docs)
+
+    def run(batches):
+        for b in batches:
+            for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = unpack(payload)
+                uid = pa.array((np.int64(block) << 16) | np.arange(t.num_rows))
+                cols = [as_text(t.column("text")) if c == "text" else t.column(f"c{at.index(c)}") for c in columns]
+                yield from pa.table([uid, *cols], names=["uid", *columns]).to_batches(max_chunksize=1024)
+
+    return blocks.select("block", "payload").mapInArrow(run, "uid long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def places(uids: DataFrame) -> DataFrame:
+    """Row numbers (uid) as one message to each block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return table([])
+        uid = np.sort(t.column("uid").to_numpy())
+        return table([(int(uid[0]) >> 16, -1, squeeze(uid & 0xFFFF))])
+
+    return uids.select("uid", F.shiftright("uid", 16).alias("block")).groupBy("block").applyInArrow(run, PAYLOAD)
+
+
+def told_places(told: pa.Table) -> np.ndarray:
+    """The places that ``places`` told a block."""
+    own = [p for d, p in zip(told.column("dest").to_pylist(), told.column("payload").to_pylist(), strict=True) if d < 0]
+    return unsqueeze(own[0], np.int64) if own else np.zeros(0, np.int64)
+
+
+def keep_rows(blocks: DataFrame, uids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with these numbers; only the numbers are shuffled."""
+    names, carried = docs.columns, others(docs)
+
+    def run(b: pa.Table, told: pa.Table) -> pa.Table:
+        if not b.num_rows:
+            return pa.table({c: pa.array([], pa.null()) for c in names})
+        t = unpack(b.column("payload")[0].as_py()).take(pa.array(told_places(told)))
+        cols = {c: as_text(t.column("text")) if c == "text" else t.column("doc_id" if c == "doc_id" else f"c{carried.index(c)}") for c in names}
+        return pa.table(cols)
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {'bigint' if c == 'doc_id' else kinds[c]}" for c in names)
+    out = with_blocks(blocks.select("block", "payload"), places(uids), run, schema)
+    return out.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in names])

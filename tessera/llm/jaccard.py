@@ -74,18 +74,6 @@ def _set_rows(batches):
             yield from t.add_column(0, "uid", pa.array(uid)).to_batches()
 
 
-def _places(t: pa.Table) -> pa.Table:
-    if not t.num_rows:
-        return B.table([])
-    uid = np.sort(t.column("uid").to_numpy())
-    return B.table([(int(uid[0]) >> 16, -1, B.squeeze(uid & 0xFFFF))])
-
-
-def _told_places(told: pa.Table) -> np.ndarray:
-    own = [p for d, p in zip(told.column("dest").to_pylist(), told.column("payload").to_pylist(), strict=True) if d < 0]
-    return B.unsqueeze(own[0], np.int64) if own else np.zeros(0, np.int64)
-
-
 def _block_keys(t: pa.Table, size: int, places: np.ndarray):
     sets = list(_sets(t, size, places))
     every = np.concatenate([s for _, s in sets]) if sets else np.zeros(0, U64)
@@ -97,7 +85,7 @@ def _count(size: int, dests: int):
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         if blocks.num_rows and told.num_rows:
-            _, keys, _, count = _block_keys(B.unpack(blocks.column("payload")[0].as_py()), size, _told_places(told))
+            _, keys, _, count = _block_keys(B.unpack(blocks.column("payload")[0].as_py()), size, B.told_places(told))
             out = B.send(blocks.column("block")[0].as_py(), keys, dests, count.astype(np.uint32))
         return B.table(out)
 
@@ -117,7 +105,7 @@ def _candidates(size: int, percent: int):
         uid, n_all, alone_all, shared_all = [], [], [], []
         if blocks.num_rows and told.num_rows:
             block = blocks.column("block")[0].as_py()
-            sets, _, code, _ = _block_keys(B.unpack(blocks.column("payload")[0].as_py()), size, _told_places(told))
+            sets, _, code, _ = _block_keys(B.unpack(blocks.column("payload")[0].as_py()), size, B.told_places(told))
             df = B.answers(told.filter(pa.compute.greater_equal(told.column("dest"), 0)), np.uint32)[code]
             at = 0
             for place, s in sets:
@@ -291,27 +279,38 @@ def similar_sets(cands: DataFrame, percent: int) -> DataFrame:
     return materialize(components(comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row, and ``uid`` (its number).
-
-    ``component_id`` is the smallest doc_id reachable over links; two sets link
-    when 100 * intersection >= percent * union.
-    """
-    blocks, total = B.document_blocks(docs, "jaccard", _make(size), "sets binary", block_bytes)
+def _join(blocks: DataFrame, total: int, percent: int, size: int) -> DataFrame:
+    """uid, doc_id, n, component_id, part (least uid of a linked class) of each row."""
     dests = B.destinations(total)
     sets = materialize(blocks.select("block", "sets").mapInArrow(_set_rows, "uid long, doc_id long, n int, f1 long, f2 long"), "sets")
-    classes = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"))
-    classes = materialize(classes, "classes")
-    places = materialize(classes.select("uid", F.shiftright("uid", 16).alias("block")).groupBy("block").applyInArrow(_places, B.PAYLOAD), "places")
+    classes = materialize(sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least")), "classes")
+    told_places = materialize(B.places(classes), "places")
     texts = blocks.select("block", "payload")
-    sent = B.with_blocks(texts, places, _count(size, dests), B.PAYLOAD)
+    sent = B.with_blocks(texts, told_places, _count(size, dests), B.PAYLOAD)
     told = materialize(B.sum_keys(sent, wide=np.uint32), "shingles")
-    cands = materialize(B.with_blocks(texts, told.unionByName(places), _candidates(size, percent), _CAND), "candidates")
+    cands = materialize(B.with_blocks(texts, told.unionByName(told_places), _candidates(size, percent), _CAND), "candidates")
     comp = similar_sets(cands, percent)
     found = classes.join(comp.withColumnRenamed("id", "uid"), "uid").select("uid", "least", "component")
     least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = classes.join(found.join(least, "component").select("uid", "component_id"), "uid", "left")
-    by_class = by_class.select("n", "f1", "f2", F.coalesce("component_id", "least").alias("component_id"))
-    out = sets.where("n > 0").join(by_class, ["n", "f1", "f2"]).select("uid", "doc_id", "n", "component_id")
-    out = out.unionByName(sets.where("n = 0").select("uid", "doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "uid")
+    by_class = classes.join(found.join(least, "component").select("uid", "component", "component_id"), "uid", "left")
+    by_class = by_class.select("n", "f1", "f2", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "uid").alias("part"))
+    out = sets.where("n > 0").join(by_class, ["n", "f1", "f2"]).select("uid", "doc_id", "n", "component_id", "part")
+    return out.unionByName(sets.where("n = 0").select("uid", "doc_id", "n", F.col("doc_id").alias("component_id"), F.col("uid").alias("part")))
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row, and ``uid`` (its number).
+
+    ``component_id`` is the smallest doc_id reachable over links; two sets link
+    when 100 * intersection >= percent * union.
+    """
+    blocks, total = B.document_blocks(docs, "jaccard", _make(size), "sets binary", block_bytes)
+    return _join(blocks, total, percent, size).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "uid")
+
+
+def distinct_documents(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """One row of each component, the one of smallest doc_id (nulls last); rows without words stay."""
+    blocks, total = B.row_blocks(docs, "distinct", _make(size), "sets binary")
+    rows = _join(blocks, total, percent, size)
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("m"))
+    return B.keep_rows(blocks, first.select(F.col("m.uid").alias("uid")), docs)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import leaked_items
 from tessera.llm.jaccard import jaccard_components
+from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.packing import pack_sequences
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffix_dedup import suffix_dedup
@@ -33,6 +34,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+LANGUAGES = ("de", "en", "es", "fr")
+"""Languages of the tables."""
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    """Language of every document from text, declaration and source."""
+    return identify_documents(documents(spark, sf_dir), LANGUAGES)
+
+
+@query
+def language_id_pages(spark, sf_dir):
+    """Language of every page from text, markup, address suffix, domain and host."""
+    return identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir), LANGUAGES)
+
+
 @query
 def op10_token_counts(spark, sf_dir):
     """Byte-level BPE tokens of every document."""
