@@ -12,6 +12,7 @@ from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.packing import pack_sequences
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.topk import exact_top_k
 from tessera.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,24 @@ def op4_shard_documents(spark, sf_dir):
 def op9_benchmark_leaks(spark, sf_dir):
     """Benchmark items that any document holds to 0.8 of their words."""
     return leaked_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op8_exact_top_k(spark, sf_dir):
+    """The 20 best other embeddings of every 20th, by integer inner product."""
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op8_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from (select * from v where vec_id % 20 = 0) q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
