@@ -24,49 +24,145 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.kernels import prefix_sums, ranges, span_hash, text_arrays
 from tessera.llm.ranking import number_within
 from tessera.llm.token_counts import load
 from tessera.session import materialize, ship_package
 
-MEMO = 1 << 18
-"""Words whose ids a worker keeps at a time."""
+PIECES = 1 << 20
+"""Pre-tokens whose ids a worker keeps at a time."""
 
+# Byte classes of lower-cased text: blank, letter (also both bytes of U+00C0 to
+# U+00FF but for the two signs there), digit, sign. Words with any other byte,
+# or with what may open a special token's string, are left to the tokenizer.
+_BLANK, _LETTER, _DIGIT, _SIGN, _HARD = range(5)
+_CLASS = np.full(256, _HARD, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[[0x09, 0x0A, 0x0D, 0x20]] = _BLANK
+# The endings that the pre-token pattern splits off with their apostrophe.
+_ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+# The byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: b for b in _PLAIN} | {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
 
-def id_bytes(path: str):
-    """``text -> ids`` as little-endian 32-bit bytes, for a tokenizer that drops white space.
 
-    Blanks and line ends separate tokens there, so a text's ids are those of
-    its blank-separated words; each distinct word is encoded once.
+def _spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends, whether hard) of the pre-tokens of texts."""
+    n = len(data)
+    low, cls = data.copy(), _CLASS[data]
+    upper = (data >= 0x41) & (data <= 0x5A)
+    low[upper] += 32
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    lead = lead[(second >= 0x80) & (second != 0x97) & (second != 0xB7)]
+    cls[lead] = cls[lead + 1] = _LETTER
+    capital = lead[data[lead + 1] <= 0x9E] + 1
+    low[capital] += 32
+    low[upper & (cls == _HARD)] -= 32
+    cls[np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))] = _HARD
+
+    edge = np.zeros(n + 1, bool)
+    edge[off] = True
+    cut = edge.copy()
+    cut[1:n] |= (cls[1:] != cls[:-1]) | (cls[1:] == _DIGIT)
+    # an apostrophe right before one of the endings takes it along; n't and the like don't occur here
+    for a in np.flatnonzero((data == 0x27) & cut[:n]).tolist():
+        if a + 1 < n and cut[a + 1] and not edge[a + 1] and cls[a + 1] == _LETTER:
+            for e in _ENDINGS:
+                z = a + 1 + len(e)
+                if z <= n and low[a + 1 : z].tobytes() == e and not edge[a + 1 : z].any():
+                    cut[a + 1] = False
+                    cut[z] = True
+                    break
+    if (cls == _HARD).any():
+        blank = cls == _BLANK
+        word = edge.copy()
+        word[1:n] |= blank[1:] != blank[:-1]
+        at = np.flatnonzero(word)
+        size = np.diff(at)
+        hard = np.repeat(np.add.reduceat((cls == _HARD).astype(np.int64), at[:-1]) > 0, size)
+        hard &= ~blank
+        cut[:n] &= ~hard | word[:n]
+        low[hard] = data[hard]
+    else:
+        hard = np.zeros(n, bool)
+    at = np.flatnonzero(cut)
+    start, end = at[:-1], at[1:]
+    keep = cls[start] != _BLANK
+    start, end = start[keep], end[keep]
+    return low, start, end, hard[start]
+
+
+def id_arrays(path: str):
+    """``(bytes, offsets) of texts -> (ids, first id of each text)`` for a lower-casing BPE that drops blanks.
+
+    Pre-tokens are found for all texts at once and told apart by a 64-bit
+    hash; each is encoded once while it is remembered.
     """
-    tok, memo = load(path), {}
-
-    def run(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in memo})
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = list({w for ws in split for w in ws})
-        for lo in range(0, len(fresh), 8192):
-            part = fresh[lo : lo + 8192]
-            for w, e in zip(part, tok.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, ws)) for ws in split]
+    tok, known = load(path), {}
+    store, used = np.zeros(1 << 20, np.uint32), 0
+
+    def learn(hashes: list[int], pieces: list[bytes], hard: list[bool]) -> None:
+        nonlocal store, used
+        for h, p, odd in zip(hashes, pieces, hard, strict=True):
+            if odd:
+                ids = tok.encode(p.decode(), add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in tok.model.tokenize(p.decode("latin-1").translate(_ALPHABET))]
+            if used + len(ids) > len(store):
+                store = np.concatenate([store, np.zeros(max(len(store), len(ids)), np.uint32)])
+            store[used : used + len(ids)] = ids
+            known[h] = (used << 20) | len(ids)
+            used += len(ids)
+
+    def run(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal used
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        low, start, end, hard = _spans(data, off)
+        h = span_hash(prefix_sums(low), start, end) ^ hard.astype(np.uint64)
+        names, first, code = np.unique(h, return_index=True, return_inverse=True)
+        keys = names.tolist()
+        if len(known) + len(keys) > PIECES:
+            known.clear()
+            used = 0
+        fresh = [i for i, k in enumerate(keys) if k not in known]
+        if fresh:
+            at = first[fresh]
+            raw = low.tobytes()
+            learn([keys[i] for i in fresh], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], hard[at].tolist())
+        place = np.array([known[k] for k in keys], np.int64)[code]
+        size = place & 0xFFFFF
+        ids = store[ranges(place >> 20, size)]
+        return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, off)]
 
     return run
 
 
+def _portions(off: np.ndarray, size: int = 1 << 21):
+    """Ranges of texts of about ``size`` bytes."""
+    lo = 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
+        yield lo, min(hi, len(off) - 1)
+        lo = hi
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
 
     def run(batches):
-        ids_of, end, step = id_bytes(path), int(end_id).to_bytes(4, "little"), 4 * capacity
+        ids_of, end, step = id_arrays(path), int(end_id).to_bytes(4, "little"), 4 * capacity
         for b in batches:
             docs = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(texts), 256):
-                out = []
-                for doc, ids in zip(docs[lo : lo + 256], ids_of(texts[lo : lo + 256]), strict=True):
-                    ids += end
+            data, off = text_arrays(b.column(1))
+            for lo, hi in _portions(off):
+                got, cut = ids_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                raw, out = got.astype("<u4", copy=False).tobytes(), []
+                for doc, a, z in zip(docs[lo:hi], (cut[:-1] * 4).tolist(), (cut[1:] * 4).tolist(), strict=True):
+                    ids = raw[a:z] + end
                     for i, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
                         out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
