@@ -200,11 +200,12 @@ def unframe(payload: bytes) -> list[bytes]:
     return out
 
 
-def sum_keys(sent: DataFrame, dtype=np.uint32, wide=np.uint64, tell: Callable | None = None) -> DataFrame:
+def sum_keys(sent: DataFrame, dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values: int = 1, once: Callable | None = None) -> DataFrame:
     """For each row sent, the totals of its keys over all rows, in its order.
 
-    A task holds the keys of one range; ``tell(total)`` may turn the totals
-    into a smaller answer.
+    A task holds the keys of one range. With several ``values`` of a key, or to
+    answer with less, ``tell(totals...)`` turns the totals into the answer.
+    ``once(total)`` gives a number for the range, told to block -1.
     """
     code, out_code = np.dtype(dtype).str, np.dtype(wide).str
 
@@ -213,21 +214,21 @@ def sum_keys(sent: DataFrame, dtype=np.uint32, wide=np.uint64, tell: Callable |
             return table([])
         got = [unframe(p) for p in t.column("payload").to_pylist()]
         keys = [unsqueeze_sorted(p[0]) for p in got]
-        vals = np.concatenate([unsqueeze(p[1], np.dtype(code)) for p in got])
+        vals = [np.concatenate([unsqueeze(p[i + 1], np.dtype(code)) for p in got]) for i in range(values)]
         allk = np.concatenate(keys)
         order = np.argsort(allk, kind="stable")
         sk = allk[order]
         new = np.ones(len(sk), bool)
         new[1:] = sk[1:] != sk[:-1]
         at = np.flatnonzero(new)
-        total = np.add.reduceat(vals[order], at, dtype=np.dtype(out_code))
+        total = [np.add.reduceat(v[order], at, dtype=np.dtype(out_code)) for v in vals]
         back = np.empty(len(sk), np.int64)
         back[order] = np.cumsum(new) - 1
         del allk, order, sk, new
-        if tell:
-            total = tell(total)
+        more = [(-1, t.column("dest")[0].as_py(), squeeze(np.array([once(*total)], np.int64)))] if once else []
+        total = tell(*total) if tell else total[0]
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        return table([(b, d, squeeze(total[back[cut[i] : cut[i + 1]]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
+        return table(more + [(b, d, squeeze(total[back[cut[i] : cut[i + 1]]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
 
     return sent.groupBy("dest").applyInArrow(run, PAYLOAD)
 

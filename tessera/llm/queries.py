@@ -12,6 +12,7 @@ from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.packing import pack_sequences
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffix_dedup import suffix_dedup
+from tessera.llm.suffix_tree import score_documents
 from tessera.llm.topk import exact_top_k
 from tessera.llm.token_counts import token_counts
 
@@ -106,3 +107,9 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
+
+
+@query
+def op6_suffix_tree(spark, sf_dir):
+    """Log-probability of every document under a suffix tree learnt from six sevenths of them."""
+    return score_documents(documents(spark, sf_dir))
