@@ -36,13 +36,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
-from tessera.llm.kernels import U64, gram_hash, prefix_sums, ranges, sliding, span_hash, text_arrays
+from tessera.llm.kernels import U64, gram_hash, merge_spans, mix, prefix_sums, ranges, sliding, span_hash, text_arrays
 from tessera.session import materialize
 
-HOT = 1024
-"""Places of one gram beyond which its windows are sent singly."""
+HOT = 2048
+"""Contexts of one gram (counted once in a block) beyond which its windows are sent singly."""
 _CHUNK = 1 << 18
 _MARK = -1
 
@@ -70,7 +71,34 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(hs)[first]
+    # smallest hashes of windows are small numbers: mixed again, they spread over all owners
+    return at, mix(np.concatenate(hs)[first] ^ U64(0x5851F42D4C957F2D))
+
+
+def _context_hash(data, off, at, length: int, gram: int) -> np.ndarray:
+    """Hash of all that a block's windows around an anchor can see (and of how far that reaches)."""
+    back = length - gram
+    doc = np.searchsorted(off, at, side="right") - 1
+    left, right = np.minimum(at - off[doc], back), np.minimum(off[doc + 1] - at, length)
+    out = np.empty(len(at), U64)
+    for a in range(0, len(data), _CHUNK):
+        s, e = np.searchsorted(at, [a, a + _CHUNK])
+        if e > s:
+            base = max(0, a - back)
+            sums = prefix_sums(data[base : a + _CHUNK + length])
+            out[s:e] = span_hash(sums, at[s:e] - left[s:e] - base, at[s:e] + right[s:e] - base)
+    return out ^ ((left << 8 | right).astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _grams(data, off, length: int, gram: int):
+    """Anchors of a block: place and code of each; per code its hash, places and distinct contexts."""
+    at, h = anchors(data, off, length, gram)
+    keys, code, count = np.unique(h, return_inverse=True, return_counts=True)
+    seen = _context_hash(data, off, at, length, gram)
+    order = np.lexsort((seen, code))
+    new = np.ones(len(at), bool)
+    new[1:] = (code[order][1:] != code[order][:-1]) | (seen[order][1:] != seen[order][:-1])
+    return at, code, keys, count, np.bincount(code[order][new], minlength=len(keys)).astype(np.uint32)
 
 
 def _texts(blocks: pa.Table):
@@ -83,13 +111,14 @@ def _send_grams(length: int, gram: int, dests: int):
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data, off = text_arrays(B.unpack(payload).column("text"))
-                keys, count = np.unique(anchors(data, off, length, gram)[1], return_counts=True)
-                yield B.rows(B.send(block, keys, dests, count.astype(np.uint32)))
+                _, _, keys, _, contexts = _grams(data, off, length, gram)
+                yield B.rows(B.send(block, keys, dests, contexts))
 
     return run
 
 
 def _spans(block: int, start: np.ndarray, end: np.ndarray) -> tuple:
+    start, end = merge_spans(start.astype(np.int64), end.astype(np.int64))
     return (block, _MARK, B.frames([B.squeeze(start.astype(np.int64)), B.squeeze((end - start).astype(np.int32))]))
 
 
@@ -117,27 +146,33 @@ def _send_suffixes(length: int, gram: int, dests: int, hot: int):
         return m
 
     def hot_windows(block, data, at, lo, hi, doc, crc, out):
+        """Windows around the anchors (sorted by place), a bounded number at a time."""
         count = np.maximum(0, hi - lo + 1)
-        start = ranges(at - hi, count)
-        first = np.unique(start, return_index=True)[1]
-        start = start[first]
-        h1, h2 = np.empty(len(start), U64), np.empty(len(start), U64)
-        for a in range(0, len(data), _CHUNK):  # windows of a chunk share one run of prefix sums
-            s, e = np.searchsorted(start, [a, a + _CHUNK])
-            if e > s:
-                own = data[a : a + _CHUNK + length]
-                p, q = start[s:e] - a, start[s:e] - a + length
-                h1[s:e] = span_hash(prefix_sums(own), p, q)
-                h2[s:e] = span_hash(prefix_sums(own ^ np.uint8(0xA5)), p, q)
-        d = np.repeat(doc, count)[first]
-        c = np.repeat(crc, count)[first]
-        order = np.lexsort((start, c, d, h2, h1))
-        start, h1, h2, d, c = start[order], h1[order], h2[order], d[order], c[order]
-        new = np.ones(len(start), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        rep = start[~new]
-        out.append(_spans(block, rep, rep + length))
-        out.extend(B.send(block, h1[new], dests, h2[new], d[new], c[new], start[new].astype(np.uint32)))
+        sent = -1
+        for cut in np.array_split(np.arange(len(at)), max(1, int(count.sum()) >> 16)):
+            n = count[cut]
+            start, first = np.unique(ranges(at[cut] - hi[cut], n), return_index=True)
+            d, c = np.repeat(doc[cut], n)[first], np.repeat(crc[cut], n)[first]
+            fresh = start > sent  # a window of two anchors goes once
+            start, d, c = start[fresh], d[fresh], c[fresh]
+            if not len(start):
+                continue
+            sent = int(start[-1])
+            h1, h2 = np.empty(len(start), U64), np.empty(len(start), U64)
+            for a in range(int(start[0]), sent + 1, _CHUNK):
+                s, e = np.searchsorted(start, [a, a + _CHUNK])
+                if e > s:
+                    own = data[a : a + _CHUNK + length]
+                    p, q = start[s:e] - a, start[s:e] - a + length
+                    h1[s:e] = span_hash(prefix_sums(own), p, q)
+                    h2[s:e] = span_hash(prefix_sums(own ^ np.uint8(0xA5)), p, q)
+            order = np.lexsort((start, c, d, h2, h1))
+            start, h1, h2, d, c = start[order], h1[order], h2[order], d[order], c[order]
+            new = np.ones(len(start), bool)
+            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+            rep = start[~new]
+            out.append(_spans(block, rep, rep + length))
+            out.extend(B.send(block, h1[new], dests, h2[new], d[new], c[new], start[new].astype(np.uint32)))
 
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         out: list = []
@@ -145,11 +180,12 @@ def _send_suffixes(length: int, gram: int, dests: int, hot: int):
             return B.table(out)
         block = blocks.column("block")[0].as_py()
         t, data, off = _texts(blocks)
-        at, h = anchors(data, off, length, gram)
-        _, code = np.unique(h, return_inverse=True)
-        total = B.answers(told, np.uint32)[code]
-        keep = total > 1
-        at, h, total = at[keep], h[keep], total[keep]
+        at, code, keys, count, _ = _grams(data, off, length, gram)
+        total = B.answers(told, np.uint32)
+        keep = ((total > 1) | (count > 1))[code]
+        at, code = at[keep], code[keep]
+        h, total = keys[code], total[code]
+        del keys, count, keep
         if not len(at):
             return B.table(out)
         doc_of = np.searchsorted(off, at, side="right") - 1
@@ -175,6 +211,7 @@ def _send_suffixes(length: int, gram: int, dests: int, hot: int):
             rep = same & (lo[pick] <= hi[pick])
             if rep.any():
                 out.append(_spans(block, a[rep] - hi[pick][rep], a[rep] - lo[pick][rep] + length))
+            same |= total[pick] < 2  # no other block or context has these
             m, a, l, r, pick = m[~same], a[~same], l[~same], r[~same], pick[~same]
             owner = _owner(h[pick], dests)
             by = np.argsort(owner, kind="stable")
@@ -424,3 +461,18 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 40, carry: list
         kinds = dict(docs.dtypes)
         schema += ", kept string" + "".join(f", c{i} {kinds[c]}" for i, c in enumerate(carry))
     return B.with_blocks(blocks, marks, _finish(carry is not None), schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 100, gram: int = 40) -> DataFrame:
+    """The rows of ``docs`` with repeated strings removed from their texts.
+
+    A text that loses everything but blanks goes; texts that lose nothing stay
+    as they are. ``n_chars``, where there is one, is counted anew.
+    """
+    others, kinds = B.others(docs), dict(docs.dtypes)
+    out = suffix_dedup(docs, length, gram, others)
+    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", r"[\\x09-\\x0D]+", " ")) != ""))
+    made = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("kept")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    if "n_chars" in made:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(kinds["n_chars"])).otherwise(made["n_chars"])
+    return out.select(*[made[c].alias(c) for c in docs.columns])
