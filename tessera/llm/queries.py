@@ -10,6 +10,7 @@ from tessera.llm.decontaminate import leaked_items
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.packing import pack_sequences
+from tessera.llm.quality import score_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.suffix_tree import score_documents
@@ -113,3 +114,9 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 def op6_suffix_tree(spark, sf_dir):
     """Log-probability of every document under a suffix tree learnt from six sevenths of them."""
     return score_documents(documents(spark, sf_dir))
+
+
+@query
+def op2_quality(spark, sf_dir):
+    """Quality and toxicity of every document from co-trained views of text and record."""
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
