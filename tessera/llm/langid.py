@@ -3,8 +3,8 @@
 Four kinds of evidence about a row are combined by Bayes' rule:
 
 * its text, under byte-trigram models of each language (and, as the class
-  ``und``, a model that knows single bytes only, which wins on text that is in
-  none of them);
+  ``und``, a model to which all letters are alike, which wins on text that is
+  in none of them);
 * the language that its markup or record declares;
 * the suffix of its address (top-level label);
 * where it comes from: a host's language shares, smoothed towards those of its
@@ -43,6 +43,8 @@ TEMPER = 1 / 3
 """Weight of a trigram: neighbouring ones overlap in two bytes, so three count as one."""
 UNKNOWN = 1e-3
 """Prior share of texts in no known language."""
+ALIKE = 3 * np.log(1 / 32)
+"""Log-likelihood of any trigram as ``und``: three bytes, each one of 32."""
 HOST_STRENGTH = 20.0
 """Rows of a parent's opinion that a host or domain starts with."""
 DECLARED_TRUST = 0.9
@@ -79,21 +81,20 @@ def _count(languages: tuple[str, ...]):
     def run(batches):
         from pyspark import TaskContext
 
-        grams, single = np.zeros((len(languages), BUCKETS), np.int64), np.zeros(256, np.int64)
+        grams = np.zeros((len(languages), BUCKETS), np.int64)
         for b in batches:
             data, off = text_arrays(b.column(1))
             which = np.array([at.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
             for lo in range(0, len(which), 256):
                 hi = min(lo + 256, len(which))
                 o = off[lo : hi + 1] - off[lo]
-                three, code, tells = _trigrams(data[off[lo] : off[hi]], o)
-                single += np.bincount(three[tells] & 255, minlength=256)
+                _, code, tells = _trigrams(data[off[lo] : off[hi]], o)
                 lang = np.repeat(which[lo:hi], np.diff(o))
                 ok = tells & (lang >= 0)
                 grams += np.bincount(lang[ok] * BUCKETS + code[ok], minlength=grams.size).reshape(grams.shape)
         task, step = TaskContext.get().partitionId(), BUCKETS // _RANGES
-        if single.any():
-            yield B.rows([(task, d, B.squeeze(grams[:, d * step : (d + 1) * step].ravel())) for d in range(_RANGES)] + [(task, _RANGES, B.squeeze(single))])
+        if grams.any():
+            yield B.rows([(task, d, B.squeeze(grams[:, d * step : (d + 1) * step].ravel())) for d in range(_RANGES)])
 
     return run
 
@@ -116,8 +117,8 @@ def add_vectors(sent: DataFrame) -> dict[int, np.ndarray]:
     return {r["dest"]: B.unsqueeze(r["payload"], np.int64) for r in sent.groupBy("dest").applyInArrow(run, B.PAYLOAD).collect()}
 
 
-def train(labelled: DataFrame, languages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihoods of trigram buckets per language, and of single bytes, from rows (lang, text)."""
+def train(labelled: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
+    """Log-likelihoods (trigram bucket, language) from rows (lang, text)."""
     ship_package(labelled.sparkSession)
     got = add_vectors(labelled.select("lang", "text").mapInArrow(_count(languages), B.PAYLOAD))
     k, step = len(languages), BUCKETS // _RANGES
@@ -125,20 +126,16 @@ def train(labelled: DataFrame, languages: tuple[str, ...]) -> tuple[np.ndarray,
     for d in range(_RANGES):
         if d in got:
             grams[:, d * step : (d + 1) * step] = got[d].reshape(k, step)
-    single = got.get(_RANGES, np.zeros(256, np.int64)).astype(float) + 0.5
     pooled = grams.sum(0) + 0.5
     pooled /= pooled.sum()
     grams = (grams + 500.0 * pooled) / (grams.sum(1, keepdims=True) + 500.0)
-    out = np.zeros((BUCKETS, k), np.float32)
-    out[:] = np.log(grams.T)
-    return out, np.log(single / single.sum()).astype(np.float32)
+    return np.ascontiguousarray(np.log(grams.T).astype(np.float32))
 
 
 def text_evidence(col: pa.Array, model) -> np.ndarray:
     """Tempered log-likelihood of each text under each language and, last, ``und``; NaN without letters."""
-    table, single = model
     data, off = text_arrays(col)
-    out = np.full((len(off) - 1, table.shape[1] + 1), np.nan)
+    out = np.full((len(off) - 1, model.shape[1] + 1), np.nan)
     for lo in range(0, len(off) - 1, 256):
         hi = min(lo + 256, len(off) - 1)
         o = off[lo : hi + 1] - off[lo]
@@ -151,11 +148,9 @@ def text_evidence(col: pa.Array, model) -> np.ndarray:
         own = np.flatnonzero((np.diff(cut) > 0) & (np.diff(letters) > 0))
         if not len(own):
             continue
-        three = three[at]
-        free = single[three & 255] + single[three >> 8 & 255] + single[three >> 16]
-        rows = np.concatenate([table[code[at]], free[:, None]], axis=1)
         # texts without any telling trigram are left out, so each sum ends where the next begins
-        out[lo + own] = np.add.reduceat(rows, cut[:-1][own], axis=0, dtype=np.float64) * TEMPER
+        out[lo + own, :-1] = np.add.reduceat(model[code[at]], cut[:-1][own], axis=0, dtype=np.float64) * TEMPER
+        out[lo + own, -1] = np.diff(cut)[own] * (ALIKE * TEMPER)
     return out
 
 
@@ -201,7 +196,11 @@ def fuse(scored: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     for lang, v in lift.items():
         claim = F.when(F.col("claim") == lang, F.array(*[F.lit(float(np.log(x))) for x in v])).otherwise(claim)
 
-    df = df.join(_shares(df, "suffix", k, "suffix"), "suffix", "left").join(_shares(df, "domain", k, "domain"), "domain", "left").join(_shares(df, "host", k, "host"), "host", "left")
+    # rows without a key meet nothing: each gets a key of its own, or they would all meet in one task
+    own = F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))
+    for key in ("suffix", "domain", "host"):
+        there = _shares(df, key, k, key).withColumnRenamed(key, "_key")
+        df = df.withColumn("_key", F.coalesce(key, own)).join(there, "_key", "left").drop("_key")
 
     def smoothed(name: str, parent: Column) -> Column:
         """Shares of a key without the row's own, drawn to the parent's."""
