@@ -86,31 +86,40 @@ def q_chunk_strategy(spark, sf_dir):
     """Auto strategy for plain documents (type by id) and their Markdown form typed as txt."""
     pl = plain_corpus(spark, sf_dir).select("doc_id", F.lit("plain").alias("variant"), "text", "file_type")
     mdc = markdown_corpus(spark, sf_dir, file_type="txt").select("doc_id", F.lit("markdown").alias("variant"), "text", "file_type")
-    u = pl.unionByName(mdc)
-    strat, n = ch.strategy_col("text", "file_type")
-    return u.select("doc_id", "variant", "file_type", n.alias("n_headings"), strat.alias("strategy"))
+    return _strategies(pl, "plain").unionByName(_strategies(mdc, "markdown"))
+
+
+def _strategies(docs, variant):
+    types = docs.select("doc_id", "file_type")
+    return ch.strategies(docs).join(types, "doc_id").withColumn("variant", F.lit(variant))
+
+
+def _pieces_sql(size: int = 512) -> str:
+    """All levels of C2: whole texts are cut once, then pieces over ``size`` tokens by the next separator."""
+    levels = [f"l0 as (select cast(doc_id as varchar) as doc_id, cast([] as integer[]) as ord, text as piece, true as open from documents where regexp_matches(text, '\\S'))"]
+    seps = ("chr(10) || chr(10)", "chr(10)", "'. '", "'。'", "' '")
+    for k, sep in enumerate(seps):
+        levels.append(
+            f"s{k} as (select doc_id, ord, open and regexp_matches(piece, '\\S') and strpos(piece, {sep}) > 0 as cut, open, piece, "
+            f"string_split(piece, {sep}) as parts from l{k} where not open or regexp_matches(piece, '\\S')), "
+            f"x{k} as (select doc_id, ord, len(parts) as n, unnest(parts) as part, unnest(generate_series(1, len(parts))) as i from s{k} where cut), "
+            f"y{k} as (select doc_id, list_append(ord, cast(i as integer)) as ord, case when i < n then part || {sep} else part end as piece from x{k}), "
+            f"l{k + 1} as (select doc_id, ord, piece, greatest(1, length(piece) // 4) > {size} as open from y{k} "
+            f"union all select doc_id, ord, piece, open from s{k} where not cut)"
+        )
+    k = len(seps)
+    levels.append(
+        f"c as (select doc_id, list_append(ord, cast(i as integer)) as ord, substr(piece, cast(i as integer), {4 * size}) as piece "
+        f"from (select doc_id, ord, piece, unnest(generate_series(1, length(piece), {4 * size})) as i from l{k} where open and regexp_matches(piece, '\\S'))"
+        f" union all select doc_id, ord, piece from l{k} where not open)"
+    )
+    return f"with {', '.join(levels)} select doc_id, cast(row_number() over (partition by doc_id order by ord) - 1 as integer) as piece_no, piece from c"
 
 
-@register(
-    "split_pieces",
-    """
-with d as (select cast(doc_id as varchar) as doc_id, text,
-                  case when strpos(text, chr(10) || chr(10)) > 0 then chr(10) || chr(10)
-                       when strpos(text, chr(10)) > 0 then chr(10)
-                       when strpos(text, '. ') > 0 then '. '
-                       when strpos(text, '。') > 0 then '。'
-                       when strpos(text, ' ') > 0 then ' ' end as sep
-           from documents where regexp_matches(text, '\\S')),
-p as (select doc_id, sep, unnest(string_split(text, sep)) as part,
-             unnest(generate_series(0, len(string_split(text, sep)) - 1)) as piece_no,
-             len(string_split(text, sep)) as n from d where sep is not null)
-select doc_id, piece_no, case when piece_no < n - 1 then concat(part, sep) else part end as piece from p
-""",
-)
+@register("split_pieces", _pieces_sql())
 def q_split_pieces(spark, sf_dir):
-    """C2 (first level): pieces at the coarsest separator present; separators stay on the left piece."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return ch.first_level_pieces(d)
+    """Pieces at all levels; separators stay on the left piece."""
+    return ch.split_pieces(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @register("chunk_recursive")
