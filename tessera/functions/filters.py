@@ -2,18 +2,19 @@
 
 The compiled predicate is an ordinary Catalyst expression over typed
 top-level columns, so it is pushed to the Parquet scan of the index.
-Supported operators are the ones of the service's filter language shown by
-the reference: ``$eq $ne $gte $in $and``. Anything else raises.
+Supported operators: ``$eq $ne $gte $in $and``, and as an extension ``$gt $lt
+$lte $nin $or $exists``. Anything else raises.
 
-Missing keys: ``$eq``/``$gte``/``$in`` are null on a missing key (a WHERE
-drops the row; no operator negates a sub-filter, so null acts as false),
-``$ne`` is true (``NOT (k <=> v)``). Plain comparisons keep the predicate
+Missing keys: ``$eq``, the comparisons and ``$in`` are null on a missing key (a
+WHERE drops the row; no operator negates a sub-filter, so null acts as false),
+``$ne`` and ``$nin`` are true. Plain comparisons keep the predicate
 translatable to a Parquet filter.
 """
 
 from __future__ import annotations
 
 import json
+import operator
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +23,9 @@ from pyspark.sql import types as T
 
 # The filter operators of the service's filter language.
 FILTER_OPERATORS = ("$eq", "$ne", "$gte", "$in", "$and")
+# Further operators of such languages.
+MORE_OPERATORS = ("$gt", "$lt", "$lte", "$nin", "$or", "$exists")
+_COMPARE = {"$gte": operator.ge, "$gt": operator.gt, "$lt": operator.lt, "$lte": operator.le}
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -71,13 +75,14 @@ def compile_filter(flt, schema: T.StructType, non_filterable=()) -> Column:
         raise FilterError("filter must be a non-empty JSON object")
     parts = []
     for key, cond in flt.items():
-        if key == "$and":
+        if key in ("$and", "$or"):
             if not isinstance(cond, list) or not cond:
-                raise FilterError("$and takes a non-empty list")
-            parts.append(reduce(lambda a, b: a & b, [compile_filter(x, schema, non_filterable) for x in cond]))
+                raise FilterError(f"{key} takes a non-empty list")
+            join = operator.and_ if key == "$and" else operator.or_
+            parts.append(reduce(join, [compile_filter(x, schema, non_filterable) for x in cond]))
             continue
         if key.startswith("$"):
-            raise FilterError(f"unsupported operator {key!r}; supported: {FILTER_OPERATORS}")
+            raise FilterError(f"unsupported operator {key!r}; supported: {FILTER_OPERATORS + MORE_OPERATORS}")
         if key in non_filterable:
             raise FilterError(f"metadata key {key!r} is non-filterable in this index")
         c, dtype = _key_column(key, schema)
@@ -90,20 +95,25 @@ def compile_filter(flt, schema: T.StructType, non_filterable=()) -> Column:
             elif op == "$ne":
                 l, r = _operand(c, dtype, val)
                 parts.append(~l.eqNullSafe(r))
-            elif op == "$gte":
+            elif op in _COMPARE:
                 if not _is_number(val) and not isinstance(val, str):
-                    raise FilterError("$gte takes a number")
+                    raise FilterError(f"{op} takes a number")
                 l, r = _operand(c, dtype, val)
-                parts.append(l >= r)
-            elif op == "$in":
+                parts.append(_COMPARE[op](l, r))
+            elif op in ("$in", "$nin"):
                 if not isinstance(val, list) or not val:
-                    raise FilterError("$in takes a non-empty list")
+                    raise FilterError(f"{op} takes a non-empty list")
                 if all(_is_number(v) for v in val):
                     l, _ = _operand(c, dtype, val[0])
-                    parts.append(l.isin([float(v) for v in val]))
+                    among = l.isin([float(v) for v in val])
                 else:
                     l, _ = _operand(c, dtype, str(val[0]))
-                    parts.append(l.isin([str(v) for v in val]))
+                    among = l.isin([str(v) for v in val])
+                parts.append(among if op == "$in" else l.isNull() | ~among)
+            elif op == "$exists":
+                if not isinstance(val, bool):
+                    raise FilterError("$exists takes true or false")
+                parts.append(c.isNotNull() if val else c.isNull())
             else:
-                raise FilterError(f"unsupported operator {op!r}; supported: {FILTER_OPERATORS}")
+                raise FilterError(f"unsupported operator {op!r}; supported: {FILTER_OPERATORS + MORE_OPERATORS}")
     return reduce(lambda a, b: a & b, parts)

@@ -26,8 +26,9 @@ def norm(a) -> Column:
 
 
 def dist_cosine(a, b) -> Column:
-    """Cosine distance ``1 - a.b / (|a| |b|)``, clamped at 0 (the service's 0..2 range)."""
-    return F.greatest(F.lit(1.0) - dot(a, b) / (norm(a) * norm(b)), F.lit(0.0))
+    """Cosine distance ``1 - a.b / (|a| |b|)``, clamped at 0 (the service's 0..2 range); 1 if a vector is zero."""
+    n = norm(a) * norm(b)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0) - dot(a, b) / F.nullif(n, F.lit(0.0)), F.lit(0.0)))
 
 
 def dist_euclidean(a, b) -> Column:

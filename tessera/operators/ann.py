@@ -5,14 +5,12 @@ Build: distributed k-means (``pyspark.ml.clustering.KMeans``) over the
 ``save_ivf`` stores the vectors partitioned by ``list_id`` plus the small
 centroid table; ``load_ivf`` reads them back.
 
-Search: the query batch (bounded and broadcast exactly as in exact kNN) picks
-its ``nprobe`` nearest centroids on the driver (queries x lists, both
-bounded). Only the probed lists are read -- a partition filter on
-``list_id`` -- and each task scores its vectors against just the queries that
-probe the vector's list, keeping a running top-k per query. The index is
-never shuffled and no candidate pairs are materialised; a list that holds a
-third of the data is simply split over many scan tasks. A final window keeps
-the k best per query (``WindowGroupLimit``).
+Search: every query finds its ``nprobe`` nearest centroids in its task, and
+queries meet vectors by a join on the list's number, block by block. Only
+probed lists are read (a partition filter on ``list_id``); the vectors are
+packed where they are read. Spark broadcasts the query blocks when their
+written size allows it. A final window keeps the k best per query
+(``WindowGroupLimit``).
 """
 
 from __future__ import annotations
@@ -25,14 +23,15 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.vector import l2_normalize
-from tessera.operators.knn import DEFAULT_MAX_BROADCAST_BYTES, _keep_k, check_top_k
+from tessera.operators.index import MAX_FILE_ROWS
+from tessera.operators.knn import INDEX_BLOCK, QUERY_BLOCK, _checked, _pack, _pairs, check_top_k
 from tessera.schema import IndexSpec
+from tessera.session import materialize
 
 MAX_LISTS = 65536
-_BLOCK_BYTES = 64 * 1024 * 1024
+"""Lists at most: the centroids travel with the tasks."""
 
 
 class IVFIndex:
@@ -42,12 +41,18 @@ class IVFIndex:
         self.spec = spec
 
 
-def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int = 16, seed: int = 42, max_iter: int = 10,
+def lists_for(rows: int) -> int:
+    """Lists for so many vectors: the square root, within bounds."""
+    return max(1, min(MAX_LISTS, round(rows ** 0.5)))
+
+
+def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int | None = None, seed: int = 42, max_iter: int = 10,
               key_col: str = "key", vec_col: str = "vec") -> IVFIndex:
     """Train the coarse quantiser on every vector and assign each vector to its list."""
+    n_lists = lists_for(index.count()) if n_lists is None else n_lists
     if not (1 <= n_lists <= MAX_LISTS):
         raise ValueError(f"n_lists must be in [1, {MAX_LISTS}]")
-    v = index.select(key_col, vec_col).where(F.size(vec_col) == spec.dim)
+    v = index.select(key_col, _checked(vec_col, spec.dim).alias(vec_col))
     unit = l2_normalize(vec_col) if spec.metric == "cosine" else F.col(vec_col)
     feats = v.withColumn("features", array_to_vector(unit))
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(feats)
@@ -58,13 +63,9 @@ def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int = 16, seed: int =
 
 def save_ivf(ivf: IVFIndex, path: str) -> None:
     """Vectors partitioned by ``list_id`` (several files per large list) + centroids."""
-    from tessera.operators.index import files_per_bucket_for
-
     spark = ivf.assigned.sparkSession
-    n_lists = ivf.centroids.shape[0]
-    per_list = files_per_bucket_for(ivf.assigned, n_lists)
-    salt = F.pmod(F.xxhash64("key"), F.lit(per_list))
-    ivf.assigned.repartition(n_lists * per_list, "list_id", salt).write.partitionBy("list_id").parquet(
+    salt = F.pmod(F.xxhash64("key"), F.lit(8))  # a large list is written by several tasks
+    ivf.assigned.repartition("list_id", salt).write.option("maxRecordsPerFile", MAX_FILE_ROWS).partitionBy("list_id").parquet(
         os.path.join(path, "vectors"))
     rows = [(int(i), [float(x) for x in c]) for i, c in enumerate(ivf.centroids)]
     spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.parquet(
@@ -81,112 +82,53 @@ def load_ivf(spark: SparkSession, path: str) -> IVFIndex:
     return IVFIndex(assigned, centroids, IndexSpec(dim=spec_row.dim, metric=spec_row.metric))
 
 
-def _probes(X: np.ndarray, C: np.ndarray, nprobe: int, metric: str) -> np.ndarray:
-    # same rule as the k-means assignment: euclidean distance to the centroid
-    # (of the unit vector, for cosine indexes)
-    if metric == "cosine":
-        X = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
-    d = (X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * (X @ C.T)
-    return np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
-
-
 def ivf_search(ivf: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, query_id: str = "query_id",
-               qvec: str = "qvec", key_col: str = "key", vec_col: str = "vec",
-               max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+               qvec: str = "qvec", key_col: str = "key", vec_col: str = "vec") -> DataFrame:
     """Approximate top-k: ``query_id, key, distance, rank`` (distances as in exact kNN)."""
     check_top_k(k)
-    spec = ivf.spec
-    dim, metric = spec.dim, spec.metric
-    C = ivf.centroids
-    nprobe = max(1, min(nprobe, C.shape[0]))
-    q = queries.select(query_id, qvec).where(F.size(qvec) == dim)
-    max_rows = max(1, max_broadcast_bytes // (dim * 8))
-    rows = q.limit(max_rows + 1).collect()  # bounded by the check itself
-    if len(rows) > max_rows:
-        raise ValueError("query batch above the broadcast bound; split the queries into batches")
-    qid_type = queries.schema[query_id].dataType
-    out_schema = T.StructType([T.StructField(query_id, qid_type), T.StructField(key_col, T.StringType()),
-                               T.StructField("distance", T.DoubleType())])
-    spark = queries.sparkSession
-    if not rows:
-        return spark.createDataFrame([], T.StructType(out_schema.fields + [T.StructField("rank", T.IntegerType())]))
-    qids = [r[0] for r in rows]
-    X = np.asarray([r[1] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-    P = _probes(X, C, nprobe, metric)
-    lists = sorted({int(x) for x in P.ravel()})
-    bc = spark.sparkContext.broadcast((X, P))
-    n_lists = C.shape[0]
-
-    def run(batches):
-        Q, probes = bc.value
-        qn = np.linalg.norm(Q, axis=1)
-        qn[qn == 0] = np.nan
-        by_list: list[list[int]] = [[] for _ in range(n_lists)]
-        for qi, row in enumerate(probes):
-            for lid in row:
-                by_list[int(lid)].append(qi)
-        by_list_arr = [np.asarray(v, dtype=np.int64) for v in by_list]
-        pending, n_pending = [], 0
-        prune_at = max(4 * len(Q) * k, 1 << 16)
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            V = np.asarray(rb.column(vec_col).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, dim)
-            lids = rb.column("list_id").to_numpy(zero_copy_only=False)
-            cq, cv, cd = [], [], []
-            for lid in np.unique(lids):
-                qsel = by_list_arr[int(lid)]
-                if len(qsel) == 0:
-                    continue
-                vsel = np.nonzero(lids == lid)[0]
-                Vl = V[vsel]
-                if metric == "cosine":
-                    vn = np.linalg.norm(Vl, axis=1)
-                    vn[vn == 0] = np.nan
-                step = max(1, _BLOCK_BYTES // (8 * len(vsel)))
-                for s0 in range(0, len(qsel), step):
-                    qs = qsel[s0 : s0 + step]
-                    G = Q[qs] @ Vl.T
-                    if metric == "cosine":
-                        D = np.nan_to_num(1.0 - G / (qn[qs, None] * vn[None, :]), nan=1.0)
-                        np.maximum(D, 0.0, out=D)
-                    else:
-                        D = (Q[qs] ** 2).sum(1)[:, None] + (Vl ** 2).sum(1)[None, :] - 2 * G
-                    if D.shape[1] > k:
-                        kth = np.partition(D, k - 1, axis=1)[:, k - 1 : k]
-                        a, b = np.nonzero(D <= kth)
-                    else:
-                        a, b = np.nonzero(np.ones_like(D, dtype=bool))
-                    if metric == "cosine":
-                        d = D[a, b]
-                    else:  # exact distance for the survivors
-                        diff = Q[qs[a]] - Vl[b]
-                        d = np.sqrt((diff * diff).sum(axis=1))
-                    cq.append(qs[a])
-                    cv.append(vsel[b])
-                    cd.append(d)
-            if not cq:
-                continue
-            vi = np.concatenate(cv)
-            tbl = pa.table({"qi": pa.array(np.concatenate(cq), pa.int64()), "distance": pa.array(np.concatenate(cd)),
-                            key_col: rb.column(key_col).take(pa.array(vi, pa.int64()))})
-            pending.append(tbl)
-            n_pending += tbl.num_rows
-            if n_pending > prune_at:
-                kept = _keep_k(pa.concat_tables(pending), k, key_col)
-                pending, n_pending = [kept], kept.num_rows
-        if not pending:
-            return
-        best = _keep_k(pa.concat_tables(pending), k, key_col)
-        ids = pa.array(qids).take(best.column("qi"))
-        yield from pa.Table.from_arrays([ids, best.column(key_col), best.column("distance")],
-                                        names=[f.name for f in out_schema.fields]).to_batches()
-
-    idx = ivf.assigned.where(F.col("list_id").isin(lists)).select(key_col, vec_col, "list_id")  # list pruning
-    cand = idx.mapInArrow(run, out_schema)
+    spec, centroids = ivf.spec, ivf.centroids
+    nprobe = max(1, min(nprobe, len(centroids)))
+    kind = queries.schema[query_id].dataType.simpleString()
+
+    def probe(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(lo, QUERY_BLOCK)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                # the rule of the k-means assignment: distance of the unit vector, for cosine indexes
+                if spec.metric == "cosine":
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                d = (centroids * centroids).sum(1)[None, :] - 2.0 * (x @ centroids.T)
+                lists = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+                again = pa.array(np.repeat(np.arange(part.num_rows), nprobe))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), *(c.take(again) for c in part.columns)], names=["list_id", query_id, qvec])
+
+    def group(t: pa.Table) -> pa.Table:
+        rows = t.select([0, 1])
+        cuts = range(0, rows.num_rows, QUERY_BLOCK)
+        lists = t.column("list_id")[0].as_py()
+        return pa.table({"list_id": pa.array([lists] * len(cuts), pa.int32()), "q": pa.array([_pack(rows.slice(c, QUERY_BLOCK)) for c in cuts], pa.binary())})
+
+    def packed(batches):
+        for b in batches:
+            lists = b.column(2).to_numpy()
+            for one in np.unique(lists).tolist():
+                rows = pa.Table.from_batches([b.select([0, 1]).filter(pa.array(lists == one))])
+                for lo in range(0, rows.num_rows, INDEX_BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([_pack(rows.slice(lo, INDEX_BLOCK))], pa.binary())], names=["list_id", "v"])
+
+    asked = queries.select(query_id, _checked(qvec, spec.dim).alias(qvec))
+    asked = asked.mapInArrow(probe, f"list_id int, {query_id} {kind}, {qvec} array<float>")
+    # a popular list's queries are dealt over parts, so a group stays a few blocks
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(64)).cast("int")).select(query_id, qvec, "list_id", "part")
+    asked = materialize(asked.groupBy("list_id", "part").applyInArrow(group, "list_id int, q binary"), "probes")
+    used = sorted(r.list_id for r in asked.select("list_id").distinct().collect())  # at most the number of lists
+    vectors = ivf.assigned.where(F.col("list_id").isin(used)).select(key_col, _checked(vec_col, spec.dim).alias(vec_col), "list_id")
+    met = vectors.mapInArrow(packed, "list_id int, v binary").join(asked, "list_id").select("q", "v")
+    found = met.mapInArrow(_pairs(k, spec.metric), f"q {kind}, key string, distance double")
+    found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
     w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "query_id", key_col: str = "key") -> DataFrame:

@@ -47,17 +47,17 @@ def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int) -> Da
 
 
 def hash_embed(df: DataFrame, id_col: str, text_col: str, dim: int = 64, out: str = "vec") -> DataFrame:
-    """``id, vec``: dense ``array<float>`` of length ``dim`` per id (texts
-    without any token get no row). Two small shuffles: (id, bucket) counts
-    pre-aggregated map-side, then at most ``dim`` entries per id."""
-    ex = df.select(F.col(id_col), F.explode(tokens(text_col)).alias("tok"))
-    counts = ex.groupBy(id_col, token_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("*").alias("cnt"))
+    """``id, vec``: dense ``array<float>`` of length ``dim`` per id (a text
+    without any token gets the zero vector). Two small shuffles: (id, bucket)
+    counts pre-aggregated map-side, then at most ``dim`` entries per id."""
+    ex = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.explode_outer(tokens(text_col)).alias("tok"))
+    counts = ex.groupBy(id_col, token_bucket(F.col("tok"), dim).alias("bucket")).agg(F.count("tok").alias("cnt"))
     g = counts.groupBy(id_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "cnt"))).alias("_m"),
-        F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("_n"),
+        F.map_from_entries(F.filter(F.collect_list(F.struct("bucket", "cnt")), lambda x: x["bucket"].isNotNull())).alias("_m"),
+        F.nullif(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))), F.lit(0.0)).alias("_n"),
     )
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                        lambda b: (F.coalesce(F.col("_m")[b], F.lit(0)) / F.col("_n")).cast("float"))
+                        lambda b: F.coalesce(F.col("_m")[b] / F.col("_n"), F.lit(0.0)).cast("float"))
     return g.select(id_col, dense.alias(out))
 
 
@@ -93,7 +93,7 @@ class HashVectorizer:
             counts[b] += n
         arr = np.asarray(counts, dtype=np.float64)
         n2 = float((arr * arr).sum())
-        return None if n2 == 0 else (arr / np.sqrt(n2)).astype(np.float32)
+        return (arr / np.sqrt(n2) if n2 else arr).astype(np.float32)  # no token: the zero vector
 
 
 def hash_embed_udf(dim: int = 64):

@@ -20,8 +20,9 @@ from tessera.functions import text as tx
 from tessera.schema import INDEX_SCHEMA, IndexSpec
 
 DEFAULT_BUCKETS = 64
-# Keys sets above this many rows are joined without a broadcast hint
-# (Catalyst/AQE still broadcast them when their measured size is small).
+MAX_FILE_ROWS = 1_000_000
+# A literal key list up to this many keys is broadcast; a longer one is joined
+# as Spark sees fit.
 MAX_BROADCAST_KEYS = 1_000_000
 
 
@@ -63,8 +64,6 @@ def keys_from_list(spark: SparkSession, keys) -> DataFrame:
     if isinstance(keys, str):
         keys = keys.split(",")
     keys = [k.strip() for k in keys if k and k.strip()]
-    if len(keys) > MAX_BROADCAST_KEYS:
-        raise ValueError("key list too long for a literal list; pass a DataFrame of keys")
     return spark.createDataFrame([(k,) for k in keys], "key string")
 
 
@@ -73,8 +72,8 @@ def get_vectors(index: DataFrame, keys, return_data: bool = False, return_metada
     """Point lookup; missing keys are silently absent. ``bounded`` marks a
     key set known to be small (e.g. a literal list) so it is broadcast."""
     if not isinstance(keys, DataFrame):
+        bounded = len(keys) <= MAX_BROADCAST_KEYS or isinstance(keys, str)
         keys = keys_from_list(index.sparkSession, keys)
-        bounded = True
     out = index.join(_keys_side(keys, "key", bounded), "key", "left_semi")
     return project(out, return_data, return_metadata)
 
@@ -92,8 +91,8 @@ def project(index: DataFrame, return_data: bool, return_metadata: bool) -> DataF
 def delete_keys(index: DataFrame, keys, bounded: bool = False) -> DataFrame:
     """The index without the given keys."""
     if not isinstance(keys, DataFrame):
+        bounded = len(keys) <= MAX_BROADCAST_KEYS or isinstance(keys, str)
         keys = keys_from_list(index.sparkSession, keys)
-        bounded = True
     return index.join(_keys_side(keys, "key", bounded), "key", "left_anti")
 
 
@@ -132,21 +131,23 @@ def latest_version(rows: DataFrame, key: str = "key", version: str = "version")
     so a key with millions of versions is reduced before the shuffle.
     """
     payload = [c for c in rows.columns if c != key]
-    agg = rows.groupBy(key).agg(F.max_by(F.struct(*payload), F.col(version)).alias("_r"))
+    order = F.struct(F.col(version), F.xxhash64(*payload))  # of equal versions always the same row
+    agg = rows.groupBy(key).agg(F.max_by(F.struct(*payload), order).alias("_r"))
     return agg.select(key, *[F.col("_r")[c].alias(c) for c in payload])
 
 
 def put_vectors(index: DataFrame, new: DataFrame, bounded: bool = False) -> DataFrame:
     """Upsert -- a key present in ``new`` replaces the stored row.
 
-    Duplicate keys inside ``new`` keep the highest ``version`` (if given) or
-    any one of them. The stored index is never shuffled: the new keys are
+    Duplicate keys inside ``new`` keep the highest ``version`` (if given); ties,
+    and duplicates without versions, are decided by a hash of the row, so that
+    every run keeps the same one. The stored index is never shuffled: the new keys are
     anti-joined (broadcast when ``bounded``).
     """
     if "version" in new.columns:
         new = latest_version(new, "key", "version").drop("version")
     else:
-        new = new.dropDuplicates(["key"])
+        new = latest_version(new.withColumn("_v", F.lit(0)), "key", "_v").drop("_v")
     kept = index.join(_keys_side(new, "key", bounded), "key", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
@@ -188,14 +189,14 @@ def index_key(doc_id, chunk_index):
 # --------------------------------------------------------------------------
 # Versioned storage
 #
-#   base/_manifests/<version>     one line per bucket: "<bucket>\t<directory>"
-#                                 (first line "#buckets\t<B>"); the newest
-#                                 version name (time-ordered) is current
+#   base/_manifests/v-<number>    one line per bucket: "<bucket>\t<directory>"
+#                                 (first line "#buckets\t<B>"); the highest
+#                                 number is current
 #   base/<version>/bucket=<b>/    Parquet files of bucket b written by <version>
 #
 # A write creates a new version directory holding only the buckets it
 # touched, then commits a new manifest (untouched buckets keep pointing at
-# older directories) by writing it under a temporary name and renaming it.
+# older directories) by creating the next number, which only one writer can.
 # Files are never overwritten, readers of an older manifest are unaffected,
 # and since bucket = f(doc_id) every document is always read whole from one
 # version. The small metadata files go through the Hadoop FileSystem API
@@ -237,19 +238,6 @@ def _read_text(spark: SparkSession, path: str) -> str:
         ins.close()
 
 
-def _commit_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file under a temporary name, then rename it into place."""
-    tmp, fs = _fs(spark, path + f".tmp-{uuid.uuid4().hex[:8]}")
-    out = fs.create(tmp, False)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-    dst, _ = _fs(spark, path)
-    if not fs.rename(tmp, dst):
-        raise RuntimeError(f"could not commit {path}")
-
-
 def read_manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, str]] | None:
     """``(buckets, {bucket: directory})`` of the current version (one line per bucket)."""
     v = current_version(spark, base)
@@ -284,6 +272,18 @@ def read_index(spark: SparkSession, base: str) -> DataFrame:
     return df.withColumn("bucket", bucket_of("doc_id", buckets))
 
 
+def read_buckets(spark: SparkSession, base: str, doc_ids: DataFrame) -> DataFrame:
+    """Stored rows of the buckets that hold ``doc_ids`` (at most as many numbers as there are buckets reach the driver)."""
+    man = read_manifest(spark, base)
+    if man is None:
+        return _empty_index(spark)
+    buckets, m = man
+    dirs = [m[r.b] for r in doc_ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect() if r.b in m]
+    if not dirs:
+        return _empty_index(spark)
+    return spark.read.schema(INDEX_SCHEMA).parquet(*dirs).withColumn("bucket", bucket_of("doc_id", buckets))
+
+
 def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     """``bucket=<b>`` sub-directories of a freshly written version (Hadoop FS listing)."""
     jvm = spark.sparkContext._jvm
@@ -299,81 +299,95 @@ def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     return out
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for scans, propagated)."""
+def _write_version(rows: DataFrame, base: str, buckets: int, files_per_bucket: int) -> tuple[str, dict[int, str]]:
+    """Write rows under a new version's directory: its name, and where each bucket is."""
+    version = _new_version()
+    out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
+    salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
+    target = os.path.join(base, version)
+    # tasks get their rows by bucket and key; a large file is closed and another begun
+    (out.repartition("bucket", salt).write.mode("errorifexists").option("maxRecordsPerFile", MAX_FILE_ROWS)
+        .partitionBy("bucket").parquet(target))
+    return version, _bucket_dirs(rows.sparkSession, target)
+
+
+def _commit(spark: SparkSession, base: str, number: int, buckets: int, dirs: dict[int, str]) -> bool:
+    """Create manifest ``number`` if nobody has: False if another writer was first."""
+    lines = [f"#buckets\t{buckets}"] + [f"{b}\t{d}" for b, d in sorted(dirs.items())]
+    path, fs = _fs(spark, os.path.join(_manifest_dir(base), f"v-{number:012d}"))
+    try:
+        out = fs.create(path, False)  # fails if it is there
+    except Exception as e:  # noqa: BLE001 the JVM's exception type differs by file system
+        if fs.exists(path):
+            return False
+        raise e
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: assume small
-        return 0
+        out.write(bytearray(("\n".join(lines) + "\n").encode("utf-8")))
+    finally:
+        out.close()
+    return True
 
 
-def files_per_bucket_for(df: DataFrame, n_buckets: int) -> int:
-    """Write tasks per bucket: about one output file per input partition.
+def _number(version: str | None) -> int:
+    return int(version.split("-")[1]) if version else 0
 
-    Input splits are already sized by ``spark.sql.files.maxPartitionBytes``,
-    so this keeps output files near the input split size. (Catalyst's size
-    estimate is not used: after joins, ML transforms and Python stages it is
-    often off by orders of magnitude.)
-    """
-    return max(1, min(1024, -(-df.rdd.getNumPartitions() // max(1, n_buckets))))
 
+def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
+    """Write ``index`` as a complete new version (every bucket); returns its manifest's name.
 
-def _write_version(spark: SparkSession, rows: DataFrame, base: str, buckets: int, keep: dict[int, str],
-                   files_per_bucket: int | None, n_touched: int) -> str:
-    version = _new_version()
-    if files_per_bucket is None:
-        files_per_bucket = files_per_bucket_for(rows, max(1, n_touched))
-    out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
-    salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
-    target = os.path.join(base, version)
-    (out.repartition(max(1, n_touched) * files_per_bucket, "bucket", salt)
-        .write.mode("errorifexists").partitionBy("bucket").parquet(target))
-    m = dict(keep)
-    m.update(_bucket_dirs(spark, target))
-    lines = [f"#buckets\t{buckets}"] + [f"{b}\t{d}" for b, d in sorted(m.items())]
-    _commit_text(spark, os.path.join(_manifest_dir(base), version), "\n".join(lines) + "\n")
-    return version
-
-
-def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int | None = None) -> str:
-    """Write ``index`` as a complete new version (every bucket) and switch the pointer.
-
-    Rows are spread over ``buckets * files_per_bucket`` write tasks (bucket plus
-    a hash salt of the key), so no single task writes a whole large bucket;
-    by default ``files_per_bucket`` gives about one output file per input
-    partition.
+    ``files_per_bucket`` (a hash salt of the key) spreads a bucket over so many
+    write tasks.
     """
-    return _write_version(index.sparkSession, index, base, buckets, {}, files_per_bucket, buckets)
+    spark = index.sparkSession
+    _, dirs = _write_version(index, base, buckets, files_per_bucket)
+    while True:
+        number = _number(current_version(spark, base)) + 1
+        if _commit(spark, base, number, buckets, dirs):
+            return f"v-{number:012d}"
 
 
 def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_doc_ids: DataFrame,
-                      buckets: int = DEFAULT_BUCKETS, files_per_bucket: int | None = None) -> str:
+                      buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
     """Replace / remove whole documents, rewriting only the buckets they live in.
 
     ``new_rows`` are complete index rows of the documents to (re)write;
     ``drop_doc_ids`` (``doc_id``) are documents whose stored rows go away.
-    Stored rows of both sets are dropped, ``new_rows`` are added.
+    Stored rows of both sets are dropped, ``new_rows`` are added. Manifests are
+    numbered and created only if absent: a writer that comes second reads what
+    the first one made and, where that changed its buckets, writes them again.
+    ``new_rows`` is read more than once; pass a written table.
     """
-    man = read_manifest(spark, base)
-    if man is None:
-        return write_index(new_rows, base, buckets, files_per_bucket)
-    buckets, m = man
     ids = new_rows.select("doc_id").unionByName(drop_doc_ids.select("doc_id")).distinct()
-    # touched buckets: at most ``buckets`` small ints
-    touched = sorted(r.b for r in ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect())
-    if not touched:
-        return current_version(spark, base)
-    old = [m[b] for b in touched if b in m]
-    stored = spark.read.schema(INDEX_SCHEMA).parquet(*old) if old else _empty_index(spark).drop("bucket")
-    kept = stored.join(ids, "doc_id", "left_anti")
-    rows = kept.unionByName(conform(new_rows.drop("bucket")))
-    keep = {b: d for b, d in m.items() if b not in set(touched)}
-    return _write_version(spark, rows, base, buckets, keep, files_per_bucket, len(touched))
+    seen: dict[int, str | None] | None = None
+    dirs: dict[int, str] = {}
+    while True:
+        current = current_version(spark, base)
+        man = read_manifest(spark, base)
+        if man is None:
+            _, dirs = _write_version(new_rows, base, buckets, files_per_bucket)
+            if _commit(spark, base, 1, buckets, dirs):
+                return f"v-{1:012d}"
+            continue
+        buckets, m = man
+        # touched buckets: at most ``buckets`` small ints
+        touched = sorted(r.b for r in ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect())
+        if not touched:
+            return current
+        if seen != {b: m.get(b) for b in touched}:
+            seen = {b: m.get(b) for b in touched}
+            old = [d for d in seen.values() if d]
+            stored = spark.read.schema(INDEX_SCHEMA).parquet(*old) if old else _empty_index(spark).drop("bucket")
+            rows = stored.join(ids, "doc_id", "left_anti").unionByName(conform(new_rows.drop("bucket")))
+            _, dirs = _write_version(rows, base, buckets, files_per_bucket)
+        number = _number(current) + 1
+        if _commit(spark, base, number, buckets, {b: d for b, d in m.items() if b not in seen} | dirs):
+            return f"v-{number:012d}"
 
 
 def vacuum_index(spark: SparkSession, base: str, keep_versions: int = 1) -> list[str]:
-    """Delete version directories and manifests that none of the newest
-    ``keep_versions`` manifests references; returns the deleted paths.
+    """Delete old manifests and the bucket directories that only they name;
+    returns the deleted paths. The newest ``keep_versions`` manifests stay, and
+    so does whatever no manifest names yet: a write in progress.
 
     Readers that still hold an older manifest lose its files, so run it when
     no reader needs a version older than the ones kept.
@@ -385,19 +399,18 @@ def vacuum_index(spark: SparkSession, base: str, keep_versions: int = 1) -> list
         return []
     names = sorted(st.getPath().getName() for st in fs.listStatus(mdir) if st.isFile()
                    and st.getPath().getName().startswith("v-"))
+
+    def named(version: str) -> set[str]:
+        lines = _read_text(spark, os.path.join(_manifest_dir(base), version)).splitlines()
+        return {ln.split("\t", 1)[1].rstrip("/") for ln in lines if ln and not ln.startswith("#")}
+
     kept, dropped = names[-keep_versions:], names[:-keep_versions]
-    live: set[str] = set()
-    for v in kept:
-        for ln in _read_text(spark, os.path.join(_manifest_dir(base), v)).splitlines():
-            if ln and not ln.startswith("#"):
-                live.add(ln.split("\t", 1)[1].rstrip("/").rsplit("/", 2)[-2])  # .../<version>/bucket=b
+    live = set().union(*map(named, kept))
     deleted = []
-    root, _ = _fs(spark, base)
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v-") and name not in live:
-            fs.delete(st.getPath(), True)
-            deleted.append(st.getPath().toString())
+    for d in sorted(set().union(*map(named, dropped)) - live):
+        p, _ = _fs(spark, d)
+        fs.delete(p, True)
+        deleted.append(d)
     for v in dropped:
         p, _ = _fs(spark, os.path.join(_manifest_dir(base), v))
         fs.delete(p, False)

@@ -1,40 +1,33 @@
 """Exact k-nearest-neighbour search of a batch of queries over a vector table.
 
-Plan (per query batch):
-
-    index scan (filter pushed to Parquet, columns pruned to key/vec/payload)
-      -> mapInArrow: numpy block product against the broadcast query matrix,
-         running top-k per query inside each partition (emits <= k rows per
-         query per partition, plus exact ties)
-      -> exchange by query_id
-      -> row_number() over (query_id order by distance, key) <= k
-
-Only ``(query_id, key, distance)`` plus the small payload the caller asks for
-crosses the shuffle; the index itself is never shuffled, never joined, and
-never materialised as query x vector pairs.
-
-The query matrix is broadcast only behind a size check. A query set above the
-bound is split into hash batches that each fit, and each batch makes one
-pass over the index (work grows linearly with the query volume, memory per
-task does not).
+Plan:
+
+    index scan (filter pushed to Parquet, only key and vector read)
+      -> blocks of vectors, packed where they are read
+      -> join with blocks of queries on the query block's number
+      -> numpy block product, the k best of each query per pair of blocks
+      -> row_number() over (query_id order by distance, key) <= k,
+         limited per task before its exchange
+      -> join of the survivors with the payload columns of the index
+
+Both sides are tables: no vector passes through the driver, and a task holds
+one pair of blocks whatever the number of queries. Spark broadcasts the query
+blocks when their written size allows it, and shuffles otherwise.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.filters import compile_filter
 from tessera.schema import TOP_K_MAX, TOP_K_MIN, IndexSpec
+from tessera.session import materialize
 
-DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-# numpy block of distances computed at once inside a task (bytes)
-_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK, INDEX_BLOCK = 1024, 4096
+"""Rows of a block of queries, and of vectors."""
 
 
 def check_top_k(k: int) -> int:
@@ -43,90 +36,52 @@ def check_top_k(k: int) -> int:
     return k
 
 
-def _partial_topk(qids, qmat_bc, k: int, metric: str, dim: int, key_col: str, vec_col: str, payload, out_schema):
-    """Build the per-partition function for ``mapInArrow``."""
+def _pack(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-    def run(batches):
-        Q = qmat_bc.value  # (nq, dim) float64
-        nq = Q.shape[0]
-        qn = np.linalg.norm(Q, axis=1)
-        qn[qn == 0] = np.nan
-        q2 = (Q * Q).sum(axis=1)
-        pending: list[pa.Table] = []  # candidate tables: qi, distance, key, payload
-        n_pending = 0
-        prune_at = max(4 * nq * k, 1 << 16)  # amortised pruning: sort only when candidates pile up
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            flat = rb.column(vec_col).flatten().to_numpy(zero_copy_only=False)
-            V = np.asarray(flat, dtype=np.float64).reshape(n, dim)
-            qb = max(1, min(nq, _BLOCK_BYTES // (8 * n)))
-            cand_q, cand_v, cand_d = [], [], []
-            if metric == "cosine":
-                vn = np.linalg.norm(V, axis=1)
-                vn[vn == 0] = np.nan
-            else:
-                v2 = (V * V).sum(axis=1)
-            for s in range(0, nq, qb):
-                Qs = Q[s : s + qb]
-                G = Qs @ V.T
-                if metric == "cosine":
-                    D = 1.0 - G / (qn[s : s + qb, None] * vn[None, :])
-                    D = np.nan_to_num(D, nan=1.0)
-                    np.maximum(D, 0.0, out=D)
-                else:
-                    # squared distance by expansion only to select candidates
-                    D = q2[s : s + qb, None] + v2[None, :] - 2.0 * G
-                if n > k:
-                    kth = np.partition(D, k - 1, axis=1)[:, k - 1 : k]
-                    qi, vi = np.nonzero(D <= kth)
-                else:
-                    qi, vi = np.nonzero(np.ones_like(D, dtype=bool))
-                if metric == "cosine":
-                    d = D[qi, vi]
-                else:  # exact distance for the few survivors
-                    diff = Qs[qi] - V[vi]
-                    d = np.sqrt((diff * diff).sum(axis=1))
-                cand_q.append(qi + s)
-                cand_v.append(vi)
-                cand_d.append(d)
-            qi = np.concatenate(cand_q)
-            vi = np.concatenate(cand_v)
-            d = np.concatenate(cand_d)
-            take = pa.array(vi, type=pa.int64())
-            cols = {"qi": pa.array(qi, type=pa.int64()), "distance": pa.array(d, type=pa.float64())}
-            cols[key_col] = rb.column(key_col).take(take)
-            for p in payload:
-                cols[p] = rb.column(p).take(take)
-            tbl = pa.table(cols)
-            pending.append(tbl)
-            n_pending += tbl.num_rows
-            if n_pending > prune_at:
-                kept = _keep_k(pa.concat_tables(pending), k, key_col)
-                pending, n_pending = [kept], kept.num_rows
-        if not pending:
-            return
-        best = _keep_k(pa.concat_tables(pending), k, key_col)
-        if best.num_rows == 0:
-            return
-        ids = pa.array(qids).take(best.column("qi"))
-        out = [ids, best.column(key_col), best.column("distance")] + [best.column(p) for p in payload]
-        names = [f.name for f in out_schema.fields]
-        yield from pa.Table.from_arrays(out, names=names).to_batches()
 
-    return run
+def _unpack(payload: bytes) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """(ids, vectors) of a block."""
+    t = pa.ipc.open_stream(payload).read_all()
+    flat = t.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return t.column(0), flat.reshape(t.num_rows, -1)
+
+
+def _checked(vec: str, dim: int):
+    """The vector; a row of another dimension fails the job."""
+    bad = F.raise_error(F.format_string(f"vector dimension must be {dim}, got %s", F.size(vec))).cast("array<float>")
+    return F.when(F.size(vec) == dim, F.col(vec)).otherwise(bad)
+
 
+def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Cosine distance (1 where a vector is zero) or squared Euclidean distance of all pairs."""
+    if metric == "cosine":
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+        d = 1.0 - np.divide(q @ v.T, n, out=np.zeros(n.shape), where=n > 0)
+        return np.maximum(d, 0.0)
+    return (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T)
 
-def _keep_k(tbl: pa.Table, k: int, key_col: str) -> pa.Table:
-    """Top k rows per ``qi`` by (distance, key)."""
-    tbl = tbl.sort_by([("qi", "ascending"), ("distance", "ascending"), (key_col, "ascending")])
-    q = tbl.column("qi").to_numpy()
-    if len(q) == 0:
-        return tbl
-    starts = np.searchsorted(q, q, side="left")
-    pos = np.arange(len(q)) - starts
-    return tbl.filter(pa.array(pos < k))
+
+def _pairs(k: int, metric: str):
+    """The k best of each query in each pair of blocks, with all ties of the kth."""
+
+    def run(batches):
+        for b in batches:
+            for qp, vp in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, q = _unpack(qp)
+                keys, v = _unpack(vp)
+                d = _distances(q, v, metric)
+                # by expansion the squared distance is only good enough to choose by: a little more is taken
+                slack = 0.0 if metric == "cosine" else 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0))
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1:k] if d.shape[1] > k else np.inf
+                i, j = np.nonzero(d <= kth + slack)
+                dist = d[i, j] if metric == "cosine" else np.sqrt(((q[i] - v[j]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).combine_chunks(), keys.take(pa.array(j)).combine_chunks(), pa.array(dist)], names=["q", "key", "distance"])
+
+    return run
 
 
 def knn_topk(
@@ -140,56 +95,39 @@ def knn_topk(
     qvec: str = "qvec",
     key_col: str = "key",
     vec_col: str = "vec",
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """k nearest vectors of ``index`` for each row of ``queries``.
 
     Returns ``query_id, key, distance, rank`` plus ``payload`` columns of the
-    index, ``rank`` 1-based by (distance, key).
+    index, ``rank`` 1-based by (distance, key). Keys of the index are unique.
+    A vector of another dimension, on either side, fails the job.
     """
     check_top_k(k)
+    spark = index.sparkSession
     payload = [p for p in payload if p not in (key_col, vec_col)]
-    idx = index
-    if flt is not None:
-        idx = idx.where(compile_filter(flt, index.schema, spec.non_filterable))
-    idx = idx.where(F.size(vec_col) == spec.dim).select(key_col, vec_col, *payload)
-
-    qid_type = queries.schema[query_id].dataType
-    out_schema = T.StructType(
-        [T.StructField(query_id, qid_type, True), T.StructField(key_col, T.StringType(), True),
-         T.StructField("distance", T.DoubleType(), True)]
-        + [T.StructField(p, idx.schema[p].dataType, True) for p in payload]
-    )
-
-    q = queries.select(query_id, qvec).where(F.size(qvec) == spec.dim)
-    max_rows = max(1, max_broadcast_bytes // (spec.dim * 8))
-    first = q.limit(max_rows + 1).collect()  # bounded by the check itself
-    if not first:
-        return idx.sparkSession.createDataFrame([], T.StructType(out_schema.fields + [T.StructField("rank", T.IntegerType())]))
-    if len(first) <= max_rows:
-        n_batches, batches = 1, [first]
-    else:  # too many queries for one broadcast: hash batches that each fit
-        n_batches = max(2, math.ceil(q.count() * 1.25 / max_rows))
-        batches = None
-    sc = idx.sparkSession.sparkContext
-
-    parts = []
-    for b in range(n_batches):
-        if batches is not None:
-            rows = batches[b]
-        else:
-            rows = q.where(F.pmod(F.xxhash64(query_id), F.lit(n_batches)) == b).collect()
-            if len(rows) > 2 * max_rows:
-                raise ValueError("query batch exceeds the broadcast bound; lower skew in query ids")
-        if not rows:
-            continue
-        qids = [r[0] for r in rows]
-        qmat = np.asarray([r[1] for r in rows], dtype=np.float64).reshape(len(rows), spec.dim)
-        bc = sc.broadcast(qmat)
-        fn = _partial_topk(qids, bc, k, spec.metric, spec.dim, key_col, vec_col, payload, out_schema)
-        parts.append(idx.mapInArrow(fn, out_schema))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
+    idx = index if flt is None else index.where(compile_filter(flt, index.schema, spec.non_filterable))
+    qid_type = queries.schema[query_id].dataType.simpleString()
+
+    def packed(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, INDEX_BLOCK):
+                yield pa.RecordBatch.from_pydict({"v": [_pack(pa.Table.from_batches([b.slice(lo, INDEX_BLOCK)]))]})
+
+    def group(t: pa.Table) -> pa.Table:
+        rows = t.select([1, 2])
+        cuts = range(0, rows.num_rows, query_block)
+        return pa.table({"b": pa.array([t.column(0)[0].as_py()] * len(cuts), pa.int32()), "q": pa.array([_pack(rows.slice(a, query_block)) for a in cuts], pa.binary())})
+
+    n_blocks = max(1, -(-queries.count() // query_block))
+    q = queries.select(F.pmod(F.xxhash64(query_id, qvec), F.lit(n_blocks)).cast("int").alias("b"), query_id, _checked(qvec, spec.dim).alias(qvec))
+    asked = materialize(q.groupBy("b").applyInArrow(group, "b int, q binary"), "queries")
+    vectors = idx.select(key_col, _checked(vec_col, spec.dim).alias(vec_col)).mapInArrow(packed, "v binary")
+    met = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, "b").select("q", "v")
+    found = met.mapInArrow(_pairs(k, spec.metric), f"q {qid_type}, key string, distance double")
+    found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
     w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
-    return res.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if payload:
+        best = best.join(index.select(key_col, *payload), key_col)
+    return best.select(query_id, key_col, "distance", *payload, "rank")

@@ -24,7 +24,7 @@ from tessera.schema import (
 )
 
 _CUT_STEPS = 64  # (3/4)^64 < 1e-8: enough for any text that fits in a row
-_CAP_STEPS = 8  # a capped field has <= cap chars, so <= 4*cap bytes: 5 cuts suffice
+_CAP_STEPS = 8  # a capped field has <= cap chars, so <= 6*cap escaped bytes: 7 cuts suffice
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 FIXED_KEYS = ("doc_id", "chunk_index", "total_chunks", "content_hash", "file_type", "ingested_at")
 OPTIONAL_CAPS = (("source", CAP_SOURCE), ("tags", CAP_TAGS), ("author", CAP_AUTHOR),
@@ -98,8 +98,8 @@ def metadata_struct(df: DataFrame, caps_in_bytes: bool = False) -> list[Column]:
     ]
     for name, cap in OPTIONAL_CAPS:
         c = F.substring(F.nullif(F.col(name), F.lit("")), 1, cap) if name in df.columns else F.lit(None).cast("string")
-        if caps_in_bytes:  # Q28 fix: caps hold in bytes, not only in characters
-            c = cut_to_bytes(c, F.lit(cap), steps=_CAP_STEPS)
+        if caps_in_bytes:  # Q28 fix: caps hold in bytes as JSON has them, not only in characters
+            c = cut_to_bytes(c, F.lit(cap), measure=escaped_json_len, steps=_CAP_STEPS)
         cols.append(c.alias(name))
     return cols
 
@@ -119,7 +119,7 @@ def with_metadata_content(df: DataFrame, content: str = "content_full") -> DataF
     )
 
 
-def fit_metadata(df: DataFrame, content: str = "content_full", native: bool = True) -> DataFrame:
+def fit_metadata(df: DataFrame, content: str = "content_full") -> DataFrame:
     """Q28 fix: the whole serialised metadata (content included, JSON escapes
     counted) is at most 2048 bytes. Optional fields are capped in bytes, and
     the content is cut against the bytes actually left.
@@ -139,11 +139,8 @@ def fit_metadata(df: DataFrame, content: str = "content_full", native: bool = Tr
     budget = F.least(legacy, left)
 
     escaped_len = escaped_json_len
-    if native:
-        out = base.withColumn("content", cut_to_bytes(F.col(content), budget, measure=escaped_len))
-    else:
-        out = base.withColumn("_budget", budget).withColumn("content", cut_content_udf()(F.col(content), F.col("_budget")))
-        out = out.drop("_budget")
+    out = base.withColumn("_budget", budget).withColumn("content", cut_content_udf()(F.col(content), F.col("_budget")))
+    out = out.drop("_budget")
     out = out.withColumn("content", F.when(escaped_len(F.col("content")) > budget, F.lit("")).otherwise(F.col("content")))
     full = F.struct(*[F.col(m).alias(k) for m, k in zip(names, keys)], F.col("content").alias("content"))
     out = out.withColumn("meta_json_bytes", _json_bytes(full, n + F.lit(1)))

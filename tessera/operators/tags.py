@@ -3,10 +3,8 @@ mapping text to tags by keywords."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 
@@ -21,17 +19,12 @@ DEFAULT_CATALOG = {
     "mm": ("迁移和现代化", ["迁移", "现代化", "Migration", "Modernization", "上云", "重构", "容器化", "EKS", "微服务", "云原生"],
            "迁移和应用现代化相关"),
 }
-DEFAULT_TAG = None
-ALLOW_CUSTOM = False
 # A tag name starts with a word character or CJK ideograph
 # (U+4E00-U+9FFF, U+3400-U+4DBF), then those or '-'. Word character = letter,
 # digit or underscore (Unicode).
 _NAME_CHARS = r"\p{L}\p{N}_\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}"
 TAG_NAME_PATTERN = rf"^[{_NAME_CHARS}][{_NAME_CHARS}-]*$"
 MIN_KEYWORDS = 2
-# Catalogs up to this many keywords are compiled into one column expression;
-# larger ones use an Aho-Corasick automaton per task.
-MAX_EXPR_KEYWORDS = 2000
 
 CATALOG_SCHEMA = "name string, label string, keywords array<string>, description string"
 
@@ -77,7 +70,8 @@ def reclassify(index: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame
     missing)`` where ``missing`` lists moves whose document has no chunk
     (the reference's error case).
     """
-    m = moves.select("doc_id", F.col("new_tag").alias("_new")).dropDuplicates(["doc_id"])
+    # a document moved twice gets the smallest of its new tags
+    m = moves.groupBy("doc_id").agg(F.min("new_tag").alias("_new"))
     out = index.join(m, "doc_id", "left").withColumn("tags", F.coalesce(F.col("_new"), F.col("tags"))).drop("_new")
     missing = m.join(index.select("doc_id"), "doc_id", "left_anti").withColumnRenamed("_new", "new_tag")
     return out.select(*index.columns), missing
@@ -87,63 +81,16 @@ def keyword_hits(docs: DataFrame, catalog: dict | None = None, text: str = "text
     """``doc_id, tag, hits`` -- number of a tag's keywords contained
     (case-insensitive) in the text, for hits > 0.
 
-    The catalog is a bounded dimension: it is compiled into column
-    expressions (no join, no shuffle); above ``MAX_EXPR_KEYWORDS`` an
-    Aho-Corasick automaton is built once per task instead.
+    The catalog is compiled into one column expression: no join, no shuffle.
     """
     cat = DEFAULT_CATALOG if catalog is None else catalog
     pairs = sorted({(name, kw.lower()) for name, (_, kws, _) in cat.items() for kw in kws if kw})
-    if len(pairs) <= MAX_EXPR_KEYWORDS:
-        low = F.col("_low")
-        tags = sorted({n for n, _ in pairs})
-        per_tag = [
-            F.struct(F.lit(t).alias("tag"),
-                     sum(F.when(F.contains(low, F.lit(kw)), 1).otherwise(0) for n, kw in pairs if n == t).alias("hits"))
-            for t in tags
-        ]
-        lowered = docs.select(F.col(id_col), F.lower(F.col(text)).alias("_low"))  # lower once per document
-        ex = lowered.select(F.col(id_col), F.explode(F.array(*per_tag)).alias("h"))
-        return ex.select(id_col, "h.tag", "h.hits").where(F.col("hits") > 0)
-    return _keyword_hits_automaton(docs, pairs, text, id_col)
-
-
-def _keyword_hits_automaton(docs: DataFrame, pairs, text: str, id_col: str) -> DataFrame:
-    import ahocorasick  # noqa: F401  (fail early on the driver if missing)
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("tag", T.StringType()),
-                           T.StructField("hits", T.IntegerType())])
-
-    def run(batches):
-        import ahocorasick as ac
-
-        kw_ids: dict[str, list[int]] = {}
-        for i, (_, kw) in enumerate(pairs):
-            kw_ids.setdefault(kw, []).append(i)
-        auto = ac.Automaton()
-        for kw in kw_ids:
-            auto.add_word(kw, kw)
-        auto.make_automaton()
-        for rb in batches:
-            ids, tags, hits = [], [], []
-            for did, t in zip(rb.column(id_col).to_pylist(), rb.column(text).to_pylist()):
-                if not t:
-                    continue
-                found = set()
-                for _, kw in auto.iter(t.lower()):
-                    found.update(kw_ids[kw])
-                per: dict[str, int] = {}
-                for i in found:
-                    per[pairs[i][0]] = per.get(pairs[i][0], 0) + 1
-                for tag, n in per.items():
-                    ids.append(did)
-                    tags.append(tag)
-                    hits.append(n)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(tags, pa.string()), pa.array(hits, pa.int32())],
-                    names=[id_col, "tag", "hits"])
-
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    words = {t: F.array(*[F.lit(kw) for n, kw in pairs if n == t]) for t in sorted({n for n, _ in pairs})}
+    if not words:
+        return docs.select(F.col(id_col), F.lit("").alias("tag"), F.lit(0).alias("hits")).where("false")
+    low = docs.select(F.col(id_col), F.lower(F.col(text)).alias("_low"))  # lower once per document
+    per_tag = [F.struct(F.lit(t).alias("tag"), F.size(F.filter(kws, lambda k: F.contains(F.col("_low"), k))).alias("hits")) for t, kws in words.items()]
+    return low.select(id_col, F.explode(F.array(*per_tag)).alias("h")).select(id_col, "h.tag", "h.hits").where("hits > 0")
 
 
 def best_tag(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:

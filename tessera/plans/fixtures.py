@@ -38,7 +38,7 @@ def index_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "ingested_at"
         ),
         F.col("n_chars").cast("double").alias("score_num"),
-        F.substring("text", 1, 200).alias("content"),
+        F.col("text").alias("content"),
     )
 
 
@@ -57,7 +57,7 @@ select concat(cast(d.doc_id as varchar), '.chunk-0000') as key, e.embedding as v
        case when d.doc_id % 3 = 0 then 'md' when d.doc_id % 3 = 1 then 'txt' else 'html' end as file_type,
        md5(d.text) as content_hash,
        cast(date '2024-01-01' + cast(d.doc_id % 90 as integer) as timestamp) as ingested_at,
-       cast(d.n_chars as double) as score_num, left(d.text, 200) as content
+       cast(d.n_chars as double) as score_num, d.text as content
 from embeddings e join documents d on e.vec_id = d.doc_id
 """
 
@@ -92,14 +92,13 @@ def plain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_index(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, hash_col=None) -> DataFrame:
     """A multi-chunk index without vectors: every non-blank line of a
     document is a chunk (dense index, total per document, document hash)."""
-    from tessera.operators.chunking import renumber
-
     d = docs if docs is not None else read_table(spark, sf_dir, "documents")
     h = hash_col if hash_col is not None else F.md5("text")
     d = d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source", h.alias("content_hash"),
                  F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id").cast("long") % 90).cast("int")).cast("timestamp").alias("ingested_at"))
-    ln = d.select("*", F.posexplode(F.split("text", "\n", -1)).alias("pos", "content")).where(~tx.is_blank("content"))
-    ln = renumber(ln, order="pos")
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~tx.is_blank(x))
+    d = d.withColumn("_lines", lines).drop("text")  # index and total without a shuffle
+    ln = d.select(*d.columns[:-1], F.size("_lines").alias("total_chunks"), F.posexplode("_lines").alias("chunk_index", "content"))
     return ln.select(
         tx.vector_key("doc_id", "chunk_index").alias("key"), "doc_id", "chunk_index", "total_chunks", "content_hash",
         F.concat_ws(",", "lang", "source").alias("tags"), "source", "ingested_at", "content",

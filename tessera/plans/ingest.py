@@ -28,15 +28,22 @@ from tessera.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_MI
 _FIRST_SENTENCE = r"(?s)^\s*(.+?[.!?。])(\s|$)"
 
 
-def extractive_prefix(doc_text, heading_path) -> F.Column:
-    """H2 default: heading path and the document's first sentence (no model call).
+def first_sentence(text) -> F.Column:
+    """The first sentence of a document, at most 200 characters."""
+    return F.substring(F.regexp_extract(text, _FIRST_SENTENCE, 1), 1, 200)
+
+
+def extractive_prefix(sentence, heading_path) -> F.Column:
+    """H2 default: heading path and the document's first sentence (no model call)."""
+    return F.concat_ws(" — ", F.nullif(heading_path, F.lit("")), F.nullif(sentence, F.lit("")))
 
-    A model-written prefix plugs in as ``context_fn(chunks) -> chunks`` with a
-    ``context_prefix`` column; a failure there should yield '' so the chunk is
-    still indexed.
-    """
-    first = F.substring(F.regexp_extract(doc_text, _FIRST_SENTENCE, 1), 1, 200)
-    return F.concat_ws(" — ", F.nullif(heading_path, F.lit("")), F.nullif(first, F.lit("")))
+
+def one_row_per_id(corpus: DataFrame) -> DataFrame:
+    """Q10: of rows that share a doc_id the last write wins, the one of the greatest path (then text)."""
+    others = [c for c in corpus.columns if c != "doc_id"]
+    order = F.struct(*[F.col(c) for c in ("path", "source", "text") if c in corpus.columns])
+    last = corpus.groupBy("doc_id").agg(F.max_by(F.struct(*others), order).alias("_r"))
+    return last.select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in corpus.columns])
 
 
 def build_index_rows(
@@ -48,29 +55,38 @@ def build_index_rows(
     overlap: int = DEFAULT_CHUNK_OVERLAP,
     min_chunk: int = DEFAULT_MIN_CHUNK,
     contextual: bool = False,
-    context_fn: Callable[[DataFrame], DataFrame] | None = None,
+    context_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     ingested_at: _dt.datetime | None = None,
 ) -> DataFrame:
-    """Corpus rows (``doc_id, text, file_type, source, tags, author``) -> index rows."""
+    """Corpus rows (``doc_id, text, file_type, source, tags, author``) -> index rows.
+
+    ``context_fn(chunks, documents) -> (doc_id, chunk_index, context_prefix)``
+    writes the prefixes (H2): it gets the chunks and the documents' texts as
+    tables to join on doc_id. A chunk for which it gives no row or null (its
+    model failed there) is indexed with an empty prefix. Without it the prefix
+    is the heading path and the document's first sentence, which is all of the
+    document that travels with its chunks.
+    """
     checkpoint_dir(corpus.sparkSession)  # the shared folder named by spark.checkpoint.dir
     cols = corpus.columns
     keep = [c for c in ("source", "tags", "author") if c in cols]
     docs = corpus.withColumn("content_hash", tx.content_hash("text"))
     docs = docs.withColumn("_ft", F.col("file_type") if "file_type" in cols else F.lit(None).cast("string"))
-    need_doc = contextual and context_fn is None
-    if need_doc:
-        docs = docs.withColumn("_doc_text", F.col("text"))
+    lead = contextual and context_fn is None
+    if lead:
+        docs = docs.withColumn("_lead", first_sentence(F.col("text")))
     # built-in embedder on the plain chunk text: computed inside the chunking task
     fused = embedder is None and not contextual
     chunks = ch.chunk_docs(docs, strategy=strategy, size=size, overlap=overlap, min_chunk=min_chunk,
-                           keep=keep + ["content_hash", "_ft"] + (["_doc_text"] if need_doc else []),
+                           keep=keep + ["content_hash", "_ft"] + (["_lead"] if lead else []),
                            hash_dim=spec.dim if fused else None, embed_chars=EMBED_INPUT_MAX_CHARS)
     if contextual:
         if context_fn is not None:
-            chunks = context_fn(chunks)
+            chunks = materialize(chunks, "chunks")
+            prefixes = context_fn(chunks, docs.select("doc_id", "text")).select("doc_id", "chunk_index", "context_prefix")
+            chunks = chunks.join(prefixes, ["doc_id", "chunk_index"], "left").withColumn("context_prefix", F.coalesce("context_prefix", F.lit("")))
         else:
-            chunks = chunks.withColumn("context_prefix", extractive_prefix(F.col("_doc_text"), F.col("heading_path")))
-            chunks = chunks.drop("_doc_text")
+            chunks = chunks.withColumn("context_prefix", extractive_prefix(F.col("_lead"), F.col("heading_path"))).drop("_lead")
     if "context_prefix" not in chunks.columns:
         chunks = chunks.withColumn("context_prefix", F.lit(None).cast("string"))
     chunks = chunks.withColumn("embed_input", tx.embed_input("content", "context_prefix"))
@@ -85,7 +101,7 @@ def build_index_rows(
         vec = em.embed_dedup(materialize(chunks, "chunks"), "embed_input", embedder)
     ts = F.lit(ingested_at).cast("timestamp") if ingested_at else F.date_trunc("second", F.current_timestamp())
     rows = vec.withColumn("ingested_at", ts).withColumn("content_full", F.col("content")).withColumnRenamed("_ft", "file_type")
-    rows = md.fit_metadata(rows, native=False)
+    rows = md.fit_metadata(rows)
     out = rows.select(
         tx.vector_key("doc_id", "chunk_index").alias("key"), "vec", "doc_id", "chunk_index", "total_chunks",
         "content_hash", "file_type", "ingested_at", *[c for c in ("source", "tags", "author") if c in rows.columns],
@@ -115,16 +131,21 @@ def ingest(
     """
     checkpoint_dir(spark)
     stored = ix.read_index(spark, base)
+    corpus = one_row_per_id(corpus)
     hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash"))
     plan = sy.sync_plan(hashes, stored)
-    if not sync:
+    if not sync:  # nothing is removed, and what is there already is written again
+        plan = plan.where(F.col("status") != "removed")
         plan = plan.withColumn("status", F.when(F.col("status") == "unchanged", "changed").otherwise(F.col("status")))
+    elif scope is not None:  # stored documents outside the scope are none of this run's business
+        inside = scope.select("doc_id").distinct().withColumn("_in", F.lit(True))
+        plan = plan.join(inside, "doc_id", "left").where((F.col("status") != "removed") | F.col("_in")).drop("_in")
     plan = materialize(plan, "sync-plan")  # one comparison, reused by the rows, the write and the summary
     todo = sy.to_ingest(corpus, plan)
     rows = materialize(build_index_rows(todo, spec, **kw), "ingest-rows")  # chunk + embed once
     drop = plan.where(F.col("status") == "changed").select("doc_id")
     if sync:
-        drop = drop.unionByName(sy.sync_removed(plan, scope))
+        drop = drop.unionByName(sy.sync_removed(plan))
     ix.apply_doc_changes(spark, base, rows, drop)
     # lazy: reads only the materialised plan and rows and the replaced
     # version's files, which are immutable, so it is valid after the write

@@ -153,12 +153,12 @@ def q_tag_name_valid(spark, sf_dir):
 
 
 _CANDIDATES_SQL = """
-(select left(source, 4) as name, list_sort(list(distinct lang)) as keywords from documents where lang <> 'en' group by source)
+(select left(source, 4) as name, list_sort(list(distinct lang)) as keywords from documents group by source)
 """
 
 
 def _candidates(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").where(F.col("lang") != "en")
+    d = read_table(spark, sf_dir, "documents")
     return d.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("keywords")).select(
         F.substring("source", 1, 4).alias("name"), "keywords", F.lit("").alias("label"), F.lit("").alias("description"))
 
@@ -173,21 +173,21 @@ union all select distinct name, 'invalid_name', 1 from c where not regexp_matche
 """,
 )
 def q_tag_rule_check(spark, sf_dir):
-    """catalog built per source from its non-English languages; duplicate names and short keyword lists."""
+    """catalog built per source from its languages; duplicate names and short keyword lists."""
     return tg.rule_violations(_candidates(spark, sf_dir))
 
 
 @register(
     "keyword_merge",
     """
-with c as (select source as name, list_sort(list(distinct lang)) as keywords from documents where lang <> 'en' group by source),
+with c as (select source as name, list_sort(list(distinct lang)) as keywords from documents group by source),
 m as (select name, list_concat(keywords, ['en', 'fr', 'xx']) as cat from c)
 select name, list_filter(cat, lambda x, i: list_position(cat, x) = i) as merged, ['en', 'zz'] as replaced from m
 """,
 )
 def q_keyword_merge(spark, sf_dir):
     """P20: add keywords (ordered de-duplicated union); a replacement list wins over additions."""
-    d = read_table(spark, sf_dir, "documents").where(F.col("lang") != "en")
+    d = read_table(spark, sf_dir, "documents")
     c = d.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("keywords")).select(
         F.col("source").alias("name"), "keywords", F.lit("").alias("label"), F.lit("").alias("description"))
     add = c.select("name", F.array(F.lit("en"), F.lit("fr"), F.lit("xx")).alias("add_keywords"),

@@ -51,17 +51,24 @@ def get_spark(
     return spark
 
 
+_OWN_DIR: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names that folder (a shared file system path). Only when it is
-    unset -- local runs and tests -- do we create one of our own.
+    A cluster names that folder (a shared file system path). Only where it is
+    unset and all tasks run in this process -- local runs and tests -- do we
+    make one of our own; elsewhere that would be a folder no executor sees.
     """
+    global _OWN_DIR
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
+    if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN_DIR = _OWN_DIR or tempfile.mkdtemp(prefix="tessera-ckpt-")
+        d = _OWN_DIR
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
@@ -75,20 +82,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def spread(df):
-    """Round-robin a DataFrame over the cluster's cores when its scan yields
-    fewer partitions than cores (e.g. one small file with one row group).
-
-    On a cluster reading many files this is a no-op: the input splits
-    already outnumber the cores.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back (one computation; survives executor loss)."""

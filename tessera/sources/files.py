@@ -42,7 +42,12 @@ def scan_corpus(spark: SparkSession, directory: str, globs: str = DEFAULT_GLOB,
 
 
 def read_file(spark: SparkSession, path: str, doc_id: str | None = None, **kw) -> DataFrame:
-    """One file; an explicit ``doc_id`` replaces the derived id."""
+    """One file; an explicit ``doc_id`` replaces the derived id (and so needs a path of exactly one file)."""
+    if doc_id:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        if found is None or len(found) != 1 or found[0].isDirectory():
+            raise ValueError(f"an explicit doc_id takes one file, not {path}")
     raw = (
         spark.read.format("text").option("wholetext", True).load(path)
         .select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("raw"))
@@ -96,17 +101,24 @@ def read_vector_records(spark: SparkSession, path: str) -> DataFrame:
     recs = spark.read.schema(T.StructType([T.StructField("key", T.StringType()),
                                            T.StructField("data", VECTOR_RECORD_SCHEMA["data"].dataType),
                                            T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])) \
-        .option("multiLine", True).json(path)
+        .option("multiLine", True).option("mode", "FAILFAST").json(path)
     return vector_records(recs)
 
 
 def parse_vector_records(json_text_df: DataFrame, col: str = "value") -> DataFrame:
     """S4 from a string column holding a JSON array of records."""
-    arr = F.from_json(F.col(col), T.ArrayType(VECTOR_RECORD_SCHEMA))
+    arr = _parsed(col, F.from_json(F.col(col), T.ArrayType(VECTOR_RECORD_SCHEMA), {"mode": "FAILFAST"}))
     recs = json_text_df.select(F.explode(arr).alias("r")).select("r.*")
     return vector_records(recs)
 
 
+def _parsed(col: str, value):
+    """A parsed JSON array; text that isn't one fails the job, it does not vanish."""
+    array = F.trim(F.regexp_replace(F.col(col), r"[\x09-\x0D]+", " ")).startswith("[")
+    bad = F.raise_error(F.concat(F.lit("not a JSON array: "), F.substring(F.coalesce(F.col(col), F.lit("null")), 1, 80)))
+    return F.when(F.coalesce(array, F.lit(False)), value).otherwise(bad)
+
+
 def vector_records(recs: DataFrame) -> DataFrame:
     known = ("doc_id", "content_hash", "file_type", "source", "tags", "author", "heading_path", "context_prefix", "content")
     m = F.col("metadata")
@@ -128,10 +140,10 @@ def read_query_vectors(spark: SparkSession, path: str) -> DataFrame:
 def parse_query_vectors(txt: DataFrame, col: str = "value", keep=()) -> DataFrame:
     """One JSON text per row: a batch ``[[...], ...]`` or one vector ``[...]``;
     ``query_id`` is the position inside the text, ``keep`` columns are carried."""
-    nested = F.from_json(F.col(col), T.ArrayType(T.ArrayType(T.FloatType())))
-    flat = F.from_json(F.col(col), T.ArrayType(T.FloatType()))
-    is_batch = F.trim(F.col(col)).startswith("[[")
-    arr = F.when(is_batch, nested).otherwise(F.array(flat))
+    nested = F.from_json(F.col(col), T.ArrayType(T.ArrayType(T.FloatType())), {"mode": "FAILFAST"})
+    flat = F.from_json(F.col(col), T.ArrayType(T.FloatType()), {"mode": "FAILFAST"})
+    is_batch = F.regexp_like(F.col(col), F.lit(r"^\s*\[\s*\["))
+    arr = _parsed(col, F.when(is_batch, nested).otherwise(F.array(flat)))
     return txt.select(*keep, F.posexplode(arr).alias("query_id", "qvec")).select(
         *keep, F.col("query_id").cast("long"), "qvec"
     )
@@ -142,11 +154,10 @@ def read_tag_catalog(spark: SparkSession, path: str) -> DataFrame:
 
     A missing file gives an empty catalog.
     """
-    try:
-        cat = spark.read.schema(TAG_CATALOG_SCHEMA).option("multiLine", True).json(path)
-    except Exception:  # noqa: BLE001 - missing file -> empty catalog
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], "name string, label string, keywords array<string>, description string")
-    return tag_rows(cat)
+    return tag_rows(spark.read.schema(TAG_CATALOG_SCHEMA).option("multiLine", True).option("mode", "FAILFAST").json(path))
 
 
 def tag_rows(cat: DataFrame) -> DataFrame:

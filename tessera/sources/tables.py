@@ -12,16 +12,6 @@ TABLES = (
 ).split()
 
 
-# Tables whose rows carry heavy per-row work (long texts, HTML, vectors).
-_SPREAD = {"documents", "pages", "conversations", "embeddings", "benchmark"}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``spark.read.parquet`` of one table; Catalyst prunes columns and pushes
-    filters through the (conditional) round-robin spread."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if name in _SPREAD:
-        from tessera.session import spread
-
-        df = spread(df)
-    return df
+    """``spark.read.parquet`` of one table."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

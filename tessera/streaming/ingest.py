@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import index as ix
 from tessera.operators import sync as sy
-from tessera.plans.ingest import build_index_rows
+from tessera.plans.ingest import build_index_rows, one_row_per_id
 from tessera.schema import IndexSpec
 from tessera.session import checkpoint_dir, materialize, scratch_path
 
@@ -42,10 +42,13 @@ def stream_ingest(spark: SparkSession, docs: DataFrame, base: str, spec: IndexSp
     def apply(batch: DataFrame, batch_id: int):
         corpus = to_corpus(batch) if to_corpus else batch
         corpus = corpus.where(~tx.is_blank("text"))
-        stored = ix.read_index(spark, base)
-        hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash")).dropDuplicates(["doc_id"])
+        corpus = materialize(one_row_per_id(corpus), "stream-batch")
+        hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash"))
+        # only the buckets that this batch's documents are in are read
+        stored = ix.read_buckets(spark, base, corpus.select("doc_id"))
         plan = sy.sync_plan(hashes, stored).where(F.col("status") != "removed")
-        todo = sy.to_ingest(corpus.dropDuplicates(["doc_id"]), plan)
+        plan = materialize(plan, "stream-plan")
+        todo = sy.to_ingest(corpus, plan)
         rows = materialize(build_index_rows(todo, spec, **build_kw), "stream-rows")
         drop = plan.where(F.col("status") == "changed").select("doc_id")
         ix.apply_doc_changes(spark, base, rows, drop)  # rewrites only the touched buckets

@@ -45,7 +45,7 @@ def test_batched_queries_equal_single_batch(spark):
     iv = index_view(spark, SF001)
     qv = query_vectors(spark, SF001)
     a = knn_topk(iv, qv, FIXTURE_SPEC, k=5).select("query_id", "key", "rank").collect()
-    b = knn_topk(iv, qv, FIXTURE_SPEC, k=5, max_broadcast_bytes=20_000).select("query_id", "key", "rank").collect()
+    b = knn_topk(iv, qv, FIXTURE_SPEC, k=5, query_block=64).select("query_id", "key", "rank").collect()
     assert sorted(a) == sorted(b)
 
 

@@ -20,12 +20,15 @@ def _rows(spark, content, source="s", heading=None, prefix=None):
 def test_metadata_fits_2048_bytes_with_cjk_and_emoji(spark):
     big = "中文😀\n\"x\\" * 3000
     df = _rows(spark, big, source="源" * 300, heading="标题" * 200, prefix="上下文" * 100)
-    for native in (True, False):
-        r = md.fit_metadata(df, native=native).collect()[0]
-        meta = {"doc_id": r.doc_id, "chunk_index": "0", "total_chunks": "1", "content_hash": r.content_hash,
-                "file_type": "md", "ingested_at": r.ingested_at}
-        assert r.meta_json_bytes <= 2048
-        assert len(r.content) > 0
+    r = md.fit_metadata(df).collect()[0]
+    assert r.meta_json_bytes <= 2048
+    assert len(r.content) > 0
+
+
+def test_metadata_fits_2048_bytes_with_control_characters(spark):
+    odd = "\x01\x02" * 300
+    r = md.fit_metadata(_rows(spark, odd * 10, source=odd, heading=odd, prefix=odd)).collect()[0]
+    assert r.meta_json_bytes <= 2048
 
 
 def test_native_and_udf_cut_agree(spark):
@@ -34,8 +37,9 @@ def test_native_and_udf_cut_agree(spark):
                     F.md5("text").alias("content_hash"), F.lit("txt").alias("file_type"),
                     F.lit("2024-01-01T00:00:00Z").alias("ingested_at"), "source", F.col("lang").alias("tags"),
                     F.col("text").alias("content_full"))
-    a = md.fit_metadata(rows, native=True).select("doc_id", "content", "meta_json_bytes").collect()
-    b = md.fit_metadata(rows, native=False).select("doc_id", "content", "meta_json_bytes").collect()
+    budget = F.lit(1500)
+    a = rows.select("doc_id", md.cut_to_bytes(F.col("content_full"), budget, measure=md.escaped_json_len).alias("c")).collect()
+    b = rows.withColumn("_b", budget).select("doc_id", md.cut_content_udf()(F.col("content_full"), F.col("_b")).alias("c")).collect()
     assert sorted(a) == sorted(b)
 
 
