@@ -15,6 +15,7 @@ key costs four to six bytes and an answer about one.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -112,6 +113,7 @@ def _cut(batches: Iterator[pa.RecordBatch], make: Callable, block_bytes: int):
         t = pa.Table.from_batches(held)
         out = make((part << 20) | seq, t)
         seq, held, size, count = seq + 1, [], 0, 0
+        release()
         return out
 
     for b in batches:
@@ -200,10 +202,10 @@ def unframe(payload: bytes) -> list[bytes]:
     return out
 
 
-def sum_keys(sent: DataFrame, dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values: int = 1, once: Callable | None = None) -> DataFrame:
-    """For each row sent, the totals of its keys over all rows, in its order.
+def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values: int = 1, once: Callable | None = None) -> Callable:
+    """Function of a range's rows: for each, the totals of its keys over all, in its order.
 
-    A task holds the keys of one range. With several ``values`` of a key, or to
+    With several ``values`` of a key, or to
     answer with less, ``tell(totals...)`` turns the totals into the answer.
     ``once(total)`` gives a number for the range, told to block -1.
     """
@@ -230,9 +232,43 @@ def sum_keys(sent: DataFrame, dtype=np.uint32, wide=np.uint64, tell: Callable |
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         return table(more + [(b, d, squeeze(total[back[cut[i] : cut[i + 1]]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
 
+    return run
+
+
+def tidy(fn: Callable) -> Callable:
+    """``fn`` that gives freed memory back afterwards: workers idle on while others run."""
+
+    def run(*tables):
+        out = fn(*tables)
+        release()
+        return out
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def by_range(sent: DataFrame, fn: Callable) -> DataFrame:
+    """``fn(table) -> table`` over the rows sent to each range."""
+    fn = tidy(fn)
+
+    def run(t: pa.Table) -> pa.Table:
+        return fn(t)
+
     return sent.groupBy("dest").applyInArrow(run, PAYLOAD)
 
 
+def sum_keys(sent: DataFrame, *how, **more) -> DataFrame:
+    """The totals of all keys sent, told to those who sent them; ``adder`` has the options."""
+    return by_range(sent, adder(*how, **more))
+
+
 def answers(t: pa.Table, dtype) -> np.ndarray:
     """The answers of one block's keys, in the order of its sorted keys."""
     d = t.column("dest").to_pylist()
@@ -243,7 +279,12 @@ def answers(t: pa.Table, dtype) -> np.ndarray:
 
 def with_blocks(blocks: DataFrame, told: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(block table, told table) -> table`` for each block; texts stay in place."""
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(fn, schema)
+    fn = tidy(fn)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return fn(left, right)
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def others(docs: DataFrame) -> list[str]:

@@ -34,8 +34,8 @@ from tessera.llm import blocks as B
 from tessera.llm.kernels import U64, mix, text_arrays, words
 from tessera.session import materialize
 
-CONTEXT = 64
-"""Training occurrences that make a context a candidate."""
+CONTEXT, SHARE = 64, 1e-5
+"""Training occurrences, and share of all training tokens, that make a context a candidate."""
 GAIN = 32.0
 """Divergence from the suffix's distribution, in nats over all occurrences, that makes it a state."""
 STRENGTHS = (20.0, 200.0, 2000.0)
@@ -88,7 +88,8 @@ def _send_words(dests: int):
 class _Block:
     """What a block holds and what it was told so far."""
 
-    def __init__(self, blocks: pa.Table, told: pa.Table):
+    def __init__(self, blocks: pa.Table, told: pa.Table, least: float):
+        self.least = least
         head, vocab, code = B.unframe(blocks.column("payload")[0].as_py())
         self.block = blocks.column("block")[0].as_py()
         self.head = B.unpack(head)
@@ -114,7 +115,7 @@ class _Block:
     def pairs(self) -> None:
         """Places whose word before is a candidate context."""
         before = np.concatenate([[0], self.code[:-1]]) if len(self.code) else self.code
-        self.at2 = np.flatnonzero((self.place >= 1) & (self.count[before] >= CONTEXT))
+        self.at2 = np.flatnonzero((self.place >= 1) & (self.count[before] >= self.least))
         self.both2, self.own2, self.key2, self.order2 = self._unique(self.at2, before[self.at2], self.vocab, _PAIR)
         self.local2 = np.bincount(self.own2[self.train[self.at2]], minlength=len(self.both2))
         self.left2, self.right2 = self.both2 >> 32, self.both2 & 0xFFFFFFFF
@@ -128,7 +129,7 @@ class _Block:
         pair_of = np.full(len(self.code) + 1, -1, np.int64)
         pair_of[self.at2 + 1] = self.own2  # the pair that ends right before a place
         left = pair_of[self.at2]
-        ok = (self.place[self.at2] >= 2) & (left >= 0) & (self.count2[left] >= CONTEXT)
+        ok = (self.place[self.at2] >= 2) & (left >= 0) & (self.count2[left] >= self.least)
         self.in2 = np.flatnonzero(ok)  # among the places of pairs
         self.both3, self.own3, self.key3, self.order3 = self._unique(self.at2[ok], left[ok], self.key2, _TRIPLE)
         self.local3 = np.bincount(self.own3[self.train[self.at2[ok]]], minlength=len(self.both3))
@@ -188,7 +189,7 @@ def _pass(step: str, dests: int, total: int, distinct: int):
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return B.table([])
-        b = _Block(blocks, told)
+        b = _Block(blocks, told, max(CONTEXT, SHARE * total))
         b.pairs()
         if step == "pairs":
             return B.table(_shift(B.send(b.block, b.key2[b.order2], dests, b.local2[b.order2].astype(np.uint32)), 1))
@@ -250,11 +251,13 @@ def score_documents(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
 
     told = told.where("block >= 0")
     told = told.unionByName(materialize(B.sum_keys(each("pairs"), wide=np.uint32), "pairs"))
-    made = materialize(each("triples"), "triples")
-    kind = F.shiftright("dest", _KIND)
-    triples = materialize(B.sum_keys(made.where(kind == 3), wide=np.uint32), "triples")
-    states = materialize(B.sum_keys(made.where(kind == 2), np.float64, np.float64, _verdict, len(STRENGTHS)), "states")
-    told = told.unionByName(triples).unionByName(states)
-    told = told.unionByName(materialize(B.sum_keys(each("gains"), np.float64, np.float64, _verdict, len(STRENGTHS)), "states"))
+    counts = B.adder(wide=np.uint32)
+    gains = B.adder(np.float64, np.float64, _verdict, len(STRENGTHS))
+
+    def either(t: pa.Table) -> pa.Table:
+        return (counts if t.column("dest")[0].as_py() >> _KIND == 3 else gains)(t)
+
+    told = told.unionByName(materialize(B.by_range(each("triples"), either), "triples"))
+    told = told.unionByName(materialize(B.by_range(each("gains"), gains), "states"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return B.with_blocks(texts, told, _pass("score", dests, total, distinct), schema)

@@ -34,6 +34,9 @@ _SPACE = " \\t\\n\\r\\f\\v\u0085 "
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _OTHER = re.compile("[^\x00-\x1b\x20-ɏ‐-‧‰-›€]")
 
+VOCABULARY_BYTES = 8 << 20
+"""Text bytes of a block: the larger, the fewer pre-tokens are sent more than once."""
+
 _LOADED: dict = {}
 
 
@@ -141,8 +144,8 @@ def _sum(blocks: pa.Table, told: pa.Table) -> pa.Table:
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of each row."""
-    blocks, total = B.document_blocks(docs, "token_counts", _make(tokenizer), "vocab binary")
+    blocks, total = B.document_blocks(docs, "token_counts", _make(tokenizer), "vocab binary", VOCABULARY_BYTES)
     sent = blocks.select("block", "vocab").mapInArrow(_send(B.destinations(total)), B.PAYLOAD)
-    told = sent.groupBy("dest").applyInArrow(_count(tokenizer), B.PAYLOAD)
+    told = B.by_range(sent, _count(tokenizer))
     out = B.with_blocks(blocks.select("block", "payload"), told, _sum, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -29,6 +29,7 @@ def tree_scores(rows):
                 if i >= k:
                     c[k][tuple(t[i - k : i + 1])] += 1
     total, distinct = sum(c[0].values()), len(c[0])
+    least = max(P.CONTEXT, P.SHARE * total)
     p0 = lambda w: (c[0][(w,)] + 1) / (total + distinct + 1)
     state: dict = {}
 
@@ -42,7 +43,7 @@ def tree_scores(rows):
     for k in (1, 2):
         follow = defaultdict(list)
         for g, n in c[k].items():
-            if c[k - 1][g[:-1]] >= P.CONTEXT and (k == 1 or c[0][g[:1]] >= P.CONTEXT):
+            if c[k - 1][g[:-1]] >= least and (k == 1 or c[0][g[:1]] >= least):
                 follow[g[:-1]].append((g[-1], n))
         found = {}
         for ctx, nxt in follow.items():
@@ -55,7 +56,7 @@ def tree_scores(rows):
         score = base = 0.0
         for j, w in enumerate(t):
             ctx = tuple(t[max(0, j - 2) : j])
-            while ctx and not (c[len(ctx) - 1][ctx] >= P.CONTEXT):
+            while ctx and not (c[len(ctx) - 1][ctx] >= least):
                 ctx = ctx[1:]
             score += math.log10(p(ctx, w))
             base += math.log10(p0(w))
