@@ -404,7 +404,7 @@ def _merge(length: int, gram: int):
         return B.table([_spans(blocks[i], start[src == i], end[src == i]) for i in np.unique(src).tolist()])
 
     def run(t: pa.Table) -> pa.Table:
-        return suffixes(t) if t.column("kind")[0].as_py() else windows(t)
+        return B.tidy(suffixes if t.column("kind")[0].as_py() else windows)(t)
 
     return run
 
@@ -471,7 +471,7 @@ def without_repeats(docs: DataFrame, length: int = 100, gram: int = 40) -> DataF
     """
     others, kinds = B.others(docs), dict(docs.dtypes)
     out = suffix_dedup(docs, length, gram, others)
-    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", r"[\\x09-\\x0D]+", " ")) != ""))
+    out = out.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", r"[\x09-\x0D]+", " ")) != ""))
     made = {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.col("kept")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
     if "n_chars" in made:
         made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(kinds["n_chars"])).otherwise(made["n_chars"])
