@@ -1,21 +1,17 @@
 """Scalar text functions as built-in column expressions.
 
-All of these stay inside whole-stage codegen (no Python UDF).
+All but ``html_text`` stay inside whole-stage codegen (no Python UDF).
 """
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.schema import (
-    CAP_AUTHOR,
-    CAP_CONTEXT_PREFIX,
-    CAP_HEADING_PATH,
-    CAP_SOURCE,
-    CAP_TAGS,
-    EMBED_INPUT_MAX_CHARS,
-)
+from tessera.schema import EMBED_INPUT_MAX_CHARS
 
 # Characters kept in document ids (ASCII word characters, dash,
 # and the CJK unified ideographs block U+4E00..U+9FFF).
@@ -23,9 +19,10 @@ DOC_ID_DROP_RE = r"[^a-zA-Z0-9\x{4e00}-\x{9fff}_-]"
 DOC_ID_MAX = 128
 # HTML elements removed together with their content.
 HTML_DROP_ELEMENTS = ("script", "style", "nav", "header", "footer")
-# Named entities decoded after tag removal (&amp; last).
-HTML_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-                 ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# Elements that have no content and no end tag.
+HTML_VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta",
+                      "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex",
+                      "nextid", "spacer")
 PREVIEW_CHARS = 200
 JSON_PREVIEW_CHARS = 300
 STATS_SOURCE_CHARS = 100
@@ -82,24 +79,75 @@ def file_type(path) -> Column:
     return F.when(ext == "htm", F.lit("html")).otherwise(ext)
 
 
+class _VisibleText(HTMLParser):
+    """Text between tags, outside the dropped elements; all character references decoded.
+
+    An end tag closes the innermost open element of its name and what is open
+    inside it, and is ignored if there is none.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.dropped, self.node, self.pieces = [], 0, [], []
+
+    def flush(self):
+        piece = "".join(self.node).strip()
+        if piece:
+            self.pieces.append(piece)
+        self.node = []
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        if tag not in HTML_VOID_ELEMENTS:
+            self.open.append(tag)
+            self.dropped += tag in HTML_DROP_ELEMENTS
+
+    def handle_startendtag(self, tag, attrs):
+        self.flush()
+
+    def handle_endtag(self, tag):
+        self.flush()
+        if tag in self.open:
+            while True:
+                last = self.open.pop()
+                self.dropped -= last in HTML_DROP_ELEMENTS
+                if last == tag:
+                    break
+
+    def handle_data(self, data):
+        if not self.dropped:
+            self.node.append(data)
+
+    def handle_comment(self, data):
+        self.flush()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def visible_text(html: str | None) -> str | None:
+    """P4 for one page."""
+    if html is None:
+        return None
+    p = _VisibleText()
+    p.feed(html)
+    p.close()
+    p.flush()
+    return "\n".join(p.pieces)
+
+
 def html_text(html) -> Column:
-    """Visible text of an HTML page, one trimmed piece per line.
+    """Visible text of an HTML page, one trimmed text node per line.
 
-    Drops comments, doctype and the elements of ``HTML_DROP_ELEMENTS`` with
-    their content, turns every remaining tag into a line break, trims the
-    pieces, drops blank ones, and decodes entities (``&amp;`` last).
+    Pages go through a parser in Arrow batches: nested and unclosed elements,
+    character references and white space inside text nodes are beyond
+    regular expressions.
     """
-    h = _c(html)
-    h = F.regexp_replace(h, r"(?s)<!--.*?-->", "\n")
-    h = F.regexp_replace(h, r"(?is)<!doctype[^>]*>", "\n")
-    for tag in HTML_DROP_ELEMENTS:
-        h = F.regexp_replace(h, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", "\n")
-    h = F.regexp_replace(h, r"<[^>]*>", "\n")
-    pieces = F.transform(F.split(h, "\n"), lambda x: strip_ws(x))
-    t = F.array_join(F.filter(pieces, lambda x: x != ""), "\n")
-    for ent, ch in HTML_ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return t
+
+    @F.pandas_udf("string")
+    def parse(pages: pd.Series) -> pd.Series:
+        return pages.map(visible_text, na_action="ignore").astype(object)
+
+    return parse.asNondeterministic()(_c(html))  # once per page, not once per reference
 
 
 def html_text_simple(html) -> Column:
@@ -132,21 +180,6 @@ def embed_cut(text) -> Column:
     return F.substring(_c(text), 1, EMBED_INPUT_MAX_CHARS)
 
 
-def _cap(c, n) -> Column:
-    return F.substring(F.nullif(_c(c), F.lit("")), 1, n)
-
-
-def chunk_metadata_caps(source, tags, author, heading_path, context_prefix) -> dict:
-    """P10: optional metadata, capped in characters, absent (null) when empty."""
-    return {
-        "source": _cap(source, CAP_SOURCE),
-        "tags": _cap(tags, CAP_TAGS),
-        "author": _cap(author, CAP_AUTHOR),
-        "heading_path": _cap(heading_path, CAP_HEADING_PATH),
-        "context_prefix": _cap(context_prefix, CAP_CONTEXT_PREFIX),
-    }
-
-
 def preview(content, n: int = PREVIEW_CHARS) -> Column:
     """First n characters, newlines as spaces, ``...`` when longer."""
     c = F.coalesce(_c(content), F.lit(""))

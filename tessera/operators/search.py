@@ -58,6 +58,7 @@ def hit_rows(hits: DataFrame) -> DataFrame:
         meta("heading_path").alias("heading_path"),
         F.substring(meta("content"), 1, tx.JSON_PREVIEW_CHARS).alias("content_preview"),
         meta("tags").alias("tags"),
+        F.nullif(meta("context_prefix"), F.lit("")).alias("context_prefix"),  # absent from the JSON when there is none
     )
 
 

@@ -144,6 +144,29 @@ def q_ingest_plan(spark, sf_dir):
     return c.groupBy("doc_id", "strategy").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
 
 
+@register(
+    "chunk_coverage",
+    """
+with w as (select distinct cast(doc_id as varchar) as doc_id, unnest(regexp_split_to_array(text, '\\s+')) as word from documents where regexp_matches(text, '\\S'))
+select doc_id, count(*) as words, 0 as missing, 0 as foreign_words, true as dense from w where word <> '' group by doc_id
+""",
+)
+def q_chunk_coverage(spark, sf_dir):
+    """C3/C4/C8 invariants of the recursive chunks of every document: its words all come through, no others
+    appear, and their numbers are dense."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    c = ch.chunk_docs(d, strategy="recursive")
+    white = r"\s+"
+    own = d.select("doc_id", F.explode(F.array_distinct(F.split("text", white))).alias("word")).where("word <> ''")
+    cut = c.select("doc_id", F.explode(F.array_distinct(F.split("content", white))).alias("word")).where("word <> ''").distinct()
+    both = own.withColumn("a", F.lit(1)).join(cut.withColumn("b", F.lit(1)), ["doc_id", "word"], "full")
+    words = both.groupBy("doc_id").agg(F.count("a").alias("words"), F.sum(F.when(F.col("b").isNull(), 1).otherwise(0)).alias("missing"),
+                                       F.sum(F.when(F.col("a").isNull(), 1).otherwise(0)).alias("foreign_words"))
+    shape = c.groupBy("doc_id").agg(
+        ((F.count("*") == F.max("total_chunks")) & (F.countDistinct("chunk_index") == F.count("*")) & (F.max("chunk_index") == F.count("*") - 1)).alias("dense"))
+    return words.join(shape, "doc_id").select("doc_id", "words", "missing", "foreign_words", "dense")
+
+
 @register(
     "chunk_renumber",
     """

@@ -31,6 +31,54 @@ def q_ingest_pages(spark, sf_dir):
                        F.octet_length("content").alias("content_bytes"), F.size("vec").alias("dim"))
 
 
+_ODD_SQL = """
+odd as (select cast(doc_id as varchar) as doc_id, case when doc_id % 13 = 0 then '!!! ... ???' when doc_id % 17 = 0 then concat(repeat(chr(1), 400), text)
+               else text end as text, concat('a/', cast(doc_id as varchar)) as path, case when doc_id % 17 = 0 then repeat(chr(2), 300) else source end as source from documents
+        union all
+        select cast(doc_id as varchar), concat('later ', text), concat('b/', cast(doc_id as varchar)), source from documents where doc_id % 10 = 0),
+last as (select doc_id, arg_max(text, path) as text from odd group by doc_id)
+"""
+
+
+def _odd_corpus(spark, sf_dir):
+    """Documents with ids that come twice, texts without any token, and control characters."""
+    d = read_table(spark, sf_dir, "documents")
+    did = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 13 == 0, "!!! ... ???").when(F.col("doc_id") % 17 == 0, F.concat(F.repeat(F.lit("\x01"), 400), "text")).otherwise(F.col("text"))
+    source = F.when(F.col("doc_id") % 17 == 0, F.repeat(F.lit("\x02"), 300)).otherwise(F.col("source"))
+    first = d.select(did.alias("doc_id"), text.alias("text"), F.concat(F.lit("a/"), did).alias("path"), F.lit("txt").alias("file_type"), source.alias("source"))
+    again = d.where(F.col("doc_id") % 10 == 0).select(did.alias("doc_id"), F.concat(F.lit("later "), "text").alias("text"), F.concat(F.lit("b/"), did).alias("path"),
+                                                      F.lit("txt").alias("file_type"), "source")
+    return first.unionByName(again)
+
+
+@register(
+    "ingest_odd",
+    f"""with {_ODD_SQL}
+select 'stored' as part, doc_id, md5(text) as value, cast(1 as bigint) as n from last where regexp_matches(text, '\\S')
+union all select 'again', 'unchanged', '', count(*) from last where regexp_matches(text, '\\S')""",
+)
+def q_ingest_odd(spark, sf_dir):
+    """E1 on odd rows: of rows with one id the last path is stored, texts without tokens and control characters
+    are indexed, metadata stays within its bytes, and an identical second sync changes nothing."""
+    from tessera.operators import index as ix
+    from tessera.operators.metadata import fit_metadata
+    from tessera.plans.ingest import ingest
+
+    base = scratch_path(spark, "odd")
+    corpus = _odd_corpus(spark, sf_dir).where(~tx.is_blank("text"))
+    ingest(spark, corpus, base, SPEC, sync=True, ingested_at=FIXED_TIME)
+    version = ix.current_version(spark, base)
+    again = ingest(spark, corpus, base, SPEC, sync=True, ingested_at=FIXED_TIME)
+    stored = ix.read_index(spark, base)
+    fits = fit_metadata(stored.withColumn("content_full", F.col("content"))).groupBy("doc_id").agg(F.max("meta_json_bytes").alias("most"))
+    kept = F.lit(ix.current_version(spark, base) == version)
+    heads = ix.doc_header_rows(stored).join(fits, "doc_id").where(kept & (F.col("most") <= 2048))
+    heads = heads.groupBy("doc_id").agg(F.max("content_hash").alias("value"), F.count("*").alias("n"))
+    return heads.select(F.lit("stored").alias("part"), "doc_id", "value", "n").unionByName(
+        again.select(F.lit("again").alias("part"), F.col("status").alias("doc_id"), F.lit("").alias("value"), F.col("docs").alias("n")))
+
+
 @register(
     "scan_corpus",
     """select page_id, 'txt' as file_type, md5(html || chr(10)) as content_hash from pages

@@ -147,7 +147,7 @@ with iv as ({INDEX_VIEW_SQL}), {_DUCK_Q},
 p as (select q.query_id, iv.*, {_DUCK_COS} as distance from q cross join iv where iv.file_type = 'txt'),
 r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p)
 select query_id, rank, round(1 - distance / 2, 4) as score, doc_id, source, cast(chunk_index as varchar) as chunk_index,
-       cast(total_chunks as varchar) as total_chunks, '' as heading_path, left(content, 300) as content_preview, tags
+       cast(total_chunks as varchar) as total_chunks, '' as heading_path, left(content, 300) as content_preview, tags, cast(null as varchar) as context_prefix
 from r where rank <= 5 and 1 - distance / 2 >= 0.6
 """,
 )
@@ -191,7 +191,21 @@ def q_report_lines(spark, sf_dir):
     return report_lines(hits, queries=qv, k=3)
 
 
-@register("search_json")
+_JSON_SQL = f"""
+with iv as ({INDEX_VIEW_SQL}), {_DUCK_Q},
+p as (select q.query_id, iv.*, {_DUCK_COS} as distance from q cross join iv where iv.lang = 'en'),
+r as (select *, row_number() over (partition by query_id order by distance, key) as rank from p),
+h as (select query_id, list({{'rank': rank, 'score': round(1 - distance / 2, 4), 'doc_id': doc_id, 'source': source,
+             'chunk_index': cast(chunk_index as varchar), 'total_chunks': cast(total_chunks as varchar), 'heading_path': '',
+             'content_preview': left(content, 300), 'tags': tags}} order by rank) as results
+      from r where rank <= 5 and 1 - distance / 2 >= 0.6 group by query_id)
+select vec_id as query_id, cast(to_json({{'success': true, 'action': 'search', 'query': cast(vec_id as varchar), 'top_k': 5,
+       'threshold': cast(0.6 as double), 'results_count': len(coalesce(results, [])), 'results': coalesce(results, [])}}) as varchar) as json
+from embeddings left join h on h.query_id = vec_id
+"""
+
+
+@register("search_json", _JSON_SQL)
 def q_search_json(spark, sf_dir):
     """One JSON document per query: query, top_k, threshold, results_count and the ranked results."""
     from tessera.operators.search import hit_rows, search_json

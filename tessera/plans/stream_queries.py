@@ -31,6 +31,19 @@ def q_stream_ingest(spark, sf_dir):
     return idx.select("key", "doc_id", "chunk_index", "total_chunks", "content_hash", "tags")
 
 
+@register(
+    "stream_ingest_docs",
+    """select cast(doc_id as varchar) as doc_id, md5(text) as content_hash, concat(cast(doc_id as varchar), '.chunk-0000') as key,
+              true as whole from documents where regexp_matches(text, '\\S')""",
+)
+def q_stream_ingest_docs(spark, sf_dir):
+    """R1, final state: hash and first key of every document, and whether its chunks 0 .. n-1 are all there once."""
+    rows = q_stream_ingest(spark, sf_dir)
+    return rows.groupBy("doc_id", "content_hash").agg(
+        F.min("key").alias("key"),
+        ((F.count("*") == F.max("total_chunks")) & (F.countDistinct("chunk_index") == F.count("*")) & (F.max("chunk_index") == F.count("*") - 1)).alias("whole"))
+
+
 @register("stream_dedup", "select distinct md5(text) as text_md5 from documents")
 def q_stream_dedup(spark, sf_dir):
     """R2: streaming de-duplication of equal texts within a watermark."""

@@ -81,17 +81,17 @@ def q_file_types(spark, sf_dir):
 # P4/P5 HTML text
 # --------------------------------------------------------------------------
 def _html_text_sql(h: str) -> str:
-    x = f"regexp_replace({h}, '(?s)<!--.*?-->', chr(10), 'g')"
-    x = f"regexp_replace({x}, '(?is)<!doctype[^>]*>', chr(10), 'g')"
-    for tag in tx.HTML_DROP_ELEMENTS:
-        x = f"regexp_replace({x}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', chr(10), 'g')"
-    pieces = f"list_transform(string_split({x}, chr(10)), lambda s: {_STRIP.format(x='s')})"
-    t = f"array_to_string(list_filter({pieces}, lambda s: s <> ''), chr(10))"
-    for ent, ch in tx.HTML_ENTITIES:
-        ch_sql = ch.replace("'", "''")
-        t = f"replace({t}, '{ent}', '{ch_sql}')"
-    return t
+    """The same text for well-formed pages: tags become separators, references are decoded piece by piece."""
+    x = f"regexp_replace({h}, '(?s)<!--.*?-->', chr(1), 'g')"
+    x = f"regexp_replace({x}, '(?is)<!doctype[^>]*>', chr(1), 'g')"
+    for tag in ("script", "style", "nav", "header", "footer"):
+        x = f"regexp_replace({x}, '(?is)<{tag}(\\s[^>]*)?>.*?</{tag}\\s*>', chr(1), 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', chr(1), 'g')"
+    piece = "s"
+    for name, ch in (("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("euro", "€"), ("mdash", "—"), ("#8217", "’"), ("amp", "&")):
+        piece = f"replace({piece}, '&{name};', '{ch}')"
+    strip = f"regexp_replace({piece}, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({x}, chr(1)), lambda s: {strip}), lambda s: s <> ''), chr(10))"
 
 
 @register("html_text", f"select page_id, {_html_text_sql('html')} as text from pages")
