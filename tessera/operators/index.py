@@ -16,7 +16,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as tx
 from tessera.schema import INDEX_SCHEMA, IndexSpec
 
 DEFAULT_BUCKETS = 64
@@ -182,10 +181,6 @@ def page_vectors(index: DataFrame, max_results: int, next_token: str | None = No
     return page
 
 
-def index_key(doc_id, chunk_index):
-    return tx.vector_key(doc_id, chunk_index)
-
-
 # --------------------------------------------------------------------------
 # Versioned storage
 #

@@ -99,11 +99,3 @@ def best_tag(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.min_by("tag", F.struct((-F.col("hits")).alias("h"), F.col("tag"))).alias("best_tag"),
         F.max("hits").alias("hits"),
     )
-
-
-def catalog_values_sql(catalog: dict | None = None) -> str:
-    """The catalog's (tag, keyword) pairs as a DuckDB VALUES list (for oracles)."""
-    cat = DEFAULT_CATALOG if catalog is None else catalog
-    pairs = sorted({(name, kw.lower()) for name, (_, kws, _) in cat.items() for kw in kws if kw})
-    vals = ", ".join(f"('{n}', '{k}')" for n, k in pairs)
-    return f"(select * from (values {vals}) as t(tag, kw))"

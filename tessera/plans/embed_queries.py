@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import embed as em
-from tessera.operators.search import search
+from tessera.operators.search import search_texts
 from tessera.plans.registry import register
 from tessera.schema import IndexSpec
 from tessera.sources.tables import read_table
@@ -104,9 +104,7 @@ from r where rank <= 5 and 1 - distance / 2 >= 0.6
 def q_search_text(spark, sf_dir):
     """Benchmark texts embedded with the built-in embedder search the
     embedded documents: top 5, score >= 0.6."""
-    b = read_table(spark, sf_dir, "benchmark")
-    qv = b.select(F.col("item_id").alias("query_id"), em.hash_embed_udf(DIM)("text").alias("qvec")).where(
-        F.col("qvec").isNotNull())
-    hits = search(_doc_index(spark, sf_dir), qv, SPEC, k=5, threshold=0.6, payload=("doc_id",))
+    texts = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = search_texts(_doc_index(spark, sf_dir), texts, SPEC, k=5, threshold=0.6, payload=("doc_id",))
     return hits.select("query_id", "rank", "key", "doc_id", F.round("distance", 6).alias("distance"),
                        F.round("score", 4).alias("score"))

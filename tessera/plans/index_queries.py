@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import index as ix
 from tessera.operators import sync as sy
 from tessera.plans.fixtures import (
@@ -17,6 +18,7 @@ from tessera.plans.fixtures import (
     stored_docs,
 )
 from tessera.plans.registry import register
+from tessera.session import materialize
 from tessera.sources.tables import read_table
 
 LI = line_index_sql()
@@ -60,7 +62,7 @@ def q_page_vectors(spark, sf_dir):
 )
 def q_get_vectors(spark, sf_dir):
     """Point lookup of the first chunk of every good-quality document."""
-    keys = _labels(spark, sf_dir).where(F.col("quality") == 1).select(ix.index_key("doc_id", F.lit(0)).alias("key"))
+    keys = _labels(spark, sf_dir).where(F.col("quality") == 1).select(tx.vector_key("doc_id", F.lit(0)).alias("key"))
     return ix.get_vectors(line_index(spark, sf_dir), keys).select("key", "doc_id", "content")
 
 
@@ -71,7 +73,7 @@ def q_get_vectors(spark, sf_dir):
 )
 def q_delete_keys(spark, sf_dir):
     """The index without the first chunk of every toxic document."""
-    keys = _labels(spark, sf_dir).where(F.col("toxic") == 1).select(ix.index_key("doc_id", F.lit(0)).alias("key"))
+    keys = _labels(spark, sf_dir).where(F.col("toxic") == 1).select(tx.vector_key("doc_id", F.lit(0)).alias("key"))
     return ix.delete_keys(line_index(spark, sf_dir), keys).select("key")
 
 
@@ -128,7 +130,7 @@ def q_put_vectors(spark, sf_dir):
     (two versions of the same key in one batch: the later wins)."""
     old = index_view(spark, sf_dir).select("key", "doc_id", "tags", F.lit(0).alias("version"))
     lab = _labels(spark, sf_dir)
-    k = ix.index_key("doc_id", F.lit(0)).alias("key")
+    k = tx.vector_key("doc_id", F.lit(0)).alias("key")
     new = lab.select(k, "doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("tags"), F.lit(1).alias("version"))
     new2 = lab.where(F.col("toxic") == 1).select(k, "doc_id", F.concat(F.lit("t"), F.col("toxic").cast("string")).alias("tags"),
                                                  F.lit(2).alias("version"))
@@ -216,7 +218,7 @@ union all select * from new
 def q_sync_apply(spark, sf_dir):
     """The index after sync -- unchanged rows kept, changed/new documents re-chunked, removed dropped."""
     inc, stored_index = _sync_inputs(spark, sf_dir)
-    plan = sy.sync_plan(inc, stored_index)
+    plan = materialize(sy.sync_plan(inc, stored_index), "plan")  # three parts of the result read it
     todo = sy.to_ingest(inc, plan)
     new_rows = line_index(spark, sf_dir, docs=todo.withColumn("doc_id", F.col("doc_id")))
     return sy.sync_apply(stored_index, new_rows, plan).select("key", "doc_id", "content_hash")
@@ -237,7 +239,7 @@ group by p.status
 def q_sync_summary(spark, sf_dir):
     """A4: per status documents, stored chunks and chunks written."""
     inc, stored_index = _sync_inputs(spark, sf_dir)
-    plan = sy.sync_plan(inc, stored_index)
+    plan = materialize(sy.sync_plan(inc, stored_index), "plan")
     new_rows = line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan))
     return sy.sync_summary(plan, stored_index, new_rows)
 
@@ -261,7 +263,7 @@ from s
 def q_sync_counters(spark, sf_dir):
     """A4/Q20: ingested, skipped, deleted (chunks) and chunks written, as one row."""
     inc, stored_index = _sync_inputs(spark, sf_dir)
-    plan = sy.sync_plan(inc, stored_index)
+    plan = materialize(sy.sync_plan(inc, stored_index), "plan")
     new_rows = line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan))
     return sy.sync_counters(sy.sync_summary(plan, stored_index, new_rows))
 

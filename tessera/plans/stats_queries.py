@@ -99,7 +99,15 @@ def q_stats_report(spark, sf_dir):
 # --------------------------------------------------------------------------
 # tags
 # --------------------------------------------------------------------------
-_KW = tg.catalog_values_sql()
+def catalog_values_sql(catalog: dict | None = None) -> str:
+    """The catalog's (tag, keyword) pairs as a DuckDB VALUES list (for oracles)."""
+    cat = tg.DEFAULT_CATALOG if catalog is None else catalog
+    pairs = sorted({(name, kw.lower()) for name, (_, kws, _) in cat.items() for kw in kws if kw})
+    vals = ", ".join(f"('{n}', '{k}')" for n, k in pairs)
+    return f"(select * from (values {vals}) as t(tag, kw))"
+
+
+_KW = catalog_values_sql()
 _HITS_SQL = f"""
 hits as (select cast(d.doc_id as varchar) as doc_id, k.tag, count(*) as hits
          from documents d join {_KW} k on contains(lower(d.text), k.kw) group by all)

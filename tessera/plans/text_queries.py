@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import metadata as md
+from tessera.plans import metadata_fixture as mf
 from tessera.plans.fixtures import INDEX_VIEW_SQL, index_view
 from tessera.plans.registry import register
 from tessera.sources.tables import read_table
@@ -149,16 +149,16 @@ def q_embed_input(spark, sf_dir):
 # --------------------------------------------------------------------------
 # P10/P11 chunk metadata and the 2048-byte budget
 # --------------------------------------------------------------------------
-@register("chunk_metadata", md.CHUNK_METADATA_SQL)
+@register("chunk_metadata", mf.CHUNK_METADATA_SQL)
 def q_chunk_metadata(spark, sf_dir):
     """Metadata of each document as one chunk; content cut to the byte budget."""
-    return md.chunk_metadata_fixture(_docs(spark, sf_dir))
+    return mf.chunk_metadata_fixture(_docs(spark, sf_dir))
 
 
-@register("metadata_budget", md.METADATA_BUDGET_SQL)
+@register("metadata_budget", mf.METADATA_BUDGET_SQL)
 def q_metadata_budget(spark, sf_dir):
     """Every metadata JSON, after the fix, within 2048 bytes."""
-    return md.metadata_budget_fixture(_docs(spark, sf_dir))
+    return mf.metadata_budget_fixture(_docs(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 TOP_K_MIN = 1
 TOP_K_MAX = 100
-PUT_BATCH_MAX = 500
 EMBED_INPUT_MAX_CHARS = 8000
 FILTERABLE_METADATA_MAX_BYTES = 2048
 METADATA_CONTENT_BUDGET = 1900
@@ -73,25 +72,6 @@ INDEX_SCHEMA = T.StructType(
     ]
 )
 
-CORPUS_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.StringType(), False),
-        T.StructField("path", T.StringType(), True),
-        T.StructField("text", T.StringType(), True),
-        T.StructField("file_type", T.StringType(), True),
-        T.StructField("source", T.StringType(), True),
-        T.StructField("tags", T.StringType(), True),
-        T.StructField("author", T.StringType(), True),
-    ]
-)
-
-CHUNK_STRUCT = T.StructType(
-    [
-        T.StructField("heading_path", T.StringType(), True),
-        T.StructField("content", T.StringType(), True),
-    ]
-)
-
 VECTOR_RECORD_SCHEMA = T.StructType(
     [
         T.StructField("key", T.StringType(), True),
