@@ -216,22 +216,28 @@ def _meet(k: int):
     """One block of queries against one of candidates -> (v, score, id)."""
     lowest = np.iinfo(np.int64).min
 
+    def tree(held: dict, payload: bytes, many: int):
+        """The block's tree; a block meets several others, so the last few are held."""
+        if payload not in held:
+            if len(held) >= many:
+                held.clear()
+            t = B.unpack(payload)
+            v = t.column("v").to_pylist()
+            if "ids" not in t.column_names:
+                held[payload] = (CoverTree(_matrix(v)), v)
+            else:
+                lists = t.column("ids").to_pylist()
+                made = CoverTree(np.repeat(_matrix(v), [len(x) for x in lists], axis=0))
+                held[payload] = (made, np.array([i for x in lists for i in x], np.int64)[made.order])
+        return held[payload]
+
     def run(batches):
-        trees: dict = {}
+        asked, there = {}, {}
         for b in batches:
             for qp, fp, cp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                qv = B.unpack(qp).column("v").to_pylist()
+                queries, qv = tree(asked, qp, 32)
+                cands, ids = tree(there, cp, 8)
                 floor = np.frombuffer(fp, np.int64) if fp else np.full(len(qv), lowest)
-                key = hash(qp)
-                if key not in trees:
-                    trees.clear()
-                    trees[key] = CoverTree(_matrix(qv))
-                queries = trees[key]
-                t = B.unpack(cp)
-                lists, m = t.column("ids").to_pylist(), _matrix(t.column("v").to_pylist())
-                many = [len(x) for x in lists]
-                cands = CoverTree(np.repeat(m, many, axis=0))
-                ids = np.array([i for x in lists for i in x], np.int64)[cands.order]
                 q, s, i = search(queries, cands, ids, k, floor[queries.order])
                 yield pa.RecordBatch.from_arrays([pa.array([qv[x] for x in queries.order[q].tolist()], pa.binary()), pa.array(s), pa.array(i)], names=["v", "score", "vec_id"])
 
