@@ -10,7 +10,9 @@ order they stand there.
 
 Documents are read once, in place, for each slice of the items; a slice holds
 at most ``SLICE_WORDS`` words, so what a task gets of the items is bounded
-however many there are. Lower-cases A-Z; words are ``[^\\x20\\x09-\\x0D]+``. An
+however many there are. Words are runs of letters and digits (all of U+0080 on
+counts as letters), A-Z and U+00C0 to U+00DE lower-cased, so that signs strewn
+into a passage or capitals don't hide it. An
 item with fewer than ``size`` words is a seed as a whole; null, empty and
 blank items leak nowhere, and such documents hold nothing. Rows count for
 themselves: repeated ``doc_id`` values give rows each, a null one is kept as
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import U64, merge_spans, mix, ranges, shingle_hash, text_arrays, words
+from tessera.llm.kernels import U64, merge_spans, mix, portions, ranges, shingle_hash, text_arrays, words
 from tessera.session import ship_package
 
 SLICE_WORDS = 1 << 20
@@ -36,12 +38,27 @@ _FILTER = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 
 
+_FOLD = np.full(256, 0x20, np.uint8)
+_FOLD[0x30:0x3A] = np.arange(0x30, 0x3A)
+_FOLD[0x41:0x5B] = _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
+_FOLD[0x80:] = np.arange(0x80, 0x100)
+
+
+def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, first word of each text) of a column."""
+    data, off = text_arrays(col)
+    low = _FOLD[data]
+    second = np.flatnonzero(low[:-1] == 0xC3) + 1
+    low[second[(low[second] <= 0x9E) & (low[second] >= 0x80) & (low[second] != 0x97)]] += 0x20
+    h, _, first = words(low, off)
+    return h, first
+
+
 class Seeds:
     """Seeds of a slice of items, sorted by hash."""
 
     def __init__(self, items: list[tuple[int | None, str]], size: int):
-        data, off = text_arrays(pa.array([t for _, t in items], pa.string()))
-        h, _, first = words(data, off)
+        h, first = _words(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.words = [h[first[j] : first[j + 1]] for j in range(len(items))]
         keys, item, pos, sizes = [], [], [], set()
@@ -127,8 +144,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, free: np.ndarray, size: int) -> lis
 
 def _hits(col: pa.Array, seeds: Seeds, size: int, percent: int, memo: dict) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, coverage, tiles, longest tile) for the texts of one column."""
-    data, off = text_arrays(col)
-    h, _, first = words(data, off)
+    h, first = _words(col)
     if not len(h) or not len(seeds.key):
         return
     spans = []
@@ -202,9 +218,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
         def run(batches, held=held):
             seeds, memo = Seeds(held.value, size), {}
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    got = list(_hits(b.column(1).slice(lo, 256), seeds, size, percent, memo))
-                    doc = b.column(0).slice(lo, 256)
+                for lo, hi in portions(text_arrays(b.column(1))[1]):
+                    got = list(_hits(b.column(1).slice(lo, hi - lo), seeds, size, percent, memo))
+                    doc = b.column(0).slice(lo, hi - lo)
                     r, j, c, k, m = zip(*got, strict=True) if got else ([],) * 5
                     yield pa.RecordBatch.from_arrays(
                         [doc.take(pa.array(r, pa.int64())), pa.array([seeds.ids[x] for x in j], pa.int64()), pa.array(c, pa.float64()), pa.array(k, pa.int32()), pa.array(m, pa.int32())],
@@ -226,8 +242,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
         def run(batches, held=held):
             seeds, memo = Seeds(held.value, size), {}
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    some = b.slice(lo, 256)
+                for lo, hi in portions(text_arrays(b.column(at))[1]):
+                    some = b.slice(lo, hi - lo)
                     bad = {r for r, *_ in _hits(some.column(at), seeds, size, percent, memo)}
                     yield some.filter(pa.array([i not in bad for i in range(some.num_rows)], pa.bool_()))
 

@@ -1,9 +1,15 @@
 """Greedy string tiling against a plain restatement, and the operator's edge cases."""
 
 import random
+import re
 
 from tessera.llm.decontaminate import leaked_items, without_leaks
-from tests.llm.conftest import DOC, make_docs, same, tokens
+from tests.llm.conftest import DOC, make_docs, same
+
+
+def tokens(text):
+    low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), text or "")
+    return re.findall("[0-9a-z\x80-\U0010ffff]+", low)
 
 
 def plain_tiles(item, doc, size):
@@ -56,6 +62,9 @@ def cases():
         v[mid] = "other"
         rows.append((i * 10 + 3, " ".join(v)))
     rows += [(900 + i, " ".join(r.choices(voc[:6], k=80))) for i in range(4)]
+    mixed = "Über die ÑAÑEZ wÄlder, ça và sÖ fort; ÉTÉ × 3"
+    items.append((77, mixed))
+    rows += [(970, "x " + mixed.upper() + " y"), (971, " | ".join(w + "!!" for w in mixed.split()))]
     rows += [(0, rows[0][1]), (None, rows[0][1]), (950, None), (951, ""), (952, "w1"), (953, " ".join([items[0][1]] * 3))]
     return rows, items
 
