@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tessera.operators import stats as st
 from tessera.operators import tags as tg
 from tessera.plans.fixtures import line_index, line_index_sql
 from tessera.plans.registry import register
+from tessera.session import scratch_path
+from tessera.sources.files import read_tag_catalog
 from tessera.sources.tables import read_table
 
 LI = line_index_sql()
@@ -125,6 +129,14 @@ def q_keyword_tagger(spark, sf_dir):
     return tg.best_tag(tg.keyword_hits(d))
 
 
+def _catalog_file(spark) -> str:
+    """The shipped catalog as a tag file."""
+    tags = {n: {"label": lab, "keywords": list(kw), "description": desc} for n, (lab, kw, desc) in tg.DEFAULT_CATALOG.items()}
+    path = scratch_path(spark, "tags")
+    spark.createDataFrame([(json.dumps({"tags": tags}, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
 @register(
     "tag_catalog",
     f"""with {_HITS_SQL},
@@ -137,7 +149,7 @@ def q_tag_catalog(spark, sf_dir):
     """The catalog sorted by name, with the number of documents matching each tag."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     hits = tg.keyword_hits(d).groupBy("tag").agg(F.count("*").alias("docs"))
-    cat = tg.catalog_df(spark)
+    cat = read_tag_catalog(spark, _catalog_file(spark))
     out = cat.join(hits, cat.name == hits.tag, "left").select(
         "name", "label", F.size("keywords").alias("n_keywords"), "description", F.coalesce("docs", F.lit(0)).alias("docs"))
     return out.orderBy("name")

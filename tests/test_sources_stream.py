@@ -80,3 +80,35 @@ def test_stream_equals_batch(spark, tmpdir_path):
     got = sorted((r.doc_id, r.chunk_index) for r in ix.read_index(spark, base).select("doc_id", "chunk_index").collect())
     batch = ch.chunk_docs(to_corpus(docs)).select("doc_id", "chunk_index").collect()
     assert got == sorted((r.doc_id, r.chunk_index) for r in batch)
+
+
+def test_bad_vector_json_fails_and_missing_catalog_is_empty(spark, tmpdir_path):
+    import pytest
+
+    from tessera.sources import files as fs
+
+    for bad in ("not json", '{"key": 1}', "[1, 2", None):
+        one = spark.createDataFrame([(bad,)], "value string")
+        with pytest.raises(Exception):
+            fs.parse_vector_records(one).collect()
+        with pytest.raises(Exception):
+            fs.parse_query_vectors(one).collect()
+    assert fs.read_tag_catalog(spark, tmpdir_path + "/none.json").count() == 0
+    (lambda p: open(p, "w").write("{broken"))(tmpdir_path + "/bad.json")
+    with pytest.raises(Exception):
+        fs.read_tag_catalog(spark, tmpdir_path + "/bad.json").collect()
+
+
+def test_single_file_with_explicit_id(spark, tmpdir_path):
+    import pytest
+
+    from tessera.sources import files as fs
+
+    for n in ("a.md", "b.md"):
+        with open(f"{tmpdir_path}/{n}", "w") as f:
+            f.write("# T " + n)
+    got = fs.read_file(spark, f"{tmpdir_path}/a.md", doc_id="mine").collect()
+    assert [(r.doc_id, r.text, r.file_type) for r in got] == [("mine", "# T a.md", "md")]
+    for path in (tmpdir_path, f"{tmpdir_path}/*.md", f"{tmpdir_path}/none.md"):
+        with pytest.raises(ValueError):
+            fs.read_file(spark, path, doc_id="mine")
