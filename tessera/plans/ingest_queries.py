@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.plans.ingest import build_index_rows
 from tessera.plans.registry import register
+from tessera.plans.text_queries import html_text_sql
 from tessera.schema import IndexSpec
 from tessera.session import scratch_path
 from tessera.sources import files as fs
@@ -31,6 +32,24 @@ def q_ingest_pages(spark, sf_dir):
                        F.octet_length("content").alias("content_bytes"), F.size("vec").alias("dim"))
 
 
+_PAGES_SQL = f"""
+with t as (select cast(page_id as varchar) as doc_id, {html_text_sql('html')} as text from pages)
+select doc_id, md5(text) as content_hash, concat(doc_id, '.chunk-0000') as key,
+       nullif(left(regexp_extract(text, '(?s)^\\s*(.+?[.!?。])(\\s|$)', 1), 200), '') as context_prefix, true as whole
+from t where regexp_matches(text, '\\S')
+"""
+
+
+@register("ingest_pages_docs", _PAGES_SQL)
+def q_ingest_pages_docs(spark, sf_dir):
+    """E1/H2 per page: text hash, first key, prefix (all chunks have the same here) and whether chunks 0 .. n-1 are all there."""
+    rows = q_ingest_pages(spark, sf_dir)
+    n = F.count("*")
+    whole = (n == F.max("total_chunks")) & (F.countDistinct("chunk_index") == n) & (F.max("chunk_index") == n - 1) & (F.max("dim") == SPEC.dim)
+    same = F.coalesce(F.min("context_prefix") == F.max("context_prefix"), F.lit(True))
+    return rows.groupBy("doc_id", "content_hash").agg(F.min("key").alias("key"), F.max("context_prefix").alias("context_prefix"), (whole & same).alias("whole"))
+
+
 _ODD_SQL = """
 odd as (select cast(doc_id as varchar) as doc_id, case when doc_id % 13 = 0 then '!!! ... ???' when doc_id % 17 = 0 then concat(repeat(chr(1), 400), text)
                else text end as text, concat('a/', cast(doc_id as varchar)) as path, case when doc_id % 17 = 0 then repeat(chr(2), 300) else source end as source from documents

@@ -80,7 +80,7 @@ def q_file_types(spark, sf_dir):
 # --------------------------------------------------------------------------
 # P4/P5 HTML text
 # --------------------------------------------------------------------------
-def _html_text_sql(h: str) -> str:
+def html_text_sql(h: str) -> str:
     """The same text for well-formed pages: tags become separators, references are decoded piece by piece."""
     x = f"regexp_replace({h}, '(?s)<!--.*?-->', chr(1), 'g')"
     x = f"regexp_replace({x}, '(?is)<!doctype[^>]*>', chr(1), 'g')"
@@ -94,7 +94,7 @@ def _html_text_sql(h: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split({x}, chr(1)), lambda s: {strip}), lambda s: s <> ''), chr(10))"
 
 
-@register("html_text", f"select page_id, {_html_text_sql('html')} as text from pages")
+@register("html_text", f"select page_id, {html_text_sql('html')} as text from pages")
 def q_html_text(spark, sf_dir):
     """Visible text of every page (script/style/nav/header/footer removed)."""
     return read_table(spark, sf_dir, "pages").select("page_id", tx.html_text("html").alias("text"))

@@ -10,9 +10,6 @@ import __spark_entry__ as E
 from tessera.sources.tables import TABLES
 from tests.conftest import SF001
 
-SKIP = {"stream_ingest", "ingest_pages"}
-
-
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 5) + 0.0
@@ -49,10 +46,8 @@ def test_query_matches_duckdb(spark, con, name):
 
 
 def test_every_query_runs(spark):
-    for name, fn in E.queries().items():
-        if name in SKIP:
-            continue
-        fn(spark, SF001).limit(1).collect()
+    for name in sorted(set(E.queries()) - set(E.oracle_sql())):
+        assert E.queries()[name](spark, SF001).count() >= 0
 
 
 def test_entry(spark):
