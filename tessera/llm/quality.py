@@ -75,8 +75,10 @@ def _text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(mask)])
         return (c[off[1:]] - c[off[:-1]]) / (n + 100)  # shares of short texts say little
 
-    pairs = np.unique(np.stack([doc, h.view(np.int64)]), axis=1)[0] if len(h) else doc
-    different = (np.bincount(pairs, minlength=len(n)) + 20) / (count + 20)
+    order = np.lexsort((h, doc))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[1:] != doc[:-1])
+    different = (np.bincount(doc[new], minlength=len(n)) + 20) / (count + 20)
     upper = (data >= 0x41) & (data <= 0x5A)
     again = np.zeros(len(h) + 1, np.int64)
     again[1:-1] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
