@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 from tessera.llm.components import components
-from tessera.llm.kernels import U64, doc_shingles, text_arrays, words
+from tessera.llm.kernels import U64, doc_shingles, portions, text_arrays, words
 from tessera.session import materialize
 
 LIST_BLOCK = 512
@@ -43,8 +43,9 @@ def _sets(t: pa.Table, size: int, only: np.ndarray | None = None):
     """(place, sorted distinct shingles) of the texts of a block."""
     data, off = text_arrays(t.column("text"))
     places = np.arange(len(off) - 1) if only is None else only
-    for lo in range(0, len(places), 512):
-        some = places[lo : lo + 512]
+    size_of = off[places + 1] - off[places]
+    for lo, hi in portions(np.concatenate([[0], np.cumsum(size_of)])):
+        some = places[lo:hi]
         if only is None:
             part, at = data[off[some[0]] : off[some[-1] + 1]], off[some[0] : some[-1] + 2] - off[some[0]]
         else:

@@ -86,6 +86,15 @@ def text_arrays(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def portions(off: np.ndarray, size: int = 1 << 20):
+    """Ranges (first, behind the last) of texts of about ``size`` bytes; a longer text stands alone."""
+    lo = 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
+        yield lo, min(hi, len(off) - 1)
+        lo = hi
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z lower-cased.
 

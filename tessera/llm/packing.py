@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import prefix_sums, ranges, span_hash, text_arrays
+from tessera.llm.kernels import portions, prefix_sums, ranges, span_hash, text_arrays
 from tessera.llm.ranking import number_within
 from tessera.llm.token_counts import load
 from tessera.session import materialize, ship_package
 
-PIECES = 1 << 20
+PIECES = 1 << 19
 """Pre-tokens whose ids a worker keeps at a time."""
 
 # Byte classes of lower-cased text: blank, letter (also both bytes of U+00C0 to
@@ -141,15 +141,6 @@ def id_arrays(path: str):
     return run
 
 
-def _portions(off: np.ndarray, size: int = 1 << 21):
-    """Ranges of texts of about ``size`` bytes."""
-    lo = 0
-    while lo < len(off) - 1:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, side="right")) - 1)
-        yield lo, min(hi, len(off) - 1)
-        lo = hi
-
-
 def _pieces(path: str, capacity: int, end_id: int):
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
 
@@ -158,7 +149,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         for b in batches:
             docs = b.column(0).to_pylist()
             data, off = text_arrays(b.column(1))
-            for lo, hi in _portions(off):
+            for lo, hi in portions(off):
                 got, cut = ids_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 raw, out = got.astype("<u4", copy=False).tobytes(), []
                 for doc, a, z in zip(docs[lo:hi], (cut[:-1] * 4).tolist(), (cut[1:] * 4).tolist(), strict=True):

@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from tessera.llm import blocks as B
-from tessera.llm.kernels import U64, mix, text_arrays, words
+from tessera.llm.kernels import U64, mix, portions, text_arrays, words
 from tessera.session import materialize
 
 CONTEXT, SHARE = 64, 1e-5
@@ -49,8 +49,7 @@ def _make(parts: int, out: int):
     def make(block: int, t: pa.Table) -> dict:
         data, off = text_arrays(t.column("text"))
         cols = []
-        for lo in range(0, len(off) - 1, 256):
-            hi = min(lo + 256, len(off) - 1)
+        for lo, hi in portions(off):
             h, _, first = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             cols.append((h, np.diff(first)))
         h = np.concatenate([c[0] for c in cols])
