@@ -62,7 +62,24 @@ def op10_token_counts(spark, sf_dir):
 @query
 def op7_jaccard_join(spark, sf_dir):
     """Near-duplicate components of all documents (five-word shingles, 0.8)."""
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op7_jaccard_join"] = """
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+e as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 80 * (x.n + y.n - o)),
+pairs as (select a, b from e union all select b, a from e),
+reach(id, least) as (select doc_id, doc_id from t union select pairs.b, reach.least from reach join pairs on pairs.a = reach.id where reach.least < pairs.b)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, min(least) as component_id
+from t left join n on n.doc_id = t.doc_id join reach on reach.id = t.doc_id group by all
+"""
 
 
 @query
