@@ -287,7 +287,7 @@ def _place(plan: list[tuple[dict[int, int], int]]):
             l, r = b.column(3).to_numpy().astype(np.int64), b.column(b.schema.get_field_index("number")).to_numpy()
             i = np.searchsorted(key, (l << 48) | r, side="right") - 1
             nth = r - (key[i] & ((1 << 48) - 1))
-            cols = [b.column(c) for c in range(5)]
+            cols = [b.column(c) if c != 3 else pa.array(l) for c in range(5)]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(base[i] + nth // a[i]), pa.array(offset[i] + nth % a[i] * l)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
@@ -304,4 +304,4 @@ def pack_sequences(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     numbered = number_within(pieces, "length", ["doc_id", "piece", "ids_crc32"], "number")
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
-    return numbered.mapInArrow(_place(solve(histogram, capacity)), "doc_id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(_place(solve(histogram, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
