@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, scratch_path, ship_package
+from tessera.session import scratch_path, ship_package
 from tessera.llm.kernels import U64
 
 BLOCK_BYTES = 4 << 20
@@ -302,21 +302,6 @@ def as_text(col) -> pa.Array:
     return col.cast(pa.large_string()).cast(pa.string())
 
 
-def block_rows(blocks: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(uid, columns...) of each row in the blocks; ``columns``: text or carried ones."""
-    kinds, at = dict(docs.dtypes), others(docs)
-
-    def run(batches):
-        for b in batches:
-            for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = unpack(payload)
-                uid = pa.array((np.int64(block) << 16) | np.arange(t.num_rows))
-                cols = [as_text(t.column("text")) if c == "text" else t.column(f"c{at.index(c)}") for c in columns]
-                yield from pa.table([uid, *cols], names=["uid", *columns]).to_batches(max_chunksize=1024)
-
-    return blocks.select("block", "payload").mapInArrow(run, "uid long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
-
-
 def places(uids: DataFrame) -> DataFrame:
     """Row numbers (uid) as one message to each block."""
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
-from tessera.llm.kernels import text_arrays
+from tessera.llm.kernels import portions, text_arrays
 from tessera.session import materialize, ship_package
 
 BUCKETS = 1 << 16
@@ -85,8 +85,7 @@ def _count(languages: tuple[str, ...]):
         for b in batches:
             data, off = text_arrays(b.column(1))
             which = np.array([at.get(x, -1) for x in b.column(0).to_pylist()], np.int64)
-            for lo in range(0, len(which), 256):
-                hi = min(lo + 256, len(which))
+            for lo, hi in portions(off, 1 << 19):
                 o = off[lo : hi + 1] - off[lo]
                 _, code, tells = _trigrams(data[off[lo] : off[hi]], o)
                 lang = np.repeat(which[lo:hi], np.diff(o))
@@ -136,8 +135,7 @@ def text_evidence(col: pa.Array, model) -> np.ndarray:
     """Tempered log-likelihood of each text under each language and, last, ``und``; NaN without letters."""
     data, off = text_arrays(col)
     out = np.full((len(off) - 1, model.shape[1] + 1), np.nan)
-    for lo in range(0, len(off) - 1, 256):
-        hi = min(lo + 256, len(off) - 1)
+    for lo, hi in portions(off, 1 << 19):
         o = off[lo : hi + 1] - off[lo]
         three, code, tells = _trigrams(data[off[lo] : off[hi]], o)
         if not len(three):
@@ -286,7 +284,23 @@ def accepted_documents(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame
     """The rows of ``docs`` whose language is accepted, unchanged; texts stay in their blocks."""
     model = train(docs.select(_as_text(F.col("lang")).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
     blocks, _ = B.row_blocks(docs, "langid")
-    rows = B.block_rows(blocks, docs, ["text", "lang", "source"])
-    none = F.lit(None).cast("string")
-    scored = score_texts(rows.select("uid", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix")), model, "uid")
-    return B.keep_rows(blocks, fuse(scored, languages).where("accepted").select("uid"), docs)
+    return B.keep_rows(blocks, fuse(_score_blocks(blocks, docs, model), languages).where("accepted").select("uid"), docs)
+
+
+def _score_blocks(blocks: DataFrame, docs: DataFrame, model) -> DataFrame:
+    """``score_texts`` of the rows in blocks, read and scored in one step (one Python worker a task)."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), B.others(docs)
+
+    def run(batches):
+        for b in batches:
+            for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                t = B.unpack(payload)
+                logs = text_evidence(t.column("text"), held.value)
+                items = [None if np.isnan(x[0]) else x.tolist() for x in logs]
+                none = pa.nulls(t.num_rows, pa.string())
+                said, host = (t.column(f"c{at.index(c)}").combine_chunks().cast(pa.string()) for c in ("lang", "source"))
+                uid = pa.array((np.int64(block) << 16) | np.arange(t.num_rows))
+                yield pa.RecordBatch.from_arrays([uid, said, host, none, none, pa.array(items, pa.list_(pa.float64()))], names=["uid", "declared", "host", "domain", "suffix", "logs"])
+            B.release()
+
+    return blocks.select("block", "payload").mapInArrow(run, "uid long, declared string, host string, domain string, suffix string, logs array<double>")
