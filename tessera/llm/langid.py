@@ -45,6 +45,8 @@ UNKNOWN = 1e-3
 """Prior share of texts in no known language."""
 ALIKE = 3 * np.log(1 / 32)
 """Log-likelihood of any trigram as ``und``: three bytes, each one of 32."""
+UNSEEN = 0.05
+"""Share of a language's trigrams that are as good as drawn at random."""
 HOST_STRENGTH = 20.0
 """Rows of a parent's opinion that a host or domain starts with."""
 DECLARED_TRUST = 0.9
@@ -128,7 +130,8 @@ def train(labelled: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
     pooled = grams.sum(0) + 0.5
     pooled /= pooled.sum()
     grams = (grams + 500.0 * pooled) / (grams.sum(1, keepdims=True) + 500.0)
-    return np.ascontiguousarray(np.log(grams.T).astype(np.float32))
+    # a few trigrams that a language hasn't shown yet are no evidence for none at all
+    return np.ascontiguousarray(np.log((1 - UNSEEN) * grams.T + UNSEEN * np.exp(ALIKE)).astype(np.float32))
 
 
 def text_evidence(col: pa.Array, model) -> np.ndarray:
