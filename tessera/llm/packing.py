@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import release
 from tessera.llm.kernels import portions, prefix_sums, ranges, span_hash, text_arrays
 from tessera.llm.ranking import number_within
 from tessera.llm.token_counts import load
@@ -159,6 +160,8 @@ def _pieces(path: str, capacity: int, end_id: int):
                         out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
                 cols = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("piece", "length") else pa.int64()) for n, c in zip(names, cols, strict=True)], names=list(names))
+            del data, off, b
+            release()
 
     return run
 
