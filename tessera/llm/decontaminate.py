@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import release
 from tessera.llm.kernels import U64, merge_spans, mix, portions, ranges, shingle_hash, text_arrays, words
 from tessera.session import ship_package
 
@@ -226,6 +227,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
                         [doc.take(pa.array(r, pa.int64())), pa.array([seeds.ids[x] for x in j], pa.int64()), pa.array(c, pa.float64()), pa.array(k, pa.int32()), pa.array(m, pa.int32())],
                         names=["doc_id", "item_id", "coverage", "n_tiles", "longest"],
                     )
+                release()
 
         out = out.unionByName(src.mapInArrow(run, _FOUND))
     return out
@@ -246,6 +248,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
                     some = b.slice(lo, hi - lo)
                     bad = {r for r, *_ in _hits(some.column(at), seeds, size, percent, memo)}
                     yield some.filter(pa.array([i not in bad for i in range(some.num_rows)], pa.bool_()))
+                release()
 
         out = out.mapInArrow(run, docs.schema)
     return out
