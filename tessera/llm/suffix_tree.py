@@ -34,8 +34,8 @@ from tessera.llm import blocks as B
 from tessera.llm.kernels import U64, mix, portions, text_arrays, words
 from tessera.session import materialize
 
-CONTEXT, SHARE = 64, 1e-5
-"""Training occurrences, and share of all training tokens, that make a context a candidate."""
+CONTEXT, SHARE = 64, 0.0
+"""Training occurrences that make a context a candidate, at every size: no share of the tokens is asked for."""
 GAIN = 32.0
 """Divergence from the suffix's distribution, in nats over all occurrences, that makes it a state."""
 STRENGTHS = (20.0, 200.0, 2000.0)
@@ -67,7 +67,7 @@ def _make(parts: int, out: int):
         head = B.pack(doc_id=t.column("doc_id"), held=held, n=(n + 1).astype(np.int64))
         return {
             "payload": B.frames([head, B.squeeze_sorted(vocab), B.squeeze(code.astype(np.uint32))]),
-            "known": B.frames([B.squeeze_sorted(vocab), B.squeeze(count)]),
+            "known": B.squeeze(count),
             "n_train": int(train.sum()),
         }
 
@@ -77,9 +77,9 @@ def _make(parts: int, out: int):
 def _send_words(dests: int):
     def run(batches):
         for b in batches:
-            for block, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                vocab, count = B.unframe(known)
-                yield B.rows(B.send(block, B.unsqueeze_sorted(vocab), dests, B.unsqueeze(count, np.uint32)))
+            for block, payload, known in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                vocab = B.unsqueeze_sorted(B.unframe(payload)[1])
+                yield B.rows(B.send(block, vocab, dests, B.unsqueeze(known, np.uint32)))
 
     return run
 
@@ -87,8 +87,7 @@ def _send_words(dests: int):
 class _Block:
     """What a block holds and what it was told so far."""
 
-    def __init__(self, blocks: pa.Table, told: pa.Table, least: float):
-        self.least = least
+    def __init__(self, blocks: pa.Table, told: pa.Table):
         head, vocab, code = B.unframe(blocks.column("payload")[0].as_py())
         self.block = blocks.column("block")[0].as_py()
         self.head = B.unpack(head)
@@ -114,7 +113,7 @@ class _Block:
     def pairs(self) -> None:
         """Places whose word before is a candidate context."""
         before = np.concatenate([[0], self.code[:-1]]) if len(self.code) else self.code
-        self.at2 = np.flatnonzero((self.place >= 1) & (self.count[before] >= self.least))
+        self.at2 = np.flatnonzero((self.place >= 1) & (self.count[before] >= CONTEXT))
         self.both2, self.own2, self.key2, self.order2 = self._unique(self.at2, before[self.at2], self.vocab, _PAIR)
         self.local2 = np.bincount(self.own2[self.train[self.at2]], minlength=len(self.both2))
         self.left2, self.right2 = self.both2 >> 32, self.both2 & 0xFFFFFFFF
@@ -128,7 +127,7 @@ class _Block:
         pair_of = np.full(len(self.code) + 1, -1, np.int64)
         pair_of[self.at2 + 1] = self.own2  # the pair that ends right before a place
         left = pair_of[self.at2]
-        ok = (self.place[self.at2] >= 2) & (left >= 0) & (self.count2[left] >= self.least)
+        ok = (self.place[self.at2] >= 2) & (left >= 0) & (self.count2[left] >= CONTEXT)
         self.in2 = np.flatnonzero(ok)  # among the places of pairs
         self.both3, self.own3, self.key3, self.order3 = self._unique(self.at2[ok], left[ok], self.key2, _TRIPLE)
         self.local3 = np.bincount(self.own3[self.train[self.at2[ok]]], minlength=len(self.both3))
@@ -188,7 +187,7 @@ def _pass(step: str, dests: int, total: int, distinct: int):
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return B.table([])
-        b = _Block(blocks, told, max(CONTEXT, SHARE * total))
+        b = _Block(blocks, told)
         b.pairs()
         if step == "pairs":
             return B.table(_shift(B.send(b.block, b.key2[b.order2], dests, b.local2[b.order2].astype(np.uint32)), 1))
@@ -240,7 +239,7 @@ def score_documents(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
     blocks, size = B.document_blocks(docs, "suffix_tree", _make(parts, out), "known binary, n_train long")
     dests = B.destinations(size)
     total = int(blocks.agg(F.sum("n_train")).first()[0] or 0)
-    sent = blocks.select("block", "known").mapInArrow(_send_words(dests), B.PAYLOAD)
+    sent = blocks.select("block", "payload", "known").mapInArrow(_send_words(dests), B.PAYLOAD)
     told = materialize(B.sum_keys(sent, once=lambda n: int((n > 0).sum())), "words")
     distinct = sum(int(B.unsqueeze(r["payload"], np.int64)[0]) for r in told.where("block < 0").select("payload").collect())
     texts = blocks.select("block", "payload")

@@ -137,3 +137,15 @@ def test_pages_use_markup_and_address(spark):
 @pytest.mark.parametrize("fn", [P.score_documents, lambda d: L.identify_documents(d, LANGS)])
 def test_empty(spark, fn):
     assert fn(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_suffix_tree_contexts_dont_thin_out_with_size(spark):
+    """A context of 70 occurrences is learnt among more than 7 million training tokens too."""
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(1000) if i not in held]
+    rows = [(i, "x " * 100_000) for i in train[:72]] + [(i, "rare next") for i in train[72:142]]
+    rows.append((held[0], "rare next"))
+    got = {x.doc_id: x for x in P.score_documents(make_docs(spark, rows)).where("n_tokens = 3").collect()}
+    x = got[held[0]]
+    assert x.held_out and x.train_tokens > 7_000_000 and len(got) == 71
+    assert x.score > x.base_score + 3
