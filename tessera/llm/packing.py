@@ -104,9 +104,10 @@ def id_arrays(path: str):
     """
     tok, known = load(path), {}
     store, used = np.zeros(1 << 20, np.uint32), 0
+    bounds = np.zeros(1 << 16, np.int64)  # where the ids of each remembered pre-token begin, and where the last ends
 
     def learn(hashes: list[int], pieces: list[bytes], hard: list[bool]) -> None:
-        nonlocal store, used
+        nonlocal store, used, bounds
         for h, p, odd in zip(hashes, pieces, hard, strict=True):
             if odd:
                 ids = tok.encode(p.decode(), add_special_tokens=False).ids
@@ -115,8 +116,11 @@ def id_arrays(path: str):
             if used + len(ids) > len(store):
                 store = np.concatenate([store, np.zeros(max(len(store), len(ids)), np.uint32)])
             store[used : used + len(ids)] = ids
-            known[h] = (used << 20) | len(ids)
             used += len(ids)
+            known[h] = len(known)
+            if len(known) == len(bounds):
+                bounds = np.concatenate([bounds, np.zeros(len(bounds), np.int64)])
+            bounds[len(known)] = used
 
     def run(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         nonlocal used
@@ -135,8 +139,8 @@ def id_arrays(path: str):
             raw = low.tobytes()
             learn([keys[i] for i in fresh], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], hard[at].tolist())
         place = np.array([known[k] for k in keys], np.int64)[code]
-        size = place & 0xFFFFF
-        ids = store[ranges(place >> 20, size)]
+        size = bounds[place + 1] - bounds[place]
+        ids = store[ranges(bounds[place], size)]
         return ids, np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, off)]
 
     return run

@@ -120,6 +120,25 @@ def test_packing_round_trip(odd_docs, odd_rows):
     assert len(by) <= least * 1.03 + 1
 
 
+def test_packing_of_a_pretoken_of_over_a_million_ids(spark):
+    """A text without blanks is one pre-token, however long."""
+    import random
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    text = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(500_000))
+    ids = [*Tokenizer.from_file(vocabulary("word_bpe_49k.json")).encode(text, add_special_tokens=False).ids, 0]
+    assert len(ids) > 1 << 20
+    want = []
+    for p, at in enumerate(range(0, len(ids), 2048)):
+        part = ids[at : at + 2048]
+        want.append((1, p, at, len(part), zlib.crc32(array("I", part).tobytes())))
+    got = pack_sequences(make_docs(spark, [(1, text)]), vocabulary("word_bpe_49k.json")).collect()
+    assert same([x[:5] for x in got], want)
+
+
 def test_solver_places_every_piece_once():
     import random
 
