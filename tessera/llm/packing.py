@@ -5,8 +5,9 @@ driver. The program over patterns (multisets of lengths that fit a sequence)
 is solved by multiplicative weights: a length weighs more the less of it is
 covered, and the best pattern under these prices comes from a knapsack dynamic
 program over capacities. The fractional solution is scaled down to what there
-is, rounded down, and the program is solved anew for what is left; the last
-few pieces are placed best-fit decreasing. Pieces are then numbered within
+is, rounded down, and the program is solved anew for what is left: full patterns
+only at first, then any if that takes fewer sequences; the last few pieces are
+placed best-fit decreasing. Pieces are then numbered within
 their length, and a piece's number says which copy of which pattern it fills.
 
 Null text counts as empty: one piece that is the end id alone. Every row is
@@ -218,6 +219,22 @@ def _fractional(left: np.ndarray, capacity: int, rounds: int) -> list[tuple[Coun
     return [(found[k], n / over) for k, n in uses.items()]
 
 
+def _fill(pattern: Counter) -> int:
+    return sum(l * a for l, a in pattern.items())
+
+
+def _rounded(left: np.ndarray, patterns: list[tuple[Counter, float]]) -> Counter:
+    """Whole copies of the patterns, in turn, as many as ``left`` has pieces for; takes them off it."""
+    out: Counter = Counter()
+    for pattern, n in patterns:
+        n = min(int(n), *(int(left[l]) // a for l, a in pattern.items()))
+        if n > 0:
+            out[tuple(sorted(pattern.items()))] += n
+            for l, a in pattern.items():
+                left[l] -= a * n
+    return out
+
+
 def solve(histogram: dict[int, int], capacity: int, rounds: int = 96) -> list[tuple[dict[int, int], int]]:
     """(pattern, copies) that place every piece exactly once."""
     left = np.zeros(capacity + 1, np.int64)
@@ -227,20 +244,21 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 96) -> list[tu
     if left[capacity]:
         plan[((capacity, 1),)] = int(left[capacity])
         left[capacity] = 0
-    while left.sum() > 0:
-        before = int((left * np.arange(capacity + 1)).sum())
-        if before < 64 * capacity:
+    words = lambda: int((left * np.arange(capacity + 1)).sum())
+    while (before := words()) >= 64 * capacity:
+        patterns = sorted(_fractional(left, capacity, rounds), key=lambda x: -x[1])
+        # a pattern with room left waits for what the next program offers
+        plan += _rounded(left, [(p, n) for p, n in patterns if _fill(p) >= capacity - 1])
+        if before - words() < before // 64:
             break
-        for pattern, n in sorted(_fractional(left, capacity, rounds), key=lambda x: -x[1]):
-            n = min(int(n), *(int(left[l]) // a for l, a in pattern.items()))
-            # a pattern with room left waits for what the next program offers
-            if n > 0 and sum(l * a for l, a in pattern.items()) >= capacity - 1:
-                plan[tuple(sorted(pattern.items()))] += n
-                for l, a in pattern.items():
-                    left[l] -= a * n
-        if before - int((left * np.arange(capacity + 1)).sum()) < before // 64:
+    # no full patterns any more: the program's as they are, unless best-fit alone takes fewer sequences
+    alone, some = _best_fit(left, capacity), Counter()
+    while (before := words()) > 0:
+        some += _rounded(left, sorted(_fractional(left, capacity, rounds), key=lambda x: (-_fill(x[0]), -x[1])))
+        if before - words() <= before // 8:
             break
-    plan += _best_fit(left, capacity)
+    some += _best_fit(left, capacity)
+    plan += min(alone, some, key=Counter.total)
     return [(dict(k), n) for k, n in sorted(plan.items())]
 
 

@@ -155,6 +155,18 @@ def test_solver_places_every_piece_once():
             assert sum(c for _, c in plan) <= -(-sum(k * v for k, v in h.items()) // 2048) * 1.02 + 1
 
 
+def test_solver_on_few_lengths_without_full_patterns():
+    """No pattern fills 2047: 1030 + 520 + 490 and 2 * 530 + 2 * 490 do best, best-fit alone takes 11/9 of that."""
+    h = {1030: 6000, 530: 6000, 520: 6000, 490: 12000}
+    plan, used = solve(h, 2048), Counter()
+    for p, copies in plan:
+        assert sum(k * v for k, v in p.items()) <= 2048
+        for k, v in p.items():
+            used[k] += v * copies
+    assert used == h
+    assert sum(c for _, c in plan) <= -(-sum(k * v for k, v in h.items()) // 2048) * 1.02
+
+
 def test_sharding(odd_docs, odd_rows):
     got = shard_documents(odd_docs).collect()
     want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in odd_rows]
