@@ -266,6 +266,9 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, np.int64).tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["query_id", "v"])
 
     asked = materialize(asked.mapInArrow(packed, "query_id long, v binary").distinct(), "asked")
+    # a query's own id is left out of its answers afterwards, on as many vectors as it stands
+    own = asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
+    want = k + own
 
     many = points.count()
     if not many:
@@ -292,7 +295,7 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
     cands = materialize(cands.groupBy("cell", "part").applyInArrow(_block(True), _ROW), "candidates")
     queries = materialize(queries.groupBy("cell", "part").applyInArrow(_block(False), _ROW), "queries")
 
-    # Cells by the score of their centres, as many as hold k + 1 candidates: the first to meet.
+    # Cells by the score of their centres, as many as hold the candidates wanted: the first to meet.
     first: dict[int, list[int]] = {}
     for n, (base, p) in pivots.items():
         score = p @ p.T
@@ -302,11 +305,10 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
                 if base + j not in own and base + j in stats:
                     own.append(base + j)
                     held += stats[base + j]["n"]
-                if held > k:
+                if held >= want:
                     break
             first[base + i] = own
     near = spark.createDataFrame([(c, x) for c, own in first.items() for x in own], "cell int, target int")
-    want = k + 1
     right = cands.select(F.col("cell").alias("target"), F.col("payload").alias("c"))
     pairs = queries.join(F.broadcast(near), "cell").join(right, "target").select("payload", F.lit(None).cast("binary").alias("floor"), "c")
     one = materialize(_best(pairs.mapInArrow(_meet(want), "v binary, score long, vec_id long"), want), "first")

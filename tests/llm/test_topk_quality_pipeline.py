@@ -54,6 +54,14 @@ def test_top_k_is_exact(spark, monkeypatch, block):
     assert same(T.exact_top_k(emb(spark, rows)).collect(), brute_top(rows))
 
 
+def test_top_k_of_ids_on_several_near_vectors(spark):
+    """A query's own id on many of its nearest vectors leaves k others."""
+    rows = vectors(200, 2)
+    rows += [(40, [x + i / 64 for x in rows[40][1]]) for i in range(1, 30)] + [(60, [9.0 + i for i in range(6)])]
+    got = T.exact_top_k(emb(spark, rows)).collect()
+    assert same(got, brute_top(rows)) and sum(r.query_id == 40 for r in got) == 600
+
+
 def test_top_k_few_and_none(spark):
     rows = [(0, [1.0]), (20, [-1.0]), (3, [0.0])]
     assert same(T.exact_top_k(emb(spark, rows)).collect(), brute_top(rows))
