@@ -13,7 +13,8 @@ other cells it meets only those whose bound reaches the worst of them.
 
 Of equal vectors only the k + 1 smallest ids can ever be answers, and equal
 queries have equal answers, so copies are searched once however many there
-are. Pivots and cell sizes (at most ``CELLS``) reach the driver, nothing else.
+are. Pivots and cell sizes (at most ``CELLS`` twice, and one for each further
+vector length) reach the driver, nothing else.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without an id; vectors are compared with those of their own
@@ -33,7 +34,7 @@ from tessera.llm import blocks as B
 from tessera.session import materialize, ship_package
 
 CELLS = 1024
-"""Pivots at most."""
+"""Pivots at most; each vector length beyond has a cell of its own around the origin."""
 BLOCK = 4096
 """Vectors in a block, about."""
 LEAF, FAN = 48, 8
@@ -170,7 +171,7 @@ def _first_ids(keep: int):
 
 
 def _assign(pivots: dict[int, np.ndarray]):
-    """Nearest pivot of the same length, and the distance."""
+    """Nearest pivot of the same length, and the distance; a pivot without components is the origin."""
 
     def run(batches):
         for b in batches:
@@ -178,6 +179,7 @@ def _assign(pivots: dict[int, np.ndarray]):
             for v in b.column(0).to_pylist():
                 x = np.frombuffer(v, np.int64).astype(float)
                 base, p = pivots[len(x)]
+                p = p if p.shape[1] else np.zeros((1, len(x)))
                 d = ((p - x) ** 2).sum(1)
                 i = int(d.argmin())
                 cell.append(base + i)
@@ -280,9 +282,13 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
         x = np.frombuffer(r["v"], np.int64)
         groups.setdefault(len(x), []).append(x)
     pivots, centre = {}, []
-    for n, own in sorted(groups.items()):
-        pivots[n] = (len(centre), np.stack(own).astype(float))
+    for r in points.select((F.octet_length("v") / 8).cast("int").alias("n")).distinct().collect():
+        groups.setdefault(r["n"], [np.zeros(0, np.int64)])  # the origin of the lengths beyond the first CELLS
+    length = []
+    for n, of_n in sorted(groups.items()):
+        pivots[n] = (len(centre), np.stack(of_n).astype(float))
         centre += list(pivots[n][1])
+        length += [n] * len(of_n)
 
     def dealt(df: DataFrame, size: int) -> tuple[DataFrame, dict]:
         cells = materialize(df.mapInArrow(_assign(pivots), f"{', '.join(f'{a} {t}' for a, t in df.dtypes)}, cell int, dist double"), "cells")
@@ -315,7 +321,6 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
 
     # Scores to beat, and the cells that may hold more.
     reach = {c: (np.array(centre[c]), stats[c]["radius"]) for c in stats}
-    length = {c: len(centre[c]) for c in range(len(centre))}
 
     def ask(batches):
         lowest = np.iinfo(np.int64).min

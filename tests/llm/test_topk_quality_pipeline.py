@@ -62,6 +62,13 @@ def test_top_k_of_ids_on_several_near_vectors(spark):
     assert same(got, brute_top(rows)) and sum(r.query_id == 40 for r in got) == 600
 
 
+def test_top_k_of_more_lengths_than_pivots(spark, monkeypatch):
+    monkeypatch.setattr(T, "CELLS", 3)
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(1 + i % 7)]) for i in range(400)]
+    assert same(T.exact_top_k(emb(spark, rows)).collect(), brute_top(rows))
+
+
 def test_top_k_few_and_none(spark):
     rows = [(0, [1.0]), (20, [-1.0]), (3, [0.0])]
     assert same(T.exact_top_k(emb(spark, rows)).collect(), brute_top(rows))
