@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import leaked_items
+from tessera.llm.fim import fim_digests
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import identify_documents, identify_pages
 from tessera.llm.packing import pack_sequences
 from tessera.llm.quality import score_quality
+from tessera.llm.resampling import resample
 from tessera.llm.sharding import shard_documents
 from tessera.llm.suffix_dedup import suffix_dedup
 from tessera.llm.suffix_tree import score_documents
@@ -137,3 +139,41 @@ def op6_suffix_tree(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     """Quality and toxicity of every document from co-trained views of text and record."""
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    """Every document cut at two line ends and rearranged, as digests of the output and of the text rebuilt from it."""
+    return fim_digests(documents(spark, sf_dir))
+
+
+ORACLES["op12_fill_in_middle"] = """
+with d as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as l,
+         sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+c as (
+  select *, len(l) as n, ('0x' || substr(h, 1, 8))::bigint % (len(l) + 1) as a, ('0x' || substr(h, 9, 8))::bigint % (len(l) + 1) as b,
+         ('0x' || substr(h, 17, 8))::bigint % 100 as h3, ('0x' || substr(h, 25, 8))::bigint % 100 as h4 from d),
+f as (
+  select *, least(a, b) as lo, greatest(a, b) as hi,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 100 then 'plain'
+              when h4 < 50 then 'spm' else 'psm' end as form from c),
+p as (
+  select *, coalesce(array_to_string(l[1:lo], ''), '') as pre, coalesce(array_to_string(l[lo + 1:hi], ''), '') as mid,
+         coalesce(array_to_string(l[hi + 1:n], ''), '') as suf from f),
+o as (
+  select *, case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      else '<S>' || suf || '<P>' || pre || '<M>' || mid end as o from p),
+r as (
+  select *, case form when 'plain' then o
+    when 'psm' then substr(o, 4, strpos(o, '<S>') - 4) || substr(o, strpos(o, '<M>') + 3) || substr(o, strpos(o, '<S>') + 3, strpos(o, '<M>') - strpos(o, '<S>') - 3)
+    else substr(o, strpos(o, '<P>') + 3, strpos(o, '<M>') - strpos(o, '<P>') - 3) || substr(o, strpos(o, '<M>') + 3) || substr(o, 4, strpos(o, '<P>') - 4) end as back from o)
+select doc_id, n, form, case when form <> 'plain' then len(pre) end as prefix_chars, case when form <> 'plain' then len(mid) end as middle_chars,
+       sha256(o) as output_sha256, sha256(back) as restored_sha256 from r
+"""
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    """A twentieth of the documents drawn towards the benchmark's distribution of word runs."""
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
