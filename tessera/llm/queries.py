@@ -10,6 +10,7 @@ from tessera.llm.decontaminate import leaked_items
 from tessera.llm.fim import fim_digests
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.langid import identify_documents, identify_pages
+from tessera.llm.near_vectors import near_vectors
 from tessera.llm.packing import pack_sequences
 from tessera.llm.quality import score_quality
 from tessera.llm.resampling import resample
@@ -141,6 +142,28 @@ def op2_quality(spark, sf_dir):
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op11_near_vectors(spark, sf_dir):
+    """Near-duplicate components of all embeddings of a label (cosine 0.93)."""
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op11_near_vectors"] = """
+with recursive v as (select row_number() over () as u, vec_id, label, cast(embedding as double[]) as e from embeddings),
+ok as (
+  select * from v where label is not null and e is not null and len(e) > 0
+    and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (
+  select a.u as a, b.u as b, b.vec_id as id from ok a join ok b
+  on a.label = b.label and a.u <> b.u and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(u, least) as (select u, vec_id from v union select link.b, reach.least from reach join link on link.a = reach.u where reach.least < link.id),
+n as (select a, count(*) as n from link group by a),
+c as (select u, min(least) as component_id from reach group by u)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from v join c on c.u = v.u left join n on n.a = v.u
+"""
+
+
 @query
 def op12_fill_in_middle(spark, sf_dir):
     """Every document cut at two line ends and rearranged, as digests of the output and of the text rebuilt from it."""
