@@ -2,27 +2,32 @@
 page, segment, validation, and the versioned Parquet layout.
 
 Layout: Parquet partitioned by ``bucket = pmod(xxhash64(doc_id), B)``. A
-write creates a new version directory with only the buckets that change; a
-manifest maps every bucket to its directory and a pointer names the
-manifest (see "Versioned storage" below), so a replace or delete never
-rewrites the whole index and never overwrites a path that is being read.
+write adds parts to the buckets that change (new rows, ids of deleted
+documents), and a manifest names the parts of every bucket (see "Versioned
+storage" below), so a replace or delete never rewrites what stays and never
+overwrites a path that is being read.
 """
 
 from __future__ import annotations
 
 import os
+import time
 import uuid
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.schema import INDEX_SCHEMA, IndexSpec
+from tessera.session import materialize
 
 DEFAULT_BUCKETS = 64
 MAX_FILE_ROWS = 1_000_000
-# A literal key list up to this many keys is broadcast; a longer one is joined
+# A list of keys up to this many bytes is broadcast; a longer one is joined
 # as Spark sees fit.
-MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def bucket_of(doc_id, buckets: int = DEFAULT_BUCKETS):
@@ -53,27 +58,31 @@ def assert_dims(vectors: DataFrame, spec: IndexSpec, vec_col: str = "vec") -> Da
     return vectors.where(F.assert_true(ok, F.lit(f"vector dimension must be {spec.dim}")).isNull())
 
 
-def _keys_side(keys: DataFrame, key_col: str, bounded: bool) -> DataFrame:
-    k = keys.select(F.col(key_col).alias("key")).distinct() if key_col != "key" else keys.select("key").distinct()
-    return F.broadcast(k) if bounded else k
+def split_keys(keys) -> list[str]:
+    """The keys of a comma list (or Python list), without blanks."""
+    if isinstance(keys, str):
+        keys = keys.split(",")
+    return [k.strip() for k in keys if k and k.strip()]
 
 
 def keys_from_list(spark: SparkSession, keys) -> DataFrame:
     """A comma list (or Python list) of keys -> a one-column DataFrame."""
-    if isinstance(keys, str):
-        keys = keys.split(",")
-    keys = [k.strip() for k in keys if k and k.strip()]
-    return spark.createDataFrame([(k,) for k in keys], "key string")
-
-
-def get_vectors(index: DataFrame, keys, return_data: bool = False, return_metadata: bool = True,
-                bounded: bool = False) -> DataFrame:
-    """Point lookup; missing keys are silently absent. ``bounded`` marks a
-    key set known to be small (e.g. a literal list) so it is broadcast."""
-    if not isinstance(keys, DataFrame):
-        bounded = len(keys) <= MAX_BROADCAST_KEYS or isinstance(keys, str)
-        keys = keys_from_list(index.sparkSession, keys)
-    out = index.join(_keys_side(keys, "key", bounded), "key", "left_semi")
+    return spark.createDataFrame([(k,) for k in split_keys(keys)], "key string")
+
+
+def _key_table(spark: SparkSession, keys) -> DataFrame:
+    """Distinct keys to join with. A list is split first and broadcast if its
+    bytes allow it; a table is sized by Spark."""
+    if isinstance(keys, DataFrame):
+        return keys.select("key").distinct()
+    split = split_keys(keys)
+    table = keys_from_list(spark, split).distinct()
+    return F.broadcast(table) if sum(len(k.encode()) + 16 for k in split) <= MAX_BROADCAST_BYTES else table
+
+
+def get_vectors(index: DataFrame, keys, return_data: bool = False, return_metadata: bool = True) -> DataFrame:
+    """Point lookup by a list or a table of keys; missing keys are silently absent."""
+    out = index.join(_key_table(index.sparkSession, keys), "key", "left_semi")
     return project(out, return_data, return_metadata)
 
 
@@ -87,12 +96,9 @@ def project(index: DataFrame, return_data: bool, return_metadata: bool) -> DataF
     return index.select(*cols)
 
 
-def delete_keys(index: DataFrame, keys, bounded: bool = False) -> DataFrame:
-    """The index without the given keys."""
-    if not isinstance(keys, DataFrame):
-        bounded = len(keys) <= MAX_BROADCAST_KEYS or isinstance(keys, str)
-        keys = keys_from_list(index.sparkSession, keys)
-    return index.join(_keys_side(keys, "key", bounded), "key", "left_anti")
+def delete_keys(index: DataFrame, keys) -> DataFrame:
+    """The index without the given keys (a list or a table)."""
+    return index.join(_key_table(index.sparkSession, keys), "key", "left_anti")
 
 
 def delete_docs(index: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,19 +141,19 @@ def latest_version(rows: DataFrame, key: str = "key", version: str = "version")
     return agg.select(key, *[F.col("_r")[c].alias(c) for c in payload])
 
 
-def put_vectors(index: DataFrame, new: DataFrame, bounded: bool = False) -> DataFrame:
+def put_vectors(index: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert -- a key present in ``new`` replaces the stored row.
 
     Duplicate keys inside ``new`` keep the highest ``version`` (if given); ties,
     and duplicates without versions, are decided by a hash of the row, so that
-    every run keeps the same one. The stored index is never shuffled: the new keys are
-    anti-joined (broadcast when ``bounded``).
+    every run keeps the same one. The new keys are anti-joined; Spark broadcasts
+    them where their size, measured at run time, allows it.
     """
     if "version" in new.columns:
         new = latest_version(new, "key", "version").drop("version")
     else:
         new = latest_version(new.withColumn("_v", F.lit(0)), "key", "_v").drop("_v")
-    kept = index.join(_keys_side(new, "key", bounded), "key", "left_anti")
+    kept = index.join(new.select("key"), "key", "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -184,20 +190,41 @@ def page_vectors(index: DataFrame, max_results: int, next_token: str | None = No
 # --------------------------------------------------------------------------
 # Versioned storage
 #
-#   base/_manifests/v-<number>    one line per bucket: "<bucket>\t<directory>"
-#                                 (first line "#buckets\t<B>"); the highest
-#                                 number is current
-#   base/<version>/bucket=<b>/    Parquet files of bucket b written by <version>
+#   base/_manifests/v-<number>             the parts of every bucket; the highest
+#                                          complete number is current
+#   base/<version>/rows/bucket=<b>/        rows that <version> added to bucket b
+#   base/<version>/deletes/bucket=<b>/     ids of documents whose older rows in
+#                                          bucket b are gone
+#
+# A write adds a part of rows and a part of deleted ids to the buckets it
+# touches and rewrites nothing; a part of deletes hides the rows of its
+# documents in parts that an earlier manifest added. ``compact_index`` turns the
+# parts of a bucket into one again.
 #
-# A write creates a new version directory holding only the buckets it
-# touched, then commits a new manifest (untouched buckets keep pointing at
-# older directories) by creating the next number, which only one writer can.
-# Files are never overwritten, readers of an older manifest are unaffected,
-# and since bucket = f(doc_id) every document is always read whole from one
-# version. The small metadata files go through the Hadoop FileSystem API
-# directly (no Spark job), so they work on any cluster file system.
+# A manifest is written to a temporary file and renamed to the next number,
+# which fails if another writer has it; its last line counts the others.
+# Readers take the highest manifest that is whole, so neither a reader between
+# nor a writer that dies sees or leaves anything but a complete version. A
+# writer that comes second adds its parts to what the first has made. Files are
+# never overwritten, and bucket = f(doc_id). The small metadata files go through
+# the Hadoop FileContext / FileSystem API directly (no Spark job).
 # --------------------------------------------------------------------------
 
+
+class Part(NamedTuple):
+    kind: str
+    """``rows`` or ``deletes``."""
+    number: int
+    """The manifest that added it."""
+    path: str
+
+
+class Manifest(NamedTuple):
+    number: int
+    buckets: int
+    parts: dict[int, list[Part]]
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -208,20 +235,21 @@ def _manifest_dir(base: str) -> str:
     return os.path.join(base, "_manifests")
 
 
-def _new_version() -> str:
-    import time
+def _name(number: int) -> str:
+    return f"v-{number:012d}"
 
+
+def _new_version() -> str:
     return f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
 
 
-def current_version(spark: SparkSession, base: str) -> str | None:
-    """Name of the newest committed manifest, or None when the index does not exist."""
+def _numbers(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the manifests that are there, whole or not, ascending."""
     p, fs = _fs(spark, _manifest_dir(base))
     if not fs.exists(p):
-        return None
+        return []
     names = [st.getPath().getName() for st in fs.listStatus(p) if st.isFile()]
-    names = [n for n in names if n.startswith("v-")]
-    return max(names) if names else None
+    return sorted(int(n[2:]) for n in names if n.startswith("v-"))
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
@@ -233,98 +261,173 @@ def _read_text(spark: SparkSession, path: str) -> str:
         ins.close()
 
 
-def read_manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, str]] | None:
-    """``(buckets, {bucket: directory})`` of the current version (one line per bucket)."""
-    v = current_version(spark, base)
-    if v is None:
+def _write_text(fs, path, text: str) -> None:
+    out = fs.create(path, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def _format(buckets: int, parts: dict[int, list[Part]]) -> str:
+    lines = [f"{b}\t{p.kind}\t{p.number}\t{p.path}" for b in sorted(parts) for p in parts[b]]
+    return "\n".join([f"#index\t2\t{buckets}", *lines, f"#end\t{len(lines)}", ""])
+
+
+def _parse(text: str, number: int) -> Manifest | None:
+    """The manifest in ``text``; None if the text was cut."""
+    head, *lines = text.split("\n")
+    kind = head.split("\t")
+    parts: dict[int, list[Part]] = {}
+    if kind[0] == "#buckets" and not text.startswith("#index"):  # first layout: a directory per bucket, no last line
+        if lines and lines[-1] == "":
+            rows = [ln.split("\t", 1) for ln in lines[:-1]]
+            return Manifest(number, int(kind[1]), {int(b): [Part("rows", 0, d)] for b, d in rows})
         return None
-    buckets = DEFAULT_BUCKETS
-    m: dict[int, str] = {}
-    for ln in _read_text(spark, os.path.join(_manifest_dir(base), v)).splitlines():
-        if not ln:
-            continue
-        a, b = ln.split("\t", 1)
-        if a == "#buckets":
-            buckets = int(b)
-        else:
-            m[int(a)] = b
-    return buckets, m
+    if len(kind) != 3 or kind[:2] != ["#index", "2"] or len(lines) < 2 or lines[-1] != "" or lines[-2] != f"#end\t{len(lines) - 2}":
+        return None
+    for ln in lines[:-2]:
+        b, what, n, path = ln.split("\t", 3)
+        parts.setdefault(int(b), []).append(Part(what, int(n), path))
+    return Manifest(number, int(kind[2]), parts)
 
 
-def _empty_index(spark: SparkSession) -> DataFrame:
-    from pyspark.sql import types as T
+def current_manifest(spark: SparkSession, base: str) -> Manifest | None:
+    """The newest manifest that is whole; None when the index does not exist."""
+    for n in reversed(_numbers(spark, base)):
+        got = _parse(_read_text(spark, os.path.join(_manifest_dir(base), _name(n))), n)
+        if got is not None:
+            return got
+    return None
+
+
+def current_version(spark: SparkSession, base: str) -> str | None:
+    """Name of the newest committed manifest, or None when the index does not exist."""
+    m = current_manifest(spark, base)
+    return _name(m.number) if m else None
+
+
+def read_manifest(spark: SparkSession, base: str) -> tuple[int, dict[int, list[Part]]] | None:
+    """``(buckets, {bucket: its parts})`` of the current version."""
+    m = current_manifest(spark, base)
+    return (m.buckets, m.parts) if m else None
+
 
+def _empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], T.StructType(INDEX_SCHEMA.fields + [T.StructField("bucket", T.IntegerType())]))
 
 
+def _living(spark: SparkSession, parts: dict[int, list[Part]], buckets: int) -> DataFrame:
+    """Rows of these parts that no later part deletes.
+
+    Parts that nothing later deletes from are read as they are; the others
+    are held against the deleted ids, whose part has a higher number.
+    """
+    plain, held, gone = [], {}, {}
+    for own in parts.values():
+        last = max((p.number for p in own if p.kind == "deletes"), default=-1)
+        for p in own:
+            if p.kind == "deletes":
+                gone.setdefault(p.number, []).append(p.path)
+            elif p.number >= last:
+                plain.append(p.path)
+            else:
+                held.setdefault(p.number, []).append(p.path)
+    rows = spark.read.schema(INDEX_SCHEMA)
+    out = [rows.parquet(*plain)] if plain else []
+    if held:
+        older = [rows.parquet(*paths).withColumn("_added", F.lit(n)) for n, paths in sorted(held.items())]
+        ids = [spark.read.schema("doc_id string").parquet(*paths).withColumn("_deleted", F.lit(n)) for n, paths in sorted(gone.items())]
+        a, d = reduce(DataFrame.unionByName, older).alias("a"), reduce(DataFrame.unionByName, ids).alias("d")
+        out.append(a.join(d, F.expr("a.doc_id = d.doc_id and a._added < d._deleted"), "left_anti").drop("_added"))
+    if not out:
+        return _empty_index(spark)
+    return reduce(DataFrame.unionByName, out).withColumn("bucket", bucket_of("doc_id", buckets))
+
+
 def read_index(spark: SparkSession, base: str) -> DataFrame:
     """The current version of the index (schema given, so no inference over many files)."""
-    man = read_manifest(spark, base)
-    if man is None or not man[1]:
-        return _empty_index(spark)
-    buckets, m = man
-    df = spark.read.schema(INDEX_SCHEMA).parquet(*[m[b] for b in sorted(m)])
-    return df.withColumn("bucket", bucket_of("doc_id", buckets))
+    m = current_manifest(spark, base)
+    return _living(spark, m.parts, m.buckets) if m else _empty_index(spark)
+
+
+def _touched(doc_ids: DataFrame, buckets: int) -> list[int]:
+    """Buckets of these documents, ascending (as many numbers as there are buckets reach the driver)."""
+    return sorted(r.b for r in doc_ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect())
 
 
 def read_buckets(spark: SparkSession, base: str, doc_ids: DataFrame) -> DataFrame:
-    """Stored rows of the buckets that hold ``doc_ids`` (at most as many numbers as there are buckets reach the driver)."""
-    man = read_manifest(spark, base)
-    if man is None:
-        return _empty_index(spark)
-    buckets, m = man
-    dirs = [m[r.b] for r in doc_ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect() if r.b in m]
-    if not dirs:
+    """Stored rows of the buckets that hold ``doc_ids``."""
+    m = current_manifest(spark, base)
+    if m is None:
         return _empty_index(spark)
-    return spark.read.schema(INDEX_SCHEMA).parquet(*dirs).withColumn("bucket", bucket_of("doc_id", buckets))
+    return _living(spark, {b: m.parts[b] for b in _touched(doc_ids, m.buckets) if b in m.parts}, m.buckets)
 
 
 def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
-    """``bucket=<b>`` sub-directories of a freshly written version (Hadoop FS listing)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = {}
+    """``bucket=<b>`` sub-directories of what was just written (Hadoop FS listing)."""
+    p, fs = _fs(spark, path)
     if not fs.exists(p):
-        return out
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("bucket="):
-            out[int(name.split("=", 1)[1])] = st.getPath().toString()
-    return out
+        return {}
+    dirs = [st.getPath() for st in fs.listStatus(p) if st.isDirectory() and st.getPath().getName().startswith("bucket=")]
+    return {int(d.getName().split("=", 1)[1]): d.toString() for d in dirs}
 
 
-def _write_version(rows: DataFrame, base: str, buckets: int, files_per_bucket: int) -> tuple[str, dict[int, str]]:
-    """Write rows under a new version's directory: its name, and where each bucket is."""
-    version = _new_version()
+def _write_rows(rows: DataFrame, base: str, buckets: int, files_per_bucket: int) -> dict[int, str]:
+    """Write rows under a new version's directory; where each bucket is."""
     out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
     salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
-    target = os.path.join(base, version)
+    target = os.path.join(base, _new_version(), "rows")
     # tasks get their rows by bucket and key; a large file is closed and another begun
     (out.repartition("bucket", salt).write.mode("errorifexists").option("maxRecordsPerFile", MAX_FILE_ROWS)
         .partitionBy("bucket").parquet(target))
-    return version, _bucket_dirs(rows.sparkSession, target)
+    return _bucket_dirs(rows.sparkSession, target)
+
 
+def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -> tuple[dict[int, str], set[int]]:
+    """Write those of the ids that have rows in the touched buckets.
 
-def _commit(spark: SparkSession, base: str, number: int, buckets: int, dirs: dict[int, str]) -> bool:
-    """Create manifest ``number`` if nobody has: False if another writer was first."""
-    lines = [f"#buckets\t{buckets}"] + [f"{b}\t{d}" for b, d in sorted(dirs.items())]
-    path, fs = _fs(spark, os.path.join(_manifest_dir(base), f"v-{number:012d}"))
+    Returns where each bucket's ids are, and the buckets that lose every
+    document: these need no deletes, their parts go.
+    """
+    spark = ids.sparkSession
+    old = {b: m.parts[b] for b in touched if b in m.parts}
+    if not old:
+        return {}, set()
+    stored = _living(spark, old, m.buckets).select("doc_id", "bucket").distinct()
+    hit = materialize(stored.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "deletes")
+    alive = {r.bucket: r["count"] for r in stored.groupBy("bucket").count().collect()}
+    lost = {r.bucket: r["count"] for r in hit.groupBy("bucket").count().collect()}
+    emptied = {b for b in old if lost.get(b, 0) == alive.get(b, 0)}
+    if set(lost) <= emptied:
+        return {}, emptied
+    target = os.path.join(base, _new_version(), "deletes")
+    hit.where(~F.col("bucket").isin(sorted(emptied))).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(target)
+    return _bucket_dirs(spark, target), emptied
+
+
+def _commit(spark: SparkSession, base: str, number: int, buckets: int, parts: dict[int, list[Part]]) -> bool:
+    """Publish manifest ``number`` whole if nobody has that number: False if another writer was first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path, fs = _fs(spark, os.path.join(_manifest_dir(base), _name(number)))
+    text = _format(buckets, {b: p for b, p in parts.items() if p})
+    fs.mkdirs(path.getParent())
+    temp = jvm.org.apache.hadoop.fs.Path(path.getParent(), f".new-{uuid.uuid4().hex}")
+    _write_text(fs, temp, text)
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    none[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
     try:
-        out = fs.create(path, False)  # fails if it is there
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(temp), fs.makeQualified(path), none)
     except Exception as e:  # noqa: BLE001 the JVM's exception type differs by file system
+        fs.delete(temp, False)
         if fs.exists(path):
             return False
         raise e
-    try:
-        out.write(bytearray(("\n".join(lines) + "\n").encode("utf-8")))
-    finally:
-        out.close()
     return True
 
 
-def _number(version: str | None) -> int:
-    return int(version.split("-")[1]) if version else 0
+def _next(spark: SparkSession, base: str) -> int:
+    return (_numbers(spark, base) or [0])[-1] + 1
 
 
 def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
@@ -334,80 +437,106 @@ def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, fil
     write tasks.
     """
     spark = index.sparkSession
-    _, dirs = _write_version(index, base, buckets, files_per_bucket)
+    dirs = _write_rows(index, base, buckets, files_per_bucket)
     while True:
-        number = _number(current_version(spark, base)) + 1
-        if _commit(spark, base, number, buckets, dirs):
-            return f"v-{number:012d}"
+        number = _next(spark, base)
+        if _commit(spark, base, number, buckets, {b: [Part("rows", number, d)] for b, d in dirs.items()}):
+            return _name(number)
 
 
 def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_doc_ids: DataFrame,
                       buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
-    """Replace / remove whole documents, rewriting only the buckets they live in.
+    """Replace / remove whole documents; what else their buckets hold is not written again.
 
     ``new_rows`` are complete index rows of the documents to (re)write;
     ``drop_doc_ids`` (``doc_id``) are documents whose stored rows go away.
-    Stored rows of both sets are dropped, ``new_rows`` are added. Manifests are
-    numbered and created only if absent: a writer that comes second reads what
-    the first one made and, where that changed its buckets, writes them again.
+    Stored rows of both sets are dropped, ``new_rows`` are added. A writer that
+    comes second adds its parts to the first one's manifest; only its deletes
+    are looked up again, where the first has changed the same buckets.
     ``new_rows`` is read more than once; pass a written table.
     """
     ids = new_rows.select("doc_id").unionByName(drop_doc_ids.select("doc_id")).distinct()
-    seen: dict[int, str | None] | None = None
     dirs: dict[int, str] = {}
+    written, seen, touched = None, None, None
+    gone: dict[int, str] = {}
+    emptied: set[int] = set()
     while True:
-        current = current_version(spark, base)
-        man = read_manifest(spark, base)
-        if man is None:
-            _, dirs = _write_version(new_rows, base, buckets, files_per_bucket)
-            if _commit(spark, base, 1, buckets, dirs):
-                return f"v-{1:012d}"
-            continue
-        buckets, m = man
-        # touched buckets: at most ``buckets`` small ints
-        touched = sorted(r.b for r in ids.select(bucket_of("doc_id", buckets).alias("b")).distinct().collect())
-        if not touched:
-            return current
-        if seen != {b: m.get(b) for b in touched}:
-            seen = {b: m.get(b) for b in touched}
-            old = [d for d in seen.values() if d]
-            stored = spark.read.schema(INDEX_SCHEMA).parquet(*old) if old else _empty_index(spark).drop("bucket")
-            rows = stored.join(ids, "doc_id", "left_anti").unionByName(conform(new_rows.drop("bucket")))
-            _, dirs = _write_version(rows, base, buckets, files_per_bucket)
-        number = _number(current) + 1
-        if _commit(spark, base, number, buckets, {b: d for b, d in m.items() if b not in seen} | dirs):
-            return f"v-{number:012d}"
-
-
-def vacuum_index(spark: SparkSession, base: str, keep_versions: int = 1) -> list[str]:
-    """Delete old manifests and the bucket directories that only they name;
-    returns the deleted paths. The newest ``keep_versions`` manifests stay, and
-    so does whatever no manifest names yet: a write in progress.
-
-    Readers that still hold an older manifest lose its files, so run it when
-    no reader needs a version older than the ones kept.
+        number, m = _next(spark, base), current_manifest(spark, base)
+        m = m or Manifest(0, buckets, {})
+        if written != m.buckets:
+            touched, written = _touched(ids, m.buckets), m.buckets
+            if not touched and m.number:
+                return _name(m.number)
+            dirs = _write_rows(new_rows, base, m.buckets, files_per_bucket)
+            seen = None
+        now = {b: m.parts.get(b, []) for b in touched}
+        if seen != now:
+            seen, (gone, emptied) = now, _write_deletes(ids, base, m, touched)
+        parts = dict(m.parts)
+        for b in touched:
+            parts[b] = ([] if b in emptied else list(parts.get(b, []))) + ([Part("deletes", number, gone[b])] if b in gone else []) + ([Part("rows", number, dirs[b])] if b in dirs else [])
+        if _commit(spark, base, number, m.buckets, parts):
+            return _name(number)
+
+
+def compact_index(spark: SparkSession, base: str, min_parts: int = 2, files_per_bucket: int = 1) -> list[int]:
+    """Rewrite every bucket of at least ``min_parts`` parts as one part; returns those buckets.
+
+    Parts that other writers add meanwhile stay behind the new one.
+    """
+    m = current_manifest(spark, base)
+    todo = {b: p for b, p in m.parts.items() if len(p) >= max(2, min_parts)} if m else {}
+    if not todo:
+        return []
+    dirs = _write_rows(_living(spark, todo, m.buckets), base, m.buckets, files_per_bucket)
+    while True:
+        number, now = _next(spark, base), current_manifest(spark, base)
+        # the rows are those of manifest m, so whatever came later applies to them
+        done = [b for b, p in todo.items() if now.parts.get(b, [])[: len(p)] == p]
+        new = {b: ([Part("rows", m.number, dirs[b])] if b in dirs else []) + now.parts[b][len(todo[b]) :] for b in done}
+        if not done or _commit(spark, base, number, m.buckets, now.parts | new):
+            return sorted(done)
+
+
+def vacuum_index(spark: SparkSession, base: str, keep_versions: int = 1, orphan_hours: float = 168.0) -> list[str]:
+    """Delete old manifests and what only they name; returns the deleted paths.
+
+    The newest ``keep_versions`` whole manifests stay. Directories that no
+    manifest names (a writer that died, or came second) and unfinished
+    manifests go once they are ``orphan_hours`` old, so a write in progress
+    must not take longer. Readers that still hold an older manifest lose its
+    files, so run it when no reader needs a version older than the ones kept.
     """
     if keep_versions < 1:
         raise ValueError("keep_versions must be >= 1")
     mdir, fs = _fs(spark, _manifest_dir(base))
     if not fs.exists(mdir):
         return []
-    names = sorted(st.getPath().getName() for st in fs.listStatus(mdir) if st.isFile()
-                   and st.getPath().getName().startswith("v-"))
-
-    def named(version: str) -> set[str]:
-        lines = _read_text(spark, os.path.join(_manifest_dir(base), version)).splitlines()
-        return {ln.split("\t", 1)[1].rstrip("/") for ln in lines if ln and not ln.startswith("#")}
-
-    kept, dropped = names[-keep_versions:], names[:-keep_versions]
-    live = set().union(*map(named, kept))
-    deleted = []
-    for d in sorted(set().union(*map(named, dropped)) - live):
-        p, _ = _fs(spark, d)
-        fs.delete(p, True)
-        deleted.append(d)
-    for v in dropped:
-        p, _ = _fs(spark, os.path.join(_manifest_dir(base), v))
-        fs.delete(p, False)
-        deleted.append(p.toString())
+    oldest = (time.time() - 3600 * orphan_hours) * 1000
+    whole = {n: m for n in _numbers(spark, base) if (m := _parse(_read_text(spark, os.path.join(_manifest_dir(base), _name(n))), n))}
+    kept = sorted(whole)[-keep_versions:]
+
+    def named(numbers) -> set[str]:
+        return {p.path.rstrip("/") for n in numbers for own in whole[n].parts.values() for p in own}
+
+    live, dead, deleted = named(kept), named(set(whole) - set(kept)), []
+
+    def drop(path, recursive: bool):
+        if fs.delete(path, recursive):
+            deleted.append(path.toString())
+
+    for st in fs.listStatus(mdir):
+        name = st.getPath().getName()
+        number = int(name[2:]) if name.startswith("v-") else None
+        if (number in whole and number not in kept) or (number not in whole and st.getModificationTime() < oldest):
+            drop(st.getPath(), False)
+    for d in sorted(dead - live):
+        drop(_fs(spark, d)[0], True)
+    for st in fs.listStatus(_fs(spark, base)[0]):
+        path, name = st.getPath(), st.getPath().getName()
+        if not (st.isDirectory() and name.startswith("v-")):
+            continue
+        uses = lambda paths: any(x.startswith(path.toString().rstrip("/") + "/") for x in paths)  # noqa: B023, E731
+        if not uses(live) and (uses(dead) or int(name.split("-")[1]) < oldest):
+            drop(path, True)
     return deleted
