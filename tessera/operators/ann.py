@@ -106,8 +106,8 @@ def ivf_search(ivf: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, q
     def group(t: pa.Table) -> pa.Table:
         rows = t.select([0, 1])
         cuts = range(0, rows.num_rows, QUERY_BLOCK)
-        lists = t.column("list_id")[0].as_py()
-        return pa.table({"list_id": pa.array([lists] * len(cuts), pa.int32()), "q": pa.array([_pack(rows.slice(c, QUERY_BLOCK)) for c in cuts], pa.binary())})
+        lists, part = t.column("list_id")[0].as_py(), t.column("part")[0].as_py()
+        return pa.table({"list_id": pa.array([lists] * len(cuts), pa.int32()), "c": pa.array([(part << 20) + i for i in range(len(cuts))], pa.int32()), "q": pa.array([_pack(rows.slice(c, QUERY_BLOCK)) for c in cuts], pa.binary())})
 
     def packed(batches):
         for b in batches:
@@ -121,10 +121,10 @@ def ivf_search(ivf: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, q
     asked = asked.mapInArrow(probe, f"list_id int, {query_id} {kind}, {qvec} array<float>")
     # a popular list's queries are dealt over parts, so a group stays a few blocks
     asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(64)).cast("int")).select(query_id, qvec, "list_id", "part")
-    asked = materialize(asked.groupBy("list_id", "part").applyInArrow(group, "list_id int, q binary"), "probes")
+    asked = materialize(asked.groupBy("list_id", "part").applyInArrow(group, "list_id int, c int, q binary"), "probes")
     used = sorted(r.list_id for r in asked.select("list_id").distinct().collect())  # at most the number of lists
     vectors = ivf.assigned.where(F.col("list_id").isin(used)).select(key_col, _checked(vec_col, spec.dim).alias(vec_col), "list_id")
-    met = vectors.mapInArrow(packed, "list_id int, v binary").join(asked, "list_id").select("q", "v")
+    met = vectors.mapInArrow(packed, "list_id int, v binary").join(asked, "list_id").select("list_id", "c", "q", "v")
     found = met.mapInArrow(_pairs(k, spec.metric), f"q {kind}, key string, distance double")
     found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
     w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())

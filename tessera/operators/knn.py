@@ -1,22 +1,28 @@
 """Exact k-nearest-neighbour search of a batch of queries over a vector table.
 
-Plan:
+Plan, for each wave of queries:
 
     index scan (filter pushed to Parquet, only key and vector read)
       -> blocks of vectors, packed where they are read
-      -> join with blocks of queries on the query block's number
+      -> broadcast join with the wave's blocks of queries on the block's number
       -> numpy block product, the k best of each query per pair of blocks
       -> row_number() over (query_id order by distance, key) <= k,
          limited per task before its exchange
       -> join of the survivors with the payload columns of the index
 
-Both sides are tables: no vector passes through the driver, and a task holds
-one pair of blocks whatever the number of queries. Spark broadcasts the query
-blocks when their written size allows it, and shuffles otherwise.
+Queries are packed into blocks and written; a wave is as many of them as
+``wave_bytes`` allows by their written size, so that what is broadcast is
+measured and bounded. The index is never shuffled, whatever the number of
+queries: a wave reads it in place once, and its own blocks are released before
+the next. What is shuffled are hits (id, key, distance): a task that has seen k
+hits of a query drops all that are farther, and with ``bound_from`` it begins
+with a distance that k vectors are known to keep.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +34,10 @@ from tessera.session import materialize
 
 QUERY_BLOCK, INDEX_BLOCK = 1024, 4096
 """Rows of a block of queries, and of vectors."""
+WAVE_BYTES = 64 << 20
+"""Bytes of packed queries that are broadcast at a time."""
+HELD_BYTES = 256 << 20
+"""Bytes of unpacked queries that a task remembers."""
 
 
 def check_top_k(k: int) -> int:
@@ -43,11 +53,16 @@ def _pack(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(payload: bytes) -> tuple[pa.ChunkedArray, np.ndarray]:
+def _matrix(t: pa.Table) -> np.ndarray:
+    """The vectors in a table's second column."""
+    flat = t.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(t.num_rows, -1)
+
+
+def _unpack(payload) -> tuple[pa.ChunkedArray, np.ndarray]:
     """(ids, vectors) of a block."""
     t = pa.ipc.open_stream(payload).read_all()
-    flat = t.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return t.column(0), flat.reshape(t.num_rows, -1)
+    return t.column(0), _matrix(t)
 
 
 def _checked(vec: str, dim: int):
@@ -66,24 +81,67 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _pairs(k: int, metric: str):
-    """The k best of each query in each pair of blocks, with all ties of the kth."""
+    """The k best of each query in each pair of blocks, with all ties of the kth.
+
+    Rows: number of the query block and its part, queries, vectors. A task
+    remembers for each query the least kth distance it has met and leaves out
+    what is farther.
+    """
 
     def run(batches):
-        for b in batches:
-            for qp, vp in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, q = _unpack(qp)
-                keys, v = _unpack(vp)
+        asked: dict[tuple[int, int], list] = {}  # the oldest go when they hold too much, and with them what was met
+        payload, keys, v = None, None, None
+        for batch in batches:
+            blocks, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for r, at in enumerate(zip(blocks, parts)):
+                if at not in asked:
+                    t = pa.ipc.open_stream(batch.column(2)[r].as_py()).read_all()
+                    far = t.column(2).to_numpy() if t.num_columns > 2 else np.full(t.num_rows, np.inf)
+                    asked[at] = [t.column(0), _matrix(t), far]
+                    while len(asked) > 1 and sum(x[1].nbytes for x in asked.values()) > HELD_BYTES:
+                        del asked[next(iter(asked))]
+                ids, q, far = asked[at]
+                vp = batch.column(3)[r].as_buffer()
+                if payload is None or not payload.equals(vp):
+                    payload = vp
+                    keys, v = _unpack(vp)
                 d = _distances(q, v, metric)
                 # by expansion the squared distance is only good enough to choose by: a little more is taken
-                slack = 0.0 if metric == "cosine" else 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0))
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1:k] if d.shape[1] > k else np.inf
-                i, j = np.nonzero(d <= kth + slack)
+                if metric == "cosine":
+                    kept, slack = far, 1e-12
+                else:
+                    kept, slack = far * far, 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0) + 1e-300)
+                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
+                i, j = np.nonzero(d <= np.minimum(kth, kept)[:, None] + slack)
                 dist = d[i, j] if metric == "cosine" else np.sqrt(((q[i] - v[j]) ** 2).sum(1))
+                asked[at][2] = np.minimum(far, kth if metric == "cosine" else np.sqrt(np.maximum(kth, 0.0) + slack))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).combine_chunks(), keys.take(pa.array(j)).combine_chunks(), pa.array(dist)], names=["q", "key", "distance"])
 
     return run
 
 
+def _query_blocks(queries: DataFrame, query_id: str, qvec: str, query_block: int) -> tuple[DataFrame, int]:
+    """(b, c, q): queries (id, vector, any bound) packed by a hash, written; and how many numbers b has."""
+    cols = queries.columns
+
+    def group(t: pa.Table) -> pa.Table:
+        rows = t.select(cols)
+        cuts = range(0, rows.num_rows, query_block)
+        n = len(cuts)
+        return pa.table({"b": pa.array([t.column("b")[0].as_py()] * n, pa.int32()), "c": pa.array(range(n), pa.int32()), "q": pa.array([_pack(rows.slice(a, query_block)) for a in cuts], pa.binary())})
+
+    n_blocks = max(1, -(-queries.count() // query_block))
+    dealt = queries.withColumn("b", F.pmod(F.xxhash64(query_id, qvec), F.lit(n_blocks)).cast("int"))
+    return materialize(dealt.groupBy("b").applyInArrow(group, "b int, c int, q binary"), "queries"), n_blocks
+
+
+def _waves(asked: DataFrame, n_blocks: int, wave_bytes: int) -> list[tuple[int, int]]:
+    """Ranges of block numbers (first, behind the last) of at most ``wave_bytes`` each; a larger block stands alone."""
+    most = asked.groupBy("b").agg(F.sum(F.octet_length("q")).alias("n")).agg(F.max("n")).first()[0] or 1
+    per = max(1, wave_bytes // most)
+    return [(lo, min(n_blocks, lo + per)) for lo in range(0, n_blocks, per)]
+
+
 def knn_topk(
     index: DataFrame,
     queries: DataFrame,
@@ -96,12 +154,21 @@ def knn_topk(
     key_col: str = "key",
     vec_col: str = "vec",
     query_block: int = QUERY_BLOCK,
+    wave_bytes: int = WAVE_BYTES,
+    parallelism: int | None = None,
+    bound_from: int | None = None,
 ) -> DataFrame:
     """k nearest vectors of ``index`` for each row of ``queries``.
 
     Returns ``query_id, key, distance, rank`` plus ``payload`` columns of the
     index, ``rank`` 1-based by (distance, key). Keys of the index are unique.
     A vector of another dimension, on either side, fails the job.
+
+    ``parallelism`` deals the index's blocks over so many tasks, for tables of
+    fewer splits than cores; None leaves them where they are read.
+    ``bound_from`` searches one vector of so many first (by a hash of the key),
+    so that the search proper only sends hits nearer than the kth of these.
+    Neither changes the result.
     """
     check_top_k(k)
     spark = index.sparkSession
@@ -114,20 +181,31 @@ def knn_topk(
             for lo in range(0, b.num_rows, INDEX_BLOCK):
                 yield pa.RecordBatch.from_pydict({"v": [_pack(pa.Table.from_batches([b.slice(lo, INDEX_BLOCK)]))]})
 
-    def group(t: pa.Table) -> pa.Table:
-        rows = t.select([1, 2])
-        cuts = range(0, rows.num_rows, query_block)
-        return pa.table({"b": pa.array([t.column(0)[0].as_py()] * len(cuts), pa.int32()), "q": pa.array([_pack(rows.slice(a, query_block)) for a in cuts], pa.binary())})
-
-    n_blocks = max(1, -(-queries.count() // query_block))
-    q = queries.select(F.pmod(F.xxhash64(query_id, qvec), F.lit(n_blocks)).cast("int").alias("b"), query_id, _checked(qvec, spec.dim).alias(qvec))
-    asked = materialize(q.groupBy("b").applyInArrow(group, "b int, q binary"), "queries")
-    vectors = idx.select(key_col, _checked(vec_col, spec.dim).alias(vec_col)).mapInArrow(packed, "v binary")
-    met = vectors.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, "b").select("q", "v")
-    found = met.mapInArrow(_pairs(k, spec.metric), f"q {qid_type}, key string, distance double")
-    found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
-    w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
-    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def hits(rows: DataFrame, asked: DataFrame, lo: int, hi: int) -> DataFrame:
+        """The k best of each query in blocks lo .. hi - 1."""
+        vectors = rows.select(key_col, _checked(vec_col, spec.dim).alias(vec_col)).mapInArrow(packed, "v binary")
+        if parallelism:
+            vectors = vectors.repartition(parallelism)
+        wave = F.broadcast(asked.where(F.col("b").between(lo, hi - 1)))
+        met = vectors.withColumn("b", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).join(wave, "b").select("b", "c", "q", "v")
+        found = met.mapInArrow(_pairs(k, spec.metric), f"q {qid_type}, key string, distance double")
+        found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
+        w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def waves(rows: DataFrame, q: DataFrame) -> DataFrame:
+        asked, n_blocks = _query_blocks(q, query_id, qvec, query_block)
+        cuts = _waves(asked, n_blocks, wave_bytes)
+        if len(cuts) == 1:
+            return hits(rows, asked, *cuts[0])
+        return reduce(DataFrame.unionByName, [materialize(hits(rows, asked, lo, hi), "hits") for lo, hi in cuts])
+
+    q = queries.select(query_id, _checked(qvec, spec.dim).alias(qvec))
+    if bound_from:
+        some = waves(idx.where(F.pmod(F.xxhash64(key_col), F.lit(bound_from)) == 0), q)
+        kth = materialize(some.where(F.col("rank") == k).groupBy(query_id).agg(F.max("distance").alias("far")), "bounds")
+        q = q.join(kth, query_id, "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    best = waves(idx, q)
     if payload:
         best = best.join(index.select(key_col, *payload), key_col)
     return best.select(query_id, key_col, "distance", *payload, "rank")

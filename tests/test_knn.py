@@ -137,3 +137,64 @@ def test_search_texts_builtin_and_hook_agree(spark):
     b = search_texts(index, qs, spec, k=3, threshold=None, embedder=em.hash_embedder(64)).select(
         "query_id", "key", "rank").collect()
     assert sorted(a) == sorted(b) and len(a) == 3 * qs.count()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_waves_bounds_and_parallelism_change_nothing(spark, metric):
+    iv, qv = index_view(spark, SF001), query_vectors(spark, SF001)
+    spec = IndexSpec(dim=64, metric=metric)
+    rows = lambda **kw: sorted((r.query_id, r.rank, r.key, round(r.distance, 9)) for r in knn_topk(iv, qv, spec, k=4, **kw).collect())
+    plain = rows()
+    assert rows(query_block=16, wave_bytes=3 * 16 * 64 * 4) == plain  # several waves
+    assert rows(query_block=16, wave_bytes=1) == plain  # a wave for each block
+    assert rows(parallelism=5, bound_from=3) == plain
+    assert rows(bound_from=10**9) == plain  # nothing to bound with
+
+
+def test_ties_survive_bounds(spark):
+    """Many equal distances: the smallest keys win, whatever task or wave they are met in."""
+    rows = spark.createDataFrame([(f"k{i:04d}", [1.0, float(i % 2)]) for i in range(400)], "key string, vec array<float>").repartition(7)
+    qs = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "query_id int, qvec array<float>")
+    for metric in ("cosine", "euclidean"):
+        got = knn_topk(rows, qs, IndexSpec(dim=2, metric=metric), k=3, bound_from=5, parallelism=4, query_block=2, wave_bytes=1)
+        assert sorted((r.query_id, r.rank, r.key) for r in got.collect()) == [(q, r + 1, k) for q in range(5) for r, k in enumerate(["k0000", "k0002", "k0004"])]
+
+
+def _exchanges(df):
+    """What each shuffle of a plan carries (attribute names)."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        if name == "ShuffleExchangeExec":
+            out.append([node.output().apply(i).name() for i in range(node.output().size())])
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_the_index_is_not_shuffled(spark):
+    """One wave or many blocks: only hits are exchanged."""
+    iv = index_view(spark, SF001).select("key", "vec")
+    from tessera.session import materialize
+
+    iv = materialize(iv, "iv")
+    for block in (16, 1024):
+        sent = _exchanges(knn_topk(iv, query_vectors(spark, SF001), FIXTURE_SPEC, k=3, query_block=block))
+        assert sent == [["query_id", "key", "distance"]]
+
+
+def test_1024_dimensions(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(600, 1024)).astype(np.float32)
+    idx = spark.createDataFrame([(f"k{i:03d}", v[i].tolist()) for i in range(600)], "key string, vec array<float>").repartition(4)
+    qs = spark.createDataFrame([(i, v[i].tolist()) for i in range(40)], "query_id int, qvec array<float>")
+    got = {(x.query_id, x.rank): x.key for x in knn_topk(idx, qs, IndexSpec(dim=1024), k=2, query_block=16, wave_bytes=1 << 17).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = np.argsort(-(u[:40] @ u.T), axis=1)[:, :2]
+    assert all(got[(q, n + 1)] == f"k{want[q, n]:03d}" for q in range(40) for n in range(2))
