@@ -14,9 +14,9 @@ Queries are packed into blocks and written; a wave is as many of them as
 ``wave_bytes`` allows by their written size, so that what is broadcast is
 measured and bounded. The index is never shuffled, whatever the number of
 queries: a wave reads it in place once, and its own blocks are released before
-the next. What is shuffled are hits (id, key, distance): a task that has seen k
-hits of a query drops all that are farther, and with ``bound_from`` it begins
-with a distance that k vectors are known to keep.
+the next. What is shuffled are hits (id, key, distance), at most k of a query
+from each task: it holds the best it has met until it ends, and with
+``bound_from`` it begins with a distance that k vectors are known to keep.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ QUERY_BLOCK, INDEX_BLOCK = 1024, 4096
 WAVE_BYTES = 64 << 20
 """Bytes of packed queries that are broadcast at a time."""
 HELD_BYTES = 256 << 20
-"""Bytes of unpacked queries that a task remembers."""
+"""Bytes of unpacked queries and hits that a task holds."""
 
 
 def check_top_k(k: int) -> int:
@@ -80,42 +81,95 @@ def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T)
 
 
+class _Asked:
+    """A block of queries in a task: its vectors, and the k best that each query has met so far."""
+
+    def __init__(self, payload, k: int):
+        t = pa.ipc.open_stream(payload).read_all()
+        self.ids, self.q, self.k = t.column(0), _matrix(t), k
+        self.far = t.column(2).to_numpy() if t.num_columns > 2 else np.full(t.num_rows, np.inf)
+        self.found: list[pa.Table] = []
+        self.rows = 0
+
+    @property
+    def nbytes(self) -> int:
+        return self.q.nbytes + 48 * self.rows
+
+    def meet(self, keys: pa.Array, v: np.ndarray, metric: str) -> None:
+        """Hold the queries against a block of vectors whose keys ascend."""
+        k, q = self.k, self.q
+        d = _distances(q, v, metric)
+        # by expansion the squared distance is only good enough to choose by: a little more is taken
+        if metric == "cosine":
+            far, slack = self.far, 1e-12
+        else:
+            far, slack = self.far * self.far, 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0) + 1e-300)
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
+        near = d <= np.minimum(kth, far)[:, None] + slack
+        ends = np.cumsum(near.sum(1))
+        lo = 0
+        while lo < len(q):  # many equal distances are cut to k a query, some queries at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), side="right")))
+            i, j = np.nonzero(near[lo:hi])
+            dist = d[lo:hi][i, j] if metric == "cosine" else np.sqrt(((q[lo:hi][i] - v[j]) ** 2).sum(1))
+            o = np.lexsort((j, dist, i))
+            o = o[np.arange(len(o)) - np.searchsorted(i[o], i[o]) < k]
+            if len(o):
+                self.found.append(pa.table({"i": i[o] + lo, "distance": dist[o], "key": keys.take(pa.array(j[o]))}))
+                self.rows += len(o)
+            lo = hi
+        self.far = np.minimum(self.far, kth if metric == "cosine" else np.sqrt(np.maximum(kth, 0.0) + slack))
+        if self.rows > 2 * k * len(q):
+            self.cut()
+
+    def cut(self) -> pa.Table | None:
+        """Only the k best of each query are kept."""
+        if not self.found:
+            return None
+        t = pa.concat_tables(self.found).sort_by([("i", "ascending"), ("distance", "ascending"), ("key", "ascending")])
+        i = t.column("i").to_numpy()
+        t = t.filter(pa.array(np.arange(len(i)) - np.searchsorted(i, i) < self.k))
+        self.found, self.rows = [t], t.num_rows
+        return t
+
+    def batch(self) -> pa.RecordBatch | None:
+        t = self.cut()
+        if t is None:
+            return None
+        one = [c.combine_chunks() for c in (self.ids.take(t.column("i")), t.column("key"), t.column("distance"))]
+        return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in one], names=["q", "key", "distance"])
+
+
 def _pairs(k: int, metric: str):
-    """The k best of each query in each pair of blocks, with all ties of the kth.
+    """The k best that a task finds for each query.
 
-    Rows: number of the query block and its part, queries, vectors. A task
-    remembers for each query the least kth distance it has met and leaves out
-    what is farther.
+    Rows: number of the query block and its part, queries, vectors. Of what a
+    query has met only its k best are held, and told when the task ends.
     """
 
     def run(batches):
-        asked: dict[tuple[int, int], list] = {}  # the oldest go when they hold too much, and with them what was met
+        asked: dict[tuple[int, int], _Asked] = {}
         payload, keys, v = None, None, None
         for batch in batches:
             blocks, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for r, at in enumerate(zip(blocks, parts)):
                 if at not in asked:
-                    t = pa.ipc.open_stream(batch.column(2)[r].as_py()).read_all()
-                    far = t.column(2).to_numpy() if t.num_columns > 2 else np.full(t.num_rows, np.inf)
-                    asked[at] = [t.column(0), _matrix(t), far]
-                    while len(asked) > 1 and sum(x[1].nbytes for x in asked.values()) > HELD_BYTES:
-                        del asked[next(iter(asked))]
-                ids, q, far = asked[at]
+                    asked[at] = _Asked(batch.column(2)[r].as_buffer(), k)
+                    while len(asked) > 1 and sum(x.nbytes for x in asked.values()) > HELD_BYTES:  # the oldest goes first
+                        out = asked.pop(next(iter(asked))).batch()
+                        if out is not None:
+                            yield out
                 vp = batch.column(3)[r].as_buffer()
                 if payload is None or not payload.equals(vp):
                     payload = vp
                     keys, v = _unpack(vp)
-                d = _distances(q, v, metric)
-                # by expansion the squared distance is only good enough to choose by: a little more is taken
-                if metric == "cosine":
-                    kept, slack = far, 1e-12
-                else:
-                    kept, slack = far * far, 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0) + 1e-300)
-                kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
-                i, j = np.nonzero(d <= np.minimum(kth, kept)[:, None] + slack)
-                dist = d[i, j] if metric == "cosine" else np.sqrt(((q[i] - v[j]) ** 2).sum(1))
-                asked[at][2] = np.minimum(far, kth if metric == "cosine" else np.sqrt(np.maximum(kth, 0.0) + slack))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)).combine_chunks(), keys.take(pa.array(j)).combine_chunks(), pa.array(dist)], names=["q", "key", "distance"])
+                    order = pa.compute.sort_indices(keys)
+                    keys, v = keys.take(order).combine_chunks(), v[order.to_numpy()]
+                asked[at].meet(keys, v, metric)
+        for one in asked.values():
+            out = one.batch()
+            if out is not None:
+                yield out
 
     return run
 

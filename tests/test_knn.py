@@ -140,7 +140,7 @@ def test_search_texts_builtin_and_hook_agree(spark):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
-def test_waves_bounds_and_parallelism_change_nothing(spark, metric):
+def test_waves_bounds_and_parallelism_change_nothing(spark, metric, monkeypatch):
     iv, qv = index_view(spark, SF001), query_vectors(spark, SF001)
     spec = IndexSpec(dim=64, metric=metric)
     rows = lambda **kw: sorted((r.query_id, r.rank, r.key, round(r.distance, 9)) for r in knn_topk(iv, qv, spec, k=4, **kw).collect())
@@ -148,6 +148,7 @@ def test_waves_bounds_and_parallelism_change_nothing(spark, metric):
     assert rows(query_block=16, wave_bytes=3 * 16 * 64 * 4) == plain  # several waves
     assert rows(query_block=16, wave_bytes=1) == plain  # a wave for each block
     assert rows(parallelism=5, bound_from=3) == plain
+    monkeypatch.setattr("tessera.operators.knn.HELD_BYTES", 1)  # whatever is held goes at once
     assert rows(bound_from=10**9) == plain  # nothing to bound with
 
 
