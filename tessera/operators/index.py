@@ -21,13 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.schema import INDEX_SCHEMA, IndexSpec
-from tessera.session import materialize
+from tessera.session import materialize, rows_of
 
 DEFAULT_BUCKETS = 64
 MAX_FILE_ROWS = 1_000_000
-# A list of keys up to this many bytes is broadcast; a longer one is joined
-# as Spark sees fit.
-MAX_BROADCAST_BYTES = 64 << 20
 
 
 def bucket_of(doc_id, buckets: int = DEFAULT_BUCKETS):
@@ -71,18 +68,18 @@ def keys_from_list(spark: SparkSession, keys) -> DataFrame:
 
 
 def _key_table(spark: SparkSession, keys) -> DataFrame:
-    """Distinct keys to join with. A list is split first and broadcast if its
-    bytes allow it; a table is sized by Spark."""
+    """Distinct keys of a list or a table, written where they must be worked out first."""
     if isinstance(keys, DataFrame):
-        return keys.select("key").distinct()
-    split = split_keys(keys)
-    table = keys_from_list(spark, split).distinct()
-    return F.broadcast(table) if sum(len(k.encode()) + 16 for k in split) <= MAX_BROADCAST_BYTES else table
+        return materialize(keys.select("key").distinct(), "keys")
+    return keys_from_list(spark, sorted(set(split_keys(keys))))
 
 
 def get_vectors(index: DataFrame, keys, return_data: bool = False, return_metadata: bool = True) -> DataFrame:
-    """Point lookup by a list or a table of keys; missing keys are silently absent."""
-    out = index.join(_key_table(index.sparkSession, keys), "key", "left_semi")
+    """Point lookup by a list or a table of keys; missing keys are silently absent.
+
+    Keys are broadcast in waves of a measured size, so the index stays in place.
+    """
+    out = rows_of(index, _key_table(index.sparkSession, keys), ["key"])
     return project(out, return_data, return_metadata)
 
 
@@ -97,8 +94,8 @@ def project(index: DataFrame, return_data: bool, return_metadata: bool) -> DataF
 
 
 def delete_keys(index: DataFrame, keys) -> DataFrame:
-    """The index without the given keys (a list or a table)."""
-    return index.join(_key_table(index.sparkSession, keys), "key", "left_anti")
+    """The index without the given keys (a list or a table, broadcast in waves of a measured size)."""
+    return rows_of(index, _key_table(index.sparkSession, keys), ["key"], anti=True)
 
 
 def delete_docs(index: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,8 +33,8 @@ from tessera.functions.filters import compile_filter
 from tessera.schema import TOP_K_MAX, TOP_K_MIN, IndexSpec
 from tessera.session import materialize
 
-QUERY_BLOCK, INDEX_BLOCK = 1024, 4096
-"""Rows of a block of queries, and of vectors."""
+QUERY_BLOCK, INDEX_BLOCK, SLICE = 4096, 4096, 512
+"""Rows of a block of queries, of a block of vectors, and of the queries that are multiplied at a time."""
 WAVE_BYTES = 64 << 20
 """Bytes of packed queries that are broadcast at a time."""
 HELD_BYTES = 256 << 20
@@ -72,22 +72,33 @@ def _checked(vec: str, dim: int):
     return F.when(F.size(vec) == dim, F.col(vec)).otherwise(bad)
 
 
+def _scaled(x: np.ndarray, metric: str) -> np.ndarray:
+    """Rows of length one for cosine (zero stays zero), else the rows."""
+    if metric != "cosine":
+        return x
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
 def _distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
-    """Cosine distance (1 where a vector is zero) or squared Euclidean distance of all pairs."""
+    """Cosine distance of scaled rows (1 where one is zero), or squared Euclidean distance, of all pairs."""
+    d = q @ v.T
     if metric == "cosine":
-        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-        d = 1.0 - np.divide(q @ v.T, n, out=np.zeros(n.shape), where=n > 0)
-        return np.maximum(d, 0.0)
-    return (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T)
+        np.subtract(1.0, d, out=d)
+        return np.maximum(d, 0.0, out=d)
+    d *= -2.0
+    d += (q * q).sum(1)[:, None]
+    d += (v * v).sum(1)[None, :]
+    return d
 
 
 class _Asked:
     """A block of queries in a task: its vectors, and the k best that each query has met so far."""
 
-    def __init__(self, payload, k: int):
+    def __init__(self, payload, k: int, metric: str):
         t = pa.ipc.open_stream(payload).read_all()
-        self.ids, self.q, self.k = t.column(0), _matrix(t), k
-        self.far = t.column(2).to_numpy() if t.num_columns > 2 else np.full(t.num_rows, np.inf)
+        self.ids, self.q, self.k, self.metric = t.column(0), _scaled(_matrix(t), metric), k, metric
+        self.far = t.column(2).to_numpy().copy() if t.num_columns > 2 else np.full(t.num_rows, np.inf)
         self.found: list[pa.Table] = []
         self.rows = 0
 
@@ -95,15 +106,19 @@ class _Asked:
     def nbytes(self) -> int:
         return self.q.nbytes + 48 * self.rows
 
-    def meet(self, keys: pa.Array, v: np.ndarray, metric: str) -> None:
-        """Hold the queries against a block of vectors whose keys ascend."""
-        k, q = self.k, self.q
-        d = _distances(q, v, metric)
+    def meet(self, keys: pa.Array, v: np.ndarray) -> None:
+        """Hold the queries against a block of scaled vectors whose keys ascend."""
+        for lo in range(0, len(self.q), SLICE):
+            self._meet(lo, min(lo + SLICE, len(self.q)), keys, v)
+        if self.rows > 2 * self.k * len(self.q):
+            self.cut()
+
+    def _meet(self, a: int, b: int, keys: pa.Array, v: np.ndarray) -> None:
+        k, q, cosine = self.k, self.q[a:b], self.metric == "cosine"
+        d = _distances(q, v, self.metric)
         # by expansion the squared distance is only good enough to choose by: a little more is taken
-        if metric == "cosine":
-            far, slack = self.far, 1e-12
-        else:
-            far, slack = self.far * self.far, 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0) + 1e-300)
+        far = self.far[a:b] if cosine else self.far[a:b] ** 2
+        slack = 1e-12 if cosine else 1e-9 * (np.abs(d).max(initial=0.0) + (q * q).sum(1).max(initial=0.0) + 1e-300)
         kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
         near = d <= np.minimum(kth, far)[:, None] + slack
         ends = np.cumsum(near.sum(1))
@@ -111,16 +126,14 @@ class _Asked:
         while lo < len(q):  # many equal distances are cut to k a query, some queries at a time
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 18), side="right")))
             i, j = np.nonzero(near[lo:hi])
-            dist = d[lo:hi][i, j] if metric == "cosine" else np.sqrt(((q[lo:hi][i] - v[j]) ** 2).sum(1))
+            dist = d[lo:hi][i, j] if cosine else np.sqrt(((q[lo:hi][i] - v[j]) ** 2).sum(1))
             o = np.lexsort((j, dist, i))
             o = o[np.arange(len(o)) - np.searchsorted(i[o], i[o]) < k]
             if len(o):
-                self.found.append(pa.table({"i": i[o] + lo, "distance": dist[o], "key": keys.take(pa.array(j[o]))}))
+                self.found.append(pa.table({"i": i[o] + (a + lo), "distance": dist[o], "key": keys.take(pa.array(j[o]))}))
                 self.rows += len(o)
             lo = hi
-        self.far = np.minimum(self.far, kth if metric == "cosine" else np.sqrt(np.maximum(kth, 0.0) + slack))
-        if self.rows > 2 * k * len(q):
-            self.cut()
+        self.far[a:b] = np.minimum(self.far[a:b], kth if cosine else np.sqrt(np.maximum(kth, 0.0) + slack))
 
     def cut(self) -> pa.Table | None:
         """Only the k best of each query are kept."""
@@ -154,7 +167,7 @@ def _pairs(k: int, metric: str):
             blocks, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for r, at in enumerate(zip(blocks, parts)):
                 if at not in asked:
-                    asked[at] = _Asked(batch.column(2)[r].as_buffer(), k)
+                    asked[at] = _Asked(batch.column(2)[r].as_buffer(), k, metric)
                     while len(asked) > 1 and sum(x.nbytes for x in asked.values()) > HELD_BYTES:  # the oldest goes first
                         out = asked.pop(next(iter(asked))).batch()
                         if out is not None:
@@ -164,8 +177,8 @@ def _pairs(k: int, metric: str):
                     payload = vp
                     keys, v = _unpack(vp)
                     order = pa.compute.sort_indices(keys)
-                    keys, v = keys.take(order).combine_chunks(), v[order.to_numpy()]
-                asked[at].meet(keys, v, metric)
+                    keys, v = keys.take(order).combine_chunks(), _scaled(v[order.to_numpy()], metric)
+                asked[at].meet(keys, v)
         for one in asked.values():
             out = one.batch()
             if out is not None:

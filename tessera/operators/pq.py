@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vector import distance, l2_normalize
 from tessera.operators.index import MAX_FILE_ROWS
-from tessera.operators.knn import INDEX_BLOCK, QUERY_BLOCK, _checked, _matrix, _pack, check_top_k
+from tessera.operators.knn import INDEX_BLOCK, QUERY_BLOCK, SLICE, _checked, _matrix, _pack, check_top_k
 from tessera.schema import IndexSpec
 from tessera.session import materialize
 
@@ -229,8 +229,8 @@ def probes(pq: PQIndex, queries: DataFrame, nprobe: int, query_id: str = "query_
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, QUERY_BLOCK):
-                part = b.slice(lo, QUERY_BLOCK)
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
                 near = nearest_lists(_unit(_matrix(pa.Table.from_batches([part])), spec.metric), upper, lower, first, nprobe, beam)
                 i, j = np.nonzero(near >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(near[i, j].astype(np.int32)), *(c.take(pa.array(i)) for c in part.columns)], names=["list_id", query_id, qvec])

@@ -130,6 +130,13 @@ def search_json(rows: DataFrame, queries: DataFrame, k: int, threshold: float, q
     return j.select("query_id", F.to_json(doc).alias("json"))
 
 
+def hash_queries(texts: DataFrame, spec: IndexSpec, text_col: str = "text") -> DataFrame:
+    """``query_id, qvec`` of texts by the built-in hashing embedder (null where there is no text)."""
+    from tessera.operators import embed as em
+
+    return texts.select("query_id", em.hash_embed_udf(spec.dim)(tx.embed_cut(F.col(text_col))).alias("qvec"))
+
+
 def search_texts(index: DataFrame, texts: DataFrame, spec: IndexSpec, k: int = DEFAULT_TOP_K,
                  threshold: float | None = DEFAULT_THRESHOLD, flt=None, embedder=None, text_col: str = "text",
                  payload=HIT_PAYLOAD, **knn_kw) -> DataFrame:
@@ -140,11 +147,9 @@ def search_texts(index: DataFrame, texts: DataFrame, spec: IndexSpec, k: int = D
     the built-in hashing embedder runs on the row. The embedding sees the
     first 8000 characters, as in ingest.
     """
-    from tessera.operators import embed as em
-
     cut = tx.embed_cut(F.col(text_col))
     if embedder is None:
-        q = texts.select("query_id", em.hash_embed_udf(spec.dim)(cut).alias("qvec"))
+        q = hash_queries(texts, spec, text_col)
     else:
         keyed = texts.select("query_id", F.md5(cut).alias("text_md5"), cut.alias("text"))
         vecs = embedder(keyed.select("text_md5", "text").dropDuplicates(["text_md5"]))

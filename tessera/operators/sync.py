@@ -17,15 +17,15 @@ from tessera.operators.index import doc_hashes
 STATUSES = ("new", "changed", "unchanged", "removed")
 
 
-def sync_plan(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """``doc_id, status`` for the union of both sides.
+def sync_plan(incoming: DataFrame, stored: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, status`` for the union of both sides, and the columns ``keep`` of the incoming.
 
     ``incoming`` has ``doc_id, content_hash``; ``stored`` is either a hash
     table (``doc_id, content_hash``) or the index itself (header rows are used).
     """
     if "chunk_index" in stored.columns:
         stored = doc_hashes(stored)
-    i = incoming.select("doc_id", F.col("content_hash").alias("new_hash"))
+    i = incoming.select("doc_id", F.col("content_hash").alias("new_hash"), *keep)
     s = stored.select("doc_id", F.col("content_hash").alias("old_hash"))
     j = i.join(s, "doc_id", "full_outer")
     status = (
@@ -34,7 +34,7 @@ def sync_plan(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged")
         .otherwise("changed")
     )
-    return j.select("doc_id", status.alias("status"), "new_hash", "old_hash")
+    return j.select("doc_id", status.alias("status"), "new_hash", "old_hash", *keep)
 
 
 def sync_removed(plan: DataFrame, scope: DataFrame | None = None) -> DataFrame:

@@ -3,10 +3,15 @@ mapping text to tags by keywords."""
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import materialize, spread
 
 # The shipped tag catalog (name, label, keywords, description).
 DEFAULT_CATALOG = {
@@ -77,22 +82,77 @@ def reclassify(index: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame
     return out.select(*index.columns), missing
 
 
-def keyword_hits(docs: DataFrame, catalog: dict | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keyword_hits(docs: DataFrame, catalog: dict | None = None, text: str = "text", id_col: str = "doc_id",
+                 parallelism: int | None = None) -> DataFrame:
     """``doc_id, tag, hits`` -- number of a tag's keywords contained
     (case-insensitive) in the text, for hits > 0.
 
     The catalog is compiled into one column expression: no join, no shuffle.
+    ``parallelism`` deals the texts over so many tasks, for tables of fewer
+    splits than cores. ``keyword_matches`` takes catalogs of any size.
     """
     cat = DEFAULT_CATALOG if catalog is None else catalog
     pairs = sorted({(name, kw.lower()) for name, (_, kws, _) in cat.items() for kw in kws if kw})
     words = {t: F.array(*[F.lit(kw) for n, kw in pairs if n == t]) for t in sorted({n for n, _ in pairs})}
     if not words:
         return docs.select(F.col(id_col), F.lit("").alias("tag"), F.lit(0).alias("hits")).where("false")
-    low = docs.select(F.col(id_col), F.lower(F.col(text)).alias("_low"))  # lower once per document
+    low = spread(docs.select(id_col, text), parallelism).select(F.col(id_col), F.lower(F.col(text)).alias("_low"))  # lower once per document
     per_tag = [F.struct(F.lit(t).alias("tag"), F.size(F.filter(kws, lambda k: F.contains(F.col("_low"), k))).alias("hits")) for t, kws in words.items()]
     return low.select(id_col, F.explode(F.array(*per_tag)).alias("h")).select(id_col, "h.tag", "h.hits").where("hits > 0")
 
 
+SLICE_BYTES = 2 << 20
+"""Bytes of keywords that are searched at a time (the automaton takes some fifty times as much)."""
+
+
+def keyword_matches(docs: DataFrame, catalog: DataFrame, text: str = "text", id_col: str = "doc_id", parallelism: int | None = None,
+                    slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """J11 by a catalog table (``name``, ``keywords``): as ``keyword_hits``, for any number of keywords.
+
+    The distinct keywords are cut into slices of bounded bytes. A slice becomes
+    an automaton that finds all its keywords in one pass over a text, so a
+    text's cost does not depend on how many there are; texts stay in the tasks
+    that read them, and slices are added up by document and tag. Lower-casing
+    is Spark's on both sides. Keywords that are null or empty match nothing.
+    """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
+    words = catalog.select(F.col("name").alias("tag"), F.explode("keywords").alias("kw")).select("tag", F.lower("kw").alias("kw")).where("kw <> ''").distinct()
+    total = words.agg(F.sum(F.octet_length("kw"))).first()[0] or 0
+    low = spread(docs.select(id_col, text), parallelism).select(id_col, F.lower(F.col(text)).alias("low"))
+    slices = max(1, -(-total // slice_bytes))
+    words = materialize(words.withColumn("slice", F.pmod(F.xxhash64("kw"), F.lit(slices)).cast("int")), "keywords")
+
+    def of(n: int) -> DataFrame:
+        tags: dict[str, list[str]] = {}
+        for r in words.where(F.col("slice") == n).select("kw", "tag").collect():  # a slice's bytes are bounded
+            tags.setdefault(r.kw, []).append(r.tag)
+        told = spark.sparkContext.broadcast(tags)
+
+        def run(batches):
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for w in told.value:
+                a.add_word(w, w)
+            if told.value:
+                a.make_automaton()
+            for b in batches:
+                ids, out_tag, hits = [], [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    found = {w for _, w in a.iter(t)} if t and told.value else ()
+                    own = Counter(tag for w in found for tag in told.value[w])
+                    ids += [i] * len(own)
+                    out_tag += own.keys()
+                    hits += own.values()
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(out_tag, pa.string()), pa.array(hits, pa.int32())], names=[id_col, "tag", "hits"])
+
+        return low.mapInArrow(run, f"{id_col} {kind}, tag string, hits int")
+
+    found = reduce(DataFrame.unionByName, [of(n) for n in range(slices)])
+    return found if slices == 1 else found.groupBy(id_col, "tag").agg(F.sum("hits").cast("int").alias("hits"))
+
+
 def best_tag(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Most keyword hits per document, ties by tag name (partial aggregate)."""
     return hits.groupBy(id_col).agg(

@@ -166,6 +166,81 @@ def q_chunk_coverage(spark, sf_dir):
     return words.join(shape, "doc_id").select("doc_id", "words", "missing", "foreign_words", "dense")
 
 
+def _shape(chunks, texts, size, least, overlap):
+    """Per document: whether its chunks are sized, start with the last words of the chunk before, and stand in its text."""
+    from pyspark.sql import Window
+
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    c = chunks.withColumn("prev", F.lag("content").over(w))
+    head = F.when(F.col("prev").isNotNull(), F.substring_index("content", "\n", 1))
+    words = F.split(head, " ")
+    cost = F.aggregate(F.transform(words, lambda x: F.greatest(F.lit(1), F.floor(F.length(x) / 4)).cast("int")), F.lit(0), lambda a, x: a + x)
+    before = F.split(flat(F.col("prev")), " ")
+    n = F.size(words)
+    one_more = F.greatest(F.lit(1), F.floor(F.length(F.get(before, F.size(before) - n - 1)) / 4)).cast("int")
+    follows = (F.array_join(F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n), " ") == head) & (cost <= overlap) & (
+        (F.size(before) <= n) | (cost + one_more > overlap))
+    body = F.when(F.col("prev").isNotNull(), F.expr("substring(content, length(substring_index(content, '\n', 1)) + 2)")).otherwise(F.col("content"))
+    c = c.select("doc_id", (F.col("tokens") <= size + least).alias("sized"), F.coalesce(follows, F.lit(True)).alias("follows"), F.left(body, F.lit(60)).alias("start"),
+                 ((F.col("tokens") >= least) | (F.col("total_chunks") == 1)).alias("enough"))
+    held = c.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", "sized", "follows", "enough", F.contains(F.col("text"), F.col("start")).alias("found"))
+    return held.groupBy("doc_id").agg(F.min("sized").alias("sized"), F.min("enough").alias("enough"), F.min("follows").alias("follows"), F.min("found").alias("found"))
+
+
+@register(
+    "chunk_shape",
+    """select cast(doc_id as varchar) as doc_id, true as sized, true as enough, true as follows, true as found from documents where regexp_matches(text, '\\S')""",
+)
+def q_chunk_shape(spark, sf_dir):
+    """C3/C4 invariants per document: sizes within size and minimum, each chunk begins with as many of the last
+    words of the one before as the overlap allows, and goes on with a place of the text."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return _shape(ch.chunk_docs(d, strategy="recursive"), d, 512, 100, 64)
+
+
+@register(
+    "chunk_heading_shape",
+    f"""
+with md as ({MARKDOWN_SQL}), {_LINES}, {_paths_sql()},
+p as (select distinct doc_id, heading_path from hp where heading_path <> '')
+select doc_id, count(*) as paths, true as led, true as sized, true as dense from p group by doc_id
+""",
+)
+def q_chunk_heading_shape(spark, sf_dir):
+    """C7 invariants per Markdown document: every heading path that opens a chunk is one of its own (counted: those
+    that stand in any chunk), the path stands before the content, and sizes and numbers are right."""
+    docs = markdown_corpus(spark, sf_dir)
+    c = ch.chunk_docs(docs, strategy="heading")
+    path = F.col("heading_path")
+    led = F.when(path == "", F.lit(True)).otherwise(F.startswith("content", F.concat(path, F.lit("\n\n"))) | (F.col("content") == path))
+    shape = c.groupBy("doc_id").agg(
+        F.min(led).alias("led"), F.min(F.col("tokens") <= 512 + 100 + F.length(path) / 4).alias("sized"),
+        ((F.count("*") == F.max("total_chunks")) & (F.countDistinct("chunk_index") == F.count("*")) & (F.max("chunk_index") == F.count("*") - 1)).alias("dense"))
+    own = ch.heading_paths(docs).where("heading_path <> ''").select("doc_id", "heading_path").distinct()
+    foreign = c.where(path != "").select("doc_id", "heading_path").distinct().join(own, ["doc_id", "heading_path"], "left_anti").select("doc_id").distinct()
+    paths = own.groupBy("doc_id").agg(F.count("*").alias("paths"))
+    return paths.join(shape, "doc_id").join(foreign, "doc_id", "left_anti").select("doc_id", "paths", "led", "sized", "dense")
+
+
+@register(
+    "ingest_plan_docs",
+    """
+with t as (select cast(doc_id as varchar) as doc_id, text, doc_id % 3 = 0 as md from documents where regexp_matches(text, '\\S')),
+n as (select *, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^(#{1,6})\\s+(.+)'))) as headings from t)
+select doc_id, case when md or headings >= 3 then 'heading' else 'recursive' end as strategy, true as counted from n
+""",
+)
+def q_ingest_plan_docs(spark, sf_dir):
+    """C9 per document: the strategy, and whether chunks and tokens lie between what the text's length makes them be."""
+    docs = plain_corpus(spark, sf_dir)
+    plan = q_ingest_plan(spark, sf_dir).join(docs.select("doc_id", F.length(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("n")), "doc_id")
+    least = F.greatest(F.lit(1.0), F.col("n") / 4 * 0.8 - F.col("chunks"))
+    most = F.col("n") / 4 + 1 + F.col("chunks") * (64 * 8)  # a word of the overlap costs one token however short it is; a small last chunk joins the one before
+    counted = (F.col("tokens") >= least) & (F.col("tokens") <= most) & (F.col("chunks") <= F.col("n") / 4 / (100 - 64) + 1)
+    return plan.select("doc_id", "strategy", counted.alias("counted"))
+
+
 @register(
     "chunk_renumber",
     """

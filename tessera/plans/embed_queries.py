@@ -8,6 +8,7 @@ from tessera.operators import embed as em
 from tessera.operators.search import search_texts
 from tessera.plans.registry import register
 from tessera.schema import IndexSpec
+from tessera.session import parallelism, spread
 from tessera.sources.tables import read_table
 
 DIM = 64
@@ -35,7 +36,7 @@ select id as doc_id, bucket, cnt, round(weight, 6) as weight from sp
 def q_hash_embed(spark, sf_dir):
     """H1: built-in hashing embedder, sparse (bucket, count, weight) view of every document."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    sp = em.hash_embed_sparse(d, "doc_id", "text", DIM)
+    sp = em.hash_embed_sparse(d, "doc_id", "text", DIM, parallelism(spark))
     return sp.select("doc_id", "bucket", "cnt", F.round("weight", 6).alias("weight"))
 
 
@@ -80,6 +81,7 @@ def q_embed_cache(spark, sf_dir):
 def _doc_index(spark, sf_dir):
     """Every document as one vector, embedded on the row (narrow UDF; equal to ``hash_embed``)."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", "source")
+    d = spread(d, parallelism(spark))
     v = d.withColumn("vec", em.hash_embed_udf(DIM)("text")).where(F.col("vec").isNotNull())
     return v.select(F.concat("doc_id", F.lit(".chunk-0000")).alias("key"), "vec", "doc_id", "lang", "source")
 

@@ -1,10 +1,12 @@
 """End-to-end ingest (E1): corpus -> chunks -> embeddings -> index rows,
 plus incremental application to a stored index.
 
-Plan shape: narrow chunking in the tasks that read the corpus, one shuffle
-on ``text_md5`` to embed each distinct text once, one join back, then the
-metadata projection. With ``sync``, a hash join against the stored header
-rows runs first, so unchanged documents never reach the chunker.
+Plan shape: the corpus is first read for ids and hashes only: of rows with one
+id the winner is chosen, and it is compared with the stored hashes. Then the
+texts of new and changed documents are fetched where the corpus is read, by a
+semi-join with their keys, which are broadcast in waves of a measured size:
+unchanged texts are never shuffled and never reach the chunker. Chunking is
+narrow; an external embedder sees each distinct text once.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from tessera.operators import embed as em
 from tessera.operators import index as ix
 from tessera.operators import metadata as md
 from tessera.operators import sync as sy
-from tessera.session import checkpoint_dir, materialize
+from tessera.session import checkpoint_dir, materialize, rows_of, spread
 from tessera.schema import DEFAULT_CHUNK_OVERLAP, DEFAULT_CHUNK_SIZE, DEFAULT_MIN_CHUNK, EMBED_INPUT_MAX_CHARS, IndexSpec
 
 # first sentence of a document: up to the first sentence end followed by white space or the end
@@ -38,12 +41,74 @@ def extractive_prefix(sentence, heading_path) -> F.Column:
     return F.concat_ws(" — ", F.nullif(heading_path, F.lit("")), F.nullif(sentence, F.lit("")))
 
 
+def _named(corpus: DataFrame) -> list[str]:
+    """What tells rows of one id apart besides their text."""
+    return [c for c in ("path", "source") if c in corpus.columns]
+
+
+def choose_rows(corpus: DataFrame) -> DataFrame:
+    """Q10: which row of an id is stored, by hashes alone: the last write wins,
+    that of the greatest path, then source, then content hash.
+
+    Returns ``doc_id``, these columns and ``copies`` (rows that are equal in
+    them). No text leaves the task that reads it.
+    """
+    named = _named(corpus)
+    rows = corpus.select("doc_id", *named, tx.content_hash("text").alias("content_hash"))
+    own = [*named, "content_hash"]
+    same = rows.groupBy("doc_id", *own).agg(F.count("*").alias("copies"))
+    last = same.groupBy("doc_id").agg(F.max_by(F.struct(*own, "copies"), F.struct(*own)).alias("_r"))
+    return last.select("doc_id", *[F.col("_r")[c].alias(c) for c in (*own, "copies")])
+
+
+def _at(corpus: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the corpus that these keys name."""
+    rows = corpus.withColumn("content_hash", tx.content_hash("text"))
+    return rows_of(rows, keys, ["doc_id", *_named(corpus), "content_hash"]).select(*corpus.columns)
+
+
+def fetch_rows(corpus: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The corpus rows that ``chosen`` (a written table as ``choose_rows`` returns it) names, one of each id."""
+    out = _at(corpus, chosen.where(F.col("copies") == 1))
+    twice = chosen.where(F.col("copies") > 1)
+    if twice.limit(1).count():  # rows that are equal up to columns of no weight: any, but always the same
+        others = [c for c in corpus.columns if c != "doc_id"]
+        last = _at(corpus, twice).groupBy("doc_id").agg(F.max_by(F.struct(*others), F.xxhash64(*others)).alias("_r"))
+        out = out.unionByName(last.select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in corpus.columns]))
+    return out
+
+
 def one_row_per_id(corpus: DataFrame) -> DataFrame:
-    """Q10: of rows that share a doc_id the last write wins, the one of the greatest path (then text)."""
-    others = [c for c in corpus.columns if c != "doc_id"]
-    order = F.struct(*[F.col(c) for c in ("path", "source", "text") if c in corpus.columns])
-    last = corpus.groupBy("doc_id").agg(F.max_by(F.struct(*others), order).alias("_r"))
-    return last.select(*[F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in corpus.columns])
+    """Q10: the rows that are stored, one of each id."""
+    return fetch_rows(corpus, materialize(choose_rows(corpus), "ids"))
+
+
+def per_chunk(call: Callable[[str, str], str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """H2: a ``context_fn`` from ``call(document, chunk) -> prefix``.
+
+    A document meets its chunks in one task. A call that raises gives that
+    chunk alone an empty prefix, and ``failed`` says what it raised.
+    """
+
+    def run(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+        kind = documents.schema["doc_id"].dataType.simpleString()
+
+        def of(docs: pa.Table, own: pa.Table) -> pa.Table:
+            text = docs.column("text")[0].as_py() if docs.num_rows else None
+            prefix, failed = [], []
+            for chunk in own.column("content").to_pylist():
+                try:
+                    prefix.append(call(text or "", chunk))
+                    failed.append(None)
+                except Exception as e:  # noqa: BLE001 whatever a model's client raises
+                    prefix.append("")
+                    failed.append(f"{type(e).__name__}: {e}"[:200])
+            return pa.table({"doc_id": own.column("doc_id"), "chunk_index": own.column("chunk_index"), "context_prefix": pa.array(prefix, pa.string()), "failed": pa.array(failed, pa.string())})
+
+        asked = chunks.select("doc_id", "chunk_index", "content").groupBy("doc_id")
+        return documents.select("doc_id", "text").groupBy("doc_id").cogroup(asked).applyInArrow(of, f"doc_id {kind}, chunk_index int, context_prefix string, failed string")
+
+    return run
 
 
 def build_index_rows(
@@ -57,17 +122,21 @@ def build_index_rows(
     contextual: bool = False,
     context_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     ingested_at: _dt.datetime | None = None,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Corpus rows (``doc_id, text, file_type, source, tags, author``) -> index rows.
 
     ``context_fn(chunks, documents) -> (doc_id, chunk_index, context_prefix)``
     writes the prefixes (H2): it gets the chunks and the documents' texts as
-    tables to join on doc_id. A chunk for which it gives no row or null (its
-    model failed there) is indexed with an empty prefix. Without it the prefix
+    tables to join on doc_id. A chunk for which it gives no row or null is
+    indexed with an empty prefix; ``per_chunk`` makes one of a plain function
+    whose failures do the same. Without it the prefix
     is the heading path and the document's first sentence, which is all of the
-    document that travels with its chunks.
+    document that travels with its chunks. ``parallelism`` deals documents
+    over so many tasks, for corpora of fewer splits than cores.
     """
     checkpoint_dir(corpus.sparkSession)  # the shared folder named by spark.checkpoint.dir
+    corpus = spread(corpus, parallelism)
     cols = corpus.columns
     keep = [c for c in ("source", "tags", "author") if c in cols]
     docs = corpus.withColumn("content_hash", tx.content_hash("text"))
@@ -112,6 +181,17 @@ def build_index_rows(
     return ix.assert_dims(ix.conform(out), spec)
 
 
+def apply_plan(spark: SparkSession, corpus: DataFrame, base: str, spec: IndexSpec, plan: DataFrame, removed: bool, **kw) -> tuple[DataFrame, DataFrame]:
+    """Fetch, chunk and embed what the plan calls new or changed, and store it;
+    the written plan and rows. ``removed``: stored documents of that status go."""
+    plan = materialize(plan, "sync-plan")  # one comparison, reused by the rows, the write and the summary
+    todo = plan.where(F.col("status").isin("new", "changed")).select("doc_id", F.col("new_hash").alias("content_hash"), *_named(corpus), "copies")
+    rows = materialize(build_index_rows(fetch_rows(corpus, todo), spec, **kw), "ingest-rows")  # chunk + embed once
+    drop = plan.where(F.col("status") == "changed").select("doc_id")
+    ix.apply_doc_changes(spark, base, rows, drop.unionByName(sy.sync_removed(plan)) if removed else drop)
+    return plan, rows
+
+
 def ingest(
     spark: SparkSession,
     corpus: DataFrame,
@@ -119,6 +199,7 @@ def ingest(
     spec: IndexSpec,
     sync: bool = False,
     scope: DataFrame | None = None,
+    compact_parts: int | None = 16,
     **kw,
 ) -> DataFrame:
     """Ingest ``corpus`` into the versioned index at ``base``; return the per-status summary.
@@ -126,27 +207,21 @@ def ingest(
     Without ``sync`` every document of the corpus replaces its stored rows
     (Q11 fix: no stale higher-numbered chunks). With ``sync`` unchanged
     documents are skipped and stored documents missing from the corpus are
-    removed (within ``scope`` when given, Q12 fix). Only the buckets of the
-    documents that change are rewritten.
+    removed (within ``scope`` when given, Q12 fix). Only the documents that
+    change are written; a bucket of ``compact_parts`` parts is made one again.
     """
     checkpoint_dir(spark)
     stored = ix.read_index(spark, base)
-    corpus = one_row_per_id(corpus)
-    hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash"))
-    plan = sy.sync_plan(hashes, stored)
+    plan = sy.sync_plan(choose_rows(corpus), stored, keep=(*_named(corpus), "copies"))
     if not sync:  # nothing is removed, and what is there already is written again
         plan = plan.where(F.col("status") != "removed")
         plan = plan.withColumn("status", F.when(F.col("status") == "unchanged", "changed").otherwise(F.col("status")))
     elif scope is not None:  # stored documents outside the scope are none of this run's business
         inside = scope.select("doc_id").distinct().withColumn("_in", F.lit(True))
         plan = plan.join(inside, "doc_id", "left").where((F.col("status") != "removed") | F.col("_in")).drop("_in")
-    plan = materialize(plan, "sync-plan")  # one comparison, reused by the rows, the write and the summary
-    todo = sy.to_ingest(corpus, plan)
-    rows = materialize(build_index_rows(todo, spec, **kw), "ingest-rows")  # chunk + embed once
-    drop = plan.where(F.col("status") == "changed").select("doc_id")
-    if sync:
-        drop = drop.unionByName(sy.sync_removed(plan))
-    ix.apply_doc_changes(spark, base, rows, drop)
+    plan, rows = apply_plan(spark, corpus, base, spec, plan, removed=sync, **kw)
+    if compact_parts:
+        ix.compact_index(spark, base, min_parts=compact_parts)
     # lazy: reads only the materialised plan and rows and the replaced
     # version's files, which are immutable, so it is valid after the write
     return sy.sync_summary(plan, stored, rows)

@@ -11,7 +11,7 @@ from tessera.plans.ingest import build_index_rows
 from tessera.plans.registry import register
 from tessera.plans.text_queries import html_text_sql
 from tessera.schema import IndexSpec
-from tessera.session import scratch_path
+from tessera.session import parallelism, scratch_path, spread
 from tessera.sources import files as fs
 from tessera.sources.tables import read_table
 
@@ -22,7 +22,7 @@ FIXED_TIME = dt.datetime(2024, 1, 1, 0, 0, 0)
 @register("ingest_pages")
 def q_ingest_pages(spark, sf_dir):
     """Raw pages -> visible text -> chunks (auto) -> hashing embedder -> index rows with metadata."""
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"), parallelism(spark))
     corpus = p.select(
         F.col("page_id").cast("string").alias("doc_id"), tx.html_text("html").alias("text"), F.lit("html").alias("file_type"),
         F.col("url").alias("source"), F.lit("web").alias("tags"),
@@ -50,6 +50,30 @@ def q_ingest_pages_docs(spark, sf_dir):
     return rows.groupBy("doc_id", "content_hash").agg(F.min("key").alias("key"), F.max("context_prefix").alias("context_prefix"), (whole & same).alias("whole"))
 
 
+def _shaky_model(document: str, chunk: str) -> str:
+    """A stand-in for a model that fails on documents of odd length."""
+    if len(document) % 2:
+        raise TimeoutError("no answer")
+    return document[:12]
+
+
+@register(
+    "ingest_context",
+    """select cast(doc_id as varchar) as doc_id, nullif(case when length(text) % 2 = 1 then '' else left(text, 12) end, '') as context_prefix, true as whole
+       from documents where regexp_matches(text, '\\S')""",
+)
+def q_ingest_context(spark, sf_dir):
+    """H2 with a model that fails on some documents: their chunks are indexed without a prefix, the others with it."""
+    from tessera.plans.ingest import per_chunk
+
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit("txt").alias("file_type"))
+    rows = build_index_rows(d, SPEC, ingested_at=FIXED_TIME, contextual=True, context_fn=per_chunk(_shaky_model))
+    n = F.count("*")
+    whole = (n == F.max("total_chunks")) & (F.max("chunk_index") == n - 1) & F.coalesce(F.min("context_prefix") == F.max("context_prefix"), F.lit(True)) & (
+        F.count("context_prefix").isin(0, n))
+    return rows.groupBy("doc_id").agg(F.max("context_prefix").alias("context_prefix"), whole.alias("whole"))
+
+
 _ODD_SQL = """
 odd as (select cast(doc_id as varchar) as doc_id, case when doc_id % 13 = 0 then '!!! ... ???' when doc_id % 17 = 0 then concat(repeat(chr(1), 400), text)
                else text end as text, concat('a/', cast(doc_id as varchar)) as path, case when doc_id % 17 = 0 then repeat(chr(2), 300) else source end as source from documents
@@ -113,6 +137,23 @@ def q_scan_corpus(spark, sf_dir):
                     tx.content_hash("text").alias("content_hash"))
 
 
+@register(
+    "corpus_file_types",
+    f"""
+with p as (select page_id, case page_id % 4 when 0 then 'md' when 1 then 'txt' when 2 then 'html' else 'HTM' end as ext, html, {html_text_sql('html')} as visible from pages)
+select concat('kb-page-', cast(page_id as varchar)) as doc_id, case when lower(ext) = 'htm' then 'html' else ext end as file_type,
+       md5(case when ext in ('html', 'HTM') then visible else html end) as content_hash
+from p where regexp_matches(html, '\\S')""",
+)
+def q_corpus_file_types(spark, sf_dir):
+    """S1/S2 behind the file reader: pages as Markdown, text and HTML files; HTML is reduced to its text."""
+    ext = F.element_at(F.array(*map(F.lit, ("md", "txt", "html", "HTM"))), (F.col("page_id") % 4 + 1).cast("int"))
+    p = read_table(spark, sf_dir, "pages")
+    raw = p.select(F.concat(F.lit("/data/kb/page-"), F.col("page_id").cast("string"), F.lit("."), ext).alias("path"), F.col("html").alias("raw"))
+    c = fs.corpus_from_files(spread(raw, parallelism(spark)), base_dir="/data")
+    return c.select("doc_id", "file_type", tx.content_hash("text").alias("content_hash"))
+
+
 @register(
     "vector_records",
     """select 'vec-' || cast(vec_id as varchar) as key, len(embedding) as dim, cast(vec_id as varchar) as doc_id,
@@ -154,7 +195,7 @@ def q_search_pages(spark, sf_dir):
     from tessera.operators import embed as em
     from tessera.operators.search import search
 
-    p = read_table(spark, sf_dir, "pages")
+    p = spread(read_table(spark, sf_dir, "pages"), parallelism(spark))
     corpus = p.select(F.col("page_id").cast("string").alias("doc_id"), tx.html_text("html").alias("text"),
                       F.lit("html").alias("file_type"), F.col("url").alias("source"))
     index = build_index_rows(corpus, SPEC, ingested_at=FIXED_TIME)

@@ -33,6 +33,7 @@ def load_all():
         stats_queries,
         stream_queries,
         ingest_queries,
+        store_queries,
     )
 
     return QUERIES, ORACLES

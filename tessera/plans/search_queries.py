@@ -8,7 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators.search import search
 from tessera.plans.fixtures import FIXTURE_SPEC, INDEX_VIEW_SQL, index_view, query_vectors
 from tessera.plans.registry import register
-from tessera.session import materialize
+from tessera.session import materialize, parallelism
 
 # DuckDB pieces shared by the kNN oracles: all embeddings are queries.
 _DUCK_COS = (
@@ -57,6 +57,7 @@ def q_search(spark, sf_dir):
         threshold=0.6,
         flt={"lang": {"$eq": "en"}},
         payload=("doc_id", "source", "tags", "content"),
+        parallelism=parallelism(spark),
     )
     return hits.select(
         "query_id",
@@ -80,7 +81,7 @@ def q_knn_topk(spark, sf_dir):
     """Exact top-10 cosine neighbours of every embedding over the whole index."""
     from tessera.operators.knn import knn_topk
 
-    return _knn_select(knn_topk(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=10))
+    return _knn_select(knn_topk(index_view(spark, sf_dir), query_vectors(spark, sf_dir), FIXTURE_SPEC, k=10, parallelism=parallelism(spark)))
 
 
 _DUCK_EUC = "sqrt(list_sum(list_transform(list_zip(q.qv, cast(iv.vec as double[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"
@@ -266,6 +267,22 @@ def q_dim_check(spark, sf_dir):
     return dim_violations(e, FIXTURE_SPEC, vec_col="embedding").select("vec_id", F.col("dim"))
 
 
+@register(
+    "dim_check_mixed",
+    """select vec_id, case when vec_id % 7 = 0 then 63 when vec_id % 7 = 1 then 0 else -1 end as dim
+       from embeddings where vec_id % 7 in (0, 1, 2)""",
+)
+def q_dim_check_mixed(spark, sf_dir):
+    """F14 where vectors are short, empty or missing: each is reported with its length (-1: missing)."""
+    from tessera.operators.index import dim_violations
+    from tessera.sources.tables import read_table
+
+    n = F.col("vec_id") % 7
+    e = read_table(spark, sf_dir, "embeddings")
+    e = e.withColumn("embedding", F.when(n == 0, F.slice("embedding", 1, 63)).when(n == 1, F.slice("embedding", 1, 0)).when(n > 2, F.col("embedding")))
+    return dim_violations(e, FIXTURE_SPEC, vec_col="embedding").select("vec_id", F.coalesce("dim", F.lit(-1)).alias("dim"))
+
+
 def _ivf(spark, sf_dir):
     """An IVF index of the whole table, as many lists as the root of its rows, stored and read back."""
     from tessera.operators.ann import build_ivf, load_ivf, save_ivf

@@ -10,7 +10,7 @@ from tessera.operators import stats as st
 from tessera.operators import tags as tg
 from tessera.plans.fixtures import line_index, line_index_sql
 from tessera.plans.registry import register
-from tessera.session import scratch_path
+from tessera.session import parallelism, scratch_path
 from tessera.sources.files import read_tag_catalog
 from tessera.sources.tables import read_table
 
@@ -126,7 +126,7 @@ select doc_id, arg_min(tag, (-hits, tag)) as best_tag, max(hits) as hits from hi
 def q_keyword_tagger(spark, sf_dir):
     """The catalog tag whose keywords a document contains most."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return tg.best_tag(tg.keyword_hits(d))
+    return tg.best_tag(tg.keyword_hits(d, parallelism=parallelism(spark)))
 
 
 def _catalog_file(spark) -> str:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.plans import metadata_fixture as mf
+from tessera.plans.chunk_queries import SECTIONS_SQL
 from tessera.plans.fixtures import INDEX_VIEW_SQL, index_view
 from tessera.plans.registry import register
+from tessera.session import parallelism, spread
 from tessera.sources.tables import read_table
 
 # DuckDB form of Python's str.strip() on ASCII white space
@@ -97,7 +99,7 @@ def html_text_sql(h: str) -> str:
 @register("html_text", f"select page_id, {html_text_sql('html')} as text from pages")
 def q_html_text(spark, sf_dir):
     """Visible text of every page (script/style/nav/header/footer removed)."""
-    return read_table(spark, sf_dir, "pages").select("page_id", tx.html_text("html").alias("text"))
+    return spread(read_table(spark, sf_dir, "pages"), parallelism(spark)).select("page_id", tx.html_text("html").alias("text"))
 
 
 @register(
@@ -254,6 +256,37 @@ def q_drop_blank_docs(spark, sf_dir):
     return d.where(~tx.is_blank("text")).select("doc_id")
 
 
+_BLANKED = "case when doc_id % 5 = 0 then repeat(' ', doc_id % 7) || chr(10) || chr(9) when doc_id % 5 = 1 then null else text end"
+
+
+@register("drop_blank_mixed", f"select doc_id from documents where regexp_matches({_BLANKED}, '\\S')")
+def q_drop_blank_mixed(spark, sf_dir):
+    """F9 where two fifths of the texts are white space or null."""
+    white = F.concat(F.expr("repeat(' ', cast(doc_id % 7 as int))"), F.lit("\n\t"))
+    text = F.when(F.col("doc_id") % 5 == 0, white).when(F.col("doc_id") % 5 == 1, F.lit(None)).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).withColumn("text", text).where(~tx.is_blank("text")).select("doc_id")
+
+
+@register(
+    "hit_titles",
+    f"""
+with s as ({SECTIONS_SQL})
+select doc_id, section_no, case when heading_path <> '' and section_no % 2 = 0 then heading_path when section_no % 3 = 0 then doc_id
+       else concat(doc_id, '#', cast(section_no as varchar)) end as title from s
+""",
+)
+def q_hit_titles(spark, sf_dir):
+    """P15 on real headings: the heading path, where there is none (or it is left out) the document, else the key."""
+    from tessera.operators.chunking import sections
+    from tessera.plans.fixtures import markdown_corpus
+
+    n = F.col("section_no")
+    path = F.when(n % 2 == 0, F.col("heading_path")).otherwise(F.when(n % 3 == 0, F.lit("")))
+    doc = F.when(n % 3 == 0, F.col("doc_id"))
+    s = sections(markdown_corpus(spark, sf_dir))
+    return s.select("doc_id", "section_no", tx.hit_title(path, doc, F.concat("doc_id", F.lit("#"), n.cast("string"))).alias("title"))
+
+
 @register(
     "inline_docs",
     """

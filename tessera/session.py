@@ -90,6 +90,46 @@ def materialize(df, name: str = "stage"):
     return df.sparkSession.read.parquet(path)
 
 
+KEY_BYTES = 64 << 20
+"""Bytes of keys that are broadcast at a time."""
+KEY_WAVES = 4
+"""Times that a table is read for its rows at most; beyond, Spark joins as it sees fit."""
+
+
+def rows_of(rows, keys, cols: list[str], anti: bool = False):
+    """The rows that ``keys`` (a written table) names by ``cols``, or with ``anti`` the others; nulls are equal to nulls.
+
+    The keys are measured and broadcast in waves of ``KEY_BYTES``, so the rows
+    are not shuffled; a row meets the wave of its own hash only.
+    """
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    size = keys.select(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in cols), F.lit(64)))).first()[0] or 0
+    waves = max(1, -(-size // KEY_BYTES))
+    how = "left_anti" if anti else "left_semi"
+    on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in cols])
+    if waves > KEY_WAVES:
+        return rows.alias("r").join(keys.select(*cols).alias("k"), on, how).select("r.*")
+    part = F.pmod(F.xxhash64(*cols), F.lit(waves))
+    found = [rows.where(part == w).alias("r").join(F.broadcast(keys.select(*cols).where(part == w)).alias("k"), on, how).select("r.*") for w in range(waves)]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def parallelism(spark: SparkSession) -> int | None:
+    """Tasks that CPU-heavy narrow operators deal their rows over: the session's
+    ``spark.tessera.parallelism``; None (rows stay in the tasks that read them)
+    where it is unset. Set it where tables have fewer splits than there are cores."""
+    n = spark.conf.get("spark.tessera.parallelism", None)
+    return int(n) if n else None
+
+
+def spread(df, n: int | None):
+    """``df`` dealt over ``n`` tasks; as it is for None."""
+    return df.repartition(n) if n else df
+
+
 _SHIPPED: dict = {}
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import index as ix
 from tessera.operators import sync as sy
-from tessera.plans.ingest import build_index_rows, one_row_per_id
+from tessera.plans.ingest import apply_plan, choose_rows
 from tessera.schema import IndexSpec
 from tessera.session import checkpoint_dir, materialize, scratch_path
 
@@ -32,26 +32,22 @@ def document_stream(spark: SparkSession, directory: str, schema, glob: str = "*.
 
 
 def stream_ingest(spark: SparkSession, docs: DataFrame, base: str, spec: IndexSpec, checkpoint: str | None = None,
-                  to_corpus=None, **build_kw):
+                  to_corpus=None, compact_parts: int = 16, **build_kw):
     """Start the ingest stream; returns the ``StreamingQuery`` (trigger availableNow).
 
-    ``to_corpus`` maps a micro-batch to corpus rows (``doc_id, text, ...``).
+    ``to_corpus`` maps a micro-batch to corpus rows (``doc_id, text, ...``). A
+    bucket that has grown to ``compact_parts`` parts is made one again.
     """
     checkpoint = checkpoint or os.path.join(checkpoint_dir(spark), "stream-ingest-" + os.path.basename(base.rstrip("/")))
 
     def apply(batch: DataFrame, batch_id: int):
-        corpus = to_corpus(batch) if to_corpus else batch
-        corpus = corpus.where(~tx.is_blank("text"))
-        corpus = materialize(one_row_per_id(corpus), "stream-batch")
-        hashes = corpus.select("doc_id", tx.content_hash("text").alias("content_hash"))
+        corpus = (to_corpus(batch) if to_corpus else batch).where(~tx.is_blank("text"))
+        chosen = materialize(choose_rows(corpus), "stream-ids")
         # only the buckets that this batch's documents are in are read
-        stored = ix.read_buckets(spark, base, corpus.select("doc_id"))
-        plan = sy.sync_plan(hashes, stored).where(F.col("status") != "removed")
-        plan = materialize(plan, "stream-plan")
-        todo = sy.to_ingest(corpus, plan)
-        rows = materialize(build_index_rows(todo, spec, **build_kw), "stream-rows")
-        drop = plan.where(F.col("status") == "changed").select("doc_id")
-        ix.apply_doc_changes(spark, base, rows, drop)  # rewrites only the touched buckets
+        stored = ix.read_buckets(spark, base, chosen.select("doc_id"))
+        plan = sy.sync_plan(chosen, stored, keep=tuple(c for c in chosen.columns if c not in ("doc_id", "content_hash")))
+        apply_plan(spark, corpus, base, spec, plan.where(F.col("status") != "removed"), removed=False, **build_kw)
+        ix.compact_index(spark, base, min_parts=compact_parts)
 
     q = (docs.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -161,12 +161,17 @@ def test_first_layout_is_still_read(spark, base):
     assert state(spark, base) == want(a="new", c="old", d="old", e="old", f="old")
 
 
-def test_keys_are_split_before_they_are_sized(spark, base, monkeypatch):
+def test_keys_are_split_and_measured_before_they_are_broadcast(spark, base, monkeypatch):
+    from tessera import session
+
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     index = ix.read_index(spark, base)
-    text = ", ".join(["a.chunk-0000", " ", "b.chunk-0001"])
-    assert "strategy=broadcast" in plan(ix.get_vectors(index, text))
-    assert sorted(r.key for r in ix.get_vectors(index, text).collect()) == ["a.chunk-0000", "b.chunk-0001"]
-    monkeypatch.setattr(ix, "MAX_BROADCAST_BYTES", 10)
-    assert "strategy=broadcast" not in plan(ix.delete_keys(index, text))
-    assert ix.delete_keys(index, text.split(",")).count() == 10
+    text = ", ".join(["a.chunk-0000", " ", "b.chunk-0001", "a.chunk-0000"])
+    for size, waves in ((64 << 20, 1), (100, 2), (10, 0)):  # beyond KEY_WAVES nothing is broadcast
+        monkeypatch.setattr(session, "KEY_BYTES", size)
+        got = ix.get_vectors(index, text)
+        assert plan(got).count("strategy=broadcast") == waves
+        assert sorted(r.key for r in got.collect()) == ["a.chunk-0000", "b.chunk-0001"]
+        assert ix.delete_keys(index, text.split(",")).count() == 10
+    table = spark.createDataFrame([("c.chunk-0000",), (None,), ("zz",)], "key string")
+    assert [r.key for r in ix.get_vectors(index, table).collect()] == ["c.chunk-0000"]
