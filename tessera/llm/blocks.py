@@ -29,6 +29,12 @@ from tessera.llm.kernels import U64
 
 BLOCK_BYTES = 4 << 20
 """Text bytes after which a block is closed (a longer document has a block of its own)."""
+RANGE_BYTES = 16 << 20
+"""Text bytes for each key range of an exchange."""
+GROWN = 64 << 30
+"""Text bytes from which blocks and ranges grow with the root of the input, so that messages grow in proportion to it."""
+MOST = 32
+"""Times that blocks and ranges grow at most: a task holds one of them."""
 BLOCK_DOCS = 1 << 16
 ROW = U64(16)  # a document's row number is block << 16 | place in its block
 
@@ -131,13 +137,25 @@ def _cut(batches: Iterator[pa.RecordBatch], make: Callable, block_bytes: int):
         yield close()
 
 
+def grown(size: int, total: int) -> int:
+    """A block's or range's bytes for an input of ``total`` bytes."""
+    return round(size * min(MOST, max(1.0, (total / GROWN) ** 0.5)))
+
+
+def bucket_count(total: int, block_bytes: int, most: int) -> int:
+    """Buckets of some blocks each, within what Spark allows."""
+    return min(most, max(32, -(-total // (2 * block_bytes))))
+
+
 def bucketed(df: DataFrame, name: str, total: int, block_bytes: int) -> DataFrame:
-    """Write ``df`` bucketed by block under the shared folder and read it back."""
+    """Write ``df`` bucketed by block under the shared folder and read it back; the catalog keeps no table."""
     spark = df.sparkSession
-    n = max(32, -(-total // (2 * block_bytes)))
+    n = bucket_count(total, block_bytes, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     tab = f"tessera_{name}_{uuid.uuid4().hex[:12]}"
     df.write.format("parquet").option("path", scratch_path(spark, name)).option("compression", "uncompressed").bucketBy(n, "block").saveAsTable(tab)
-    return spark.table(tab)
+    out = spark.table(tab)
+    spark.sql(f"drop table {tab}")  # its files stay, and so does what was read of it here
+    return out
 
 
 def document_blocks(docs: DataFrame, name: str, make: Callable | None = None, schema: str = "", block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int]:
@@ -151,6 +169,7 @@ def document_blocks(docs: DataFrame, name: str, make: Callable | None = None, sc
     ship_package(docs.sparkSession)
     src = document_rows(docs, carry)
     total = text_bytes(src)
+    block_bytes = grown(block_bytes, total)
     full = "block long, payload binary" + (f", {schema}" if schema else "")
 
     def run(batches):
@@ -166,9 +185,9 @@ def document_blocks(docs: DataFrame, name: str, make: Callable | None = None, sc
     return bucketed(src.mapInArrow(run, full), name, total, block_bytes), total
 
 
-def destinations(total: int, per: int = 16 << 20) -> int:
+def destinations(total: int, per: int = RANGE_BYTES) -> int:
     """Key ranges of an exchange: one for so many bytes of text, 64 at least."""
-    return max(64, -(-total // per))
+    return max(64, -(-total // grown(per, total)))
 
 
 def dest_cuts(keys: np.ndarray, dests: int) -> np.ndarray:

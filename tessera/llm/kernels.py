@@ -60,6 +60,30 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h + (end - start).astype(U64) * _ODD)
 
 
+WORD_BLOCK = 64
+"""Bytes that the polynomial is trusted with: some longer strings differ by a multiple of 2**64."""
+
+
+def word_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes [start, end) of any number.
+
+    As ``span_hash`` up to ``WORD_BLOCK`` bytes; of a longer string the hashes
+    of its blocks are mixed with their places and added, so that no structure
+    of the string carries over from block to block.
+    """
+    h = span_hash(sums, start, end)
+    far = np.flatnonzero(end - start > WORD_BLOCK)
+    if len(far):
+        n = -(-(end[far] - start[far]) // WORD_BLOCK)
+        own = np.repeat(np.arange(len(far)), n)
+        place = ranges(np.zeros(len(far), np.int64), n)
+        a = start[far][own] + WORD_BLOCK * place
+        part = span_hash(sums, a, np.minimum(a + WORD_BLOCK, end[far][own]))
+        part = mix(part + (place.astype(U64) + U64(1)) * U64(0xA0761D6478BD642F))
+        h[far] = mix(np.add.reduceat(part, np.cumsum(n) - n) + (end[far] - start[far]).astype(U64) * _ODD)
+    return h
+
+
 def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k-byte string of ``data`` (len(data)-k+1 of them)."""
     n = len(data) - k + 1
@@ -119,7 +143,7 @@ def word_spans(data, offsets):
     start, end = at[:-1], at[1:]
     keep = ~space[start]
     start, end = start[keep], end[keep]
-    h = span_hash(prefix_sums(_LOWER[data]), start, end)
+    h = word_hash(prefix_sums(_LOWER[data]), start, end)
     return h, start, end, np.searchsorted(start, offsets)
 
 

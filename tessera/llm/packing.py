@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import release
-from tessera.llm.kernels import portions, prefix_sums, ranges, span_hash, text_arrays
+from tessera.llm.kernels import portions, prefix_sums, ranges, text_arrays, word_hash
 from tessera.llm.ranking import number_within
 from tessera.llm.token_counts import load
 from tessera.session import materialize, ship_package
@@ -100,16 +100,17 @@ def _spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def id_arrays(path: str):
     """``(bytes, offsets) of texts -> (ids, first id of each text)`` for a lower-casing BPE that drops blanks.
 
-    Pre-tokens are found for all texts at once and told apart by a 64-bit
-    hash; each is encoded once while it is remembered.
+    Pre-tokens are found for all texts at once, gathered by a hash, compared
+    byte by byte with the one that stands for them, and remembered by their
+    bytes; each is encoded once while it is remembered.
     """
     tok, known = load(path), {}
     store, used = np.zeros(1 << 20, np.uint32), 0
     bounds = np.zeros(1 << 16, np.int64)  # where the ids of each remembered pre-token begin, and where the last ends
 
-    def learn(hashes: list[int], pieces: list[bytes], hard: list[bool]) -> None:
+    def learn(keys: list[bytes], pieces: list[bytes], hard: list[bool]) -> None:
         nonlocal store, used, bounds
-        for h, p, odd in zip(hashes, pieces, hard, strict=True):
+        for h, p, odd in zip(keys, pieces, hard, strict=True):
             if odd:
                 ids = tok.encode(p.decode(), add_special_tokens=False).ids
             else:
@@ -128,17 +129,25 @@ def id_arrays(path: str):
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         low, start, end, hard = _spans(data, off)
-        h = span_hash(prefix_sums(low), start, end) ^ hard.astype(np.uint64)
-        names, first, code = np.unique(h, return_index=True, return_inverse=True)
-        keys = names.tolist()
+        h = word_hash(prefix_sums(low), start, end) ^ hard.astype(np.uint64)
+        _, first, code = np.unique(h, return_index=True, return_inverse=True)
+        size = end - start
+        alike = (size == size[first][code]) & (hard == hard[first][code])
+        at = ranges(start, np.where(alike, size, 0))
+        differ = np.flatnonzero(low[at] != low[ranges(start[first][code], np.where(alike, size, 0))])
+        if len(differ):
+            alike[np.searchsorted(start, at[differ], side="right") - 1] = False
+        odd = np.flatnonzero(~alike)  # another string under one hash stands for itself
+        code[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
+        raw = low.tobytes()
+        keys = [raw[a:b] + (b"!" if x else b".") for a, b, x in zip(start[first].tolist(), end[first].tolist(), hard[first].tolist(), strict=True)]
         if len(known) + len(keys) > PIECES:
             known.clear()
             used = 0
-        fresh = [i for i, k in enumerate(keys) if k not in known]
+        fresh = list({k: i for i, k in enumerate(keys) if k not in known}.values())
         if fresh:
-            at = first[fresh]
-            raw = low.tobytes()
-            learn([keys[i] for i in fresh], [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], hard[at].tolist())
+            learn([keys[i] for i in fresh], [keys[i][:-1] for i in fresh], hard[first[fresh]].tolist())
         place = np.array([known[k] for k in keys], np.int64)[code]
         size = bounds[place + 1] - bounds[place]
         ids = store[ranges(bounds[place], size)]
