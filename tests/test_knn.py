@@ -161,11 +161,10 @@ def test_ties_survive_bounds(spark):
         assert sorted((r.query_id, r.rank, r.key) for r in got.collect()) == [(q, r + 1, k) for q in range(5) for r, k in enumerate(["k0000", "k0002", "k0004"])]
 
 
-def _exchanges(df):
-    """What each shuffle of a plan carries (attribute names)."""
+def _nodes(df):
+    """The nodes of a plan that has run."""
     df.collect()
-    plan, out = df._jdf.queryExecution().executedPlan(), []
-    todo = [plan]
+    todo = [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         name = node.getClass().getSimpleName()
@@ -173,10 +172,17 @@ def _exchanges(df):
             todo.append(node.executedPlan())
         elif name.endswith("QueryStageExec"):
             todo.append(node.plan())
-        if name == "ShuffleExchangeExec":
-            out.append([node.output().apply(i).name() for i in range(node.output().size())])
+        yield name, node
         todo += [node.children().apply(i) for i in range(node.children().size())]
-    return out
+
+
+def _exchanges(df):
+    """What each shuffle of a plan carries (attribute names)."""
+    return [[n.output().apply(i).name() for i in range(n.output().size())] for name, n in _nodes(df) if name == "ShuffleExchangeExec"]
+
+
+def _files_read(df):
+    return sum(n.metrics().apply("numFiles").value() for name, n in _nodes(df) if name == "FileSourceScanExec")
 
 
 def test_the_index_is_not_shuffled(spark):
