@@ -1,22 +1,23 @@
 """Exact k-nearest-neighbour search of a batch of queries over a vector table.
 
-Plan, for each wave of queries:
-
-    index scan (filter pushed to Parquet, only key and vector read)
-      -> blocks of vectors, packed where they are read
-      -> broadcast join with the wave's blocks of queries on the block's number
-      -> numpy block product, the k best of each query per pair of blocks
+One side stays where it is read, the other comes to it: its rows are packed
+into blocks, written, and broadcast in *waves* of a measured size. Plan of a
+wave:
+
+    scan of the staying side (filters pushed to Parquet, only id and vector read)
+      -> blocks, packed where they are read
+      -> broadcast join with the wave's blocks on the block's number
+      -> numpy block product; a task holds the k best that each query has met
+         until it ends, so k hits of a query leave it at most
       -> row_number() over (query_id order by distance, key) <= k,
          limited per task before its exchange
-      -> join of the survivors with the payload columns of the index
-
-Queries are packed into blocks and written; a wave is as many of them as
-``wave_bytes`` allows by their written size, so that what is broadcast is
-measured and bounded. The index is never shuffled, whatever the number of
-queries: a wave reads it in place once, and its own blocks are released before
-the next. What is shuffled are hits (id, key, distance), at most k of a query
-from each task: it holds the best it has met until it ends, and with
-``bound_from`` it begins with a distance that k vectors are known to keep.
+
+and then a join of the survivors with the payload columns of the index. The
+smaller side is broadcast: queries over a large index, so that the index is
+never shuffled whatever their number; the index where there are more queries
+than vectors, so that a query's hits don't multiply with the index's tasks.
+With ``bound_from`` tasks begin with a distance that k vectors are known to
+keep.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from tessera.session import materialize
 QUERY_BLOCK, INDEX_BLOCK, SLICE = 4096, 4096, 512
 """Rows of a block of queries, of a block of vectors, and of the queries that are multiplied at a time."""
 WAVE_BYTES = 64 << 20
-"""Bytes of packed queries that are broadcast at a time."""
+"""Bytes of packed rows that are broadcast at a time."""
 HELD_BYTES = 256 << 20
 """Bytes of unpacked queries and hits that a task holds."""
 
@@ -153,11 +154,12 @@ class _Asked:
         return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in one], names=["q", "key", "distance"])
 
 
-def _pairs(k: int, metric: str):
+def _pairs(k: int, metric: str, one: bool = False):
     """The k best that a task finds for each query.
 
     Rows: number of the query block and its part, queries, vectors. Of what a
-    query has met only its k best are held, and told when the task ends.
+    query has met only its k best are held, and told when the task ends; where
+    all rows of a query block follow each other (``one``), as soon as the next begins.
     """
 
     def run(batches):
@@ -167,11 +169,11 @@ def _pairs(k: int, metric: str):
             blocks, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for r, at in enumerate(zip(blocks, parts)):
                 if at not in asked:
-                    asked[at] = _Asked(batch.column(2)[r].as_buffer(), k, metric)
-                    while len(asked) > 1 and sum(x.nbytes for x in asked.values()) > HELD_BYTES:  # the oldest goes first
+                    while asked and (one or sum(x.nbytes for x in asked.values()) > HELD_BYTES):  # the oldest goes first
                         out = asked.pop(next(iter(asked))).batch()
                         if out is not None:
                             yield out
+                    asked[at] = _Asked(batch.column(2)[r].as_buffer(), k, metric)
                 vp = batch.column(3)[r].as_buffer()
                 if payload is None or not payload.equals(vp):
                     payload = vp
@@ -179,32 +181,46 @@ def _pairs(k: int, metric: str):
                     order = pa.compute.sort_indices(keys)
                     keys, v = keys.take(order).combine_chunks(), _scaled(v[order.to_numpy()], metric)
                 asked[at].meet(keys, v)
-        for one in asked.values():
-            out = one.batch()
+        for held in asked.values():
+            out = held.batch()
             if out is not None:
                 yield out
 
     return run
 
 
-def _query_blocks(queries: DataFrame, query_id: str, qvec: str, query_block: int) -> tuple[DataFrame, int]:
-    """(b, c, q): queries (id, vector, any bound) packed by a hash, written; and how many numbers b has."""
-    cols = queries.columns
+def _packed(size: int):
+    """Batches as blocks of at most so many rows, each with a number of its own."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 20
+        for b in batches:
+            for lo in range(0, b.num_rows, size):
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "p": [_pack(pa.Table.from_batches([b.slice(lo, size)]))]})
+                n += 1
+
+    return run
+
+
+def _blocks(rows: DataFrame, n: int, size: int) -> tuple[DataFrame, int]:
+    """(b, c, p): rows (id, vector, any bound) dealt by a hash and packed, written; and how many numbers b has."""
+    cols = rows.columns
 
     def group(t: pa.Table) -> pa.Table:
-        rows = t.select(cols)
-        cuts = range(0, rows.num_rows, query_block)
-        n = len(cuts)
-        return pa.table({"b": pa.array([t.column("b")[0].as_py()] * n, pa.int32()), "c": pa.array(range(n), pa.int32()), "q": pa.array([_pack(rows.slice(a, query_block)) for a in cuts], pa.binary())})
+        own = t.select(cols)
+        cuts = range(0, own.num_rows, size)
+        return pa.table({"b": pa.array([t.column("_b")[0].as_py()] * len(cuts), pa.int32()), "c": pa.array(range(len(cuts)), pa.int32()), "p": pa.array([_pack(own.slice(a, size)) for a in cuts], pa.binary())})
 
-    n_blocks = max(1, -(-queries.count() // query_block))
-    dealt = queries.withColumn("b", F.pmod(F.xxhash64(query_id, qvec), F.lit(n_blocks)).cast("int"))
-    return materialize(dealt.groupBy("b").applyInArrow(group, "b int, c int, q binary"), "queries"), n_blocks
+    n_blocks = max(1, -(-n // size))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(*cols[:2]), F.lit(n_blocks)).cast("int"))
+    return materialize(dealt.groupBy("_b").applyInArrow(group, "b int, c int, p binary"), "blocks"), n_blocks
 
 
-def _waves(asked: DataFrame, n_blocks: int, wave_bytes: int) -> list[tuple[int, int]]:
+def _waves(blocks: DataFrame, n_blocks: int, wave_bytes: int) -> list[tuple[int, int]]:
     """Ranges of block numbers (first, behind the last) of at most ``wave_bytes`` each; a larger block stands alone."""
-    most = asked.groupBy("b").agg(F.sum(F.octet_length("q")).alias("n")).agg(F.max("n")).first()[0] or 1
+    most = blocks.groupBy("b").agg(F.sum(F.octet_length("p")).alias("n")).agg(F.max("n")).first()[0] or 1
     per = max(1, wave_bytes // most)
     return [(lo, min(n_blocks, lo + per)) for lo in range(0, n_blocks, per)]
 
@@ -224,6 +240,7 @@ def knn_topk(
     wave_bytes: int = WAVE_BYTES,
     parallelism: int | None = None,
     bound_from: int | None = None,
+    broadcast: str | None = None,
 ) -> DataFrame:
     """k nearest vectors of ``index`` for each row of ``queries``.
 
@@ -231,48 +248,54 @@ def knn_topk(
     index, ``rank`` 1-based by (distance, key). Keys of the index are unique.
     A vector of another dimension, on either side, fails the job.
 
-    ``parallelism`` deals the index's blocks over so many tasks, for tables of
-    fewer splits than cores; None leaves them where they are read.
-    ``bound_from`` searches one vector of so many first (by a hash of the key),
-    so that the search proper only sends hits nearer than the kth of these.
-    Neither changes the result.
+    ``broadcast`` names the side that comes to the other (``queries`` or
+    ``index``; None: the one of fewer rows, which are counted). ``parallelism``
+    deals the staying side's blocks over so many tasks, for tables of fewer
+    splits than cores; None leaves them where they are read. ``bound_from``
+    searches one vector of so many first (by a hash of the key), so that the
+    search proper only sends hits nearer than the kth of these. None of them
+    changes the result.
     """
     check_top_k(k)
-    spark = index.sparkSession
+    if broadcast not in (None, "queries", "index"):
+        raise ValueError("broadcast must be queries, index or None")
     payload = [p for p in payload if p not in (key_col, vec_col)]
     idx = index if flt is None else index.where(compile_filter(flt, index.schema, spec.non_filterable))
-    qid_type = queries.schema[query_id].dataType.simpleString()
-
-    def packed(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, INDEX_BLOCK):
-                yield pa.RecordBatch.from_pydict({"v": [_pack(pa.Table.from_batches([b.slice(lo, INDEX_BLOCK)]))]})
-
-    def hits(rows: DataFrame, asked: DataFrame, lo: int, hi: int) -> DataFrame:
-        """The k best of each query in blocks lo .. hi - 1."""
-        vectors = rows.select(key_col, _checked(vec_col, spec.dim).alias(vec_col)).mapInArrow(packed, "v binary")
+    vectors = idx.select(key_col, _checked(vec_col, spec.dim).alias(vec_col))
+    found = f"q {queries.schema[query_id].dataType.simpleString()}, key string, distance double"
+    n_queries = queries.count()
+    n_vectors = idx.count() if broadcast != "queries" else None
+    to_index = broadcast == "queries" or (broadcast is None and n_queries < n_vectors)
+
+    def hits(staying: DataFrame, coming: DataFrame, lo: int, hi: int) -> DataFrame:
+        """The k best of each query, of what stays with the blocks lo .. hi - 1 of what comes."""
+        own = staying.mapInArrow(_packed(INDEX_BLOCK if to_index else query_block), "n long, p binary")
         if parallelism:
-            vectors = vectors.repartition(parallelism)
-        wave = F.broadcast(asked.where(F.col("b").between(lo, hi - 1)))
-        met = vectors.withColumn("b", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))).join(wave, "b").select("b", "c", "q", "v")
-        found = met.mapInArrow(_pairs(k, spec.metric), f"q {qid_type}, key string, distance double")
-        found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
+            own = own.repartition(parallelism)
+        own = own.select("n", F.col("p").alias("own"), F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("b"))
+        met = own.join(F.broadcast(coming.where(F.col("b").between(lo, hi - 1))), "b")
+        met = met.select(F.col("b").cast("long").alias("b"), "c", F.col("p").alias("q"), F.col("own").alias("v")) if to_index else met.select(F.col("n").alias("b"), F.lit(0).alias("c"), F.col("own").alias("q"), F.col("p").alias("v"))
+        near = met.mapInArrow(_pairs(k, spec.metric, one=not to_index), found).select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
         w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def waves(rows: DataFrame, q: DataFrame) -> DataFrame:
-        asked, n_blocks = _query_blocks(q, query_id, qvec, query_block)
-        cuts = _waves(asked, n_blocks, wave_bytes)
+        coming, n_blocks = _blocks(q, n_queries, query_block) if to_index else _blocks(rows, n_vectors, INDEX_BLOCK)
+        staying, cuts = rows if to_index else q, _waves(coming, n_blocks, wave_bytes)
         if len(cuts) == 1:
-            return hits(rows, asked, *cuts[0])
-        return reduce(DataFrame.unionByName, [materialize(hits(rows, asked, lo, hi), "hits") for lo, hi in cuts])
+            return hits(staying, coming, *cuts[0])
+        parts = reduce(DataFrame.unionByName, [materialize(hits(staying, coming, lo, hi), "hits") for lo, hi in cuts])
+        if to_index:  # a query is in one wave
+            return parts
+        w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
+        return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     q = queries.select(query_id, _checked(qvec, spec.dim).alias(qvec))
     if bound_from:
-        some = waves(idx.where(F.pmod(F.xxhash64(key_col), F.lit(bound_from)) == 0), q)
+        some = waves(vectors.where(F.pmod(F.xxhash64(key_col), F.lit(bound_from)) == 0), q)
         kth = materialize(some.where(F.col("rank") == k).groupBy(query_id).agg(F.max("distance").alias("far")), "bounds")
         q = q.join(kth, query_id, "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
-    best = waves(idx, q)
+    best = waves(vectors, q)
     if payload:
         best = best.join(index.select(key_col, *payload), key_col)
     return best.select(query_id, key_col, "distance", *payload, "rank")

@@ -150,6 +150,9 @@ def test_waves_bounds_and_parallelism_change_nothing(spark, metric, monkeypatch)
     assert rows(parallelism=5, bound_from=3) == plain
     monkeypatch.setattr("tessera.operators.knn.HELD_BYTES", 1)  # whatever is held goes at once
     assert rows(bound_from=10**9) == plain  # nothing to bound with
+    for side in ("queries", "index"):
+        assert rows(broadcast=side) == plain
+        assert rows(broadcast=side, query_block=16, wave_bytes=3 * 16 * 64 * 4, bound_from=7) == plain
 
 
 def test_ties_survive_bounds(spark):
@@ -192,7 +195,7 @@ def test_the_index_is_not_shuffled(spark):
 
     iv = materialize(iv, "iv")
     for block in (16, 1024):
-        sent = _exchanges(knn_topk(iv, query_vectors(spark, SF001), FIXTURE_SPEC, k=3, query_block=block))
+        sent = _exchanges(knn_topk(iv, query_vectors(spark, SF001), FIXTURE_SPEC, k=3, query_block=block, broadcast="queries"))
         assert sent == [["query_id", "key", "distance"]]
 
 
