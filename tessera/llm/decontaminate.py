@@ -56,27 +56,31 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Seeds:
-    """Seeds of a slice of items, sorted by hash."""
+    """Seeds of a slice of items: each distinct seed with the items that hold it, and where they do.
+
+    ``key``: distinct seeds in order; entries ``first[s] .. first[s + 1]`` of
+    seed s name an item each, whose places are ``pos[at[e] : at[e + 1]]``.
+    """
 
     def __init__(self, items: list[tuple[int | None, str]], size: int):
         h, first = _words(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.words = [h[first[j] : first[j + 1]] for j in range(len(items))]
-        keys, item, pos, sizes = [], [], [], set()
-        for j, w in enumerate(self.words):
-            if len(w):
-                n = min(size, len(w))
-                k = shingle_hash(w, n)
-                sizes.add(n)
-                keys.append(k)
-                item.append(np.full(len(k), j))
-                pos.append(np.arange(len(k)))
-        self.sizes = sorted(sizes)
+        self.length = np.array([min(size, len(w)) for w in self.words], np.int64)
+        keys = [shingle_hash(w, int(n)) for w, n in zip(self.words, self.length)]
+        self.sizes = sorted({int(n) for n in self.length if n})
+        count = np.array([len(k) for k in keys], np.int64)
         key = np.concatenate(keys) if keys else np.zeros(0, U64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = np.concatenate(item)[order] if keys else np.zeros(0, np.int64)
-        self.pos = np.concatenate(pos)[order] if keys else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(keys)), count)
+        pos = ranges(np.zeros(len(keys), np.int64), count)
+        order = np.lexsort((pos, item, key))
+        key, item, self.pos = key[order], item[order], pos[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (item[1:] != item[:-1])
+        self.at = np.append(np.flatnonzero(new), len(key))
+        self.item = item[new]
+        self.key, begin = np.unique(key[new], return_index=True)
+        self.first = np.append(begin, len(self.item))
         self.maybe = np.zeros(_FILTER, bool)
         self.maybe[(self.key & U64(_FILTER - 1)).astype(np.int64)] = True
 
@@ -144,48 +148,64 @@ def tiles(item: np.ndarray, doc: np.ndarray, free: np.ndarray, size: int) -> lis
 
 
 def _hits(col: pa.Array, seeds: Seeds, size: int, percent: int, memo: dict) -> Iterator[tuple[int, int, float, int, int]]:
-    """(row, item, coverage, tiles, longest tile) for the texts of one column."""
+    """(row, item, coverage, tiles, longest tile) for the texts of one column.
+
+    A text's places and an item's places of a seed are never paired: texts and
+    items meet by distinct seeds, and each side's places are covered by itself.
+    """
     h, first = _words(col)
     if not len(h) or not len(seeds.key):
         return
-    spans = []
+    found = []
     for n in seeds.sizes:
         g = shingle_hash(h, n)
         at = np.flatnonzero(seeds.maybe[(g & U64(_FILTER - 1)).astype(np.int64)])
-        lo = np.searchsorted(seeds.key, g[at])
-        hi = np.searchsorted(seeds.key, g[at], side="right")
+        s = np.minimum(np.searchsorted(seeds.key, g[at]), len(seeds.key) - 1)
         row = np.searchsorted(first, at, side="right") - 1
-        ok = (hi > lo) & (at + n <= first[row + 1])
-        at, lo, hi, row = at[ok], lo[ok], hi[ok], row[ok]
-        seed = ranges(lo, hi - lo)
-        own = np.minimum(np.array([len(seeds.words[i]) for i in seeds.item[seed].tolist()], np.int64), size) == n if len(seed) else np.zeros(0, bool)
-        spans.append(tuple(np.repeat(v, hi - lo)[own] for v in (row, at, np.full(len(at), n))) + (seed[own],))
-    row, at, n, seed = (np.concatenate(v) for v in zip(*spans, strict=True))
-    item = seeds.item[seed]
+        ok = (seeds.key[s] == g[at]) & (at + n <= first[row + 1])
+        found.append((row[ok], s[ok], at[ok], np.full(int(ok.sum()), n)))
+    row, s, at, n = (np.concatenate(v) for v in zip(*found, strict=True))
     if not len(row):
         return
-    order = np.lexsort((at, item, row))
-    row, at, n, seed, item = (v[order] for v in (row, at, n, seed, item))
-    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
-    for a, b in zip(new, [*new[1:], len(row)], strict=True):
-        j, r = int(item[a]), int(row[a])
-        whole, pos = seeds.words[j], np.sort(seeds.pos[seed[a:b]])
-        s, e = merge_spans(pos, pos + n[a])
-        if 100 * int((e - s).sum()) < percent * len(whole):
+    order = np.lexsort((at, s, n, row))
+    row, s, at, n = (v[order] for v in (row, s, at, n))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])
+    begin = np.flatnonzero(new)  # places of a text's distinct seed: at[begin[d] : end[d]]
+    end = np.append(begin[1:], len(row))
+    count = seeds.first[s[begin] + 1] - seeds.first[s[begin]]
+    entry, seed = ranges(seeds.first[s[begin]], count), np.repeat(np.arange(len(begin)), count)
+    own = seeds.length[seeds.item[entry]] == n[begin][seed]
+    entry, seed = entry[own], seed[own]
+    item, text = seeds.item[entry], row[begin][seed]
+    order = np.lexsort((seed, item, text))
+    entry, seed, item, text = (v[order] for v in (entry, seed, item, text))
+    if not len(text):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
+    for a, b in zip(cut, [*cut[1:], len(text)], strict=True):
+        j, r = int(item[a]), int(text[a])
+        whole, m = seeds.words[j], int(seeds.length[j])
+        e = entry[a:b]
+        pos = np.sort(seeds.pos[ranges(seeds.at[e], seeds.at[e + 1] - seeds.at[e])])
+        lo, hi = merge_spans(pos, pos + m)
+        if 100 * int((hi - lo).sum()) < percent * len(whole):
             continue
         # the words that seeds of this item cover, a gap between each run of them
-        s, e = merge_spans(at[a:b], at[a:b] + n[a])
+        d = seed[a:b]
+        place = np.sort(at[ranges(begin[d], end[d] - begin[d])])
+        lo, hi = merge_spans(place, place + m)
         gap = np.zeros(1, U64)
-        doc = np.concatenate([x for u, v in zip(s.tolist(), e.tolist(), strict=True) for x in (h[u:v], gap)])
+        doc = np.concatenate([x for u, v in zip(lo.tolist(), hi.tolist(), strict=True) for x in (h[u:v], gap)])
         free = np.ones(len(doc), bool)
-        free[np.cumsum(e - s + 1) - 1] = False
+        free[np.cumsum(hi - lo + 1) - 1] = False
         key = (j, doc.tobytes())
         got = memo.get(key)
         if got is None:
             if len(memo) > 4096:
                 memo.clear()
-            found = tiles(whole, doc, free, int(n[a]))
-            got = memo[key] = (sum(t[2] for t in found), len(found), max((t[2] for t in found), default=0))
+            tiled = tiles(whole, doc, free, m)
+            got = memo[key] = (sum(t[2] for t in tiled), len(tiled), max((t[2] for t in tiled), default=0))
         if 100 * got[0] >= percent * len(whole):
             yield r, j, got[0] / len(whole), got[1], got[2]
 

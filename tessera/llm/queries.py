@@ -117,15 +117,15 @@ def op8_exact_top_k(spark, sf_dir):
 
 ORACLES["op8_exact_top_k"] = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id as vec_id,
+  select q.n, q.vec_id as query_id, c.vec_id as vec_id,
          cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from (select * from v where vec_id % 20 = 0) q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  from (select * from v where vec_id % 20 = 0) q join v c on q.n <> c.n and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by n order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
 

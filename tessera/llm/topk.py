@@ -11,15 +11,16 @@ kth score in the query node the pair of nodes is skipped. Each query block
 first meets the cells around its own, which fixes its scores to beat; of the
 other cells it meets only those whose bound reaches the worst of them.
 
-Of equal vectors only the k + 1 smallest ids can ever be answers, and equal
-queries have equal answers, so copies are searched once however many there
-are. Pivots and cell sizes (at most ``CELLS`` twice, and one for each further
+Of equal vectors only the k + 1 smallest ids (repeated ones as often as they
+stand) can ever be answers, and equal queries have equal answers, so copies are
+searched once however many there are; a query takes its own row out of them. Pivots and cell sizes (at most ``CELLS`` twice, and one for each further
 vector length) reach the driver, nothing else.
 
 Vectors that are null, empty, or hold null or non-finite components take no
 part, nor do rows without an id; vectors are compared with those of their own
-length. Rows equal in id and vector count once, and a query is never answered
-with its own id. Ties go to the smaller id. Fewer candidates than k give as
+length. Every row counts for itself: rows that share an id, or all, are queries
+and candidates each, and a query leaves out its own row alone. Ties go to the
+smaller id. Fewer candidates than k give as
 many rows; an empty table gives none. Other columns are not read.
 """
 
@@ -158,10 +159,10 @@ def _first_ids(keep: int):
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 key = np.array(v, np.int64).tobytes()
-                own = held.setdefault(key, set())
-                own.add(i)
+                own = held.setdefault(key, [])
+                own.append(i)
                 if len(own) > 4 * keep:
-                    held[key] = set(sorted(own)[:keep])
+                    held[key] = sorted(own)[:keep]
             if len(held) > 20_000:
                 yield flush()
         if held:
@@ -259,18 +260,17 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
     rows = table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where((F.size("embedding") > 0) & fine)
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
 
-    points = rows.mapInArrow(_first_ids(k + 1), "v binary, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
+    points = rows.mapInArrow(_first_ids(k + 1), "v binary, ids array<long>").groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     points = materialize(points, "points")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
 
     def packed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(v, np.int64).tobytes() for v in b.column(1).to_pylist()], pa.binary())], names=["query_id", "v"])
+            v = [np.array(v, np.int64) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array([int(x @ x) for x in v], pa.int64())], names=["query_id", "v", "own"])
 
-    asked = materialize(asked.mapInArrow(packed, "query_id long, v binary").distinct(), "asked")
-    # a query's own id is left out of its answers afterwards, on as many vectors as it stands
-    own = asked.groupBy("query_id").count().agg(F.max("count")).first()[0] or 1
-    want = k + own
+    asked = materialize(asked.mapInArrow(packed, "query_id long, v binary, own long"), "asked")
+    want = k + 1  # a query's own row is left out of its answers afterwards
 
     many = points.count()
     if not many:
@@ -354,6 +354,9 @@ def exact_top_k(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64)
 
     best = _best(one.select("v", "score", "vec_id").unionByName(two), want)
     lists = best.groupBy("v").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))).alias("best"))
-    out = asked.join(lists, "v").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    # where its own row is among the best, one row of its id and score goes: whichever, they are alike
+    at = F.array_position(F.transform("best", lambda x: (x["vec_id"] == F.col("query_id")) & (x["less"] == -F.col("own"))), True).cast("int")
+    rest = F.when(at > 0, F.concat(F.slice("best", 1, F.greatest(at - 1, F.lit(0))), F.slice("best", at + 1, F.lit(want)))).otherwise(F.col("best"))
+    out = asked.join(lists, "v").select("query_id", F.slice(rest, 1, k).alias("best"))
     out = out.select("query_id", F.posexplode("best").alias("place", "hit"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.less")).alias("score"))

@@ -94,3 +94,31 @@ def test_empty(spark):
     assert leaked_items(spark.createDataFrame([], DOC), table).count() == 0
     assert leaked_items(docs, table.limit(0)).count() == 0
     assert without_leaks(docs, table.limit(0)).count() == len(rows)
+
+
+def test_repeated_words_do_not_multiply():
+    """An item of one word 2,000 times against a text of it 1,000,000 bytes long: places are never paired."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.llm.decontaminate import Seeds, _hits
+
+    item, text = "echo " * 2000, "echo " * 200_000
+    seeds = Seeds([(1, item), (2, "some other words that never come up here")], 5)
+    tracemalloc.start()
+    got = list(_hits(pa.array([text, "echo " * 1500, item + "end", None, text]), seeds, 5, 80, {}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r, j, c) for r, j, c, _, _ in got] == [(0, 0, 1.0), (2, 0, 1.0), (4, 0, 1.0)]
+    assert peak < 300 << 20  # some numbers for each word of three texts, whatever the item's length
+
+
+def test_very_long_texts(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    item = " ".join(r.choices(words, k=40))
+    long = " ".join(r.choices(words, k=150_000))
+    docs = make_docs(spark, [(1, long), (2, f"{long} {item}"), (3, f"{item[:100]} {long}")])
+    table = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.coverage) for x in leaked_items(docs, table).collect()] == [(2, 7, 1.0)]

@@ -27,11 +27,10 @@ def brute_top(rows, k=20, every=20, scale=64):
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
             ok.append((i, tuple(math.floor(scale * float(np.float32(x))) for x in v)))
-    ok = sorted(set(ok))
     out = []
-    for q, a in ok:
+    for at, (q, a) in enumerate(ok):
         if q % every == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q and len(b) == len(a))
+            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(ok) if n != at and len(b) == len(a))
             out += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s[:k])]
     return out
 
@@ -55,13 +54,20 @@ def test_top_k_is_exact(spark, monkeypatch, block):
 
 
 def test_top_k_of_ids_on_several_near_vectors(spark):
-    """A query's own id on many of its nearest vectors leaves k others."""
+    """Other rows under the query's id are answers like any other."""
     rows = vectors(200, 2)
     rows += [(40, [x + i / 64 for x in rows[40][1]]) for i in range(1, 30)] + [(60, [9.0 + i for i in range(6)])]
     got = T.exact_top_k(emb(spark, rows)).collect()
     assert same(got, brute_top(rows)) and sum(r.query_id == 40 for r in got) == 600
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Rows equal in id and vector are queries and candidates each."""
+    rows = vectors(120, 3)
+    rows += [rows[20]] * 30 + [rows[40]] * 2 + [(60, rows[3][1])] * 25 + [rows[7]] * 40
+    assert same(T.exact_top_k(emb(spark, rows).repartition(4)).collect(), brute_top(rows))
+
+
 def test_top_k_of_more_lengths_than_pivots(spark, monkeypatch):
     monkeypatch.setattr(T, "CELLS", 3)
     r = random.Random(4)
