@@ -37,22 +37,29 @@ synced as (select * from old where doc_id not in (select doc_id from plan where
 """
 
 
-def _synced_store(spark, sf_dir) -> str:
-    """The stored version of the corpus as an index, and the incoming version synced into it."""
+def _synced_store(spark, sf_dir, *left_out: str, before=lambda base: None) -> str:
+    """The stored version of the corpus as an index (without some columns), and the incoming version synced into it."""
     base = scratch_path(spark, "store")
     inc, stored = _sync_inputs(spark, sf_dir)
-    ix.write_index(stored, base)
+    ix.write_index(stored.drop(*left_out), base)
+    before(base)
     plan = materialize(sy.sync_plan(inc, ix.read_index(spark, base)), "plan")
-    rows = materialize(line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan)), "rows")
+    rows = materialize(line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan)).drop(*left_out), "rows")
     gone = plan.where(F.col("status").isin("changed", "removed")).select("doc_id")
     ix.apply_doc_changes(spark, base, rows, gone)
     return base
 
 
-@register("sync_stored", f"with {_SYNCED_SQL} select s.state, synced.* from synced, (values ('synced'), ('compacted')) s(state)")
+@register("sync_stored", f"with {_SYNCED_SQL} select * from synced")
 def q_sync_stored(spark, sf_dir):
-    """J6 stored: a sync by added rows and delete files, read before and after compaction."""
-    base = _synced_store(spark, sf_dir)
+    """J6 stored: a sync by added rows and delete files; nothing that stays is written again."""
+    return ix.read_index(spark, _synced_store(spark, sf_dir)).select("key", "doc_id", "content_hash")
+
+
+@register("sync_compacted", f"with {_SYNCED_SQL} select s.state, synced.* from synced, (values ('synced'), ('compacted')) s(state)")
+def q_sync_compacted(spark, sf_dir):
+    """J6 stored, an index without its texts: read by its delete files, and after compaction."""
+    base = _synced_store(spark, sf_dir, "content")
     synced = ix.read_index(spark, base)
     ix.compact_index(spark, base)
     both = [d.select(F.lit(n).alias("state"), "key", "doc_id", "content_hash") for n, d in (("synced", synced), ("compacted", ix.read_index(spark, base)))]
@@ -72,13 +79,7 @@ def q_kb_totals_sketched(spark, sf_dir):
 
     Sketches are made, the index is changed, and only the changed buckets are sketched again.
     """
-    base = scratch_path(spark, "sketched")
-    inc, stored = _sync_inputs(spark, sf_dir)
-    ix.write_index(stored, base)
-    st.refresh_sketches(spark, base)
-    plan = materialize(sy.sync_plan(inc, ix.read_index(spark, base)), "plan")
-    rows = materialize(line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan)), "rows")
-    ix.apply_doc_changes(spark, base, rows, plan.where(F.col("status").isin("changed", "removed")).select("doc_id"))
+    base = _synced_store(spark, sf_dir, "content", before=lambda base: st.refresh_sketches(spark, base))
     told = st.sketched_totals(st.refresh_sketches(spark, base))
     index = ix.read_index(spark, base)
     exact = index.agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("sources"), F.count_distinct(tx.first_tag("tags")).alias("tags"))
