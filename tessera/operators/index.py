@@ -370,15 +370,43 @@ def _bucket_dirs(spark: SparkSession, path: str) -> dict[int, str]:
     return {int(d.getName().split("=", 1)[1]): d.toString() for d in dirs}
 
 
-def _write_rows(rows: DataFrame, base: str, buckets: int, files_per_bucket: int) -> dict[int, str]:
-    """Write rows under a new version's directory; where each bucket is."""
+class Staged(NamedTuple):
+    """Rows that lie under the index's directory already; no manifest names them yet."""
+
+    buckets: int
+    dirs: dict[int, str]
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(INDEX_SCHEMA).parquet(*self.dirs.values()) if self.dirs else _empty_index(spark).drop("bucket")
+
+
+def _files(df: DataFrame):
+    return df.write.mode("errorifexists").option("maxRecordsPerFile", MAX_FILE_ROWS).option("compression", "zstd").partitionBy("bucket")
+
+
+def dealt_by_bucket(docs: DataFrame, buckets: int, files_per_bucket: int = 1) -> DataFrame:
+    """Documents dealt out as their rows will be written, for rows that are then made in place."""
+    return docs.repartition(bucket_of("doc_id", buckets), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(files_per_bucket)))
+
+
+def buckets_of(spark: SparkSession, base: str, buckets: int = DEFAULT_BUCKETS) -> int:
+    """Buckets of the index; of one that is still to be made, as many as asked for."""
+    m = current_manifest(spark, base)
+    return m.buckets if m else buckets
+
+
+def stage_rows(rows: DataFrame, base: str, buckets: int, files_per_bucket: int = 1, dealt: bool = False) -> Staged:
+    """Write rows under a new version's directory, once. ``dealt``: they are dealt by bucket already."""
     out = conform(rows.drop("bucket")).withColumn("bucket", bucket_of("doc_id", buckets))
-    salt = F.pmod(F.xxhash64("key"), F.lit(files_per_bucket))
+    if not dealt:  # tasks get their rows by bucket and key; a large file is closed and another begun
+        out = out.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(files_per_bucket)))
     target = os.path.join(base, _new_version(), "rows")
-    # tasks get their rows by bucket and key; a large file is closed and another begun
-    (out.repartition("bucket", salt).write.mode("errorifexists").option("maxRecordsPerFile", MAX_FILE_ROWS)
-        .partitionBy("bucket").parquet(target))
-    return _bucket_dirs(rows.sparkSession, target)
+    _files(out).parquet(target)
+    dirs = _bucket_dirs(rows.sparkSession, target)
+    if not dirs:  # nothing to keep
+        p, fs = _fs(rows.sparkSession, os.path.dirname(target))
+        fs.delete(p, True)
+    return Staged(buckets, dirs)
 
 
 def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -> tuple[dict[int, str], set[int]]:
@@ -399,7 +427,7 @@ def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -
     if set(lost) <= emptied:
         return {}, emptied
     target = os.path.join(base, _new_version(), "deletes")
-    hit.where(~F.col("bucket").isin(sorted(emptied))).repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(target)
+    _files(hit.where(~F.col("bucket").isin(sorted(emptied))).repartition("bucket")).parquet(target)
     return _bucket_dirs(spark, target), emptied
 
 
@@ -434,14 +462,14 @@ def write_index(index: DataFrame, base: str, buckets: int = DEFAULT_BUCKETS, fil
     write tasks.
     """
     spark = index.sparkSession
-    dirs = _write_rows(index, base, buckets, files_per_bucket)
+    dirs = stage_rows(index, base, buckets, files_per_bucket).dirs
     while True:
         number = _next(spark, base)
         if _commit(spark, base, number, buckets, {b: [Part("rows", number, d)] for b, d in dirs.items()}):
             return _name(number)
 
 
-def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_doc_ids: DataFrame,
+def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame | Staged, drop_doc_ids: DataFrame,
                       buckets: int = DEFAULT_BUCKETS, files_per_bucket: int = 1) -> str:
     """Replace / remove whole documents; what else their buckets hold is not written again.
 
@@ -450,22 +478,23 @@ def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame, drop_
     Stored rows of both sets are dropped, ``new_rows`` are added. A writer that
     comes second adds its parts to the first one's manifest; only its deletes
     are looked up again, where the first has changed the same buckets.
-    ``new_rows`` is read more than once; pass a written table.
+    ``new_rows`` may be ``Staged``; a table is staged first, so it is read once.
     """
-    ids = new_rows.select("doc_id").unionByName(drop_doc_ids.select("doc_id")).distinct()
-    dirs: dict[int, str] = {}
-    written, seen, touched = None, None, None
+    staged = new_rows if isinstance(new_rows, Staged) else None
+    seen, touched, ids = None, None, drop_doc_ids
     gone: dict[int, str] = {}
     emptied: set[int] = set()
     while True:
         number, m = _next(spark, base), current_manifest(spark, base)
-        m = m or Manifest(0, buckets, {})
-        if written != m.buckets:
-            touched, written = _touched(ids, m.buckets), m.buckets
-            if not touched and m.number:
-                return _name(m.number)
-            dirs = _write_rows(new_rows, base, m.buckets, files_per_bucket)
-            seen = None
+        m = m or Manifest(0, staged.buckets if staged else buckets, {})
+        if staged is None or staged.buckets != m.buckets:  # (an index of other buckets was made meanwhile)
+            staged, touched = stage_rows(staged.read(spark) if staged else new_rows, base, m.buckets, files_per_bucket), None
+        dirs = staged.dirs
+        if touched is None:
+            ids = staged.read(spark).select("doc_id").unionByName(drop_doc_ids.select("doc_id")).distinct()
+            touched, seen = sorted(set(dirs) | set(_touched(drop_doc_ids, m.buckets))), None
+        if not touched and m.number:
+            return _name(m.number)
         now = {b: m.parts.get(b, []) for b in touched}
         if seen != now:
             seen, (gone, emptied) = now, _write_deletes(ids, base, m, touched)
@@ -485,7 +514,7 @@ def compact_index(spark: SparkSession, base: str, min_parts: int = 2, files_per_
     todo = {b: p for b, p in m.parts.items() if len(p) >= max(2, min_parts)} if m else {}
     if not todo:
         return []
-    dirs = _write_rows(_living(spark, todo, m.buckets), base, m.buckets, files_per_bucket)
+    dirs = stage_rows(_living(spark, todo, m.buckets), base, m.buckets, files_per_bucket).dirs
     while True:
         number, now = _next(spark, base), current_manifest(spark, base)
         # the rows are those of manifest m, so whatever came later applies to them

@@ -183,13 +183,17 @@ def build_index_rows(
 
 def apply_plan(spark: SparkSession, corpus: DataFrame, base: str, spec: IndexSpec, plan: DataFrame, removed: bool, **kw) -> tuple[DataFrame, DataFrame]:
     """Fetch, chunk and embed what the plan calls new or changed, and store it;
-    the written plan and rows. ``removed``: stored documents of that status go."""
+    the written plan and the stored rows. ``removed``: stored documents of that status go."""
     plan = materialize(plan, "sync-plan")  # one comparison, reused by the rows, the write and the summary
     todo = plan.where(F.col("status").isin("new", "changed")).select("doc_id", F.col("new_hash").alias("content_hash"), *_named(corpus), "copies")
-    rows = materialize(build_index_rows(fetch_rows(corpus, todo), spec, **kw), "ingest-rows")  # chunk + embed once
+    buckets, texts = ix.buckets_of(spark, base), fetch_rows(corpus, todo)
+    in_place = kw.get("embedder") is None and kw.get("context_fn") is None
+    if in_place:  # texts are dealt by bucket, so the rows made of them (twice as long, with vectors) need not be
+        texts = ix.dealt_by_bucket(texts, buckets)
+    rows = ix.stage_rows(build_index_rows(texts, spec, **kw), base, buckets, dealt=in_place)  # chunk + embed once
     drop = plan.where(F.col("status") == "changed").select("doc_id")
     ix.apply_doc_changes(spark, base, rows, drop.unionByName(sy.sync_removed(plan)) if removed else drop)
-    return plan, rows
+    return plan, rows.read(spark)
 
 
 def ingest(

@@ -44,7 +44,7 @@ def _synced_store(spark, sf_dir, *left_out: str, before=lambda base: None) -> st
     ix.write_index(stored.drop(*left_out), base)
     before(base)
     plan = materialize(sy.sync_plan(inc, ix.read_index(spark, base)), "plan")
-    rows = materialize(line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan)).drop(*left_out), "rows")
+    rows = line_index(spark, sf_dir, docs=sy.to_ingest(inc, plan)).drop(*left_out)
     gone = plan.where(F.col("status").isin("changed", "removed")).select("doc_id")
     ix.apply_doc_changes(spark, base, rows, gone)
     return base

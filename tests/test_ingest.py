@@ -61,7 +61,7 @@ def test_two_writers_from_one_parent_both_stay(spark, tmpdir_path, monkeypatch):
     rows = lambda *d: build_index_rows(corpus(spark, *d), SPEC).cache()
     none = spark.createDataFrame([], "doc_id string")
     ix.write_index(rows(("a", "one", "1")), base, buckets=2)
-    second, write = rows(("c", "three", "3"), ("a", "one again", "1")), ix._write_version
+    second, write = rows(("c", "three", "3"), ("a", "one again", "1")), ix.stage_rows
     calls = []
 
     def racing(*args):
@@ -71,18 +71,18 @@ def test_two_writers_from_one_parent_both_stay(spark, tmpdir_path, monkeypatch):
             ix.apply_doc_changes(spark, base, rows(("b", "two", "2")), none)
         return out
 
-    monkeypatch.setattr(ix, "_write_version", racing)
+    monkeypatch.setattr(ix, "stage_rows", racing)
     ix.apply_doc_changes(spark, base, second, none)
     assert sorted(r.doc_id for r in ix.read_index(spark, base).collect()) == ["a", "b", "c"]
     man = ix.read_manifest(spark, base)
-    assert not ix._commit(spark, base, ix._number(ix.current_version(spark, base)), *man)
+    assert not ix._commit(spark, base, ix.current_manifest(spark, base).number, *man)
 
 
 def test_vacuum_spares_a_write_in_progress(spark, tmpdir_path):
     base = tmpdir_path + "/kb"
     rows = build_index_rows(corpus(spark, ("a", "one", "1")), SPEC)
     ix.write_index(rows, base, buckets=2)
-    _, dirs = ix._write_version(rows, base, 2, 1)  # written, not committed
+    dirs = ix.stage_rows(rows, base, 2).dirs  # written, not committed
     ix.write_index(rows, base, buckets=2)
     assert ix.vacuum_index(spark, base)
     assert all(spark.read.parquet(d).count() == 1 for d in dirs.values()) and ix.read_index(spark, base).count() == 1
@@ -94,7 +94,7 @@ def test_wrong_dimensions_fail(spark):
     with pytest.raises(Exception, match="dimension must be 8, got 7"):
         knn_topk(index, queries, SPEC).collect()
     with pytest.raises(Exception, match="dimension must be 8, got 8|dimension must be 8, got 9"):
-        knn_topk(index.limit(1), spark.createDataFrame([(1, [1.0] * 9)], "query_id long, qvec array<float>"), SPEC).collect()
+        knn_topk(index.where("key = 'k'"), spark.createDataFrame([(1, [1.0] * 9)], "query_id long, qvec array<float>"), SPEC).collect()
 
 
 @pytest.mark.parametrize(
