@@ -20,7 +20,9 @@ A null declaration, address or host is no evidence. A text without letters
 (null, empty, blank) says nothing: its language follows from the other
 evidence, and it is not accepted. Rows count for themselves, so repeated or
 null ids are fine. An empty table gives no rows; without training rows every
-language is equally likely.
+language is equally likely. A text of any length is read in the task that holds
+it, half a megabyte at a time or as a whole if it is longer. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from tessera.llm.kernels import portions, text_arrays
 from tessera.session import materialize, ship_package
 
 BUCKETS = 1 << 16
-_RANGES = 16
+_RANGES, _SPLIT = 16, 64
 TEMPER = 1 / 3
 """Weight of a trigram: neighbouring ones overlap in two bytes, so three count as one."""
 UNKNOWN = 1e-3
@@ -49,6 +51,8 @@ UNSEEN = 0.05
 """Share of a language's trigrams that are as good as drawn at random."""
 HOST_STRENGTH = 20.0
 """Rows of a parent's opinion that a host or domain starts with."""
+DECLARED_SHARE = 0.001
+"""Share of the declaring rows that makes a code one of the languages."""
 DECLARED_TRUST = 0.9
 """How often a declaration is right before any row is seen."""
 
@@ -77,6 +81,17 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return code, (code * np.uint32(0x9E3779B1)) >> np.uint32(16), tells
 
 
+def declared_languages(docs: DataFrame, otherwise: tuple[str, ...] = (), share: float = DECLARED_SHARE) -> tuple[str, ...]:
+    """The languages that at least this share of the declaring rows declare (so fewer than 1 / share), in order.
+
+    ``otherwise``: the languages where no row declares one. Codes are taken in lower case; ``und`` is none.
+    """
+    said = F.lower(F.trim(_as_text(F.col("lang"))))
+    counts = docs.select(said.alias("lang")).where("lang is not null and lang not in ('', 'und')").groupBy("lang").count()
+    least = (counts.agg(F.sum("count")).first()[0] or 0) * share
+    return tuple(sorted(r["lang"] for r in counts.where(F.col("count") >= max(1.0, least)).collect())) or otherwise
+
+
 def _count(languages: tuple[str, ...]):
     at = {lang: i for i, lang in enumerate(languages)}
 
@@ -111,11 +126,15 @@ def _add(batches):
 
 
 def add_vectors(sent: DataFrame) -> dict[int, np.ndarray]:
-    """Sum of the integer vectors sent to each range (their number and length are fixed)."""
+    """Sum of the integer vectors sent to each range (their number and length are fixed).
+
+    Senders are summed in ``_SPLIT`` shares of a range first, so no task reads what all have sent.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _add(batches)
 
-    return {r["dest"]: B.unsqueeze(r["payload"], np.int64) for r in sent.groupBy("dest").applyInArrow(run, B.PAYLOAD).collect()}
+    some = sent.groupBy("dest", F.pmod(F.xxhash64("block"), F.lit(_SPLIT))).applyInArrow(run, B.PAYLOAD)
+    return {r["dest"]: B.unsqueeze(r["payload"], np.int64) for r in some.groupBy("dest").applyInArrow(run, B.PAYLOAD).collect()}
 
 
 def train(labelled: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
@@ -272,20 +291,20 @@ _OUT = ("language", "probability", "accepted", "text_language")
 
 def identify_documents(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """doc_id, language ('und' if none fits), probability, accepted, text_language of each document."""
-    model = train(docs.select(_as_text(F.col("lang")).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
+    model = train(docs.select(F.lower(F.trim(_as_text(F.col("lang")))).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
     scored = score_texts(document_evidence(docs), model, "doc_id")
     return fuse(scored, languages).select("doc_id", *_OUT)
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """page_id, language, probability, accepted, text_language of each page, with models of the documents."""
-    model = train(docs.select(_as_text(F.col("lang")).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
+    model = train(docs.select(F.lower(F.trim(_as_text(F.col("lang")))).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
     return fuse(score_texts(page_evidence(pages), model, "page_id", True), languages).select("page_id", *_OUT)
 
 
 def accepted_documents(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """The rows of ``docs`` whose language is accepted, unchanged; texts stay in their blocks."""
-    model = train(docs.select(_as_text(F.col("lang")).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
+    model = train(docs.select(F.lower(F.trim(_as_text(F.col("lang")))).alias("lang"), _as_text(F.col("text")).alias("text")), languages)
     blocks, _ = B.row_blocks(docs, "langid")
     return B.keep_rows(blocks, fuse(_score_blocks(blocks, docs, model), languages).where("accepted").select("uid"), docs)
 

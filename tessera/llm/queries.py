@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontaminate import leaked_items
 from tessera.llm.fim import fim_digests
 from tessera.llm.jaccard import jaccard_components
-from tessera.llm.langid import identify_documents, identify_pages
+from tessera.llm.langid import declared_languages, identify_documents, identify_pages
 from tessera.llm.near_vectors import near_vectors
 from tessera.llm.packing import pack_sequences
 from tessera.llm.quality import score_quality
@@ -41,19 +41,21 @@ def vocabulary(name: str) -> str:
 
 
 LANGUAGES = ("de", "en", "es", "fr")
-"""Languages of the tables."""
+"""Languages where no document declares one."""
 
 
 @query
 def op3_language_id(spark, sf_dir):
     """Language of every document from text, declaration and source."""
-    return identify_documents(documents(spark, sf_dir), LANGUAGES)
+    docs = documents(spark, sf_dir)
+    return identify_documents(docs, declared_languages(docs, LANGUAGES))
 
 
 @query
 def language_id_pages(spark, sf_dir):
     """Language of every page from text, markup, address suffix, domain and host."""
-    return identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir), LANGUAGES)
+    docs = documents(spark, sf_dir)
+    return identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), docs, declared_languages(docs, LANGUAGES))
 
 
 @query

@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import langid as L
 from tessera.llm import suffix_tree as P
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from tests.llm.conftest import DOC, make_docs, tokens
 
 LANGS = ("de", "en", "es", "fr")
@@ -149,3 +150,90 @@ def test_suffix_tree_contexts_dont_thin_out_with_size(spark):
     x = got[held[0]]
     assert x.held_out and x.train_tokens > 7_000_000 and len(got) == 71
     assert x.score > x.base_score + 3
+
+
+def plain_languages(rows, languages):
+    """op3 with dictionaries: (id, language, probability, accepted) of rows (id, text, lang, source)."""
+
+    def grams(text):
+        low = [L._FOLD[b] for b in (text or "").encode()]
+        out = []
+        for i, w in enumerate(low):
+            one, two = low[i - 1] if i > 0 else 0x20, low[i - 2] if i > 1 else 0x20
+            if not (w == 0x20 and one == 0x20):
+                out.append(((int(two) << 16 | int(one) << 8 | int(w)) * 0x9E3779B1 % (1 << 32)) >> 16)
+        return out, any(w != 0x20 for w in low)
+
+    k = len(languages)
+    seen = {x: Counter() for x in languages}
+    own = [grams(t) for _, t, _, _ in rows]
+    for (_, _, lang, _), (g, _) in zip(rows, own):
+        if lang in seen:
+            seen[lang].update(g)
+    pooled = Counter()
+    for c in seen.values():
+        pooled.update(c)
+    mass = sum(pooled.values()) + 0.5 * L.BUCKETS
+
+    def like(lang, b):
+        p = (seen[lang][b] + 500.0 * (pooled[b] + 0.5) / mass) / (sum(seen[lang].values()) + 500.0)
+        return math.log((1 - L.UNSEEN) * p + L.UNSEEN * math.exp(L.ALIKE))
+
+    def softmax(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    memo = {}
+    logs = []
+    for g, letters in own:
+        if not g or not letters:
+            logs.append(None)
+            continue
+        at = lambda lang, b: memo.setdefault((lang, b), like(lang, b))
+        logs.append([sum(at(x, b) for b in g) * L.TEMPER for x in languages] + [len(g) * L.ALIKE * L.TEMPER])
+    share = [softmax(x[:k]) if x else [1 / k] * k for x in logs]
+    live = [i for i, x in enumerate(logs) if x]
+    base = [(sum(share[i][j] for i in live) + L.HOST_STRENGTH / k) / (len(live) + L.HOST_STRENGTH) for j in range(k)]
+    out = []
+    for i, (doc, _, lang, host) in enumerate(rows):
+        total = list(logs[i]) if logs[i] else [0.0] * (k + 1)
+        mates = [j for j in live if rows[j][3] == host and j != i] if host is not None else []
+        anyone = [j for j in live if rows[j][3] == host] if host is not None else []
+        for j in range(k):
+            prior = (sum(share[m][j] for m in mates) + L.HOST_STRENGTH * base[j]) / (len(mates) + L.HOST_STRENGTH) if anyone else base[j]
+            total[j] += math.log(prior) + math.log(1 - L.UNKNOWN)
+            if lang in languages:
+                same = [m for m in live if rows[m][2] == lang]
+                guess = L.DECLARED_TRUST if languages[j] == lang else (1 - L.DECLARED_TRUST) / (k - 1)
+                total[j] += math.log((sum(share[m][j] for m in same) + L.HOST_STRENGTH * guess) / (len(same) + L.HOST_STRENGTH) / base[j])
+        total[k] += math.log(L.UNKNOWN)
+        p = softmax(total)
+        best = max(range(k + 1), key=lambda j: p[j])
+        out.append((doc, [*languages, "und"][best], p[best], bool(logs[i]) and best < k and p[best] >= 0.5))
+    return out
+
+
+def test_language_id_equals_plain_dictionaries(spark):
+    r = random.Random(6)
+    docs = [(x.doc_id, x.text, x.lang, x.source) for x in spark.read.parquet(f"{SF001}/documents.parquet").collect()][:70]
+    words = [w for _, t, _, _ in docs for w in t.split()]
+    rows = docs + [(500, None, "en", "s1"), (501, "", None, None), (502, " 12 ", "fr", "s2"), (503, "xqzj kkvw zzxx qqq", "de", None), (504, "der", None, "s1"), (505, " ".join(r.choices(words, k=400)), "pt", "s9"), (None, docs[0][1], "EN", "s1")]
+    rows = [(i, t, lang.lower() if lang else lang, s) for i, t, lang, s in rows]
+    df = spark.createDataFrame([(i, t, lang, s, 1) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, logs int").repartition(3)
+    languages = L.declared_languages(df, share=0.05)
+    assert languages == ("de", "en", "es", "fr") and L.declared_languages(df.where("false"), ("x",)) == ("x",)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(plain_languages(rows, languages), key=key)
+    got = sorted(((x.doc_id, x.language, x.probability, x.accepted) for x in L.identify_documents(df, languages).collect()), key=key)
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(got, want))
+
+
+def test_a_fifth_language_counts_when_it_is_declared(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = spark.range(9000, 9040).select(F.col("id").alias("doc_id"), F.lit("Zażółć gęślą jaźń, wszyscy ludzie rodzą się wolni i równi pod względem godności").alias("text"), F.lit("PL").alias("lang"), F.lit("s").alias("source"))
+    both = docs.unionByName(more)
+    languages = L.declared_languages(both)
+    assert languages == ("de", "en", "es", "fr", "pl")
+    got = {x.doc_id: x.language for x in L.identify_documents(both, languages).where("accepted").collect()}
+    assert all(got[i] == "pl" for i in range(9000, 9040))
