@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontaminate import without_leaks
 from tessera.llm.jaccard import distinct_documents
-from tessera.llm.langid import accepted_documents
+from tessera.llm.langid import accepted_documents, declared_languages
 from tessera.llm.packing import pack_sequences
 from tessera.llm.queries import LANGUAGES, vocabulary
 from tessera.llm.suffix_dedup import without_repeats
@@ -30,8 +30,8 @@ from tessera.session import materialize, ship_package
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages."""
-    return accepted_documents(docs, LANGUAGES)
+    """Documents in one of the languages that they declare."""
+    return accepted_documents(docs, declared_languages(docs, LANGUAGES))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
