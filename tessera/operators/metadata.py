@@ -1,12 +1,16 @@
 """Chunk metadata: caps, the content byte budget, and the 2048-byte guarantee.
 
-Everything is a column expression; the "cut to three quarters until it
-fits" loop is an ``aggregate`` over a fixed sequence (each step is a no-op
-once the text fits), so it stays JVM-side.
+Caps and counts are column expressions. The rule "cut to three quarters until
+it fits" is a search among the lengths that it can leave; the content on the
+ingest path is cut by the same search in a pandas UDF.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,31 +26,22 @@ from tessera.schema import (
     METADATA_CONTENT_MIN_BUDGET,
 )
 
-_CUT_STEPS = 64  # (3/4)^64 < 1e-8: enough for any text that fits in a row
-_CAP_STEPS = 8  # a capped field has <= cap chars, so <= 6*cap escaped bytes: 7 cuts suffice
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 FIXED_KEYS = ("doc_id", "chunk_index", "total_chunks", "content_hash", "file_type", "ingested_at")
 OPTIONAL_CAPS = (("source", CAP_SOURCE), ("tags", CAP_TAGS), ("author", CAP_AUTHOR),
                  ("heading_path", CAP_HEADING_PATH), ("context_prefix", CAP_CONTEXT_PREFIX))
 
 
-def cut_to_bytes(text: Column, budget: Column, measure=F.octet_length, steps: int = _CUT_STEPS) -> Column:
+def cut_to_bytes(text: Column, budget: Column, measure=F.octet_length) -> Column:
     """Keep the first 3/4 of the characters until ``measure(text) <= budget``.
 
-    The accumulator carries a ``done`` flag, so once the text fits the
-    remaining steps skip ``measure`` (CASE WHEN evaluates one branch).
+    The lengths that this rule can leave are known beforehand (down to none);
+    the first whose prefix fits is taken. A text that fits is not looked at again.
     """
-    start = F.struct(text.alias("t"), F.lit(False).alias("done"))
-
-    def step(acc, i):
-        t = acc["t"]
-        cut = F.substring(t, 1, F.floor(F.length(t) * 3 / 4).cast("int"))
-        return F.when(acc["done"] | t.isNull(), acc).otherwise(
-            F.when(measure(t) > budget, F.struct(cut.alias("t"), F.lit(False).alias("done")))
-            .otherwise(F.struct(t.alias("t"), F.lit(True).alias("done")))
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda acc: acc["t"])
+    steps = F.ceil(F.log(F.length(text) + F.lit(1)) / F.lit(math.log(4 / 3))).cast("int") + F.lit(1)
+    lengths = F.aggregate(F.sequence(F.lit(1), steps), F.array(F.length(text)), lambda a, _: F.concat(a, F.array(F.floor(F.element_at(a, -1) * 3 / 4).cast("int"))))
+    fits = F.filter(lengths, lambda n: measure(F.substring(text, F.lit(1), n)) <= budget)
+    return F.when(text.isNull() | (measure(text) <= budget), text).otherwise(F.coalesce(F.substring(text, F.lit(1), F.get(fits, F.lit(0))), F.lit("")))
 
 
 def escaped_json_len(t: Column) -> Column:
@@ -55,23 +50,22 @@ def escaped_json_len(t: Column) -> Column:
 
 
 def cut_content_udf():
-    """Pandas UDF ``(text, budget) -> text``: the same 3/4 cutting rule as
-    ``cut_to_bytes(..., measure=escaped_json_len)``, a few C-level encodes per
-    row instead of an interpreted 64-step fold (used on the ingest hot path)."""
+    """Pandas UDF ``(text, budget) -> text``: the rule of ``cut_to_bytes(...,
+    measure=escaped_json_len)`` for the ingest path. The place in the row of
+    lengths is found by bisection, so a text is encoded a few times at most."""
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, budgets: pd.Series) -> pd.Series:
-        import json
+        def over(t: str, budget: int) -> bool:
+            return len(json.dumps(t, ensure_ascii=False).encode("utf-8")) - 2 > budget
 
         out = []
         for t, b in zip(texts, budgets):
-            if t is None or b is None:
-                out.append(t)
-                continue
-            n = 0
-            while len(json.dumps(t, ensure_ascii=False).encode("utf-8")) - 2 > b and n < _CUT_STEPS:
-                t = t[: len(t) * 3 // 4]
-                n += 1
+            if t is not None and b is not None and over(t, b):
+                lengths = [len(t)]
+                while lengths[-1]:
+                    lengths.append(lengths[-1] * 3 // 4)
+                t = t[:lengths[min(bisect_left(lengths, True, lo=1, key=lambda n: not over(t[:n], b)), len(lengths) - 1)]]
             out.append(t)
         return pd.Series(out, dtype=object)
 
@@ -98,7 +92,7 @@ def metadata_struct(df: DataFrame, caps_in_bytes: bool = False) -> list[Column]:
     for name, cap in OPTIONAL_CAPS:
         c = F.substring(F.nullif(F.col(name), F.lit("")), 1, cap) if name in df.columns else F.lit(None).cast("string")
         if caps_in_bytes:  # Q28 fix: caps hold in bytes as JSON has them, not only in characters
-            c = cut_to_bytes(c, F.lit(cap), measure=escaped_json_len, steps=_CAP_STEPS)
+            c = cut_to_bytes(c, F.lit(cap), measure=escaped_json_len)
         cols.append(c.alias(name))
     return cols
 
@@ -137,10 +131,8 @@ def fit_metadata(df: DataFrame, content: str = "content_full") -> DataFrame:
     legacy = F.greatest(F.lit(METADATA_CONTENT_MIN_BUDGET), F.lit(METADATA_CONTENT_BUDGET) - used)
     budget = F.least(legacy, left)
 
-    escaped_len = escaped_json_len
     out = base.withColumn("_budget", budget).withColumn("content", cut_content_udf()(F.col(content), F.col("_budget")))
     out = out.drop("_budget")
-    out = out.withColumn("content", F.when(escaped_len(F.col("content")) > budget, F.lit("")).otherwise(F.col("content")))
     full = F.struct(*[F.col(m).alias(k) for m, k in zip(names, keys)], F.col("content").alias("content"))
     out = out.withColumn("meta_json_bytes", _json_bytes(full, n + F.lit(1)))
     return out.drop(*names)

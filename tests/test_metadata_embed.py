@@ -84,3 +84,28 @@ def test_fused_chunk_vectors_equal_udf(spark):
     udf = {(r.doc_id, r.chunk_index): list(r.vec)
            for r in c.select("doc_id", "chunk_index", em.hash_embed_udf(64)(F.substring("content", 1, 8000)).alias("vec")).collect()}
     assert fused == udf
+
+
+def test_cutting_rules_agree_with_the_plain_loop(spark):
+    """Budgets from below nothing to more than enough; escapes, wide characters, empty and null texts."""
+    texts = ["", "a", "ab\"\\\n" * 50, "中文😀" * 400, "\x01" * 90, "x" * 5000, None]
+    budgets = [-5, 0, 1, 7, 100, 2000, 100_000]
+
+    def plain(t, b):
+        while t and len(json.dumps(t, ensure_ascii=False).encode()) - 2 > b:
+            t = t[: len(t) * 3 // 4]
+        return t
+
+    df = spark.createDataFrame([(i * 100 + j, t, b) for i, t in enumerate(texts) for j, b in enumerate(budgets)], "i int, t string, b int")
+    want = {r.i: plain(r.t, r.b) for r in df.collect()}
+    for cut in (md.cut_content_udf()(F.col("t"), F.col("b")), md.cut_to_bytes(F.col("t"), F.col("b"), measure=md.escaped_json_len)):
+        assert {r.i: r.c for r in df.select("i", cut.alias("c")).collect()} == want
+
+
+def test_heading_counts_agree_with_the_chunker(spark):
+    from tessera.operators import chunking as ch
+
+    texts = ["", "# a", "#\ta\n##b\n### c d", "x\r# no\n # no\n#  yes", "#######", "# \n#  \n# é", "a # no", "#\x1cyes\n# yes\n#　", "# a\n" * 5, "#\x0b x", None]
+    df = spark.createDataFrame([(str(i), t, "md" if i % 4 == 0 else None) for i, t in enumerate(texts)], "doc_id string, text string, file_type string")
+    got = {r.doc_id: (r.n_headings, r.strategy) for r in ch.strategies(df).collect()}
+    assert got == {str(i): (ch.count_headings(t), ch.choose_strategy(t, "md" if i % 4 == 0 else None)) for i, t in enumerate(texts) if t is not None}
