@@ -53,7 +53,7 @@ PAIRS = 8
 """Panel pairs that a task compares, about."""
 SPLIT = 512
 """Panels of one label that a panel is held against in one place."""
-_PLACE = 20  # a vector's number is panel << 20 | place in its panel
+_PLACE = 13  # a vector's number is panel << 13 | place in its panel; a panel's is task << 24 | place in its task
 _EPS = 1e-9
 
 
@@ -270,7 +270,7 @@ class _Forest:
                 self.up[max(a, b)] = min(a, b)
 
 
-_LINKS = pa.schema([("panel", pa.int64()), ("place", pa.int32()), ("links", pa.int64()), ("none", pa.bool_()), ("least", pa.int64()), ("to_none", pa.bool_()), ("to_least", pa.int64()), ("to", pa.int64())])
+_LINKS = pa.schema([("panel", pa.int64()), ("place", pa.int32()), ("links", pa.int64()), ("none", pa.bool_()), ("least", pa.int64()), ("to", pa.int64())])
 
 
 def _compared(a: _Panel, b: _Panel, least: float) -> pa.RecordBatch:
@@ -298,7 +298,7 @@ def _compared(a: _Panel, b: _Panel, least: float) -> pa.RecordBatch:
     root = np.array([forest.find(i) for i in on.tolist()], np.int64)
     number = np.where(np.arange(size) < na, (a.number << _PLACE) | np.arange(size), (b.number << _PLACE) | (np.arange(size) - shift))
     none, low = (a.none, a.least) if same else (np.concatenate([a.none, b.none]), np.concatenate([a.least, b.least]))
-    cols = [number[on] >> _PLACE, (number[on] & ((1 << _PLACE) - 1)).astype(np.int32), links[on], none[on], low[on], none[root], low[root], number[root]]
+    cols = [number[on] >> _PLACE, (number[on] & ((1 << _PLACE) - 1)).astype(np.int32), links[on], none[on], low[on], number[root]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LINKS, strict=True)], schema=_LINKS)
 
 
@@ -368,6 +368,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, panel: int = PANEL
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    if not 0 < panel <= 1 << _PLACE:
+        raise ValueError(f"a panel holds 1 to {1 << _PLACE} vectors")
     ship_package(vectors.sparkSession)
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(kind).alias("v"))
@@ -380,17 +382,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, panel: int = PANEL
     tasks = max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
     va, vb = made.select(F.col("panel").alias("a"), F.col("vectors").alias("va")), made.select(F.col("panel").alias("b"), F.col("vectors").alias("vb"))
     met = pairs.join(va, "a").repartition(tasks, "b", "a").join(vb, "b").select("dim", "a", "b", "va", "vb")
-    ddl = "panel long, place int, links long, none boolean, least long, to_none boolean, to_least long, to long"
+    ddl = "panel long, place int, links long, none boolean, least long, to long"
     found = materialize(met.mapInArrow(_compare(bases, threshold), ddl), "links")
 
-    # the smallest node of a component is that of its smallest id, so nodes carry ids before numbers
     number = F.shiftleft("panel", _PLACE) + F.col("place")
-    node = F.struct(F.col("none"), F.col("least"), number.alias("number"))
-    to = F.struct(F.col("to_none").alias("none"), F.col("to_least").alias("least"), F.col("to").alias("number"))
-    named = components(found.select(node.alias("a"), to.alias("b")))
-    counts = found.groupBy("panel", "place").agg(F.sum("links").alias("links"))
-    named = named.select(F.shiftright("id.number", _PLACE).alias("panel"), F.col("id.number").bitwiseAND((1 << _PLACE) - 1).cast("int").alias("place"), F.when(~F.col("component.none"), F.col("component.least")).alias("component"))
-    told = counts.join(named, ["panel", "place"])
+    named = components(found.select(number.alias("a"), F.col("to").alias("b"))).withColumnRenamed("id", "number")
+    counts = found.groupBy("panel", "place").agg(F.sum("links").alias("links"), F.min(F.struct("none", "least")).alias("id")).withColumn("number", number)
+    told = materialize(counts.join(named, "number"), "components")
+    least = told.groupBy("component").agg(F.min("id").alias("of"))  # ids before none
+    told = told.join(least, "component").select("panel", "place", "links", F.when(~F.col("of.none"), F.col("of.least")).alias("component"))
 
     def members(own: pa.Table, told: pa.Table) -> pa.Table:
         schema = pa.schema([("vec_id", pa.int64()), ("n_links", pa.int64()), ("component_id", pa.int64()), ("kept", pa.bool_())])
