@@ -35,8 +35,8 @@ MAX_LISTS = 65536
 
 
 class IVFIndex:
-    def __init__(self, assigned: DataFrame, centroids: np.ndarray, spec: IndexSpec):
-        self.assigned = assigned  # key, vec, list_id
+    def __init__(self, assigned: DataFrame, centroids: np.ndarray, spec: IndexSpec, rows: int | None = None):
+        self.assigned, self.rows = assigned, rows  # key, vec, list_id; how many, where they were counted
         self.centroids = centroids  # (n_lists, dim), unit rows for cosine
         self.spec = spec
 
@@ -49,7 +49,8 @@ def lists_for(rows: int) -> int:
 def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int | None = None, seed: int = 42, max_iter: int = 10,
               key_col: str = "key", vec_col: str = "vec") -> IVFIndex:
     """Train the coarse quantiser on every vector and assign each vector to its list."""
-    n_lists = lists_for(index.count()) if n_lists is None else n_lists
+    rows = index.count() if n_lists is None else None
+    n_lists = lists_for(rows) if n_lists is None else n_lists
     if not (1 <= n_lists <= MAX_LISTS):
         raise ValueError(f"n_lists must be in [1, {MAX_LISTS}]")
     v = index.select(key_col, _checked(vec_col, spec.dim).alias(vec_col))
@@ -58,13 +59,14 @@ def build_ivf(index: DataFrame, spec: IndexSpec, n_lists: int | None = None, see
     model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="list_id").fit(feats)
     centroids = np.array([c for c in model.clusterCenters()], dtype=np.float64)
     assigned = model.transform(feats).select(key_col, vec_col, F.col("list_id").cast("int"))
-    return IVFIndex(assigned, centroids, spec)
+    return IVFIndex(assigned, centroids, spec, rows)
 
 
 def save_ivf(ivf: IVFIndex, path: str) -> None:
     """Vectors partitioned by ``list_id`` (several files per large list) + centroids."""
     spark = ivf.assigned.sparkSession
-    salt = F.pmod(F.xxhash64("key"), F.lit(8))  # a large list is written by several tasks
+    files = 8 if ivf.rows is None else max(1, min(64, 8 * ivf.rows // (len(ivf.centroids) * MAX_FILE_ROWS)))
+    salt = F.pmod(F.xxhash64("key"), F.lit(files))  # a large list is written by several tasks
     ivf.assigned.repartition("list_id", salt).write.option("maxRecordsPerFile", MAX_FILE_ROWS).partitionBy("list_id").parquet(
         os.path.join(path, "vectors"))
     rows = [(int(i), [float(x) for x in c]) for i, c in enumerate(ivf.centroids)]
@@ -120,7 +122,8 @@ def ivf_search(ivf: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, q
     asked = queries.select(query_id, _checked(qvec, spec.dim).alias(qvec))
     asked = asked.mapInArrow(probe, f"list_id int, {query_id} {kind}, {qvec} array<float>")
     # a popular list's queries are dealt over parts, so a group stays a few blocks
-    asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(64)).cast("int")).select(query_id, qvec, "list_id", "part")
+    parts = max(1, min(64, -(-queries.count() // QUERY_BLOCK)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(parts)).cast("int")).select(query_id, qvec, "list_id", "part")
     asked = materialize(asked.groupBy("list_id", "part").applyInArrow(group, "list_id int, c int, q binary"), "probes")
     used = sorted(r.list_id for r in asked.select("list_id").distinct().collect())  # at most the number of lists
     vectors = ivf.assigned.where(F.col("list_id").isin(used)).select(key_col, _checked(vec_col, spec.dim).alias(vec_col), "list_id")

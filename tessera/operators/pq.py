@@ -276,7 +276,8 @@ def pq_search(pq: PQIndex, queries: DataFrame, k: int = 5, nprobe: int = 8, rera
                 yield pa.RecordBatch.from_arrays([q.column(0).take(pa.array(i)).combine_chunks(), c.column(0).take(pa.array(j)).combine_chunks(), pa.array(np.full(len(i), number, np.int32)), pa.array(d[i, j])], names=["q", "key", "list_id", "near"])
 
     asked = probes(pq, queries, nprobe, query_id, qvec)
-    asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(64)).cast("int"))  # a popular list's queries are dealt over parts
+    parts = max(1, min(64, -(-queries.count() // QUERY_BLOCK)))  # a popular list's queries are dealt over parts
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(parts)).cast("int"))
     asked = materialize(asked.groupBy("list_id", "part").applyInArrow(group, "list_id int, q binary"), "probes")
     used = sorted(r.list_id for r in asked.select("list_id").distinct().collect())  # at most the number of lists
     tops = sorted(set((np.searchsorted(first, used, side="right") - 1).tolist()))
