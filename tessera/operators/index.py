@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera import session
 from tessera.schema import INDEX_SCHEMA, IndexSpec
 from tessera.session import materialize, rows_of
 
@@ -214,6 +215,8 @@ class Part(NamedTuple):
     number: int
     """The manifest that added it."""
     path: str
+    ids: int = 0
+    """Deleted documents in it."""
 
 
 class Manifest(NamedTuple):
@@ -267,7 +270,7 @@ def _write_text(fs, path, text: str) -> None:
 
 
 def _format(buckets: int, parts: dict[int, list[Part]]) -> str:
-    lines = [f"{b}\t{p.kind}\t{p.number}\t{p.path}" for b in sorted(parts) for p in parts[b]]
+    lines = [f"{b}\t{p.kind}\t{p.number}\t{p.ids}\t{p.path}" for b in sorted(parts) for p in parts[b]]
     return "\n".join([f"#index\t2\t{buckets}", *lines, f"#end\t{len(lines)}", ""])
 
 
@@ -284,8 +287,8 @@ def _parse(text: str, number: int) -> Manifest | None:
     if len(kind) != 3 or kind[:2] != ["#index", "2"] or len(lines) < 2 or lines[-1] != "" or lines[-2] != f"#end\t{len(lines) - 2}":
         return None
     for ln in lines[:-2]:
-        b, what, n, path = ln.split("\t", 3)
-        parts.setdefault(int(b), []).append(Part(what, int(n), path))
+        b, what, n, ids, path = ln.split("\t", 4)
+        parts.setdefault(int(b), []).append(Part(what, int(n), path, int(ids)))
     return Manifest(number, int(kind[2]), parts)
 
 
@@ -318,9 +321,12 @@ def _living(spark: SparkSession, parts: dict[int, list[Part]], buckets: int) ->
     """Rows of these parts that no later part deletes.
 
     Parts that nothing later deletes from are read as they are; the others
-    are held against the deleted ids, whose part has a higher number.
+    are held against the deleted ids, whose part has a higher number; as many
+    ids as ``KEY_BYTES`` allows (their number is in the manifest) are broadcast,
+    so that rows stay where they are read.
     """
     plain, held, gone = [], {}, {}
+    deleted = sum(p.ids for own in parts.values() for p in own)
     for own in parts.values():
         last = max((p.number for p in own if p.kind == "deletes"), default=-1)
         for p in own:
@@ -336,6 +342,7 @@ def _living(spark: SparkSession, parts: dict[int, list[Part]], buckets: int) ->
         older = [rows.parquet(*paths).withColumn("_added", F.lit(n)) for n, paths in sorted(held.items())]
         ids = [spark.read.schema("doc_id string").parquet(*paths).withColumn("_deleted", F.lit(n)) for n, paths in sorted(gone.items())]
         a, d = reduce(DataFrame.unionByName, older).alias("a"), reduce(DataFrame.unionByName, ids).alias("d")
+        d = F.broadcast(d) if 64 * deleted <= session.KEY_BYTES else d
         out.append(a.join(d, F.expr("a.doc_id = d.doc_id and a._added < d._deleted"), "left_anti").drop("_added"))
     if not out:
         return _empty_index(spark)
@@ -409,11 +416,11 @@ def stage_rows(rows: DataFrame, base: str, buckets: int, files_per_bucket: int =
     return Staged(buckets, dirs)
 
 
-def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -> tuple[dict[int, str], set[int]]:
+def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -> tuple[dict[int, tuple[str, int]], set[int]]:
     """Write those of the ids that have rows in the touched buckets.
 
-    Returns where each bucket's ids are, and the buckets that lose every
-    document: these need no deletes, their parts go.
+    Returns where each bucket's ids are and how many, and the buckets that lose
+    every document: these need no deletes, their parts go.
     """
     spark = ids.sparkSession
     old = {b: m.parts[b] for b in touched if b in m.parts}
@@ -428,7 +435,7 @@ def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -
         return {}, emptied
     target = os.path.join(base, _new_version(), "deletes")
     _files(hit.where(~F.col("bucket").isin(sorted(emptied))).repartition("bucket")).parquet(target)
-    return _bucket_dirs(spark, target), emptied
+    return {b: (d, lost[b]) for b, d in _bucket_dirs(spark, target).items()}, emptied
 
 
 def _commit(spark: SparkSession, base: str, number: int, buckets: int, parts: dict[int, list[Part]]) -> bool:
@@ -482,7 +489,7 @@ def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame | Stag
     """
     staged = new_rows if isinstance(new_rows, Staged) else None
     seen, touched, ids = None, None, drop_doc_ids
-    gone: dict[int, str] = {}
+    gone: dict[int, tuple[str, int]] = {}
     emptied: set[int] = set()
     while True:
         number, m = _next(spark, base), current_manifest(spark, base)
@@ -500,7 +507,7 @@ def apply_doc_changes(spark: SparkSession, base: str, new_rows: DataFrame | Stag
             seen, (gone, emptied) = now, _write_deletes(ids, base, m, touched)
         parts = dict(m.parts)
         for b in touched:
-            parts[b] = ([] if b in emptied else list(parts.get(b, []))) + ([Part("deletes", number, gone[b])] if b in gone else []) + ([Part("rows", number, dirs[b])] if b in dirs else [])
+            parts[b] = ([] if b in emptied else list(parts.get(b, []))) + ([Part("deletes", number, *gone[b])] if b in gone else []) + ([Part("rows", number, dirs[b])] if b in dirs else [])
         if _commit(spark, base, number, m.buckets, parts):
             return _name(number)
 

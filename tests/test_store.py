@@ -101,13 +101,19 @@ def test_a_small_change_writes_only_itself(spark, base):
     assert [r.doc_id for r in spark.read.parquet(*[p.path for p in new if p.kind == "deletes"]).collect()] == ["a"]
 
 
-def test_deletes_apply_to_older_parts_only(spark, base):
+def test_deletes_apply_to_older_parts_only(spark, base, monkeypatch):
     for n in range(3):
         ix.apply_doc_changes(spark, base, rows(spark, "a", f"v{n}"), ids(spark, ""))
     ix.apply_doc_changes(spark, base, rows(spark, ""), ids(spark, "bz"))
     ix.apply_doc_changes(spark, base, rows(spark, "b", "back"), ids(spark, ""))
     now = want(a="v2", b="back", c="old", d="old", e="old", f="old")
     assert state(spark, base) == now
+    from tessera import session
+
+    plan = lambda: ix.read_index(spark, base)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    monkeypatch.setattr(session, "KEY_BYTES", 10)
+    assert "strategy=broadcast" not in plan() and state(spark, base) == now
     read = ix.read_buckets(spark, base, ids(spark, "a"))
     assert sorted(r.tags for r in read.where("doc_id = 'a'").collect()) == ["v2", "v2"]
     assert ix.compact_index(spark, base) and ix.compact_index(spark, base) == []
