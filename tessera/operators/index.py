@@ -427,14 +427,16 @@ def _write_deletes(ids: DataFrame, base: str, m: Manifest, touched: list[int]) -
     if not old:
         return {}, set()
     stored = _living(spark, old, m.buckets).select("doc_id", "bucket").distinct()
-    hit = materialize(stored.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "deletes")
-    alive = {r.bucket: r["count"] for r in stored.groupBy("bucket").count().collect()}
-    lost = {r.bucket: r["count"] for r in hit.groupBy("bucket").count().collect()}
-    emptied = {b for b in old if lost.get(b, 0) == alive.get(b, 0)}
+    named = ids.select("doc_id").distinct().withColumn("hit", F.lit(True))
+    marked = materialize(stored.join(named, "doc_id", "left"), "stored-ids")
+    counts = {r.bucket: r for r in marked.groupBy("bucket").agg(F.count("*").alias("alive"), F.count("hit").alias("lost")).collect()}
+    lost = {b: r.lost for b, r in counts.items() if r.lost}
+    emptied = {b for b in old if b not in counts or counts[b].lost == counts[b].alive}
     if set(lost) <= emptied:
         return {}, emptied
     target = os.path.join(base, _new_version(), "deletes")
-    _files(hit.where(~F.col("bucket").isin(sorted(emptied))).repartition("bucket")).parquet(target)
+    gone = marked.where(F.col("hit") & ~F.col("bucket").isin(sorted(emptied))).select("doc_id", "bucket")
+    _files(gone.repartition("bucket")).parquet(target)
     return {b: (d, lost[b]) for b, d in _bucket_dirs(spark, target).items()}, emptied
 
 
