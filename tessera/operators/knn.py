@@ -220,6 +220,8 @@ def _blocks(rows: DataFrame, n: int, size: int) -> tuple[DataFrame, int]:
 
 def _waves(blocks: DataFrame, n_blocks: int, wave_bytes: int) -> list[tuple[int, int]]:
     """Ranges of block numbers (first, behind the last) of at most ``wave_bytes`` each; a larger block stands alone."""
+    if n_blocks == 1:
+        return [(0, 1)]
     most = blocks.groupBy("b").agg(F.sum(F.octet_length("p")).alias("n")).agg(F.max("n")).first()[0] or 1
     per = max(1, wave_bytes // most)
     return [(lo, min(n_blocks, lo + per)) for lo in range(0, n_blocks, per)]
@@ -249,7 +251,8 @@ def knn_topk(
     A vector of another dimension, on either side, fails the job.
 
     ``broadcast`` names the side that comes to the other (``queries`` or
-    ``index``; None: the one of fewer rows, which are counted). ``parallelism``
+    ``index``; None: queries where they fill no more than a block, else the
+    side of fewer rows, which are counted). ``parallelism``
     deals the staying side's blocks over so many tasks, for tables of fewer
     splits than cores; None leaves them where they are read. ``bound_from``
     searches one vector of so many first (by a hash of the key), so that the
@@ -264,8 +267,10 @@ def knn_topk(
     vectors = idx.select(key_col, _checked(vec_col, spec.dim).alias(vec_col))
     found = f"q {queries.schema[query_id].dataType.simpleString()}, key string, distance double"
     n_queries = queries.count()
-    n_vectors = idx.count() if broadcast != "queries" else None
-    to_index = broadcast == "queries" or (broadcast is None and n_queries < n_vectors)
+    # one block of queries goes to any index: no need to count that
+    to_index = broadcast == "queries" or (broadcast is None and n_queries <= query_block)
+    n_vectors = None if to_index else idx.count()
+    to_index = to_index or (broadcast is None and n_queries < n_vectors)
 
     def hits(staying: DataFrame, coming: DataFrame, lo: int, hi: int) -> DataFrame:
         """The k best of each query, of what stays with the blocks lo .. hi - 1 of what comes."""
