@@ -1,17 +1,13 @@
 """Chunk metadata: caps, the content byte budget, and the 2048-byte guarantee.
 
-Caps and counts are column expressions. The rule "cut to three quarters until
-it fits" is a search among the lengths that it can leave; the content on the
-ingest path is cut by the same search in a pandas UDF.
+Everything is a column expression, on the ingest path too: the rule "cut to
+three quarters until it fits" is a search among the lengths that it can leave.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +32,14 @@ def cut_to_bytes(text: Column, budget: Column, measure=F.octet_length) -> Column
     """Keep the first 3/4 of the characters until ``measure(text) <= budget``.
 
     The lengths that this rule can leave are known beforehand (down to none);
-    the first whose prefix fits is taken. A text that fits is not looked at again.
+    of those that can fit (a character has a byte at least) the first whose
+    prefix does is taken, and no later one is measured.
     """
     steps = F.ceil(F.log(F.length(text) + F.lit(1)) / F.lit(math.log(4 / 3))).cast("int") + F.lit(1)
     lengths = F.aggregate(F.sequence(F.lit(1), steps), F.array(F.length(text)), lambda a, _: F.concat(a, F.array(F.floor(F.element_at(a, -1) * 3 / 4).cast("int"))))
-    fits = F.filter(lengths, lambda n: measure(F.substring(text, F.lit(1), n)) <= budget)
-    return F.when(text.isNull() | (measure(text) <= budget), text).otherwise(F.coalesce(F.substring(text, F.lit(1), F.get(fits, F.lit(0))), F.lit("")))
+    some = F.filter(lengths, lambda n: n <= budget)
+    fits = F.aggregate(some, F.lit(0), lambda found, n: F.when(found > 0, found).when(measure(F.substring(text, F.lit(1), n)) <= budget, n).otherwise(found))
+    return F.when(text.isNull() | (measure(text) <= budget), text).otherwise(F.substring(text, F.lit(1), fits))
 
 
 def escaped_json_len(t: Column) -> Column:
@@ -49,29 +47,6 @@ def escaped_json_len(t: Column) -> Column:
     return F.octet_length(F.to_json(F.array(t))) - F.lit(4)  # '["' + ... + '"]'
 
 
-def cut_content_udf():
-    """Pandas UDF ``(text, budget) -> text``: the rule of ``cut_to_bytes(...,
-    measure=escaped_json_len)`` for the ingest path. The place in the row of
-    lengths is found by bisection, so a text is encoded a few times at most."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, budgets: pd.Series) -> pd.Series:
-        def over(t: str, budget: int) -> bool:
-            return len(json.dumps(t, ensure_ascii=False).encode("utf-8")) - 2 > budget
-
-        out = []
-        for t, b in zip(texts, budgets):
-            if t is not None and b is not None and over(t, b):
-                lengths = [len(t)]
-                while lengths[-1]:
-                    lengths.append(lengths[-1] * 3 // 4)
-                t = t[:lengths[min(bisect_left(lengths, True, lo=1, key=lambda n: not over(t[:n], b)), len(lengths) - 1)]]
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return cut.asNondeterministic()  # evaluated once, not inlined into later references
-
-
 def _json_bytes(st: Column, n_fields: Column) -> Column:
     """Bytes of ``json.dumps(..., ensure_ascii=False)``: Spark's JSON has no
     spaces, Python's adds one after every ':' and every ','."""
@@ -131,8 +106,8 @@ def fit_metadata(df: DataFrame, content: str = "content_full") -> DataFrame:
     legacy = F.greatest(F.lit(METADATA_CONTENT_MIN_BUDGET), F.lit(METADATA_CONTENT_BUDGET) - used)
     budget = F.least(legacy, left)
 
-    out = base.withColumn("_budget", budget).withColumn("content", cut_content_udf()(F.col(content), F.col("_budget")))
-    out = out.drop("_budget")
+    out = base.withColumn("_budget", budget)
+    out = out.withColumn("content", cut_to_bytes(F.col(content), F.col("_budget"), measure=escaped_json_len)).drop("_budget")
     full = F.struct(*[F.col(m).alias(k) for m, k in zip(names, keys)], F.col("content").alias("content"))
     out = out.withColumn("meta_json_bytes", _json_bytes(full, n + F.lit(1)))
     return out.drop(*names)

@@ -31,18 +31,6 @@ def test_metadata_fits_2048_bytes_with_control_characters(spark):
     assert r.meta_json_bytes <= 2048
 
 
-def test_native_and_udf_cut_agree(spark):
-    d = spark.read.parquet(f"{SF01}/documents.parquet")
-    rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"),
-                    F.md5("text").alias("content_hash"), F.lit("txt").alias("file_type"),
-                    F.lit("2024-01-01T00:00:00Z").alias("ingested_at"), "source", F.col("lang").alias("tags"),
-                    F.col("text").alias("content_full"))
-    budget = F.lit(1500)
-    a = rows.select("doc_id", md.cut_to_bytes(F.col("content_full"), budget, measure=md.escaped_json_len).alias("c")).collect()
-    b = rows.withColumn("_b", budget).select("doc_id", md.cut_content_udf()(F.col("content_full"), F.col("_b")).alias("c")).collect()
-    assert sorted(a) == sorted(b)
-
-
 def test_json_byte_count_matches_python(spark):
     df = _rows(spark, "plain text\nwith \"quotes\"", source="src")
     r = md.fit_metadata(df).collect()[0]
@@ -97,9 +85,11 @@ def test_cutting_rules_agree_with_the_plain_loop(spark):
         return t
 
     df = spark.createDataFrame([(i * 100 + j, t, b) for i, t in enumerate(texts) for j, b in enumerate(budgets)], "i int, t string, b int")
+    whole = spark.read.parquet(f"{SF01}/documents.parquet").select(F.col("doc_id").cast("int") + 1000, "text", F.lit(1500))
+    df = df.union(whole)
     want = {r.i: plain(r.t, r.b) for r in df.collect()}
-    for cut in (md.cut_content_udf()(F.col("t"), F.col("b")), md.cut_to_bytes(F.col("t"), F.col("b"), measure=md.escaped_json_len)):
-        assert {r.i: r.c for r in df.select("i", cut.alias("c")).collect()} == want
+    cut = md.cut_to_bytes(F.col("t"), F.col("b"), measure=md.escaped_json_len)
+    assert {r.i: r.c for r in df.select("i", cut.alias("c")).collect()} == want
 
 
 def test_heading_counts_agree_with_the_chunker(spark):
