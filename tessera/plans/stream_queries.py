@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from tessera.operators import index as ix
@@ -13,8 +15,9 @@ from tessera.streaming import ingest as si
 
 
 def _doc_stream(spark, sf_dir):
+    """The documents as a file stream, whether the table is one file or a folder of them."""
     schema = read_table(spark, sf_dir, "documents").schema
-    return si.document_stream(spark, sf_dir, schema, glob="documents.parquet")
+    return si.document_stream(spark, os.path.join(sf_dir, "documents.parquet"), schema, glob=None)
 
 
 @register("stream_ingest")

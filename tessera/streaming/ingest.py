@@ -22,13 +22,21 @@ from tessera.schema import IndexSpec
 from tessera.session import checkpoint_dir, materialize, scratch_path
 
 
-def document_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
+def document_stream(spark: SparkSession, path: str, schema, glob: str | None = "*.parquet",
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files arriving in ``directory`` as a stream of documents."""
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Parquet files arriving in the folder ``path`` as a stream of documents; ``glob`` (None: all) chooses by their names.
+
+    A ``path`` that is one file is a stream of that file.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        path, glob = p.getParent().toString(), p.getName()
+    r = spark.readStream.schema(schema)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(directory)
+    return r.parquet(path)
 
 
 def stream_ingest(spark: SparkSession, docs: DataFrame, base: str, spec: IndexSpec, checkpoint: str | None = None,
@@ -69,4 +77,4 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame
     q = (stream.writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)  # a stream without rows writes no file to tell it by

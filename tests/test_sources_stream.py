@@ -112,3 +112,21 @@ def test_single_file_with_explicit_id(spark, tmpdir_path):
     for path in (tmpdir_path, f"{tmpdir_path}/*.md", f"{tmpdir_path}/none.md"):
         with pytest.raises(ValueError):
             fs.read_file(spark, path, doc_id="mine")
+
+
+def test_a_stream_of_documents_reads_folders_and_single_files(spark, tmpdir_path):
+    from tessera.plans.stream_queries import q_stream_dedup, q_stream_ingest_docs
+
+    rows = [(i, f"text {i % 4}.", "en", "s", 7) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(f"{tmpdir_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmpdir_path}/one")
+    os.makedirs(f"{tmpdir_path}/file")
+    part = next(f for f in os.listdir(f"{tmpdir_path}/one") if f.endswith(".parquet"))
+    with open(f"{tmpdir_path}/one/{part}", "rb") as a, open(f"{tmpdir_path}/file/documents.parquet", "wb") as b:
+        b.write(a.read())
+    for kind in ("folder", "file"):
+        assert q_stream_dedup(spark, f"{tmpdir_path}/{kind}").count() == 4
+        assert q_stream_ingest_docs(spark, f"{tmpdir_path}/{kind}").count() == 9
+    docs.where("false").write.parquet(f"{tmpdir_path}/none/documents.parquet")
+    assert q_stream_dedup(spark, f"{tmpdir_path}/none").count() == 0
