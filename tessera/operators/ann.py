@@ -5,12 +5,12 @@ Build: distributed k-means (``pyspark.ml.clustering.KMeans``) over the
 ``save_ivf`` stores the vectors partitioned by ``list_id`` plus the small
 centroid table; ``load_ivf`` reads them back.
 
-Search: every query finds its ``nprobe`` nearest centroids in its task, and
-queries meet vectors by a join on the list's number, block by block. Only
-probed lists are read (a partition filter on ``list_id``); the vectors are
-packed where they are read. Spark broadcasts the query blocks when their
-written size allows it. A final window keeps the k best per query
-(``WindowGroupLimit``).
+Search: every query finds its ``nprobe`` nearest centroids in the task that
+holds it, so no query is repeated for its lists. The smaller side, queries or
+vectors, is broadcast to the other in waves of a measured size, as in exact
+kNN, and a query is only held against vectors of the lists it probes. Only
+probed lists are read (a partition filter on ``list_id``). A final window
+keeps the k best per query (``WindowGroupLimit``).
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import l2_normalize
 from tessera.operators.index import MAX_FILE_ROWS
-from tessera.operators.knn import INDEX_BLOCK, QUERY_BLOCK, _checked, _pack, _pairs, check_top_k
+from tessera.operators.knn import QUERY_BLOCK, SLICE, WAVE_BYTES, _checked, _matrix, _scaled, best_hits, check_top_k
 from tessera.schema import IndexSpec
-from tessera.session import materialize
 
 MAX_LISTS = 65536
 """Lists at most: the centroids travel with the tasks."""
@@ -85,53 +84,44 @@ def load_ivf(spark: SparkSession, path: str) -> IVFIndex:
 
 
 def ivf_search(ivf: IVFIndex, queries: DataFrame, k: int = 5, nprobe: int = 4, query_id: str = "query_id",
-               qvec: str = "qvec", key_col: str = "key", vec_col: str = "vec") -> DataFrame:
-    """Approximate top-k: ``query_id, key, distance, rank`` (distances as in exact kNN)."""
+               qvec: str = "qvec", key_col: str = "key", vec_col: str = "vec", query_block: int = QUERY_BLOCK,
+               wave_bytes: int = WAVE_BYTES) -> DataFrame:
+    """Approximate top-k: ``query_id, key, distance, rank`` (distances as in exact kNN).
+
+    Queries go to the vectors where they fill no more than a block or are
+    fewer; else vectors, packed by list, go to the queries.
+    """
     check_top_k(k)
-    spec, centroids = ivf.spec, ivf.centroids
-    nprobe = max(1, min(nprobe, len(centroids)))
-    kind = queries.schema[query_id].dataType.simpleString()
+    spec, spark = ivf.spec, queries.sparkSession
+    nprobe = max(1, min(nprobe, len(ivf.centroids)))
+    some = nprobe < len(ivf.centroids)
+    told = spark.sparkContext.broadcast(ivf.centroids) if some else None
 
-    def probe(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, QUERY_BLOCK):
-                part = b.slice(lo, QUERY_BLOCK)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                # the rule of the k-means assignment: distance of the unit vector, for cosine indexes
-                if spec.metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                d = (centroids * centroids).sum(1)[None, :] - 2.0 * (x @ centroids.T)
-                lists = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
-                again = pa.array(np.repeat(np.arange(part.num_rows), nprobe))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), *(c.take(again) for c in part.columns)], names=["list_id", query_id, qvec])
-
-    def group(t: pa.Table) -> pa.Table:
-        rows = t.select([0, 1])
-        cuts = range(0, rows.num_rows, QUERY_BLOCK)
-        lists, part = t.column("list_id")[0].as_py(), t.column("part")[0].as_py()
-        return pa.table({"list_id": pa.array([lists] * len(cuts), pa.int32()), "c": pa.array([(part << 20) + i for i in range(len(cuts))], pa.int32()), "q": pa.array([_pack(rows.slice(c, QUERY_BLOCK)) for c in cuts], pa.binary())})
-
-    def packed(batches):
+    def probe(x: np.ndarray) -> np.ndarray:
+        # the rule of the k-means assignment: distance of the unit vector, for cosine indexes
+        d = (told.value * told.value).sum(1)[None, :] - 2.0 * (x @ told.value.T)
+        return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+
+    def lists(batches):
         for b in batches:
-            lists = b.column(2).to_numpy()
-            for one in np.unique(lists).tolist():
-                rows = pa.Table.from_batches([b.select([0, 1]).filter(pa.array(lists == one))])
-                for lo in range(0, rows.num_rows, INDEX_BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array([one], pa.int32()), pa.array([_pack(rows.slice(lo, INDEX_BLOCK))], pa.binary())], names=["list_id", "v"])
+            for lo in range(0, b.num_rows, SLICE):
+                x = _scaled(_matrix(pa.Table.from_batches([b.slice(lo, SLICE)])), spec.metric)
+                yield pa.RecordBatch.from_pydict({"list_id": pa.array(np.unique(probe(x)).astype(np.int32))})
 
     asked = queries.select(query_id, _checked(qvec, spec.dim).alias(qvec))
-    asked = asked.mapInArrow(probe, f"list_id int, {query_id} {kind}, {qvec} array<float>")
-    # a popular list's queries are dealt over parts, so a group stays a few blocks
-    parts = max(1, min(64, -(-queries.count() // QUERY_BLOCK)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64(query_id, qvec), F.lit(parts)).cast("int")).select(query_id, qvec, "list_id", "part")
-    asked = materialize(asked.groupBy("list_id", "part").applyInArrow(group, "list_id int, c int, q binary"), "probes")
-    used = sorted(r.list_id for r in asked.select("list_id").distinct().collect())  # at most the number of lists
-    vectors = ivf.assigned.where(F.col("list_id").isin(used)).select(key_col, _checked(vec_col, spec.dim).alias(vec_col), "list_id")
-    met = vectors.mapInArrow(packed, "list_id int, v binary").join(asked, "list_id").select("list_id", "c", "q", "v")
-    found = met.mapInArrow(_pairs(k, spec.metric), f"q {kind}, key string, distance double")
-    found = found.select(F.col("q").alias(query_id), F.col("key").alias(key_col), "distance")
-    w = Window.partitionBy(query_id).orderBy(F.col("distance").asc(), F.col(key_col).asc())
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    vectors = ivf.assigned
+    if some:
+        used = sorted(r.list_id for r in asked.mapInArrow(lists, "list_id int").distinct().collect())  # at most the number of lists
+        vectors = vectors.where(F.col("list_id").isin(used))
+    n_queries, n_vectors, largest = queries.count(), None, None
+    to_index = n_queries <= query_block
+    if not to_index:
+        held = vectors.groupBy("list_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        n_vectors, largest = held.n or 0, held.most or 0
+        to_index = n_queries < n_vectors
+    vectors = vectors.select(key_col, _checked(vec_col, spec.dim).alias(vec_col), "list_id")
+    dealt = None if to_index else spark.sparkContext.defaultParallelism  # blocks of queries are few: they are dealt over all cores
+    return best_hits(vectors, asked, spec, k, to_index, n_queries, n_vectors, query_block, wave_bytes, dealt, probe if some else None, largest).select(query_id, key_col, "distance", "rank")
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, query_id: str = "query_id", key_col: str = "key") -> DataFrame:

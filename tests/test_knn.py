@@ -208,3 +208,36 @@ def test_1024_dimensions(spark):
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     want = np.argsort(-(u[:40] @ u.T), axis=1)[:, :2]
     assert all(got[(q, n + 1)] == f"k{want[q, n]:03d}" for q in range(40) for n in range(2))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_ivf_search_repeats_no_query_for_its_lists(spark, tmpdir_path, metric):
+    from tessera.operators.ann import IVFIndex, ivf_search
+
+    r = np.random.default_rng(5)
+    spec = IndexSpec(dim=8, metric=metric)
+    centroids = r.normal(size=(12, 8))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True) if metric == "cosine" else x
+    centroids = unit(centroids)
+    v = np.concatenate([r.normal(size=(240, 8)), np.repeat(r.normal(size=(1, 8)), 160, 0)]).astype(np.float32)
+    q = np.concatenate([r.normal(size=(300, 8)), v[240:400]]).astype(np.float32)
+    near = lambda x, n: np.argsort((centroids**2).sum(1)[None, :] - 2 * unit(x.astype(float)) @ centroids.T, axis=1, kind="stable")[:, :n]
+    own = near(v, 1)[:, 0]
+    rows = [(f"k{i:03d}", x.tolist(), int(own[i])) for i, x in enumerate(v)]
+    ivf = IVFIndex(spark.createDataFrame(rows, "key string, vec array<float>, list_id int").repartition(3), centroids, spec)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id int, qvec array<float>").repartition(3)
+    a, b = unit(q.astype(float)), unit(v.astype(float))
+    d = np.maximum(1 - a @ b.T, 0) if metric == "cosine" else np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
+    for nprobe in (1, 5, 12):
+        ok = (near(q, nprobe)[:, :, None] == own[None, None, :]).any(1)
+        want = {i: sorted(round(x, 5) for x in d[i][ok[i]])[:4] for i in range(len(q)) if ok[i].any()}
+        for block, wave in ((4096, 1 << 20), (64, 1 << 20), (64, 1)):  # queries come; vectors come, in one wave and in several
+            hits = ivf_search(ivf, asked, k=4, nprobe=nprobe, query_block=block, wave_bytes=wave)
+            got = {}
+            for x in sorted(hits.collect(), key=lambda x: x.rank):
+                assert ok[x.query_id][int(x.key[1:])]
+                got.setdefault(x.query_id, []).append(round(x.distance, 5))
+            assert got.keys() == want.keys()
+            assert all(np.allclose(got[i], want[i], atol=2e-5) for i in want)
+    plan = ivf_search(ivf, asked, k=4, nprobe=12, query_block=64)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
