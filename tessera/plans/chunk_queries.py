@@ -155,15 +155,18 @@ def q_chunk_coverage(spark, sf_dir):
     appear, and their numbers are dense."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     c = ch.chunk_docs(d, strategy="recursive")
-    white = r"\s+"
-    own = d.select("doc_id", F.explode(F.array_distinct(F.split("text", white))).alias("word")).where("word <> ''")
-    cut = c.select("doc_id", F.explode(F.array_distinct(F.split("content", white))).alias("word")).where("word <> ''").distinct()
-    both = own.withColumn("a", F.lit(1)).join(cut.withColumn("b", F.lit(1)), ["doc_id", "word"], "full")
-    words = both.groupBy("doc_id").agg(F.count("a").alias("words"), F.sum(F.when(F.col("b").isNull(), 1).otherwise(0)).alias("missing"),
-                                       F.sum(F.when(F.col("a").isNull(), 1).otherwise(0)).alias("foreign_words"))
-    shape = c.groupBy("doc_id").agg(
-        ((F.count("*") == F.max("total_chunks")) & (F.countDistinct("chunk_index") == F.count("*")) & (F.max("chunk_index") == F.count("*") - 1)).alias("dense"))
-    return words.join(shape, "doc_id").select("doc_id", "words", "missing", "foreign_words", "dense")
+    words = lambda text: F.filter(F.array_distinct(F.split(text, r"\s+")), lambda x: x != "")
+    own = d.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.collect_list(words("text")).alias("own"))
+    n = F.count("*")
+    cut = c.select("doc_id", "chunk_index", "total_chunks", words("content").alias("word")).groupBy("doc_id").agg(
+        F.array_distinct(F.flatten(F.collect_list("word"))).alias("cut"),
+        ((n == F.max("total_chunks")) & (F.size(F.collect_set("chunk_index")) == n) & (F.max("chunk_index") == n - 1)).alias("dense"))
+    both = own.join(cut, "doc_id")
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    missing = total(F.transform("own", lambda x: F.size(F.array_except(x, "cut"))))
+    foreign = F.size(F.array_except("cut", F.flatten("own"))).cast("long")
+    return both.select("doc_id", total(F.transform("own", lambda x: F.size(x))).alias("words"), missing.alias("missing"), foreign.alias("foreign_words"), "dense").where(
+        (F.col("words") > 0) | (F.col("foreign_words") > 0))
 
 
 def _shape(chunks, texts, size, least, overlap):
