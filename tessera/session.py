@@ -130,6 +130,17 @@ def spread(df, n: int | None):
     return df.repartition(n) if n else df
 
 
+BATCH_BYTES = "4m"
+"""Bytes of rows that a Python worker is handed at a time: its memory does not grow with the table or the rows' length."""
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session whose deployment does not."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 _SHIPPED: dict = {}
 
 

@@ -23,3 +23,23 @@ def test_knn_collects_nothing():
 def test_nothing_else_imports_the_optional_subpackage():
     inside = os.path.join("tessera", "llm") + os.sep
     assert not [x for x in sources(r"tessera\.llm|import llm") if not x[0].startswith(inside)]
+
+
+def test_python_workers_get_batches_of_few_bytes(spark):
+    import pyarrow as pa
+
+    import __spark_entry__ as entry
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        entry.queries()["token_count"](spark, "/root/testdata/sf0.001")
+        long = spark.range(0, 48, 1, 1).selectExpr("repeat('x', 1048576) as t")
+        sizes = long.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in bs), "n long").collect()
+        assert sum(r.n for r in sizes) == 48 and max(r.n for r in sizes) <= 8
+        spark.conf.set(key, "32m")  # the deployment's own value stays
+        entry.queries()["token_count"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(key) == "32m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
