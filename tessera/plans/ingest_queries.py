@@ -130,8 +130,8 @@ def q_ingest_odd(spark, sf_dir):
 def q_scan_corpus(spark, sf_dir):
     """Pages written as one file each, read back by the recursive multi-glob corpus reader."""
     d = scratch_path(spark, "corpus")
-    read_table(spark, sf_dir, "pages").select("page_id", "html").repartition("page_id").write.partitionBy(
-        "page_id").text(d)
+    name = F.format_string("page_id=%s.txt", F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    fs.write_files(read_table(spark, sf_dir, "pages").select(name.alias("name"), F.col("html").alias("text")), d)
     c = fs.scan_corpus(spark, d, globs="*.md,*.txt,*.html")
     return c.select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), "file_type",
                     tx.content_hash("text").alias("content_hash"))

@@ -6,6 +6,10 @@ is read on the driver.
 
 from __future__ import annotations
 
+import os
+import uuid
+from itertools import groupby
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +45,44 @@ def scan_corpus(spark: SparkSession, directory: str, globs: str = DEFAULT_GLOB,
     return corpus_from_files(raw.withColumn("path", path), base_dir=base, source=source, tags=tags, author=author)
 
 
+FOLDERS = 256
+"""Folders that files written by their name are dealt over: a folder is listed by one task."""
+
+
+def write_files(texts: DataFrame, directory: str) -> None:
+    """``texts(name, text)``: the rows of a name as the lines of one file, ``<folder>/<name>`` under ``directory``.
+
+    On a shared local folder the tasks write the files themselves (each under
+    another name first, so that a repeated task does no harm): Hadoop's local
+    file system starts several processes for every file. Other file systems
+    get Spark's writer, with a folder for each name.
+    """
+    spark = texts.sparkSession
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dealt = texts.select("name", "text").repartition("name").sortWithinPartitions("name")
+    if fs.getUri().getScheme() != "file":
+        dealt.write.partitionBy("name").text(directory)
+        return
+    path, folders = fs.makeQualified(root).toUri().getPath(), FOLDERS
+
+    def run(batches):
+        import zlib
+
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for name, own in groupby(rows, key=lambda r: r[0]):
+            folder = os.path.join(path, f"{zlib.crc32(name.encode()) % folders:03d}")
+            os.makedirs(folder, exist_ok=True)
+            new = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(new, "wb") as f:
+                f.writelines((t or "").encode() + b"\n" for _, t in own)
+            os.replace(new, os.path.join(folder, name))
+        yield from ()
+
+    os.makedirs(path, exist_ok=True)  # a table without rows is an empty folder
+    dealt.mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def read_file(spark: SparkSession, path: str, doc_id: str | None = None, **kw) -> DataFrame:
     """One file; an explicit ``doc_id`` replaces the derived id (and so needs a path of exactly one file)."""
     if doc_id:
@@ -65,7 +107,8 @@ def corpus_from_files(raw: DataFrame, base_dir: str = "", source: str | None = N
     HTML extraction, as in the reference."""
     ft = tx.file_type("path")
     df = raw.where(~tx.is_blank("raw")).withColumn("file_type", ft)
-    text = F.when(F.col("file_type") == "html", tx.html_text("raw")).otherwise(F.col("raw"))
+    html = F.col("file_type") == "html"
+    text = F.when(html, tx.html_text(F.when(html, F.col("raw")))).otherwise(F.col("raw"))  # other files don't go through the parser
     return df.select(
         tx.doc_id_from_path("path", base_dir=base_dir + "/" if base_dir else "").alias("doc_id"),
         "path",

@@ -34,6 +34,18 @@ def test_scan_corpus_globs_ids_html(spark, tmpdir_path):
     assert len(coll) == 1 and coll[0].doc_id == "a-b"
 
 
+def test_written_files_share_folders(spark, tmpdir_path):
+    rows = [(f"n{i}.txt", f"text é {i}") for i in range(600)] + [("n7.txt", "text é 7"), ("null.txt", None), ("page.html", "<p>Hello &amp; bye</p>")]
+    d = os.path.join(tmpdir_path, "files")
+    fs.write_files(spark.createDataFrame(rows, "name string, text string").repartition(5), d)
+    assert 1 < len(os.listdir(d)) <= fs.FOLDERS  # not one for each file
+    c = {os.path.basename(r.path): r.text for r in fs.scan_corpus(spark, d).collect()}
+    assert c == {f"n{i}.txt": f"text é {i}\n" * (2 if i == 7 else 1) for i in range(600)} | {"page.html": "Hello & bye"}
+    none = os.path.join(tmpdir_path, "none")
+    fs.write_files(spark.createDataFrame([], "name string, text string"), none)
+    assert fs.scan_corpus(spark, none).count() == 0
+
+
 def test_doc_id_rules(spark):
     df = spark.createDataFrame([("/base/中文/x y.md",), ("/base/--.txt",), ("/other/a.b.c.htm",)], "p string")
     from tessera.functions.text import doc_id_from_path, file_type
