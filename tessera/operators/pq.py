@@ -39,6 +39,8 @@ TRAIN_BYTES = 64 << 20
 """Bytes of vectors that are trained on, about."""
 CENTROID_BYTES = 64 << 20
 """Bytes of all centroids at most: they travel to the tasks."""
+PAIRS = 1 << 20
+"""Distances that a task holds at a time."""
 WORDS = 256
 """Codewords of a subspace: a part's code is a byte."""
 BEAM = 3
@@ -65,18 +67,29 @@ def lloyd(x: np.ndarray, k: int, seed: int, iterations: int = 12) -> np.ndarray:
     r = np.random.default_rng(seed)
     c = x[r.permutation(len(x))[:k]].astype(np.float64)
     for _ in range(iterations):
-        d = (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
-        own = d.argmin(1)
+        own, near = _nearest(x, c)
         n = np.bincount(own, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         c = total / np.maximum(n, 1)[:, None]
         empty = np.flatnonzero(n == 0)
-        far = np.argsort(d[np.arange(len(x)), own] + (x * x).sum(1))[::-1][: len(empty)]
-        c[empty[: len(far)]] = x[far]
+        if len(empty):
+            far = np.argsort(near + (x * x).sum(1))[::-1][: len(empty)]
+            c[empty[: len(far)]] = x[far]
     return c
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest of ``c`` and its squared distance less the row's own square; ``PAIRS`` distances are held at a time."""
+    own, near = np.empty(len(x), np.int64), np.empty(len(x))
+    square, step = (c * c).sum(1)[None, :], max(1, PAIRS // max(1, len(c)))
+    for lo in range(0, len(x), step):
+        d = square - 2.0 * (x[lo : lo + step] @ c.T)
+        at = d.argmin(1)
+        own[lo : lo + step], near[lo : lo + step] = at, d[np.arange(len(d)), at]
+    return own, near
+
+
 def lists_of(rows: int, dim: int) -> int:
     """Lists for so many vectors: the square root, as far as the centroids' bytes allow."""
     return max(1, min(round(rows**0.5), CENTROID_BYTES // (4 * dim)))
@@ -110,8 +123,7 @@ def encode(residual: np.ndarray, books: np.ndarray) -> np.ndarray:
     m, _, width = books.shape
     out = np.empty((len(residual), m), np.uint8)
     for s in range(m):
-        part, b = residual[:, s * width : (s + 1) * width], books[s]
-        out[:, s] = ((b * b).sum(1)[None, :] - 2.0 * (part @ b.T)).argmin(1)
+        out[:, s] = _nearest(residual[:, s * width : (s + 1) * width], books[s])[0]
     return out
 
 
@@ -270,10 +282,12 @@ def pq_search(pq: PQIndex, queries: DataFrame, k: int = 5, nprobe: int = 8, rera
             for number, qp, cp in zip(*(c.to_pylist() for c in b.columns)):
                 q, c = pa.ipc.open_stream(qp).read_all(), pa.ipc.open_stream(cp).read_all()
                 codes = np.frombuffer(b"".join(c.column(1).to_pylist()), np.uint8).reshape(c.num_rows, -1)
-                d = lookup(_unit(_matrix(q), spec.metric) - flat[number], books, codes)
-                kth = np.partition(d, rerank - 1, axis=1)[:, rerank - 1 : rerank] if d.shape[1] > rerank else np.inf
-                i, j = np.nonzero(d <= kth)
-                yield pa.RecordBatch.from_arrays([q.column(0).take(pa.array(i)).combine_chunks(), c.column(0).take(pa.array(j)).combine_chunks(), pa.array(np.full(len(i), number, np.int32)), pa.array(d[i, j])], names=["q", "key", "list_id", "near"])
+                step = max(1, PAIRS // max(1, len(codes)))
+                for some in (q.slice(lo, step) for lo in range(0, q.num_rows, step)):
+                    d = lookup(_unit(_matrix(some), spec.metric) - flat[number], books, codes)
+                    kth = np.partition(d, rerank - 1, axis=1)[:, rerank - 1 : rerank] if d.shape[1] > rerank else np.inf
+                    i, j = np.nonzero(d <= kth)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(i)).combine_chunks(), c.column(0).take(pa.array(j)).combine_chunks(), pa.array(np.full(len(i), number, np.int32)), pa.array(d[i, j])], names=["q", "key", "list_id", "near"])
 
     asked = probes(pq, queries, nprobe, query_id, qvec)
     parts = max(1, min(64, -(-queries.count() // QUERY_BLOCK)))  # a popular list's queries are dealt over parts

@@ -151,6 +151,20 @@ def test_the_report_scans_once_and_counts_documents_without_id(spark, tmpdir_pat
     assert files == []  # every part reads the counts that one scan has written
 
 
+def test_codewords_are_trained_within_few_bytes():
+    import tracemalloc
+
+    x = np.random.default_rng(3).normal(size=(100_000, 4))
+    tracemalloc.start()
+    c = pq.lloyd(x, pq.WORDS, 1, iterations=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.shape == (pq.WORDS, 4) and peak < 64 << 20  # all distances at once are 205 MB
+    d = ((x[:3000, None, :] - c[None]) ** 2).sum(2)
+    own, near = pq._nearest(x[:3000], c)
+    assert (own == d.argmin(1)).all() and np.allclose(near + (x[:3000] ** 2).sum(1), d.min(1))
+
+
 def test_codes_find_what_is_near(spark, tmpdir_path):
     r = np.random.default_rng(2)
     centres = r.normal(size=(12, 16))
