@@ -137,6 +137,28 @@ def test_keyword_tables_equal_plain_search(spark, size):
     assert got == want
 
 
+def test_keywords_that_are_words_take_no_pass_over_the_texts_each(spark, monkeypatch):
+    passes = []
+    slices = tg._slice_hits
+    monkeypatch.setattr(tg, "_slice_hits", lambda *a: passes.append(1) or slices(*a))
+    run = "".join(chr(97 + i * i % 26) for i in range(1000))
+    texts = ["Ab abc été ΑΒΓ x9y", run, run + "é", None, "", "one abc", "one abc"]
+    keys = ["abc", "b", "été", "αβγ", "9", run[150:214], run[180:230], run[-1], "zzzzzz", run[:65]]
+    docs = spark.createDataFrame([(0, texts[0]), (0, texts[1])] + [(i, t) for i, t in enumerate(texts[2:], 2)], "doc_id int, text string")
+    cat = spark.createDataFrame([("a", keys[:5]), ("b", keys[5:]), (None, ["b"])], "name string, keywords array<string>")
+    for more, n in (([], 1), (["one a", " été α"], 4)):
+        tab = cat.unionByName(spark.createDataFrame([("c", more)], cat.schema))
+        got = sorted(map(str, ((r.doc_id, r.tag, r.hits) for r in tg.keyword_matches(docs, tab, slice_bytes=20).collect())))
+        lists = [("a", keys[:5]), ("b", keys[5:]), (None, ["b"]), ("c", more)]
+        low = [(i if i > 1 else 0, (t or "").lower()) for i, t in enumerate(texts)]
+        want = [(i, tag, sum(k in t for k in ks)) for i, t in low for tag, ks in lists]
+        assert got == sorted(str(w) for w in want if w[2])
+        assert len(passes) >= n  # the keyword of 65 characters and the phrases alone
+        passes.clear()
+    tg.keyword_matches(docs, spark.createDataFrame([("a", [f"w{i}" for i in range(500)])], cat.schema), slice_bytes=20).collect()
+    assert not passes  # 500 words: one pass, where slices of 20 bytes were a hundred
+
+
 def test_the_report_scans_once_and_counts_documents_without_id(spark, tmpdir_path):
     rows = [("k1", "a", 0, "s1", "x", "2024-01-02"), ("k2", "a", 1, "s2", "y", "2024-01-03"), ("k3", None, 0, "s3", "x", "2024-01-01"), ("k4", "unknown", 0, None, None, "2024-01-05"), ("k5", "b", 3, "s5", "x", "2024-01-04")]
     spark.createDataFrame([(*r[:5], None) for r in rows], LINE).withColumn("ingested_at", F.lit("2024-01-02").cast("timestamp")).write.parquet(tmpdir_path + "/i")
