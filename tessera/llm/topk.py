@@ -39,6 +39,8 @@ CELLS = 1024
 BLOCK = 4096
 """Vectors in a block, about."""
 LEAF, FAN = 48, 8
+AREA = 1 << 18
+"""Products that cost less than the way down to smaller pairs of nodes."""
 _EXACT = float(1 << 52)
 
 
@@ -104,12 +106,29 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _merge(best: np.ndarray, best_id: np.ndarray, at: np.ndarray, s: np.ndarray, ids: np.ndarray, worst: np.ndarray) -> None:
+    """Takes the scores ``s`` of the queries ``at`` with ``ids`` into their k best; only those that reach both the k best of ``s`` and ``worst`` are sorted."""
+    k = best.shape[1]
+    least = worst[at] if s.shape[1] <= k else np.maximum(worst[at], np.partition(s, s.shape[1] - k, axis=1)[:, -k])
+    i, j = np.nonzero(s >= least[:, None])
+    q = np.concatenate([np.repeat(np.arange(len(at)), k), i])
+    alls = np.concatenate([best[at].ravel(), s[i, j]])
+    alli = np.concatenate([best_id[at].ravel(), ids[j]])
+    o = np.lexsort((alli, ~alls, q))  # ~x orders as -x and has no overflow
+    q = q[o]
+    first = np.searchsorted(q, np.arange(len(at)))
+    o = o[first[:, None] + np.arange(k)]  # each query has its k old ones at least
+    best[at], best_id[at] = alls[o], alli[o]
+    worst[at] = np.maximum(worst[at], best[at, k - 1])
+
+
 def search(queries: CoverTree, cands: CoverTree, ids: np.ndarray, k: int, floor: np.ndarray):
     """(query, score, id) of candidates that may be among the k best of each query.
 
     ``floor``: scores that each query already has k answers at or above
     (lowest number where it hasn't); queries and ids in tree order. Children
-    are visited by their bound, best first.
+    are visited by their bound, best first; a pair of nodes of ``AREA``
+    products or fewer is multiplied out at once.
     """
     nq = len(queries.points)
     best = np.full((nq, k), np.iinfo(np.int64).min)
@@ -123,17 +142,11 @@ def search(queries: CoverTree, cands: CoverTree, ids: np.ndarray, k: int, floor:
         if bound + 1e-6 * (1 + abs(bound)) < worst[qa:qb].min():
             continue
         qk, ck = queries.kids[q], cands.kids[c]
-        if not qk and not ck:
+        if not qk and not ck or (qb - qa) * (cb - ca) <= AREA:
             s = product(queries.points[qa:qb], cands.points[ca:cb])
             some = np.flatnonzero((s >= worst[qa:qb, None]).any(1))
-            if not len(some):
-                continue
-            at = qa + some
-            alls = np.concatenate([best[at], s[some]], axis=1)
-            alli = np.concatenate([best_id[at], np.broadcast_to(ids[ca:cb], (len(some), cb - ca))], axis=1)
-            o = np.lexsort((alli, ~alls), axis=1)[:, :k]  # ~x orders as -x and has no overflow
-            best[at], best_id[at] = np.take_along_axis(alls, o, 1), np.take_along_axis(alli, o, 1)
-            worst[at] = np.maximum(worst[at], best[at, k - 1])
+            if len(some):
+                _merge(best, best_id, qa + some, s[some], ids[ca:cb], worst)
             continue
         pairs = [(x, c) for x in qk] if qk and (not ck or queries.radius[q] >= cands.radius[c]) else [(q, y) for y in ck]
         if pairs[0][0] == q:

@@ -82,6 +82,23 @@ def test_top_k_few_and_none(spark):
     assert T.exact_top_k(emb(spark, [(1, [1.0]), (2, [1.0])])).count() == 0
 
 
+def test_tree_search_of_vectors_without_structure(monkeypatch):
+    """Where nothing can be skipped, few pairs of nodes are visited; ties go to the smaller id."""
+    r = np.random.default_rng(1)
+    q, tree = T.CoverTree(r.integers(-3, 4, (200, 16))), T.CoverTree(r.integers(-3, 4, (3000, 16)))
+    made = []
+    product = T.product
+    monkeypatch.setattr(T, "product", lambda a, b: made.append(len(a) * len(b)) or product(a, b))
+    ids = r.permutation(3000)
+    for floor in (None, 40):
+        made.clear()
+        got = T.search(q, tree, ids, 5, np.full(200, np.iinfo(np.int64).min if floor is None else floor))
+        assert len(made) < 60
+        score = q.points @ tree.points.T
+        want = [(i, -n, j) for i in range(200) for n, j in sorted(zip((-score[i]).tolist(), ids.tolist(), strict=True))[:5] if floor is None or -n >= floor]
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
 def test_tree_search_skips_and_misses_nothing():
     r = np.random.default_rng(0)
     pts = np.concatenate([r.integers(-60, 60, (500, 4)), np.repeat(r.integers(-60, 60, (1, 4)), 200, 0)])
