@@ -221,12 +221,15 @@ def unframe(payload: bytes) -> list[bytes]:
     return out
 
 
-def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values: int = 1, once: Callable | None = None) -> Callable:
+def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values: int = 1, once: Callable | None = None, number: Callable | None = None) -> Callable:
     """Function of a range's rows: for each, the totals of its keys over all, in its order.
 
     With several ``values`` of a key, or to
     answer with less, ``tell(totals...)`` turns the totals into the answer.
-    ``once(total)`` gives a number for the range, told to block -1.
+    ``once(total)`` gives a number for the range (or some), told to block -1.
+    ``number(total)`` says which keys are numbered from 0: an answer is then
+    framed, and tells the numbers of those of its keys (ascending) as well, and
+    in bits which of its keys other blocks sent too.
     """
     code, out_code = np.dtype(dtype).str, np.dtype(wide).str
 
@@ -246,10 +249,18 @@ def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values:
         back = np.empty(len(sk), np.int64)
         back[order] = np.cumsum(new) - 1
         del allk, order, sk, new
-        more = [(-1, t.column("dest")[0].as_py(), squeeze(np.array([once(*total)], np.int64)))] if once else []
+        more = [(-1, t.column("dest")[0].as_py(), squeeze(np.atleast_1d(once(*total)).astype(np.int64)))] if once else []
+        has = number(*total) if number else np.zeros(len(at), bool)
+        nth = np.cumsum(has) - 1
+        several = np.diff(at, append=len(back)) > 1
         total = tell(*total) if tell else total[0]
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        return table(more + [(b, d, squeeze(total[back[cut[i] : cut[i + 1]]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
+
+        def answer(of: np.ndarray) -> bytes:
+            out = squeeze(total[of])
+            return frames([out, squeeze_sorted(nth[of[has[of]]].astype(np.uint32)), squeeze(np.packbits(several[of]))]) if number else out
+
+        return table(more + [(b, d, answer(back[cut[i] : cut[i + 1]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
 
     return run
 

@@ -12,7 +12,11 @@ Blocks hold their documents as word numbers of their own vocabulary. Counts
 travel by key exchange: words first, then the pairs whose first word is a
 candidate, then the triples whose first two words are one, and between them
 the sums of the divergence tests; a block gets the totals for its own keys
-only, so nothing that grows with the vocabulary is broadcast.
+only, so nothing that grows with the vocabulary is broadcast. The owners of
+words and of candidate pairs number them, and a pair or triple travels as the
+numbers of its two parts. One with a part that no other block holds does not
+travel, as its block has all its occurrences, nor one with a part that the
+training texts lack.
 
 Lower-cases A-Z; words are ``[^\\x20\\x09-\\x0D]+``, and each text ends with one
 end token. Null, empty and blank texts are the end token alone. Texts with
@@ -40,9 +44,32 @@ GAIN = 32.0
 """Divergence from the suffix's distribution, in nats over all occurrences, that makes it a state."""
 STRENGTHS = (20.0, 200.0, 2000.0)
 """Occurrences that the suffix's opinion counts for."""
+STEP = 2.0**-16
+"""Nats; divergences are summed in whole steps, so the order of the sum does not matter."""
+TEXT_BYTES = 2 * B.BLOCK_BYTES
+"""Text bytes of a block: larger ones hold fewer distinct pairs and triples a byte."""
+_STRENGTH = np.array([0.0, *STRENGTHS])
 _END = U64(0x2545F4914F6CDD1D)
 _KIND = 20  # answers of one exchange are told from another's by dest >> _KIND
-_PAIR, _TRIPLE = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+_ODD = U64(0x9E3779B97F4A7C15)
+
+
+def _scatter(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of so many bits as others of as many, one to one, from the highest of 64 bits on: keys that fill the ranges evenly."""
+    mask, half = U64((1 << bits) - 1), U64(max(1, bits // 2))
+    x = x.astype(U64)
+    for _ in range(3):
+        x = x * _ODD & mask
+        x ^= x >> half
+    return x << U64(64 - bits)
+
+
+def _join(left: np.ndarray, right: np.ndarray, left_bits: int, right_bits: int) -> np.ndarray:
+    """Keys of pairs of numbers; hashed where the pair does not fit 64 bits."""
+    left, right = left.astype(U64), right.astype(U64)
+    if left_bits + right_bits <= 64:
+        return _scatter(left << U64(right_bits) | right, left_bits + right_bits)
+    return mix(left * _ODD + mix(right))
 
 
 def _make(parts: int, out: int):
@@ -87,7 +114,7 @@ def _send_words(dests: int):
 class _Block:
     """What a block holds and what it was told so far."""
 
-    def __init__(self, blocks: pa.Table, told: pa.Table):
+    def __init__(self, blocks: pa.Table, told: pa.Table, dests: int, bits: dict):
         head, vocab, code = B.unframe(blocks.column("payload")[0].as_py())
         self.block = blocks.column("block")[0].as_py()
         self.head = B.unpack(head)
@@ -96,53 +123,90 @@ class _Block:
         self.doc = np.repeat(np.arange(len(n)), n)
         self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(n) - n, n)
         self.train = ~self.head.column("held").to_numpy()[self.doc]
-        self.told = told
-        self.count = self._answer(0, np.uint64)  # of each word of the vocabulary
+        self.told, self.dests, self.bits = told, dests, bits
+        self.count, self.id, self.shared = self._numbered(0, np.uint64, 1)  # of each word of the vocabulary
 
-    def _answer(self, kind: int, dtype) -> np.ndarray:
-        k = pa.compute.equal(pa.compute.shift_right(self.told.column("dest"), _KIND), kind)
-        return B.answers(self.told.filter(k), dtype)
+    def _of_kind(self, kind: int) -> pa.Table:
+        return self.told.filter(pa.compute.equal(pa.compute.shift_right(self.told.column("dest"), _KIND), kind))
 
-    def _unique(self, at: np.ndarray, left: np.ndarray, left_key: np.ndarray, salt):
-        """Distinct (context, next word) at these places: index of each place, and keys with the order they sort to."""
+    def _answer(self, kind: int, dtype) -> np.ndarray:
+        return B.answers(self._of_kind(kind), dtype)
+
+    def _numbered(self, kind: int, dtype, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In the order of the keys sent: counts, numbers of those of ``least`` occurrences (others -1), and which other blocks hold too."""
+        t = self._of_kind(kind).sort_by("dest")
+        count, own, shared = [np.zeros(0, dtype)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for d, p in zip(t.column("dest").to_pylist(), t.column("payload").to_pylist(), strict=True):
+            n, nth, several = B.unframe(p)
+            count.append(B.unsqueeze(n, dtype))
+            i = np.full(len(count[-1]), -1, np.int64)
+            i[count[-1] >= least] = B.unsqueeze_sorted(nth, np.uint32).astype(np.int64) * self.dests + (d & ((1 << _KIND) - 1))
+            own.append(i)
+            shared.append(np.unpackbits(B.unsqueeze(several, np.uint8), count=len(i)).astype(bool))
+        return np.concatenate(count), np.concatenate(own), np.concatenate(shared)
+
+    def _unique(self, at: np.ndarray, left: np.ndarray):
+        """Distinct (context, next word) at these places, and which each place has; training occurrences of each."""
         both, own = np.unique(left << 32 | self.code[at], return_inverse=True)
-        key = mix(left_key[both >> 32] * salt + mix(self.vocab[both & 0xFFFFFFFF]))
-        order = np.argsort(key)
-        return both, own, key, order
+        return both >> 32, both & 0xFFFFFFFF, own, np.bincount(own[self.train[at]], minlength=len(both))
 
     def pairs(self) -> None:
-        """Places whose word before is a candidate context."""
+        """Places whose word before is a candidate context; of their pairs, those to ask for and their keys."""
         before = np.concatenate([[0], self.code[:-1]]) if len(self.code) else self.code
         self.at2 = np.flatnonzero((self.place >= 1) & (self.count[before] >= CONTEXT))
-        self.both2, self.own2, self.key2, self.order2 = self._unique(self.at2, before[self.at2], self.vocab, _PAIR)
-        self.local2 = np.bincount(self.own2[self.train[self.at2]], minlength=len(self.both2))
-        self.left2, self.right2 = self.both2 >> 32, self.both2 & 0xFFFFFFFF
+        self.left2, self.right2, self.own2, self.local2 = self._unique(self.at2, before[self.at2])
+        known = self.shared & (self.count > 0)
+        ask = np.flatnonzero(known[self.left2] & known[self.right2])
+        key = _join(self.id[self.left2[ask]], self.id[self.right2[ask]], self.bits["word"], self.bits["word"])
+        order = np.argsort(key)
+        self.ask2, self.key2 = ask[order], key[order]
 
     def pair_counts(self) -> None:
-        self.count2 = np.zeros(len(self.both2))
-        self.count2[self.order2] = self._answer(1, np.uint32)
+        self.count2, self.id2, self.shared2 = self.local2.astype(float), np.full(len(self.left2), -1), np.zeros(len(self.left2), bool)
+        self.count2[self.ask2], self.id2[self.ask2], self.shared2[self.ask2] = self._numbered(1, np.uint32, CONTEXT)
 
     def triples(self) -> None:
-        """Places whose two words before are a candidate context."""
+        """Places whose two words before are a candidate context; of their triples, those to ask for and their keys."""
         pair_of = np.full(len(self.code) + 1, -1, np.int64)
         pair_of[self.at2 + 1] = self.own2  # the pair that ends right before a place
         left = pair_of[self.at2]
         ok = (self.place[self.at2] >= 2) & (left >= 0) & (self.count2[left] >= CONTEXT)
         self.in2 = np.flatnonzero(ok)  # among the places of pairs
-        self.both3, self.own3, self.key3, self.order3 = self._unique(self.at2[ok], left[ok], self.key2, _TRIPLE)
-        self.local3 = np.bincount(self.own3[self.train[self.at2[ok]]], minlength=len(self.both3))
-        self.left3, self.right3 = self.both3 >> 32, self.both3 & 0xFFFFFFFF
+        self.left3, self.right3, self.own3, self.local3 = self._unique(self.at2[ok], left[ok])
+        self.pair3 = np.zeros(len(self.left3), np.int64)  # each triple's own pair (second and third word)
+        self.pair3[self.own3] = self.own2[self.in2]
+        ask = np.flatnonzero(self.shared2[self.left3] & self.shared2[self.pair3] & (self.count2[self.pair3] > 0))
+        key = _join(self.id2[self.left3[ask]], self.id[self.right3[ask]], self.bits["pair"], self.bits["word"])
+        order = np.argsort(key)
+        self.ask3, self.key3 = ask[order], key[order]
 
     def triple_counts(self) -> None:
-        self.count3 = np.zeros(len(self.both3))
-        self.count3[self.order3] = self._answer(3, np.uint32)
+        self.count3 = self.local3.astype(float)
+        self.count3[self.ask3] = self._answer(3, np.uint32)
 
     def states1(self) -> None:
         """Strength of each word as a context; 0: no state."""
-        got = self._answer(2, np.uint8)
-        strength = np.concatenate([[0.0], STRENGTHS])[got]
+        used = np.unique(self.left2)
+        order = np.argsort(_scatter(self.id[used], self.bits["word"]))
         self.state1 = np.zeros(len(self.vocab))
-        self.state1[np.unique(self.left2)] = strength
+        self.state1[used[order]] = _STRENGTH[self._answer(2, np.uint8)]
+
+    def gains2(self, p1: np.ndarray) -> None:
+        """Divergence of each two-word context here, those shared with other blocks in the order of their keys, and the rest."""
+        used, sums = _sums(self.left3, _gains(self.count3, self.count2[self.left3], self.local3, p1[self.pair3]))
+        alone = ~self.shared2[used]
+        self.alone2, self.verdict2 = used[alone], _verdict(*(s[alone] for s in sums))
+        self.used2, sums = used[~alone], [s[~alone] for s in sums]
+        key = _scatter(self.id2[self.used2], self.bits["pair"])
+        order = np.argsort(key)
+        self.used2, self.used_key2, self.gain2 = self.used2[order], key[order], [s[order] for s in sums]
+
+    def states2(self) -> np.ndarray:
+        """Strength of each pair as a context; 0: no state."""
+        state2 = np.zeros(len(self.left2))
+        state2[self.alone2] = _STRENGTH[self.verdict2]
+        state2[self.used2] = _STRENGTH[self._answer(4, np.uint8)]
+        return state2
 
     def base(self, total: int, distinct: int) -> np.ndarray:
         return (self.count.astype(float) + 1.0) / (total + distinct + 1.0)
@@ -165,55 +229,49 @@ def _gains(count, context, local, below) -> list[np.ndarray]:
     return out
 
 
+def _sums(of: np.ndarray, gains: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The contexts, and the sums of their gains in steps."""
+    used, at = np.unique(of, return_inverse=True)
+    return used, [np.rint(np.bincount(at, weights=g, minlength=len(used)) / STEP).astype(np.int64) for g in gains]
+
+
 def _verdict(*total: np.ndarray) -> np.ndarray:
     """0, or 1 + the strength that gains most where that is enough."""
     all_ = np.stack(total)
-    return np.where(all_.max(0) >= GAIN, all_.argmax(0) + 1, 0).astype(np.uint8)
+    return np.where(all_.max(0) >= GAIN / STEP, all_.argmax(0) + 1, 0).astype(np.uint8)
 
 
 def _shift(items: list[tuple], kind: int) -> list[tuple]:
     return [(b, (kind << _KIND) | d, p) for b, d, p in items]
 
 
-def _send_gains(block: int, key: np.ndarray, of: np.ndarray, gains: list[np.ndarray], dests: int) -> list[tuple]:
-    """Sums by context (``of``: contexts by number, ``key``: their keys) in the order of the keys."""
-    used, at = np.unique(of, return_inverse=True)
-    sums = [np.bincount(at, weights=g, minlength=len(used)) for g in gains]
-    order = np.argsort(key[used])
-    return B.send(block, key[used][order], dests, *(s[order] for s in sums))
-
-
-def _pass(step: str, dests: int, total: int, distinct: int):
+def _pass(step: str, dests: int, total: int, distinct: int, bits: dict):
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return B.table([])
-        b = _Block(blocks, told)
+        b = _Block(blocks, told, dests, bits)
         b.pairs()
         if step == "pairs":
-            return B.table(_shift(B.send(b.block, b.key2[b.order2], dests, b.local2[b.order2].astype(np.uint32)), 1))
+            return B.table(_shift(B.send(b.block, b.key2, dests, b.local2[b.ask2].astype(np.uint32)), 1))
         b.pair_counts()
         b.triples()
         p0 = b.base(total, distinct)
         if step == "triples":
-            out = _shift(B.send(b.block, b.key3[b.order3], dests, b.local3[b.order3].astype(np.uint32)), 3)
-            gains = _gains(b.count2, b.count[b.left2].astype(float), b.local2, p0[b.right2])
-            return B.table(out + _shift(_send_gains(b.block, b.vocab, b.left2, gains, dests), 2))
+            out = _shift(B.send(b.block, b.key3, dests, b.local3[b.ask3].astype(np.uint32)), 3)
+            used, sums = _sums(b.left2, _gains(b.count2, b.count[b.left2].astype(float), b.local2, p0[b.right2]))
+            key = _scatter(b.id[used], bits["word"])
+            order = np.argsort(key)
+            return B.table(out + _shift(B.send(b.block, key[order], dests, *(s[order] for s in sums)), 2))
         b.triple_counts()
         b.states1()
         p1 = b.after1(p0)
-        of2 = b.own2[b.in2]  # each triple's own pair (second and third word)
-        pair3 = np.zeros(len(b.both3), np.int64)
-        pair3[b.own3] = of2
+        b.gains2(p1)
         if step == "gains":
-            gains = _gains(b.count3, b.count2[b.left3], b.local3, p1[pair3])
-            return B.table(_shift(_send_gains(b.block, b.key2, b.left3, gains, dests), 4))
-        used = np.unique(b.left3)
-        state2 = np.zeros(len(b.both2))
-        state2[used[np.argsort(b.key2[used])]] = np.concatenate([[0.0], STRENGTHS])[b._answer(4, np.uint8)]
+            return B.table(_shift(B.send(b.block, b.used_key2, dests, *b.gain2), 4))
         p = p0[b.code]
         p[b.at2] = p1[b.own2]
-        s = state2[b.left3]
-        p3 = np.where(s > 0, (b.count3 + s * p1[pair3]) / (b.count2[b.left3] + s), p1[pair3])
+        s = b.states2()[b.left3]
+        p3 = np.where(s > 0, (b.count3 + s * p1[b.pair3]) / (b.count2[b.left3] + s), p1[b.pair3])
         p[b.at2[b.in2]] = p3[b.own3]
         n = b.head.num_rows
         add = lambda w: np.bincount(b.doc, weights=w, minlength=n)
@@ -236,21 +294,27 @@ def score_documents(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of each row."""
     from pyspark.sql import functions as F
 
-    blocks, size = B.document_blocks(docs, "suffix_tree", _make(parts, out), "known binary, n_train long")
+    blocks, size = B.document_blocks(docs, "suffix_tree", _make(parts, out), "known binary, n_train long", TEXT_BYTES)
     dests = B.destinations(size)
     total = int(blocks.agg(F.sum("n_train")).first()[0] or 0)
-    sent = blocks.select("block", "payload", "known").mapInArrow(_send_words(dests), B.PAYLOAD)
-    told = materialize(B.sum_keys(sent, once=lambda n: int((n > 0).sum())), "words")
-    distinct = sum(int(B.unsqueeze(r["payload"], np.int64)[0]) for r in told.where("block < 0").select("payload").collect())
     texts = blocks.select("block", "payload")
+    bits: dict[str, int] = {}
 
     def each(step: str) -> DataFrame:
-        return B.with_blocks(texts, told, _pass(step, dests, total, distinct), B.PAYLOAD)
+        return B.with_blocks(texts, told, _pass(step, dests, total, distinct, dict(bits)), B.PAYLOAD)
 
-    told = told.where("block >= 0")
-    told = told.unionByName(materialize(B.sum_keys(each("pairs"), wide=np.uint32), "pairs"))
+    def numbered(sent: DataFrame, name: str, least: int, **how) -> tuple[DataFrame, int]:
+        """What is told, how many keys have so many occurrences; and the bits of their numbers."""
+        got = materialize(B.sum_keys(sent, once=lambda n: int((n >= least).sum()), number=lambda n: n >= least, **how), f"{name}s")
+        each_range = [int(B.unsqueeze(r["payload"], np.int64)[0]) for r in got.where("block < 0").select("payload").collect()]
+        bits[name] = max(1, (max(each_range, default=0) * dests + dests).bit_length())
+        return got.where("block >= 0"), sum(each_range)
+
+    sent = blocks.select("block", "payload", "known").mapInArrow(_send_words(dests), B.PAYLOAD)
+    told, distinct = numbered(sent, "word", 1)
+    told = told.unionByName(numbered(each("pairs"), "pair", CONTEXT, wide=np.uint32)[0])
     counts = B.adder(wide=np.uint32)
-    gains = B.adder(np.float64, np.float64, _verdict, len(STRENGTHS))
+    gains = B.adder(np.int64, np.int64, _verdict, len(STRENGTHS))
 
     def either(t: pa.Table) -> pa.Table:
         return (counts if t.column("dest")[0].as_py() >> _KIND == 3 else gains)(t)
@@ -258,4 +322,4 @@ def score_documents(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
     told = told.unionByName(materialize(B.by_range(each("triples"), either), "triples"))
     told = told.unionByName(materialize(B.by_range(each("gains"), gains), "states"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return B.with_blocks(texts, told, _pass("score", dests, total, distinct), schema)
+    return B.with_blocks(texts, told, _pass("score", dests, total, distinct, dict(bits)), schema)
