@@ -7,9 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import blocks as B
 from tessera.llm import langid as L
 from tessera.llm import suffix_tree as P
 from tests.conftest import SF001, SF01
@@ -75,6 +77,38 @@ def test_suffix_tree_matches_the_plain_form(odd_docs, odd_rows):
     np.testing.assert_allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
 
 
+def test_suffix_tree_over_many_blocks(odd_docs, odd_rows, monkeypatch):
+    """Pairs and triples that one block holds alone are counted in place, the others by their owners."""
+    monkeypatch.setattr(P, "TEXT_BYTES", 1 << 14)
+    want = tree_scores(odd_rows)[0]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[5], 6))
+    got, want = sorted(map(tuple, P.score_documents(odd_docs).collect()), key=key), sorted(want, key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    np.testing.assert_allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_suffix_tree_sends_only_pairs_that_other_blocks_can_add_to():
+    dests, train = 4, [i for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = ["common shared " * 70 + " ".join(f"common own{k}x{i}" for i in range(300)) for k in range(2)]
+    made = [P._make(7, 2)(k, pa.table({"doc_id": [train[k]], "text": [t]})) for k, t in enumerate(texts)]
+    sent = [r for k, m in enumerate(made) for r in B.send(k, B.unsqueeze_sorted(B.unframe(m["payload"])[1]), dests, B.unsqueeze(m["known"], np.uint32))]
+    owner = B.adder(number=lambda n: n >= 1)
+    told = pa.concat_tables([owner(B.table([r for r in sent if r[1] == d])) for d in range(dests)])
+    blocks = pa.table({"block": [0], "payload": pa.array([made[0]["payload"]], pa.binary())})
+    told = told.filter(pa.compute.equal(told.column("block"), 0))
+    got = P._pass("pairs", dests, sum(m["n_train"] for m in made), 700, {"word": 12})(blocks, told)
+    keys = np.concatenate([B.unsqueeze_sorted(B.unframe(p)[0]) for p in got.column("payload").to_pylist()])
+    assert len(keys) == 2  # common shared, shared common
+
+
+def test_numbers_scatter_one_to_one():
+    x = P._scatter(np.arange(1 << 13), 13)
+    assert len(np.unique(x)) == 1 << 13 and not (x & np.uint64((1 << 51) - 1)).any()
+    left, right = (a.ravel() for a in np.meshgrid(np.arange(64), np.arange(32)))
+    for bits in (6, 40):  # together, and hashed
+        assert len(np.unique(P._join(left, right, bits, 30))) == 64 * 32
+
+
 def test_suffix_tree_beats_single_words_on_held_out_texts(spark):
     got = P.score_documents(spark.read.parquet(f"{SF01}/documents.parquet")).where("held_out").collect()
     assert len(got) > 100 and sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got)
