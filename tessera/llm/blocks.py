@@ -221,15 +221,35 @@ def unframe(payload: bytes) -> list[bytes]:
     return out
 
 
-def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values: int = 1, once: Callable | None = None, number: Callable | None = None) -> Callable:
+def by_size(count: np.ndarray) -> np.ndarray:
+    """Places by falling bit length of their counts (1 at least); those of one length in their order."""
+    return np.argsort(-np.frexp(count.astype(float))[1], kind="stable")
+
+
+def sorted_keys(parts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The keys of a message of ``send``, and its values."""
+    return unsqueeze_sorted(parts[0]), parts[1:]
+
+
+def adder(
+    dtype=np.uint32,
+    wide=np.uint64,
+    tell: Callable | None = None,
+    values: int = 1,
+    once: Callable | None = None,
+    number: Callable | None = None,
+    read: Callable = sorted_keys,
+) -> Callable:
     """Function of a range's rows: for each, the totals of its keys over all, in its order.
 
     With several ``values`` of a key, or to
     answer with less, ``tell(totals...)`` turns the totals into the answer.
     ``once(total)`` gives a number for the range (or some), told to block -1.
-    ``number(total)`` says which keys are numbered from 0: an answer is then
-    framed, and tells the numbers of those of its keys (ascending) as well, and
-    in bits which of its keys other blocks sent too.
+    ``number(total)`` says which keys are numbered from 0, frequent ones first
+    (``by_size``): an answer is then framed, and tells the numbers of those of
+    its keys as well, in the order of ``by_size``, and in bits which of its keys
+    other blocks sent too. ``read(frames)`` gives a message's
+    keys and the frames of its values.
     """
     code, out_code = np.dtype(dtype).str, np.dtype(wide).str
 
@@ -237,8 +257,8 @@ def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values:
         if not t.num_rows:
             return table([])
         got = [unframe(p) for p in t.column("payload").to_pylist()]
-        keys = [unsqueeze_sorted(p[0]) for p in got]
-        vals = [np.concatenate([unsqueeze(p[i + 1], np.dtype(code)) for p in got]) for i in range(values)]
+        keys, got = zip(*(read(p) for p in got), strict=True)
+        vals = [np.concatenate([unsqueeze(p[i], np.dtype(code)) for p in got]) for i in range(values)]
         allk = np.concatenate(keys)
         order = np.argsort(allk, kind="stable")
         sk = allk[order]
@@ -250,15 +270,21 @@ def adder(dtype=np.uint32, wide=np.uint64, tell: Callable | None = None, values:
         back[order] = np.cumsum(new) - 1
         del allk, order, sk, new
         more = [(-1, t.column("dest")[0].as_py(), squeeze(np.atleast_1d(once(*total)).astype(np.int64)))] if once else []
-        has = number(*total) if number else np.zeros(len(at), bool)
-        nth = np.cumsum(has) - 1
+        if number:
+            size, has = total[0], number(*total)
+            which = np.flatnonzero(has)
+            nth = np.zeros(len(at), np.uint32)
+            nth[which[by_size(size[which])]] = np.arange(len(which))
         several = np.diff(at, append=len(back)) > 1
         total = tell(*total) if tell else total[0]
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
 
         def answer(of: np.ndarray) -> bytes:
             out = squeeze(total[of])
-            return frames([out, squeeze_sorted(nth[of[has[of]]].astype(np.uint32)), squeeze(np.packbits(several[of]))]) if number else out
+            if not number:
+                return out
+            which = of[has[of]]
+            return frames([out, squeeze_sorted(nth[which[by_size(size[which])]]), squeeze(np.packbits(several[of]))])
 
         return table(more + [(b, d, answer(back[cut[i] : cut[i + 1]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
 

@@ -68,10 +68,53 @@ def _join(left: np.ndarray, right: np.ndarray, left_bits: int, right_bits: int)
     """Keys of pairs of numbers; hashed where the pair does not fit 64 bits."""
     left, right = left.astype(U64), right.astype(U64)
     if left_bits + right_bits <= 64:
-        return _scatter(left << U64(right_bits) | right, left_bits + right_bits)
+        return left << U64(right_bits) | right
     return mix(left * _ODD + mix(right))
 
 
+def _by_count(count: np.ndarray) -> np.ndarray:
+    """Places by falling counts: what is frequent gets small numbers, which pack well."""
+    return np.argsort(-count.astype(np.int64), kind="stable")
+
+
+def _send_pairs(block: int, left: np.ndarray, right: np.ndarray, dests: int, value: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+    """Rows that carry pairs of numbers and their values to the owners of the pairs; and the order they are sent in.
+
+    The owner of a pair follows from a hash of the left number and the right
+    one's remainder, so a frequent left or right one has all ranges, and a
+    message need not tell the remainder. Lefts ascend, and so do the rights of
+    a left, which are told as differences.
+    """
+    left, right = left.astype(U64), right.astype(U64)
+    dest = ((mix(left * _ODD) % U64(dests) + right) % U64(dests)).astype(np.int64)
+    order = np.lexsort((right, left, dest))
+    left, right, dest, value = left[order], right[order] // U64(dests), dest[order], value[order]
+    cut, out = np.searchsorted(dest, np.arange(dests + 1)), []
+    for d in range(dests):
+        lo, hi = int(cut[d]), int(cut[d + 1])
+        if hi > lo:
+            same = left[lo + 1 : hi] == left[lo : hi - 1]
+            step = right[lo:hi].copy()
+            step[1:][same] -= right[lo : hi - 1][same]
+            out.append((block, d, B.frames([B.squeeze_sorted(left[lo:hi]), B.squeeze(step), B.squeeze(value[lo:hi])])))
+    return order, out
+
+
+def _told_pairs(bits: int):
+    """Keys and values of a message of pairs; rights have so many bits."""
+
+    def read(parts: list[bytes]) -> tuple[np.ndarray, bytes]:
+        left, step = B.unsqueeze_sorted(parts[0]), B.unsqueeze(parts[1], U64)
+        if not len(left):
+            return left, parts[2:]
+        at = np.flatnonzero(np.diff(left, prepend=~left[:1]))
+        total = np.cumsum(step)
+        right = total - np.repeat(total[at] - step[at], np.diff(at, append=len(left)))
+        return _join(left, right, 64 - bits, bits), parts[2:]
+
+    return read
+
+
 def _make(parts: int, out: int):
     def make(block: int, t: pa.Table) -> dict:
         data, off = text_arrays(t.column("text"))
@@ -92,9 +135,12 @@ def _make(parts: int, out: int):
         train = np.repeat(~held, n + 1)
         count = np.bincount(code[train], minlength=len(vocab)).astype(np.uint32)
         head = B.pack(doc_id=t.column("doc_id"), held=held, n=(n + 1).astype(np.int64))
+        rank = np.empty(len(vocab), np.uint32)
+        rank[_by_count(count)] = np.arange(len(vocab))
+        known = B.squeeze(count)
         return {
-            "payload": B.frames([head, B.squeeze_sorted(vocab), B.squeeze(code.astype(np.uint32))]),
-            "known": B.squeeze(count),
+            "payload": B.frames([head, B.squeeze_sorted(vocab), B.squeeze(rank[code]), known]),
+            "known": known,
             "n_train": int(train.sum()),
         }
 
@@ -115,10 +161,11 @@ class _Block:
     """What a block holds and what it was told so far."""
 
     def __init__(self, blocks: pa.Table, told: pa.Table, dests: int, bits: dict):
-        head, vocab, code = B.unframe(blocks.column("payload")[0].as_py())
+        head, vocab, code, known = B.unframe(blocks.column("payload")[0].as_py())
         self.block = blocks.column("block")[0].as_py()
         self.head = B.unpack(head)
-        self.vocab, self.code = B.unsqueeze_sorted(vocab), B.unsqueeze(code, np.uint32).astype(np.int64)
+        self.vocab = B.unsqueeze_sorted(vocab)
+        self.code = _by_count(B.unsqueeze(known, np.uint32))[B.unsqueeze(code, np.uint32)]
         n = self.head.column("n").to_numpy()
         self.doc = np.repeat(np.arange(len(n)), n)
         self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(n) - n, n)
@@ -140,7 +187,8 @@ class _Block:
             n, nth, several = B.unframe(p)
             count.append(B.unsqueeze(n, dtype))
             i = np.full(len(count[-1]), -1, np.int64)
-            i[count[-1] >= least] = B.unsqueeze_sorted(nth, np.uint32).astype(np.int64) * self.dests + (d & ((1 << _KIND) - 1))
+            has = np.flatnonzero(count[-1] >= least)
+            i[has[B.by_size(count[-1][has])]] = B.unsqueeze_sorted(nth, np.uint32).astype(np.int64) * self.dests + (d & ((1 << _KIND) - 1))
             own.append(i)
             shared.append(np.unpackbits(B.unsqueeze(several, np.uint8), count=len(i)).astype(bool))
         return np.concatenate(count), np.concatenate(own), np.concatenate(shared)
@@ -151,22 +199,21 @@ class _Block:
         return both >> 32, both & 0xFFFFFFFF, own, np.bincount(own[self.train[at]], minlength=len(both))
 
     def pairs(self) -> None:
-        """Places whose word before is a candidate context; of their pairs, those to ask for and their keys."""
+        """Places whose word before is a candidate context; of their pairs, those to ask for, and what to send."""
         before = np.concatenate([[0], self.code[:-1]]) if len(self.code) else self.code
         self.at2 = np.flatnonzero((self.place >= 1) & (self.count[before] >= CONTEXT))
         self.left2, self.right2, self.own2, self.local2 = self._unique(self.at2, before[self.at2])
         known = self.shared & (self.count > 0)
         ask = np.flatnonzero(known[self.left2] & known[self.right2])
-        key = _join(self.id[self.left2[ask]], self.id[self.right2[ask]], self.bits["word"], self.bits["word"])
-        order = np.argsort(key)
-        self.ask2, self.key2 = ask[order], key[order]
+        order, self.sent2 = _send_pairs(self.block, self.id[self.left2[ask]], self.id[self.right2[ask]], self.dests, self.local2[ask].astype(np.uint32))
+        self.ask2 = ask[order]
 
     def pair_counts(self) -> None:
         self.count2, self.id2, self.shared2 = self.local2.astype(float), np.full(len(self.left2), -1), np.zeros(len(self.left2), bool)
         self.count2[self.ask2], self.id2[self.ask2], self.shared2[self.ask2] = self._numbered(1, np.uint32, CONTEXT)
 
     def triples(self) -> None:
-        """Places whose two words before are a candidate context; of their triples, those to ask for and their keys."""
+        """Places whose two words before are a candidate context; of their triples, those to ask for, and what to send."""
         pair_of = np.full(len(self.code) + 1, -1, np.int64)
         pair_of[self.at2 + 1] = self.own2  # the pair that ends right before a place
         left = pair_of[self.at2]
@@ -176,9 +223,8 @@ class _Block:
         self.pair3 = np.zeros(len(self.left3), np.int64)  # each triple's own pair (second and third word)
         self.pair3[self.own3] = self.own2[self.in2]
         ask = np.flatnonzero(self.shared2[self.left3] & self.shared2[self.pair3] & (self.count2[self.pair3] > 0))
-        key = _join(self.id2[self.left3[ask]], self.id[self.right3[ask]], self.bits["pair"], self.bits["word"])
-        order = np.argsort(key)
-        self.ask3, self.key3 = ask[order], key[order]
+        order, self.sent3 = _send_pairs(self.block, self.id2[self.left3[ask]], self.id[self.right3[ask]], self.dests, self.local3[ask].astype(np.uint32))
+        self.ask3 = ask[order]
 
     def triple_counts(self) -> None:
         self.count3 = self.local3.astype(float)
@@ -252,12 +298,12 @@ def _pass(step: str, dests: int, total: int, distinct: int, bits: dict):
         b = _Block(blocks, told, dests, bits)
         b.pairs()
         if step == "pairs":
-            return B.table(_shift(B.send(b.block, b.key2, dests, b.local2[b.ask2].astype(np.uint32)), 1))
+            return B.table(_shift(b.sent2, 1))
         b.pair_counts()
         b.triples()
         p0 = b.base(total, distinct)
         if step == "triples":
-            out = _shift(B.send(b.block, b.key3, dests, b.local3[b.ask3].astype(np.uint32)), 3)
+            out = _shift(b.sent3, 3)
             used, sums = _sums(b.left2, _gains(b.count2, b.count[b.left2].astype(float), b.local2, p0[b.right2]))
             key = _scatter(b.id[used], bits["word"])
             order = np.argsort(key)
@@ -312,8 +358,9 @@ def score_documents(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
 
     sent = blocks.select("block", "payload", "known").mapInArrow(_send_words(dests), B.PAYLOAD)
     told, distinct = numbered(sent, "word", 1)
-    told = told.unionByName(numbered(each("pairs"), "pair", CONTEXT, wide=np.uint32)[0])
-    counts = B.adder(wide=np.uint32)
+    read = _told_pairs(max(1, bits["word"] - (dests.bit_length() - 1)))
+    told = told.unionByName(numbered(each("pairs"), "pair", CONTEXT, wide=np.uint32, read=read)[0])
+    counts = B.adder(wide=np.uint32, read=read)
     gains = B.adder(np.int64, np.int64, _verdict, len(STRENGTHS))
 
     def either(t: pa.Table) -> pa.Table:

@@ -109,6 +109,46 @@ def test_numbers_scatter_one_to_one():
         assert len(np.unique(P._join(left, right, bits, 30))) == 64 * 32
 
 
+def test_pairs_travel_in_few_bytes():
+    """What is sent of the pairs of frequent words is what owners read, and takes less than two bytes a pair (three as scattered keys)."""
+    r, dests = np.random.default_rng(0), 8
+    both = np.unique(np.minimum(r.zipf(1.2, (400_000, 2)), 1 << 20), axis=0)
+    both = both[r.permutation(len(both))]
+    value = np.arange(len(both), dtype=np.uint32) % 3
+    order, sent = P._send_pairs(0, both[:, 0], both[:, 1], dests, value)
+    bits = max(1, 21 - (dests.bit_length() - 1))
+    want, at = (both[order, 0] << bits | both[order, 1] // dests).astype(np.uint64), 0
+    for block, dest, payload in sent:
+        key, rest = P._told_pairs(bits)(B.unframe(payload))
+        own = order[at : at + len(key)]
+        assert block == 0 and (key == want[at : at + len(key)]).all() and (np.diff(key) > 0).all()
+        assert (B.unsqueeze(rest[0], np.uint32) == value[own]).all()
+        at += len(key)
+    assert at == len(both) and len({d for _, d, _ in sent}) == dests
+    sizes = [len(p) for _, _, p in sent]
+    assert max(sizes) < 1.5 * min(sizes)  # the most frequent word's pairs go to all owners
+    ones = P._send_pairs(0, both[:, 0], both[:, 1], dests, np.ones(len(both), np.uint32))[1]
+    assert sum(len(p) for _, _, p in ones) < 2 * len(both)
+
+
+def test_frequent_keys_get_small_numbers():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 60, 1000, dtype=np.uint64))
+    count = np.ones(1000, np.uint32)
+    count[[5, 700]] = 40, 9
+    rows = B.send(0, keys, 1, count) + B.send(1, keys[::2], 1, count[::2])
+    told = B.adder(number=lambda n: n >= 2)(B.table(rows))
+    number = []
+    for payload in told.column("payload").to_pylist():
+        n, nth, _ = B.unframe(payload)
+        n = B.unsqueeze(n, np.uint64)
+        has = np.flatnonzero(n >= 2)
+        number.append(np.full(len(n), -1))
+        number[-1][has[B.by_size(n[has])]] = B.unsqueeze_sorted(nth, np.uint32)
+    # 40 of key 5, then 18 of key 700, then the two of each even key; of key 5 only block 0 has any
+    assert number[0][5] == 0 and number[0][700] == 1 and number[0][1] == -1
+    assert (number[0][::2] == number[1]).all() and sorted(number[0][number[0] >= 0]) == list(range(501))
+
+
 def test_suffix_tree_beats_single_words_on_held_out_texts(spark):
     got = P.score_documents(spark.read.parquet(f"{SF01}/documents.parquet")).where("held_out").collect()
     assert len(got) > 100 and sum(r.score for r in got) > 0.98 * sum(r.base_score for r in got)
