@@ -239,6 +239,7 @@ def adder(
     once: Callable | None = None,
     number: Callable | None = None,
     read: Callable = sorted_keys,
+    first: bool = False,
 ) -> Callable:
     """Function of a range's rows: for each, the totals of its keys over all, in its order.
 
@@ -248,14 +249,19 @@ def adder(
     ``number(total)`` says which keys are numbered from 0, frequent ones first
     (``by_size``): an answer is then framed, and tells the numbers of those of
     its keys as well, in the order of ``by_size``, and in bits which of its keys
-    other blocks sent too. ``read(frames)`` gives a message's
-    keys and the frames of its values.
+    other blocks sent too. With that, or ``first``, a last frame tells in bits
+    which of the keys with totals of 2 or more the block is to report: of those
+    that sent more than 0, the least block is. ``read(frames)`` gives a
+    message's keys and the frames of its values.
     """
+    first = first or number is not None
     code, out_code = np.dtype(dtype).str, np.dtype(wide).str
 
     def run(t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return table([])
+        if first:
+            t = t.sort_by("block")
         got = [unframe(p) for p in t.column("payload").to_pylist()]
         keys, got = zip(*(read(p) for p in got), strict=True)
         vals = [np.concatenate([unsqueeze(p[i], np.dtype(code)) for p in got]) for i in range(values)]
@@ -268,6 +274,11 @@ def adder(
         total = [np.add.reduceat(v[order], at, dtype=np.dtype(out_code)) for v in vals]
         back = np.empty(len(sk), np.int64)
         back[order] = np.cumsum(new) - 1
+        if first:
+            some = np.flatnonzero(vals[0][order] > 0)
+            lead = np.zeros(len(sk), bool)
+            lead[order[some[np.diff(back[order[some]], prepend=-1) > 0]]] = True
+            twice = total[0] > 1
         del allk, order, sk, new
         more = [(-1, t.column("dest")[0].as_py(), squeeze(np.atleast_1d(once(*total)).astype(np.int64)))] if once else []
         if number:
@@ -279,14 +290,17 @@ def adder(
         total = tell(*total) if tell else total[0]
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
 
-        def answer(of: np.ndarray) -> bytes:
-            out = squeeze(total[of])
-            if not number:
-                return out
-            which = of[has[of]]
-            return frames([out, squeeze_sorted(nth[which[by_size(size[which])]]), squeeze(np.packbits(several[of]))])
-
-        return table(more + [(b, d, answer(back[cut[i] : cut[i + 1]])) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
+        def answer(lo: int, hi: int) -> bytes:
+            of = back[lo:hi]
+            out = [squeeze(total[of])]
+            if number:
+                which = of[has[of]]
+                out += [squeeze_sorted(nth[which[by_size(size[which])]]), squeeze(np.packbits(several[of]))]
+            if first:
+                out.append(squeeze(np.packbits(lead[lo:hi][twice[of]])))
+            return frames(out) if len(out) > 1 else out[0]
+
+        return table(more + [(b, d, answer(int(cut[i]), int(cut[i + 1]))) for i, (b, d) in enumerate(zip(t.column("block").to_pylist(), t.column("dest").to_pylist(), strict=True))])
 
     return run
 

@@ -16,7 +16,8 @@ only, so nothing that grows with the vocabulary is broadcast. The owners of
 words and of candidate pairs number them, and a pair or triple travels as the
 numbers of its two parts. One with a part that no other block holds does not
 travel, as its block has all its occurrences, nor one with a part that the
-training texts lack.
+training texts lack. Numbers are small for what is frequent, and one block
+reports the divergence of each pair or triple that occurs more than once.
 
 Lower-cases A-Z; words are ``[^\\x20\\x09-\\x0D]+``, and each text ends with one
 end token. Null, empty and blank texts are the end token alone. Texts with
@@ -46,7 +47,7 @@ STRENGTHS = (20.0, 200.0, 2000.0)
 """Occurrences that the suffix's opinion counts for."""
 STEP = 2.0**-16
 """Nats; divergences are summed in whole steps, so the order of the sum does not matter."""
-TEXT_BYTES = 2 * B.BLOCK_BYTES
+TEXT_BYTES = 3 * B.BLOCK_BYTES
 """Text bytes of a block: larger ones hold fewer distinct pairs and triples a byte."""
 _STRENGTH = np.array([0.0, *STRENGTHS])
 _END = U64(0x2545F4914F6CDD1D)
@@ -77,6 +78,21 @@ def _by_count(count: np.ndarray) -> np.ndarray:
     return np.argsort(-count.astype(np.int64), kind="stable")
 
 
+def _by_owner(number: np.ndarray, dests: int) -> np.ndarray:
+    """Places by the numbers' owners, and then by number."""
+    return np.lexsort((number, number % dests))
+
+
+def _send_numbers(block: int, number: np.ndarray, dests: int, values: list[np.ndarray]) -> list[tuple]:
+    """Rows that carry numbers (in the order of ``_by_owner``) and their values to the owners."""
+    cut, out = np.searchsorted(number % dests, np.arange(dests + 1)), []
+    for d in range(dests):
+        lo, hi = int(cut[d]), int(cut[d + 1])
+        if hi > lo:
+            out.append((block, d, B.frames([B.squeeze_sorted((number[lo:hi] // dests).astype(U64)), *(B.squeeze(v[lo:hi]) for v in values)])))
+    return out
+
+
 def _send_pairs(block: int, left: np.ndarray, right: np.ndarray, dests: int, value: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
     """Rows that carry pairs of numbers and their values to the owners of the pairs; and the order they are sent in.
 
@@ -167,11 +183,11 @@ class _Block:
         self.vocab = B.unsqueeze_sorted(vocab)
         self.code = _by_count(B.unsqueeze(known, np.uint32))[B.unsqueeze(code, np.uint32)]
         n = self.head.column("n").to_numpy()
-        self.doc = np.repeat(np.arange(len(n)), n)
-        self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(n) - n, n)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.place = np.arange(len(self.code), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
         self.train = ~self.head.column("held").to_numpy()[self.doc]
         self.told, self.dests, self.bits = told, dests, bits
-        self.count, self.id, self.shared = self._numbered(0, np.uint64, 1)  # of each word of the vocabulary
+        self.count, self.id, self.shared, self.first = self._numbered(0, np.uint64, 1)  # of each word of the vocabulary
 
     def _of_kind(self, kind: int) -> pa.Table:
         return self.told.filter(pa.compute.equal(pa.compute.shift_right(self.told.column("dest"), _KIND), kind))
@@ -179,19 +195,23 @@ class _Block:
     def _answer(self, kind: int, dtype) -> np.ndarray:
         return B.answers(self._of_kind(kind), dtype)
 
-    def _numbered(self, kind: int, dtype, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """In the order of the keys sent: counts, numbers of those of ``least`` occurrences (others -1), and which other blocks hold too."""
+    def _numbered(self, kind: int, dtype, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """In the order of the keys sent: counts, numbers of those of ``least`` occurrences (others -1), which other blocks hold too, and which this block reports."""
         t = self._of_kind(kind).sort_by("dest")
-        count, own, shared = [np.zeros(0, dtype)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        count, own, shared, first = [np.zeros(0, dtype)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
         for d, p in zip(t.column("dest").to_pylist(), t.column("payload").to_pylist(), strict=True):
-            n, nth, several = B.unframe(p)
+            n, *numbers, lead = B.unframe(p)
             count.append(B.unsqueeze(n, dtype))
-            i = np.full(len(count[-1]), -1, np.int64)
-            has = np.flatnonzero(count[-1] >= least)
-            i[has[B.by_size(count[-1][has])]] = B.unsqueeze_sorted(nth, np.uint32).astype(np.int64) * self.dests + (d & ((1 << _KIND) - 1))
-            own.append(i)
-            shared.append(np.unpackbits(B.unsqueeze(several, np.uint8), count=len(i)).astype(bool))
-        return np.concatenate(count), np.concatenate(own), np.concatenate(shared)
+            if numbers:
+                i = np.full(len(count[-1]), -1, np.int64)
+                has = np.flatnonzero(count[-1] >= least)
+                i[has[B.by_size(count[-1][has])]] = B.unsqueeze_sorted(numbers[0], np.uint32).astype(np.int64) * self.dests + (d & ((1 << _KIND) - 1))
+                own.append(i)
+                shared.append(np.unpackbits(B.unsqueeze(numbers[1], np.uint8), count=len(i)).astype(bool))
+            twice = np.flatnonzero(count[-1] > 1)
+            first.append(np.zeros(len(count[-1]), bool))
+            first[-1][twice] = np.unpackbits(B.unsqueeze(lead, np.uint8), count=len(twice))
+        return np.concatenate(count), np.concatenate(own), np.concatenate(shared), np.concatenate(first)
 
     def _unique(self, at: np.ndarray, left: np.ndarray):
         """Distinct (context, next word) at these places, and which each place has; training occurrences of each."""
@@ -210,7 +230,8 @@ class _Block:
 
     def pair_counts(self) -> None:
         self.count2, self.id2, self.shared2 = self.local2.astype(float), np.full(len(self.left2), -1), np.zeros(len(self.left2), bool)
-        self.count2[self.ask2], self.id2[self.ask2], self.shared2[self.ask2] = self._numbered(1, np.uint32, CONTEXT)
+        self.first2 = np.ones(len(self.left2), bool)
+        self.count2[self.ask2], self.id2[self.ask2], self.shared2[self.ask2], self.first2[self.ask2] = self._numbered(1, np.uint32, CONTEXT)
 
     def triples(self) -> None:
         """Places whose two words before are a candidate context; of their triples, those to ask for, and what to send."""
@@ -228,24 +249,24 @@ class _Block:
 
     def triple_counts(self) -> None:
         self.count3 = self.local3.astype(float)
-        self.count3[self.ask3] = self._answer(3, np.uint32)
+        self.first3 = np.ones(len(self.left3), bool)
+        self.count3[self.ask3], _, _, self.first3[self.ask3] = self._numbered(3, np.uint32, CONTEXT)
 
     def states1(self) -> None:
         """Strength of each word as a context; 0: no state."""
         used = np.unique(self.left2)
-        order = np.argsort(_scatter(self.id[used], self.bits["word"]))
+        order = _by_owner(self.id[used], self.dests)
         self.state1 = np.zeros(len(self.vocab))
         self.state1[used[order]] = _STRENGTH[self._answer(2, np.uint8)]
 
     def gains2(self, p1: np.ndarray) -> None:
         """Divergence of each two-word context here, those shared with other blocks in the order of their keys, and the rest."""
-        used, sums = _sums(self.left3, _gains(self.count3, self.count2[self.left3], self.local3, p1[self.pair3]))
+        used, sums = _sums(self.left3, _gains(self.count3, self.first3, p1[self.pair3]), self.count2, self.first2)
         alone = ~self.shared2[used]
         self.alone2, self.verdict2 = used[alone], _verdict(*(s[alone] for s in sums))
         self.used2, sums = used[~alone], [s[~alone] for s in sums]
-        key = _scatter(self.id2[self.used2], self.bits["pair"])
-        order = np.argsort(key)
-        self.used2, self.used_key2, self.gain2 = self.used2[order], key[order], [s[order] for s in sums]
+        order = _by_owner(self.id2[self.used2], self.dests)
+        self.used2, self.gain2 = self.used2[order], [s[order] for s in sums]
 
     def states2(self) -> np.ndarray:
         """Strength of each pair as a context; 0: no state."""
@@ -263,22 +284,30 @@ class _Block:
         return np.where(s > 0, (self.count2 + s * p0[self.right2]) / (self.count[self.left2] + s), p0[self.right2])
 
 
-def _gains(count, context, local, below) -> list[np.ndarray]:
-    """Per distinct event: local occurrences times the log gain over ``below``, each left out of its count."""
-    seen = local > 0
+def _gains(count, first, below) -> list[np.ndarray]:
+    """What this block reports of each distinct event: the occurrences' log gain over ``below``, each left out of its count.
+
+    That is log((n - 1 + s p) / ((c - 1 + s) p)) for an event of n of a
+    context's c occurrences. Taken as log((n - 1 + s p) / (s p)) less
+    log((c - 1 + s) / s), the first is 0 for events that occur once, and the
+    second is the context's alone (``_sums``). One block reports an event.
+    """
+    told = first & (count > 1)
+    n, p = count[told], below[told]
     out = []
     for s in STRENGTHS:
         g = np.zeros(len(count))
-        c = np.maximum(count[seen] - 1, 0)
-        g[seen] = local[seen] * np.log((c + s * below[seen]) / ((np.maximum(context[seen] - 1, 0) + s) * below[seen]))
+        g[told] = n * np.log((n - 1 + s * p) / (s * p))
         out.append(g)
     return out
 
 
-def _sums(of: np.ndarray, gains: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The contexts, and the sums of their gains in steps."""
+def _sums(of: np.ndarray, gains: list[np.ndarray], context: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The contexts, and the sums of their gains in steps; the block that reports a context takes off what is its own."""
     used, at = np.unique(of, return_inverse=True)
-    return used, [np.rint(np.bincount(at, weights=g, minlength=len(used)) / STEP).astype(np.int64) for g in gains]
+    c = np.where(first[used], context[used].astype(float), 0.0)
+    own = [c * np.log((np.maximum(c, 1) - 1 + s) / s) for s in STRENGTHS]
+    return used, [np.rint((np.bincount(at, weights=g, minlength=len(used)) - o) / STEP).astype(np.int64) for g, o in zip(gains, own, strict=True)]
 
 
 def _verdict(*total: np.ndarray) -> np.ndarray:
@@ -304,16 +333,15 @@ def _pass(step: str, dests: int, total: int, distinct: int, bits: dict):
         p0 = b.base(total, distinct)
         if step == "triples":
             out = _shift(b.sent3, 3)
-            used, sums = _sums(b.left2, _gains(b.count2, b.count[b.left2].astype(float), b.local2, p0[b.right2]))
-            key = _scatter(b.id[used], bits["word"])
-            order = np.argsort(key)
-            return B.table(out + _shift(B.send(b.block, key[order], dests, *(s[order] for s in sums)), 2))
+            used, sums = _sums(b.left2, _gains(b.count2, b.first2, p0[b.right2]), b.count, b.first)
+            order = _by_owner(b.id[used], dests)
+            return B.table(out + _shift(_send_numbers(b.block, b.id[used[order]], dests, [s[order] for s in sums]), 2))
         b.triple_counts()
         b.states1()
         p1 = b.after1(p0)
         b.gains2(p1)
         if step == "gains":
-            return B.table(_shift(B.send(b.block, b.used_key2, dests, *b.gain2), 4))
+            return B.table(_shift(_send_numbers(b.block, b.id2[b.used2], dests, b.gain2), 4))
         p = p0[b.code]
         p[b.at2] = p1[b.own2]
         s = b.states2()[b.left3]
@@ -360,7 +388,7 @@ def score_documents(docs: DataFrame, parts: int = 7, out: int = 2) -> DataFrame:
     told, distinct = numbered(sent, "word", 1)
     read = _told_pairs(max(1, bits["word"] - (dests.bit_length() - 1)))
     told = told.unionByName(numbered(each("pairs"), "pair", CONTEXT, wide=np.uint32, read=read)[0])
-    counts = B.adder(wide=np.uint32, read=read)
+    counts = B.adder(wide=np.uint32, read=read, first=True)
     gains = B.adder(np.int64, np.int64, _verdict, len(STRENGTHS))
 
     def either(t: pa.Table) -> pa.Table:

@@ -137,16 +137,33 @@ def test_frequent_keys_get_small_numbers():
     count[[5, 700]] = 40, 9
     rows = B.send(0, keys, 1, count) + B.send(1, keys[::2], 1, count[::2])
     told = B.adder(number=lambda n: n >= 2)(B.table(rows))
-    number = []
+    number, first = [], []
     for payload in told.column("payload").to_pylist():
-        n, nth, _ = B.unframe(payload)
+        n, nth, _, lead = B.unframe(payload)
         n = B.unsqueeze(n, np.uint64)
         has = np.flatnonzero(n >= 2)
         number.append(np.full(len(n), -1))
         number[-1][has[B.by_size(n[has])]] = B.unsqueeze_sorted(nth, np.uint32)
+        first.append(has[np.unpackbits(B.unsqueeze(lead, np.uint8), count=len(has)).astype(bool)])
     # 40 of key 5, then 18 of key 700, then the two of each even key; of key 5 only block 0 has any
     assert number[0][5] == 0 and number[0][700] == 1 and number[0][1] == -1
     assert (number[0][::2] == number[1]).all() and sorted(number[0][number[0] >= 0]) == list(range(501))
+    assert len(first[0]) == 501 and not len(first[1])  # each key has one block that reports it
+
+
+def test_each_event_is_reported_once():
+    """Blocks' sums of what they alone report add up to the left-out divergence of all occurrences."""
+    r, p = np.random.default_rng(2), np.array([0.2, 0.05, 0.01, 0.001])
+    local = r.integers(0, 40, (5, 4))
+    local[:, 3] = [0, 0, 1, 0, 0]
+    n, c = local.sum(0), local.sum()
+    lead = (local > 0).argmax(0)
+    at = np.zeros(4, np.int64)
+    got = [P._sums(at, P._gains(n.astype(float), lead == k, p), np.array([c]), np.array([k == 0]))[1] for k in range(5)]
+    for i, s in enumerate(P.STRENGTHS):
+        want = (n * np.log((n - 1 + s * p) / ((c - 1 + s) * p))).sum()
+        assert abs(sum(int(g[i][0]) for g in got) * P.STEP - want) < 5 * P.STEP
+    assert not any(g[0] for g in got[4]) and not any(g[0] for g in got[3])  # nothing to tell again
 
 
 def test_suffix_tree_beats_single_words_on_held_out_texts(spark):
